@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, token_files
+from . import mixing, sentencepieces, sharding, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -30,5 +30,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_source_mix, op6_sharding)}
+def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return sentencepieces.digests(docs, vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_source_mix, op6_sharding, op9_sentencepieces)}
 ORACLES: dict[str, str] = {}
