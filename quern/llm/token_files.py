@@ -120,7 +120,7 @@ class Encoder:
 
     PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
     PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ‐-‧‰-⁞€、-ヿ一-鿿Ͱ-ԯ]")
-    KEPT = 400_000
+    KEPT = 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -128,6 +128,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("Ġ")  # the byte-level spelling of a space
         probe = "It's a probe,  with\n\nruns \t of space (and 12'345 figures) -- d'été.\n x"
         self.cut = self._pieces(probe) == self._whole(probe)
 
@@ -135,29 +138,32 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
+        """Keeps the ids of new pieces. Those that start with a space are encoded as one text: a token that
+        starts with a space then starts a piece, as no other place of a piece has one."""
         spaced = [p for p in new if p[0] == " " and not p.isspace()]
         for p in new:
             if p[0] != " " or p.isspace():
                 self.kept[p] = self._whole(p)
         if spaced:
-            got = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            ends = np.cumsum([len(p) for p in spaced])
-            at = np.searchsorted(np.array([o[0] for o in got.offsets]), ends).tolist()
-            raw, a = ids.tobytes(), 0
-            for p, b in zip(spaced, at):
-                self.kept[p] = raw[4 * a : 4 * b]
-                a = b
+            ids = np.array(self.tokenizer.encode("".join(spaced), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(spaced):
+                self.kept.update((p, self._whole(p)) for p in spaced)
+                return
+            raw, at = ids.tobytes(), [*(at * 4).tolist(), 4 * len(ids)]
+            for k, p in enumerate(spaced):
+                self.kept[p] = raw[at[k] : at[k + 1]]
 
     def _pieces(self, text: str) -> bytes:
-        pieces = self.PIECE.findall(text)
-        new = {p for p in pieces if p not in self.kept}
-        if new:
-            if len(self.kept) > self.KEPT:
-                self.kept.clear()
-                new = set(pieces)
-            self._learn(list(new))
-        return b"".join(map(self.kept.__getitem__, pieces))
+        pieces, kept = self.PIECE.findall(text), self.kept
+        got = list(map(kept.get, pieces))
+        if None in got:
+            if len(kept) > self.KEPT:
+                kept.clear()
+                got = [None] * len(pieces)
+            self._learn(list({p for p, g in zip(pieces, got) if g is None}))
+            got = map(kept.__getitem__, pieces)
+        return b"".join(got)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -192,8 +198,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, out: str | None = No
             fs.create_dir(folder, recursive=True)
             write_once(fs, f"{folder}/{part:07d}.dac", lambda f: [f.write(x) for x in DacWriter.pack(flat, doc_ids, np.cumsum(lengths))])
             yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(doc_ids)], "tokens": [len(flat)]})
+            pa.default_memory_pool().release_unused()
 
-    # bounded read-ahead: texts come in batches of some hundred rows
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     files = ordered.mapInArrow(encode, "part long, docs long, tokens long").collect()
     return out, sorted((f["part"], f["docs"], f["tokens"]) for f in files)
