@@ -145,7 +145,7 @@ class Encoder:
             if p[0] != " " or p.isspace():
                 self.kept[p] = self._whole(p)
         if spaced:
-            ids = np.array(self.tokenizer.encode("".join(spaced), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(spaced):
                 self.kept.update((p, self._whole(p)) for p in spaced)
