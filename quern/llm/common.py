@@ -95,3 +95,42 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
             return e.toDF("node", "component")
         last = now
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+
+def runs(batches, keys: tuple[str, ...]):
+    """(key, table) for each run of rows with equal keys in a stream of record batches sorted by them.
+
+    A run is held whole; callers bound its size by how they deal rows into keys."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, open_key = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        changed = np.zeros(len(batch), bool)
+        for c in keys:
+            col = batch[c].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            changed[1:] |= col[1:] != col[:-1]
+        starts = [0, *np.flatnonzero(changed).tolist(), len(batch)]
+        for a, b in zip(starts, starts[1:]):
+            key = tuple(batch[c][a].as_py() for c in keys)
+            if held and key != open_key:
+                yield open_key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            open_key = key
+    if held:
+        yield open_key, pa.Table.from_batches(held).combine_chunks()
+
+
+def lists(column) -> list:
+    """The lists of an Arrow column as numpy arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets)
+    return [flat[a:b] for a, b in zip(ends - ends[0], ends[1:] - ends[0])]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from .common import connected_components, lists, runs, staged
 
 ROTATIONS, BLOCKS, CODES, HEIGHT, LEAST, CELL = 3, 4, 12, 3.6, 12, 1024
 
@@ -105,11 +105,6 @@ def matches(units: np.ndarray, times: np.ndarray, earlier: list[np.ndarray], gro
         root = low
 
 
-def _list(column: pa.Array) -> list[np.ndarray]:
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets) - column.offsets[0].as_py()
-    return [flat[a:b] for a, b in zip(ends, ends[1:])]
-
-
 def unit(rows: list[np.ndarray]) -> np.ndarray:
     x = np.stack(rows).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norms
@@ -118,7 +113,7 @@ def unit(rows: list[np.ndarray]) -> np.ndarray:
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        vectors = _list(batch["embedding"])
+        vectors = lists(batch["embedding"])
         found: list = [None] * len(vectors)
         for dim in {len(v) for v in vectors}:
             at = [k for k, v in enumerate(vectors) if len(v) == dim]
@@ -130,41 +125,16 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(least: float):
-    keys = ("label", "dim", "f", "ci", "cj")
-
-    def group(rows: pa.Table, f: int, apart: bool) -> pa.RecordBatch | None:
-        rows = rows.combine_chunks()
-        rep = rows["rep"].to_numpy()
-        # a bucket's filter lists may be long; only those below f matter
-        earlier = [e[e < f] for e in _list(rows["filters"].chunk(0))]
-        links, root = matches(unit(_list(rows["embedding"].chunk(0))), rows["times"].to_numpy(), earlier, rows["g"].to_numpy(), apart, least)
-        on = (links > 0) | (root != np.arange(len(root)))
-        if not on.any():
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(links[on], pa.int64()), pa.array(rep[root][on])], ["rep", "links", "root"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_rows: list[pa.RecordBatch] = []
-        open_key = None
-        for batch in batches:
-            if not len(batch):
+        for (_, _, f, ci, cj), rows in runs(batches, ("label", "dim", "f", "ci", "cj")):
+            if len(rows) < 2:
                 continue
-            changed = np.zeros(len(batch), bool)
-            for c in keys:
-                col = batch[c].dictionary_encode().indices.to_numpy()
-                changed[1:] |= col[1:] != col[:-1]
-            starts = [0, *np.flatnonzero(changed).tolist(), len(batch)]
-            for a, b in zip(starts, starts[1:]):
-                key = tuple(batch[c][a].as_py() for c in keys)
-                part = batch.slice(a, b - a)
-                if key == open_key:
-                    open_rows.append(part)
-                    continue
-                if open_rows and sum(map(len, open_rows)) > 1 and (out := group(pa.Table.from_batches(open_rows), open_key[2], open_key[3] != open_key[4])) is not None:
-                    yield out
-                open_rows, open_key = [part], key
-        if open_rows and sum(map(len, open_rows)) > 1 and (out := group(pa.Table.from_batches(open_rows), open_key[2], open_key[3] != open_key[4])) is not None:
-            yield out
+            rep = rows["rep"].to_numpy()
+            earlier = [e[e < f] for e in lists(rows["filters"])]
+            links, root = matches(unit(lists(rows["embedding"])), rows["times"].to_numpy(), earlier, rows["g"].to_numpy(), ci != cj, least)
+            on = (links > 0) | (root != np.arange(len(root)))
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(links[on], pa.int64()), pa.array(rep[root][on])], ["rep", "links", "root"])
 
     return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, media, mixing, quality, sentencepieces, sharding, token_files
+from . import embedding_dedup, language_id, media, mixing, ngram_join, quality, sentencepieces, sharding, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, out, files)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -54,5 +58,5 @@ def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(docs, vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_source_mix, op5_embedding_dedup, op6_sharding, op7_media, op8_language_id, op9_sentencepieces, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_source_mix, op5_embedding_dedup, op6_sharding, op7_media, op8_language_id, op9_sentencepieces, op10_quality)}
 ORACLES: dict[str, str] = {}
