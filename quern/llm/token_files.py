@@ -120,7 +120,7 @@ class Encoder:
 
     PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
     PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ‐-‧‰-⁞€、-ヿ一-鿿Ͱ-ԯ]")
-    KEPT = 700_000
+    KEPT = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
