@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, media, mixing, ngram_join, quality, sentencepieces, sharding, token_files
+from . import embedding_dedup, language_id, media, mixing, ngram_join, quality, sentencepieces, sharding, substring_dedup, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
 
@@ -58,5 +62,5 @@ def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(docs, vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_source_mix, op5_embedding_dedup, op6_sharding, op7_media, op8_language_id, op9_sentencepieces, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_source_mix, op4_substring_dedup, op5_embedding_dedup, op6_sharding, op7_media, op8_language_id, op9_sentencepieces, op10_quality)}
 ORACLES: dict[str, str] = {}
