@@ -7,8 +7,9 @@ run of whole chunks of at least WORDS words, from each cut to the first cut far
 WORDS + 2 * SPAN words, and the few words that 16 bytes span, have such a run in common, wherever they stand.
 
 A run found in more than one document is a repeat: the document with the smallest (doc_id, text hash) keeps
-it, and the others' bytes that repeats cover are duplicate spans, without those bytes that the document keeps
-for others. Repeats within one document alone are left as they are.
+it, and the bytes that it covers in the others are duplicate spans. The keeper may itself lose a part of it to
+a run that overlaps it and that an earlier document keeps; going back so from document to document, every
+byte is kept in one. Repeats within one document alone are left as they are.
 
 Digests are counted by a partial aggregation and joined back by an exchange that adaptive execution can split,
 so a passage that a third of all documents share is no task's burden. What is gathered per document is at
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-WORDS, SPAN, SLIVER = 24, 10, 32
+WORDS, SPAN = 24, 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
@@ -115,23 +116,6 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def without(spans: list[list[int]], kept: list[list[int]]) -> list[tuple[int, int]]:
-    """Bytes of spans that no kept span has, but for slivers; both are disjoint and rising."""
-    out = []
-    for a, b in spans:
-        for x, y in kept:
-            if y <= a or x >= b:
-                continue
-            if x - a >= SLIVER:
-                out.append((a, x))
-            a = max(a, y)
-            if a >= b:
-                break
-        if b - a >= SLIVER:
-            out.append((a, b))
-    return out
-
-
 def spans(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
     """doc_id, h (hash of the text), spans of each document with duplicate spans: an array of start, stop
     (bytes of the UTF-8 text) and kept_in, the ids of documents that keep what the span repeats."""
@@ -139,21 +123,19 @@ def spans(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
     who = F.struct("doc_id", "h")
     repeats = found.groupBy("digest").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first <> last")
     repeats = staged(repeats.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h")), "repeats")
-    hits = found.join(repeats, "digest").select("doc_id", "h", "start", "stop", "first_id", (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).alias("keeps"))
-    each = hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "first_id", "keeps")).alias("hits"))
+    hits = found.join(repeats, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))))
+    each = hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "first_id")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for hits in batch["hits"].to_pylist():
-                doubled = [(x["start"], x["stop"], x["first_id"]) for x in hits if not x["keeps"]]
-                kept = merged([(x["start"], x["stop"]) for x in hits if x["keeps"]])
-                got = without(merged([d[:2] for d in doubled]), kept)
-                out.append([{"start": a, "stop": b, "kept_in": sorted({f for s, e, f in doubled if s < b and e > a}, key=lambda f: (f is not None, f))} for a, b in got])
+                got = merged([(x["start"], x["stop"]) for x in hits])
+                out.append([{"start": a, "stop": b, "kept_in": sorted({x["first_id"] for x in hits if a <= x["start"] < b}, key=lambda f: (f is not None, f))} for a, b in got])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kept_in", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(out, kind)], ["doc_id", "h", "spans"])
 
-    return each.mapInArrow(run, "doc_id long, h long, spans array<struct<start: int, stop: int, kept_in: array<long>>>").where("size(spans) > 0")
+    return each.mapInArrow(run, "doc_id long, h long, spans array<struct<start: int, stop: int, kept_in: array<long>>>")
 
 
 def duplicates(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
