@@ -1,8 +1,76 @@
-"""Corpus pipeline (stages are added as their operators are)."""
+"""Corpus pipeline: language ID, near-duplicate removal, substring dedup, source mixing, SentencePiece ids.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet into the
+shared folder and reads it again as the next one's docs. All stages but the last return the columns of docs.
+Stages define nulls, empty texts, ties, repeated rows and empty tables as their operators do.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import common, language_id, mixing, ngram_join, sentencepieces, substring_dedup
+from quern.llm.queries import vocabulary
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that language ID rejects: no letters, or a score below the calibrated limit."""
+    model = language_id.fit(docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return language_id.predicted(rows, model, ["row"]).where("not rejected").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of five-word shingle sets alike by 0.8 or more: the one with the smallest
+    id. Documents without words are linked with nothing and stay; a row without an id does too."""
+    found = ngram_join.join(docs, k=5, num=80, den=100)
+    dropped = common.staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    kept = docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
+    return once(kept)
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """Of rows alike in id and text one; those without an id all stay."""
+    same = F.when(docs["doc_id"].isNotNull(), F.struct(docs["doc_id"], F.xxhash64(docs["text"])))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return docs
+    rest = docs.where("doc_id is null")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = docs.where("doc_id is not null").groupBy(same.alias("_same")).agg(F.min(row).alias("row")).select("row.*")
+    return first.unionByName(rest)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages that an earlier document keeps."""
+    return substring_dedup.deduplicated(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and its token ids, begin and end included."""
+    return sentencepieces.encoded(docs, vocabulary("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("source_mix", mix_sources),
+    ("sentencepiece", encode),
+]
+
+#: No SQL: trained models, tokenizer files and hashes decide.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = common.staged(stage(spark, docs, sf_dir), name)
+    return docs
