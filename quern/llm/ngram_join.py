@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, lists, runs, staged
 
 CELL, SLICE = 4096, 1 << 20
+#: Rows (of 40 bytes) up to which the list of sets in groups is sent to all tasks; a longer one is joined by shuffles.
+SENT = 200_000
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -352,6 +354,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     active = classes.join(blocks, "h1").select("rep", "h1", "h2", "block")
     sizes = active.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
     active = staged(active.join(sizes, "block"), "active")
+    if active.count() <= SENT:  # then the texts needn't be dealt anew
+        active = F.broadcast(active)
     texts = docs.selectExpr("cast(doc_id as long) as rep", "text").join(active, "rep").select("rep", "h1", "h2", "block", "n", "text")
     dealt = _sets(texts, k)
     groups = F.ceil(F.col("n") / CELL).cast("int")
