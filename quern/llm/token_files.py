@@ -113,7 +113,7 @@ class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
     Such a tokenizer never merges over the start of a run of non-space characters and the one space before
-    it, so a text is cut there and what the library gives for a piece is kept. Pieces not seen yet are encoded
+    it, so a text is cut there and what the library gives for a piece is kept. Words not seen yet are encoded
     together. A text with a character outside the plain set, whose white space the library's pattern and ours
     might see differently, or with a special token's string, goes to the library whole. A new encoder compares
     both ways on a sample and takes only the library's if they differ."""
@@ -128,48 +128,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.line = self.tokenizer.token_to_id("Ċ")  # the byte-level spelling of a line end
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")  # the byte-level spelling of a space
         probe = "It's a probe,  with\n\nruns \t of space (and 12'345 figures) -- d'été.\n x"
-        self.cut = self._pieces(probe) == self._whole(probe)
+        plain = "It's a probe, with\nlines (and 12'345 figures) -- d'été.\nx"
+        self.cut = self.line is not None and self._pieces(probe) == self._whole(probe) and self._by_words(plain) == self._whole(plain)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Keeps the ids of new pieces. Those that start with a space are encoded as one text: a token that
-        starts with a space then starts a piece, as no other place of a piece has one."""
-        spaced = [p for p in new if p[0] == " " and not p.isspace()]
-        for p in new:
-            if p[0] != " " or p.isspace():
-                self.kept[p] = self._whole(p)
-        if spaced:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(spaced):
-                self.kept.update((p, self._whole(p)) for p in spaced)
-                return
+    def _learn_words(self, new: list[str]) -> None:
+        """Keeps the ids of words after a space or, where marked so, after a line end. Each kind is encoded as
+        one text: a token that starts with a space, or is a line end, then starts a word."""
+        for mark, some in ((" ", [w for w in new if w[0] != "\0"]), ("\n", [w for w in new if w[0] == "\0"])):
+            if not some:
+                continue
+            texts = [mark + w.removeprefix("\0") for w in some]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.opens[ids] if mark == " " else ids == self.line)
+            if len(at) != len(some):
+                self.words.update((w, self._whole(t)) for w, t in zip(some, texts))
+                continue
             raw, at = ids.tobytes(), [*(at * 4).tolist(), 4 * len(ids)]
-            for k, p in enumerate(spaced):
-                self.kept[p] = raw[at[k] : at[k + 1]]
+            for k, w in enumerate(some):
+                self.words[w] = raw[at[k] : at[k + 1]]
+
+    def _by_words(self, text: str) -> bytes:
+        """For texts whose white space is single spaces and line ends between words."""
+        pieces = ("\n" + text).replace("\n", " \0").split(" ")[1:]
+        got = list(map(self.words.get, pieces))
+        if None in got:
+            at = [i for i, g in enumerate(got) if g is None]
+            if len(self.words) > self.KEPT:
+                self.words.clear()
+            self._learn_words(list({pieces[i] for i in at}))
+            for i in at:
+                got[i] = self.words[pieces[i]]
+        return b"".join(got)[4:]
 
     def _pieces(self, text: str) -> bytes:
+        """For texts with other white space."""
         pieces, kept = self.PIECE.findall(text), self.kept
-        got = list(map(kept.get, pieces))
-        if None in got:
-            if len(kept) > self.KEPT:
-                kept.clear()
-                got = [None] * len(pieces)
-            self._learn(list({p for p, g in zip(pieces, got) if g is None}))
-            got = map(kept.__getitem__, pieces)
-        return b"".join(got)
+        for p in set(pieces):
+            if p not in kept:
+                if len(kept) > self.KEPT // 4:
+                    kept.clear()
+                    return self._whole(text)
+                kept[p] = self._whole(p)
+        return b"".join(map(kept.__getitem__, pieces))
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.cut or self.PLAIN.search(text) or any(s in text for s in self.special):
             return self._whole(text)
-        return self._pieces(text)
+        spaced = "\n" + text + "\n"
+        if any(x in spaced for x in ("  ", " \n", "\n ", "\n\n", "\t", "\r")):
+            return self._pieces(text)
+        return self._by_words(text)
 
 
 @functools.lru_cache(maxsize=2)
