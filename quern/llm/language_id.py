@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 NGRAMS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 16
 PER_LANG, EXCERPT, MAX_LANGS = 1500, 1200, 500
@@ -208,5 +209,5 @@ def predicted(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + made, [*keep, "lang_pred", "score", "rejected"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*[f"`{c}`" for c in keep]).dtypes)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    schema = rows.select(*[f"`{c}`" for c in keep]).schema
+    return rows.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL("lang_pred string, score double, rejected boolean").fields]))
