@@ -239,7 +239,8 @@ def read(spark: SparkSession, out: str, files: list[tuple[int, int, int]], diges
                 for a in range(0, dac.docs, 2000):
                     ks = range(a, min(a + 2000, dac.docs))
                     starts = [int(dac.ends[k - 1]) if k else 0 for k in ks]
-                    found = [dac.doc(k) for k in ks]
+                    ids, first_id = dac.tokens(starts[0], int(dac.ends[ks[-1]])), starts[0]
+                    found = [ids[s - first_id : int(dac.ends[k]) - first_id] for k, s in zip(ks, starts)]
                     last = pa.array([zlib.crc32(x) for x in found], pa.int64()) if digest else pa.array([x.tolist() for x in found], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(dac.doc_ids[a : a + 2000], mask=dac.null[a : a + 2000].astype(bool)), pa.array([first + s for s in starts]), pa.array([len(x) for x in found], pa.int64()), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
