@@ -8,9 +8,10 @@ smallest id reachable over links.
 1. Equal sets form classes; one document stands for each.
 2. The inverted index is too large for one task, so it is dealt into groups that no link crosses. For sets of a
    band of sizes, linked ones differ in at most d elements. Elements are hashed into more than d parts; so some
-   part of two linked sets is equal, and its hash, shared, puts them into one group. (Parts without elements
-   don't count; a set with so many of them that nothing is certain also shows those.) Groups are the connected
-   components over shared part hashes.
+   part of two linked sets is equal, and they meet by its hash. (Parts without elements don't count; a set with
+   so many of them that nothing is certain also shows those.) Sets that meet are compared by their sketches, the
+   numbers of elements per bin: sets whose sketches differ by more than linked sets can are kept apart, so a
+   passage that many share makes no group of all. Groups are the connected components over what is left.
 3. Within a group, T-occurrence search: sets must share T elements with the query. Of the query's inverted
    lists the longest ones, up to T - 1, are left aside; the short ones are heap-merged, and every set met there
    is probed for in the long ones by bisection, until it reaches the needed overlap or can't any more. Sets
@@ -176,6 +177,32 @@ def part_hashes(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Numbers of elements (255 at most) per bin, in some 4 to 8 elements a bin; bins follow the hash's first
+    bits, so neighbours added up give the sketch with half as many bins."""
+    bits = max(0, (len(s) // 4).bit_length() - 1)
+    bins = (_mix(s ^ _ODD[53]) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
+    return np.minimum(np.bincount(bins, minlength=1 << bits), 255).astype("u1").tobytes()
+
+
+def meeting(sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> np.ndarray:
+    """For each of the sets that share a part, the first of those it is connected with by like sketches."""
+    bins = min(map(len, sketches))
+    counts = np.stack([np.minimum(np.frombuffer(s, "u1").reshape(bins, -1).sum(axis=1), 255) for s in sketches]).astype(np.int16)
+    most = lambda i, js: sizes[i] + sizes[js] - 2 * -(-num * (sizes[i] + sizes[js]) // (num + den))
+    root, rest = np.full(len(sizes), -1), np.arange(len(sizes))
+    while len(rest):
+        seed, rest = rest[0], rest[1:]
+        root[seed], open_sets = seed, [seed]
+        while open_sets and len(rest):
+            i = open_sets.pop()
+            near = np.abs(counts[rest] - counts[i]).sum(axis=1) <= most(i, rest)
+            found, rest = rest[near], rest[~near]
+            root[found] = seed
+            open_sets += found.tolist()
+    return root
+
+
 class Index:
     """T-occurrence search over sets (sorted arrays of small ints), with DivideSkip."""
 
@@ -295,17 +322,44 @@ def _texts(column: pa.Array, step: int = 4 << 20) -> Iterator[tuple[int, list[st
         yield first, texts
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of whole parts, many parts at a time: starts of the parts, sketches, sizes and names."""
+    held: list[pa.RecordBatch] = []
+
+    def made(rows: pa.Table) -> tuple:
+        part = rows["part"].to_numpy()
+        at = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]).tolist()
+        return at, rows["sketch"].to_pylist(), rows["n"].to_numpy().astype(np.int64), rows["h1"].to_numpy()
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        part = batch["part"].to_numpy()
+        cut = int(np.searchsorted(part, part[-1]))  # rows are sorted by part; the last one may go on
+        if held and cut:
+            yield made(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+            held = []
+        elif cut:
+            yield made(pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks())
+        elif held and held[-1]["part"][0].as_py() != part[0]:
+            yield made(pa.Table.from_batches(held).combine_chunks())
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield made(pa.Table.from_batches(held).combine_chunks())
+
+
 def identified(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 of each row."""
+    """doc_id, n_shingles, h1, h2 and sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, texts in _texts(batch["text"]):
                 sets = shingle_sets(texts, k)
                 names = [identity(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64())], ["doc_id", "n_shingles", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
 def _parts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -345,10 +399,27 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     """doc_id, n_shingles and component_id of each row."""
     rows = staged(identified(docs, k), "sets")
     name = ["h1", "h2", "n_shingles"]
-    classes = staged(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep")), "classes")
-    # one sort by part finds its lowest set; a hot part holds few of the rows, as its sets have other parts too
-    lowest = F.min("h1").over(Window.partitionBy("part"))
-    edges = _parts(docs, k, num, den).withColumn("low", lowest).where("h1 <> low").select(F.col("h1").alias("a"), F.col("low").alias("b"))
+    classes = staged(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    # one sort by part finds where sets meet; a hot part holds few of the rows, as its sets have other parts too
+    part = Window.partitionBy("part")
+    met = _parts(docs, k, num, den).select("part", "h1", F.min("h1").over(part).alias("low"), F.max("h1").over(part).alias("high"))
+    met = staged(met.where("low <> high").select("part", "h1").distinct(), "met")
+    named = classes.groupBy("h1").agg(F.min(F.struct(F.col("n_shingles").cast("int").alias("n"), "sketch")).alias("s"))
+    dealt = met.join(named, "h1").select("part", "h1", "s.n", "s.sketch").repartition("part").sortWithinPartitions("part", "h1")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, sketches, n, h1 in packed(batches):
+            out_a, out_b = [], []
+            for a, b in zip(at, at[1:]):
+                if b - a > 1:
+                    root = meeting(n[a:b], sketches[a:b], num, den)
+                    on = np.flatnonzero(root != np.arange(b - a))
+                    out_a.append(h1[a:b][on])
+                    out_b.append(h1[a:b][root[on]])
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    edges = dealt.mapInArrow(compare, "a long, b long")
     blocks = connected_components(edges, "blocks").select(F.col("node").alias("h1"), F.col("component").alias("block"))
     blocks = blocks.union(blocks.select(F.col("block").alias("h1"), "block").distinct())
     active = classes.join(blocks, "h1").select("rep", "h1", "h2", "block")
@@ -380,5 +451,5 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     found = connected_components(links, "links")
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(*name, F.coalesce("component", "rep").alias("component_id"))
     named = staged(named, "named")
-    out = rows.join(named, name, "left")
+    out = rows.drop("sketch").join(named, name, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
