@@ -75,7 +75,7 @@ class Model:
         sums = np.add.reduceat(self.table[keys], starts, axis=0).astype(np.float64) if len(keys) else np.zeros((0, len(self.langs)))
         return softmax(sums / np.maximum(n, 1)[:, None] + self.bias)
 
-    def predict(self, texts: list[str | None], batch_chars: int = 2_000_000) -> list[tuple[str, float, bool]]:
+    def predict(self, texts: list[str | None], batch_chars: int = 500_000) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text; at most about batch_chars characters are held as n-grams,
         a longer text is cut into parts whose logits are added up."""
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)

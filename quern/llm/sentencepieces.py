@@ -32,7 +32,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
 class MergeEncoder:
-    KEPT = 800_000
+    KEPT, PAIRS = 400_000, 200_000
 
     def __init__(self, path: str):
         import ahocorasick
@@ -100,7 +100,7 @@ class MergeEncoder:
     def fits(self, a: str, b: str) -> bool:
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > self.KEPT:
+            if len(self.pairs) > self.PAIRS:
                 self.pairs.clear()
             got = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return got
