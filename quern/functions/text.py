@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 #: A diagnostic line (file, line, column, level, message) and a traceback line.
 DIAGNOSTIC = r"^([^:\n]+\.py):(\d+)(?::(\d+))?:\s*(?:(error|warning):\s*)?(.+)$"
@@ -33,7 +34,7 @@ def paged(df: DataFrame, keys: Sequence[str], text: str, offset: int = 0, limit:
     return out.select(*keys, F.concat((F.col("_p") + 1).cast("string"), F.lit("\t"), F.col("_l")).alias("numbered"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
@@ -205,7 +206,7 @@ def relevance(df: DataFrame, query: str, name: str, description: str, order: str
 EXIT_ONE = {"grep": "no matches", "egrep": "no matches", "fgrep": "no matches", "rg": "no matches", "find": "some folders were not accessible", "diff": "files differ", "test": "condition is false", "[": "condition is false"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def last_command(command: pd.Series) -> pd.Series:
     """Name of the last command of a pipeline."""
 
@@ -227,7 +228,7 @@ def exit_meaning(command: Column, code: Column) -> Column:
     return F.when(code == 0, "ok").when(code == 1, F.try_element_at(table, name))
 
 
-@F.pandas_udf("struct<additions: int, removals: int, diff: string>")
+@F.pandas_udf(StructType().add("additions", IntegerType()).add("removals", IntegerType()).add("diff", StringType()))
 def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Lines added and removed between the common start and end, and them with three lines around, 200 at most."""
     rows = []
@@ -241,7 +242,7 @@ def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["additions", "removals", "diff"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(path: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
     def one(p, a, b):
         made = difflib.unified_diff((a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True), f"a/{p}", f"b/{p}")

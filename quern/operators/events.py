@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Types of results that an idempotency key commits.
 COMMITTED = ("tool_succeeded", "tool_failed")
@@ -26,7 +27,7 @@ def hash_of(raw: dict) -> str:
     return hashlib.sha256(canonical(raw).encode()).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """Canonical form of JSON texts; null for what isn't JSON."""
 
@@ -39,7 +40,7 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def own_hash(line: pd.Series) -> pd.Series:
     """The hash that a log line should carry: of all its fields but event_hash. Null for what isn't an object."""
 
