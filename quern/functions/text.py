@@ -18,6 +18,11 @@ DIAGNOSTIC = r"^([^:\n]+\.py):(\d+)(?::(\d+))?:\s*(?:(error|warning):\s*)?(.+)$"
 TRACEBACK = r"^([^:\n]+\.py):(\d+):\s+in\s+"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end; trim() takes spaces only."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -71,9 +76,9 @@ def frontmatter(content: Column, types: Sequence[str]) -> Column:
     block = F.regexp_extract(content, r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
 
     def value(key: str) -> Column:
-        hits = F.filter(F.split(block, "\n"), lambda x: F.trim(F.substring_index(x, ":", 1)) == F.lit(key))
+        hits = F.filter(F.split(block, "\n"), lambda x: strip(F.substring_index(x, ":", 1)) == F.lit(key))
         hits = F.filter(hits, lambda x: F.contains(x, F.lit(":")))
-        raw = F.transform(hits, lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", "")))
+        raw = F.transform(hits, lambda x: strip(F.regexp_replace(x, r"^[^:]*:", "")))
         bare = F.transform(raw, lambda x: F.regexp_replace(x, r"""^(["'])(.*)\1\s*$""", "$2"))
         if key == "type":
             bare = F.filter(bare, lambda x: x.isin(*types))
@@ -127,14 +132,14 @@ def cut_tokens(text: Column, tokens: int, marker: str = "\n… (truncated)") ->
 
 
 def first_line(text: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x != ""), F.lit(1)), F.lit(""))
 
 
 def tag_text(text: Column, tag: str = "summary") -> Column:
     """What the tag holds, trimmed; the whole text where the tag is missing."""
     a, b = F.instr(text, f"<{tag}>"), F.instr(text, f"</{tag}>")
     start = a + len(tag) + 2
-    return F.when((a > 0) & (b > a), F.trim(F.substr(text, start, b - start))).otherwise(F.trim(text))
+    return F.when((a > 0) & (b > a), strip(F.substr(text, start, b - start))).otherwise(strip(text))
 
 
 def json_object(text: Column) -> Column:
@@ -172,8 +177,8 @@ def replaced_once(text: Column, old: Column, new: Column) -> Column:
 
 
 def slash_command(text: Column) -> Column:
-    t = F.trim(text)
-    return F.struct(F.lower(F.regexp_extract(t, r"^/(\S+)", 1)).alias("name"), F.trim(F.regexp_extract(t, r"(?s)^/\S+\s+(.*)$", 1)).alias("args"))
+    t = strip(text)
+    return F.struct(F.lower(F.regexp_extract(t, r"^/(\S+)", 1)).alias("name"), strip(F.regexp_extract(t, r"(?s)^/\S+\s+(.*)$", 1)).alias("args"))
 
 
 def path_refs(text: Column) -> Column:
@@ -260,14 +265,14 @@ def patch(files: DataFrame) -> DataFrame:
 def ordered_text(df: DataFrame, by: Sequence[str], order: Sequence[str], text: str, glue: str = "\n\n") -> DataFrame:
     """Non-blank texts of a group joined in order."""
     parts = F.array_sort(F.collect_list(F.struct(*order, text)))
-    return df.where(F.trim(F.col(text)) != "").groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p[text]), glue).alias("joined"))
+    return df.where(strip(F.col(text)) != "").groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p[text]), glue).alias("joined"))
 
 
 def memory_blocks(df: DataFrame, keys: Sequence[str], text: str, types: Sequence[str], default: str) -> DataFrame:
     """name, description, type and content of blocks between --- lines; blocks without a name drop out."""
     rows = df.select(*keys, F.posexplode(F.split(F.col(text), r"(?m)^---\s*$")).alias("block_no", "_b"))
-    part = lambda k: F.trim(F.regexp_extract("_b", rf"(?m)^{k}:[ \t]*(.*)$", 1))
-    content = F.trim(F.regexp_extract("_b", r"(?s)content:[ \t]*(.*)$", 1))
+    part = lambda k: strip(F.regexp_extract("_b", rf"(?m)^{k}:[ \t]*(.*)$", 1))
+    content = strip(F.regexp_extract("_b", r"(?s)content:[ \t]*(.*)$", 1))
     out = rows.select(*keys, "block_no", part("name").alias("name"), part("description").alias("description"), part("type").alias("_t"), content.alias("content")).where("name <> ''")
     return out.withColumn("type", F.when(F.col("_t").isin(*types), F.col("_t")).otherwise(default)).drop("_t")
 
@@ -293,4 +298,4 @@ def board(tasks: DataFrame) -> DataFrame:
 
 def change_count(status: Column) -> Column:
     """Non-blank lines."""
-    return F.size(F.filter(F.split(status, "\n"), lambda x: F.trim(x) != ""))
+    return F.size(F.filter(F.split(status, "\n"), lambda x: strip(x) != ""))

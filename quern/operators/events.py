@@ -195,7 +195,7 @@ def checked(checkpoints: DataFrame, events: DataFrame, journal: str = "journal")
     fault = (
         F.when((F.col("sequence") == 0) & (F.coalesce("event_hash", F.lit("")) != ""), "empty checkpoint has an event hash")
         .when((F.col("sequence") != 0) & ~F.coalesce(F.col("_h") == F.col("event_hash"), F.lit(False)), "checkpoint does not match the journal history")
-        .when(F.schema_of_variant(F.try_parse_json("state")).isNull() | ~F.startswith(F.trim("state"), F.lit("{")), "checkpoint state must be an object")
+        .when(F.schema_of_variant(F.try_parse_json("state")).isNull() | ~F.startswith(F.ltrim("state"), F.lit("{")), "checkpoint state must be an object")
         .when(F.sha2(canonical_json("state"), 256) != F.col("state_hash"), "checkpoint state hash mismatch")
     )
     return out.withColumn("fault", fault).drop("_j", "_s", "_h")

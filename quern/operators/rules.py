@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import strip
+
 #: Comparison operators of a condition, in the order in which they are looked for.
 OPERATORS = ("==", "!=", "=~", "~=")
 
@@ -135,7 +137,7 @@ def first_match(text: Column, patterns: Sequence[tuple[str, str]] = DANGEROUS) -
 
 def is_safe(command: Column, safe: Sequence[str] = SAFE) -> Column:
     """A command without shell syntax that is a safe one or starts with it and a space."""
-    c = F.trim(command)
+    c = strip(command)
     plain = ~F.rlike(c, F.lit(r"[|;>`]|&&|\$\("))
     listed = c.isin(*safe) | F.rlike(c, F.lit("^(" + "|".join(map(re.escape, safe)).replace("\\ ", " ") + ") "))
     return F.coalesce((c != "") & plain & listed, F.lit(False))
@@ -196,7 +198,7 @@ def decide(mode: str, tool: Column, category: Column, content: Column, effect: C
 
 def subcommands(command: Column) -> Column:
     """Parts of a compound command; the command itself where it has none."""
-    parts = F.filter(F.transform(F.split(command, r"\s*(?:&&|\|\||[;|])\s*"), lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(command, r"\s*(?:&&|\|\||[;|])\s*"), lambda s: strip(s)), lambda s: s != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(command))
 
 

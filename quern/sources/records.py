@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,19 +37,46 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return listed.withColumn("path", F.when(absolute, F.col("path")).otherwise(F.concat("folder", F.lit("/"), "path"))).drop("folder")
 
 
-def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """path (relative to root), mtime and content of files below root."""
-    out = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return out.select(relative(F.col("path"), root).alias("path"), F.col("modificationTime").alias("mtime"), F.decode("content", F.lit("UTF-8")).alias("content"))
+def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """uri, path (relative to root) and mtime of files below root, by the file system's own listing: Spark's file
+    sources leave out empty files and names that start with an underscore, such as packages' __init__ files.
+
+    A listing is metadata of one project or folder, which the driver holds as the file sources' index does."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    rows, it = [], fs.listFiles(top, True)
+    while it.hasNext():
+        f = it.next()
+        uri, path = f.getPath().toString(), f.getPath().toUri().getPath().removeprefix(base)
+        if fnmatch.fnmatchcase(path.rsplit("/", 1)[-1], pattern) and not f.isSymlink():
+            rows.append((uri, path, f.getModificationTime()))
+    out = spark.createDataFrame(rows, "uri string, path string, ms long")
+    return out.select("uri", "path", F.timestamp_millis("ms").alias("mtime"))
+
 
+def _open(uri: str):
+    from pyarrow import fs
 
-def relative(path: Column, root: str) -> Column:
-    bare = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
-    return F.regexp_replace(path, "^(?:[a-z][a-z0-9+.-]*:(?://)?)?" + _quoted("/" + bare.lstrip("/")) + "/", "")
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + uri[5:].lstrip("/"))
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
+def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path (relative to root), mtime and content of files below root; tasks read what the driver listed."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = []
+            for uri in batch["uri"].to_pylist():
+                with _open(uri) as f:
+                    content.append(f.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch["path"], batch["mtime"], pa.array(content, pa.string())], ["path", "mtime", "content"])
 
-def _quoted(text: str) -> str:
-    return "".join("\\" + c if c in r"\.^$|()[]{}*+?-" else c for c in text)
+    return listing(spark, root, pattern).mapInArrow(read, "path string, mtime timestamp, content string")
 
 
 def python_files(spark: SparkSession, root: str, skipped: Sequence[str] = SKIPPED) -> DataFrame:
@@ -55,8 +84,7 @@ def python_files(spark: SparkSession, root: str, skipped: Sequence[str] = SKIPPE
     out = files(spark, root, "*.py")
     parts = F.split(F.col("path"), "/")
     out = out.where(~F.arrays_overlap(F.slice(parts, 1, F.size(parts)), F.array(*[F.lit(s) for s in skipped])))
-    marks = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "pyvenv.cfg").load(root)
-    homes = marks.select(F.regexp_replace(relative(F.col("path"), root), r"/?pyvenv\.cfg$", "").alias("home"))
+    homes = listing(spark, root, "pyvenv.cfg").select(F.regexp_replace("path", r"/?pyvenv\.cfg$", "").alias("home"))
     folders = out.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("home"))
     return out.join(folders.join(homes, "home").select("path").distinct(), "path", "left_anti").orderBy("path")
 
@@ -73,7 +101,7 @@ def session_records(spark: SparkSession, path: str) -> DataFrame:
     from quern.operators.events import read_lines
 
     g = lambda k: F.get_json_object("line", f"$.{k}")
-    rows = read_lines(spark, path).where(F.try_parse_json("line").isNotNull() & F.startswith(F.trim("line"), F.lit("{")))
+    rows = read_lines(spark, path).where(F.try_parse_json("line").isNotNull() & F.startswith(T.strip(F.col("line")), F.lit("{")))
     out = rows.select(F.regexp_replace("journal", r"\.jsonl$", "").alias("session"), "line_no", g("type").alias("type"), g("content").alias("content"), F.try_to_timestamp(g("timestamp")).alias("timestamp"), g("tool_use_id").alias("tool_use_id"), F.coalesce(g("is_error").try_cast("boolean"), F.lit(False)).alias("is_error"))
     return out.where("type is not null and timestamp is not null")
 
@@ -122,7 +150,7 @@ def rule_file(spark: SparkSession, path: str, tier: int) -> DataFrame:
     """Rules (tier, pos, tool, pattern, effect) of a YAML list of {rule, effect}; other entries drop out. Read as
     lines, so no YAML library is needed: each entry has a rule and an effect line."""
     raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"(?m)^\s*-\s+")).alias("pos", "e"))
-    value = lambda k: F.regexp_replace(F.trim(F.regexp_extract("e", rf"(?m)^\s*{k}:[ \t]*(.*)$", 1)), r"""^(["'])(.*)\1$""", "$2")
+    value = lambda k: F.regexp_replace(T.strip(F.regexp_extract("e", rf"(?m)^\s*{k}:[ \t]*(.*)$", 1)), r"""^(["'])(.*)\1$""", "$2")
     rows = raw.select("pos", value("rule").alias("rule"), value("effect").alias("effect"))
     rule = r"(?s)^(\w+)\((.*)\)$"
     return rows.where(F.col("effect").isin("allow", "deny", "ask") & F.rlike("rule", F.lit(rule))).select(F.lit(tier).alias("tier"), "pos", F.regexp_extract("rule", rule, 1).alias("tool"), F.regexp_extract("rule", rule, 2).alias("pattern"), "effect")
@@ -138,8 +166,8 @@ def commands(spark: SparkSession, root: str) -> DataFrame:
     frontmatter has none, is the first line that is no header."""
     rows = files(spark, root, "*.md")
     name = F.replace(F.lower(F.replace(F.regexp_replace("path", r"\.md$", ""), F.lit("/"), F.lit(":"))), F.lit(" "), F.lit("-"))
-    body = F.trim(F.regexp_replace("content", r"(?s)\A---[ \t]*\r?\n.*?\r?\n---[ \t]*(\r?\n|\z)", ""))
-    first = F.try_element_at(F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#"))), F.lit(1))
+    body = T.strip(F.regexp_replace("content", r"(?s)\A---[ \t]*\r?\n.*?\r?\n---[ \t]*(\r?\n|\z)", ""))
+    first = F.try_element_at(F.filter(F.transform(F.split(body, "\n"), lambda x: T.strip(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#"))), F.lit(1))
     described = F.coalesce(F.nullif(T.frontmatter(F.col("content"), ())["description"], F.lit("")), first, F.concat(F.lit("Custom command: "), name))
     return rows.select(name.alias("name"), described.alias("description"), body.alias("body"), "path")
 
