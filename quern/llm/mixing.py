@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 MAX_SOURCES = 1_000_000
-BUCKETS, SHARDS, BLOCK = 256, 64, 32
+BUCKETS, SHARDS, BLOCK = 4096, 64, 32
 
 
 def cycle_weight(rank: int) -> float:
@@ -108,7 +108,7 @@ def plan(sources: list[tuple[str | None, int]], block: int, ceiling: int, shards
     return rows
 
 
-PLAN = "source string, source_size long, target double, blocks long, per_shard long, quotas array<long>, steps array<long>, offsets array<long>"
+PLAN = "key string, source_size long, target double, blocks long, per_shard long, quotas array<long>, steps array<long>, offsets array<long>"
 
 
 def words(text: Column) -> Column:
@@ -119,21 +119,21 @@ def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, ceiling: int = 3, sh
     """doc_id, source, size, source_size, target and taken of each row, and `carry` where it is given."""
     spark = docs.sparkSession
     order = F.xxhash64(F.lit(seed), docs["doc_id"])
-    recs = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words(docs["text"]).alias("size"), order.alias("ord"), F.pmod(F.shiftright(order, 8), F.lit(buckets)).alias("bucket"), *([carry.alias("carry")] if carry is not None else []))
-    cells = recs.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    rows = [(r["source"], r["n"]) for r in cells.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).toLocalIterator()]
+    # a key that is never null: null-safe equality would have the rows, texts and all, dealt once more for each join
+    key = F.when(docs["source"].isNull(), F.lit("")).otherwise(F.concat(F.lit("="), docs["source"].cast("string")))
+    recs = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), key.alias("key"), words(docs["text"]).alias("size"), order.alias("ord"), F.pmod(F.shiftright(order, 8), F.lit(buckets)).alias("bucket"), *([carry.alias("carry")] if carry is not None else []))
+    cells = recs.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
+    rows = [(r["key"][1:] if r["key"] else None, r["n"]) for r in cells.groupBy("key").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).toLocalIterator()]
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    per_source = spark.createDataFrame(plan(rows, block, ceiling, shards, seed), PLAN)
+    per_source = spark.createDataFrame([("" if r[0] is None else "=" + r[0], *r[1:]) for r in plan(rows, block, ceiling, shards, seed)], PLAN)
     if len(rows) <= 10_000:  # then at most some 20 MB
         per_source = F.broadcast(per_source)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "bucket").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("key", "bucket").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = recs.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("at", F.col("base") + F.col("local")).drop("s", "b", "base", "local")
-    p = per_source.withColumnRenamed("source", "s")
-    joined = placed.join(p, F.col("source").eqNullSafe(F.col("s")))
+    joined = placed.join(starts, ["key", "bucket"]).withColumn("at", F.col("base") + F.col("local")).join(per_source, "key")
     begin, end = F.col("at"), F.col("at") + F.col("size")
 
     def taken_of(j: Column) -> Column:
