@@ -123,7 +123,9 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     if not kinds:
         return Model([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0)
     rng = np.random.default_rng(seed)
-    keys, n = grams(texts)
+    parts = [grams(texts[a : a + 200]) for a in range(0, len(texts), 200)]
+    keys, n = np.concatenate([k.astype(np.int32) for k, _ in parts]), np.concatenate([c for _, c in parts])
+    del parts
     starts = np.cumsum(n) - n
     y = np.array([kinds.index(x) for x in langs])
     turn = rng.permutation(len(texts))
@@ -150,7 +152,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             bias -= rate * p.sum(axis=0)
             # every n-gram of a text gets the same step: one weighted count per bucket and text
             owner = np.repeat(np.arange(len(rows)), sizes)
-            pairs, times = np.unique(owner * BUCKETS + at, return_counts=True)
+            pairs, times = np.unique(owner.astype(np.int64) * BUCKETS + at, return_counts=True)
             np.subtract.at(emb, pairs % BUCKETS, (rate * 10 * len(rows) * back[pairs // BUCKETS] * times[:, None]).astype(np.float32))
     table = emb @ out
     model = Model(kinds, table, bias.astype(np.float64), 0.0)
