@@ -73,23 +73,24 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     """(node, component) of an undirected graph given as edges (a, b): component is the smallest node
     reachable. Nodes without an edge to another node are left out; null ends are ignored.
 
-    Alternating large-star and small-star steps: each is one aggregation and one equi-join, so a hub's
-    edges stay spread over tasks, and the rounds grow with the logarithm of the graph's diameter.
-    Every round is written to the shared folder, so lineage stays short and lost executors cost no more
-    than the round at hand.
+    Alternating large-star and small-star steps: each is an aggregation, which combines before its shuffle, and
+    an equi-join with its written result, whose exchanges adaptive execution can split where a node is a hub.
+    The rounds grow with the logarithm of the graph's diameter. Every round is written to the shared folder,
+    so lineage stays short and lost executors cost no more than the round at hand.
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     last = None
     for _ in range(max_rounds):
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         step = staged(large, name)
-        low = step.groupBy("a").agg(F.min("b").alias("m"))
+        drop_staged(low)
+        low = staged(step.groupBy("a").agg(F.min("b").alias("m")), name)
         small = step.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         following = staged(small, name)
         now = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_staged(e, step)
+        drop_staged(e, step, low)
         e = following
         if now == last:
             return e.toDF("node", "component")

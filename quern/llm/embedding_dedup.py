@@ -152,7 +152,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     kinds = dict(coded.dtypes)
     coded = staged(coded.mapInArrow(_decode, ", ".join(f"{c} {kinds[c]}" for c in coded.columns) + ", filters array<int>"), "coded")
     posted = coded.select("rep", "label", "dim", F.explode("filters").alias("f"))
-    sizes = posted.groupBy("label", "dim", "f").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below can be split where a filter is hot
+    sizes = staged(posted.groupBy("label", "dim", "f").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     full = coded.withColumn("f", F.explode("filters")).join(sizes, ["label", "dim", "f"])
     cells = F.ceil(F.col("n") / CELL).cast("int")
     full = full.withColumn("g", F.pmod(F.xxhash64("rep"), cells).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))

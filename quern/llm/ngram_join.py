@@ -33,12 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, lists, runs, staged
 
-CELL, SLICE = 4096, 1 << 20
+CELL, MEET, SLICE = 4096, 16384, 1 << 20
 #: Rows (of 40 bytes) up to which the list of sets in groups is sent to all tasks; a longer one is joined by shuffles.
 SENT = 200_000
 _U = np.uint64
@@ -323,30 +323,33 @@ def _texts(column: pa.Array, step: int = 4 << 20) -> Iterator[tuple[int, list[st
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of whole parts, many parts at a time: starts of the parts, sketches, sizes and names."""
+    """Rows of whole cells of parts, many at a time: starts of the cells, sketches, sizes and names. Rows are
+    sorted, so a batch's last cell may go on in the next; it alone is held."""
+    names = ("part", "ci", "cj")
     held: list[pa.RecordBatch] = []
 
-    def made(rows: pa.Table) -> tuple:
-        part = rows["part"].to_numpy()
-        at = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]).tolist()
+    def borders(rows) -> np.ndarray:
+        keys = [rows[c].to_numpy() for c in names]
+        return np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+
+    def made(parts: list[pa.RecordBatch]) -> tuple:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        at = np.concatenate([[0], borders(rows), [len(rows)]]).tolist()
         return at, rows["sketch"].to_pylist(), rows["n"].to_numpy().astype(np.int64), rows["h1"].to_numpy()
 
     for batch in batches:
         if not len(batch):
             continue
-        part = batch["part"].to_numpy()
-        cut = int(np.searchsorted(part, part[-1]))  # rows are sorted by part; the last one may go on
-        if held and cut:
-            yield made(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
-            held = []
-        elif cut:
-            yield made(pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks())
-        elif held and held[-1]["part"][0].as_py() != part[0]:
-            yield made(pa.Table.from_batches(held).combine_chunks())
+        if held and any(held[-1][c][0].as_py() != batch[c][0].as_py() for c in names):
+            yield made(held)
             held = []
-        held.append(batch.slice(cut))
+        if len(found := borders(batch)):
+            yield made([*held, batch.slice(0, int(found[-1]))])
+            held = [batch.slice(int(found[-1]))]
+        else:
+            held.append(batch)
     if held:
-        yield made(pa.Table.from_batches(held).combine_chunks())
+        yield made(held)
 
 
 def identified(docs: DataFrame, k: int) -> DataFrame:
@@ -395,6 +398,16 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "rep long, block long, n long, elements array<long>")
 
 
+def in_cells(df: DataFrame, held: Column, most: int, by: str) -> DataFrame:
+    """Rows with ci and cj: a group of `held` rows over `most` is dealt into subgroups, and every row goes to the
+    cells of its subgroup with each other one, so any two rows meet in a cell of about 2 x most rows."""
+    groups = F.ceil(held / most).cast("int")
+    own = F.pmod(F.xxhash64(by), groups).cast("int")
+    others = F.when(groups == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), groups - 1), lambda x: x != own))
+    out = df.withColumn("own", own).withColumn("other", F.explode(others))
+    return out.withColumn("ci", F.least("own", "other")).withColumn("cj", F.greatest("own", "other"))
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     rows = staged(identified(docs, k), "sets")
@@ -405,7 +418,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     met = _parts(docs, k, num, den).select("part", "h1", F.min("h1").over(part).alias("low"), F.max("h1").over(part).alias("high"))
     met = staged(met.where("low <> high").select("part", "h1").distinct(), "met")
     named = classes.groupBy("h1").agg(F.min(F.struct(F.col("n_shingles").cast("int").alias("n"), "sketch")).alias("s"))
-    dealt = met.join(named, "h1").select("part", "h1", "s.n", "s.sketch").repartition("part").sortWithinPartitions("part", "h1")
+    full = staged(met.groupBy("part").agg(F.count("*").alias("held")).where(F.col("held") > MEET), "full")
+    dealt = met.join(named, "h1").select("part", "h1", "s.n", "s.sketch").join(full, "part", "left") if full.count() else met.join(named, "h1").select("part", "h1", "s.n", "s.sketch", F.lit(1).alias("held"))
+    dealt = in_cells(dealt, F.coalesce("held", F.lit(1)), MEET, "h1").select("part", "ci", "cj", "h1", "n", "sketch").repartition("part", "ci", "cj").sortWithinPartitions("part", "ci", "cj", "h1")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, sketches, n, h1 in packed(batches):
@@ -429,11 +444,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
         active = F.broadcast(active)
     texts = docs.selectExpr("cast(doc_id as long) as rep", "text").join(active, "rep").select("rep", "h1", "h2", "block", "n", "text")
     dealt = _sets(texts, k)
-    groups = F.ceil(F.col("n") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("rep"), groups).cast("int")
-    others = F.when(groups == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), groups - 1), lambda x: x != own))
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
-    dealt = dealt.select("block", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), "rep", "elements")
+    dealt = in_cells(dealt, F.col("n"), CELL, "rep").select("block", "ci", "cj", "rep", "elements")
     order = ["block", "ci", "cj"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

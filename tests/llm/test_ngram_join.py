@@ -66,6 +66,7 @@ def test_against_brute_force(spark, k, num, den):
 def test_groups_dealt_into_subgroups(spark, monkeypatch):
     monkeypatch.setattr(N, "CELL", 7)
     monkeypatch.setattr(N, "SENT", 0)
+    monkeypatch.setattr(N, "MEET", 5)
     rows = near_copies(8, 300)
     assert got(made(spark, rows), 3, 80, 100) == brute(rows, 3, 80, 100)
 
