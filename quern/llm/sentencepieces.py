@@ -32,7 +32,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
 class MergeEncoder:
-    KEPT, PAIRS = 400_000, 200_000
+    KEPT, PAIRS = 500_000, 600_000
 
     def __init__(self, path: str):
         import ahocorasick
@@ -72,7 +72,7 @@ class MergeEncoder:
             self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in self.reached), None)
             self.auto.add_word(p, len(p))
         self.auto.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -98,11 +98,14 @@ class MergeEncoder:
         return [p for p in parts if p]
 
     def fits(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
+        i, j = self.id.get(a), self.id.get(b)
+        if i is None or j is None:  # a character without a piece
+            return self.merged(a + b) == [a, b]
+        got = self.pairs.get(i << 32 | j)
         if got is None:
             if len(self.pairs) > self.PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            got = self.pairs[i << 32 | j] = self.merged(a + b) == [a, b]
         return got
 
     def backtracked(self, text: str) -> list[str]:
