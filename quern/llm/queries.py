@@ -63,4 +63,21 @@ def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_source_mix, op4_substring_dedup, op5_embedding_dedup, op6_sharding, op7_media, op8_language_id, op9_sentencepieces, op10_quality)}
-ORACLES: dict[str, str] = {}
+#: SQL for the operators that it can express at a bearable cost on whole tables; the others decide by trained models,
+#: tokenizer files, file formats or 64-bit hashes, and are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op2_ngram_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(words) >= 3 THEN list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w),
+        t AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS o FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p WHERE 100 * o >= 90 * (total - o)),
+        r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a)
+        SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, (SELECT min(reached) FROM r WHERE node = doc_id) AS component_id FROM s""",
+    "op5_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        r AS (SELECT vec_id AS node, vec_id AS reached FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a),
+        c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY 1)
+        SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON node = vec_id""",
+}
