@@ -135,3 +135,26 @@ def suffixed(df: DataFrame, name: str, order: Names) -> DataFrame:
     """unique_name: the name, then name-2, name-3 … in order."""
     k = F.row_number().over(Window.partitionBy(name).orderBy(*order))
     return df.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), k.cast("string"))))
+
+
+def chosen(memories: DataFrame, names: DataFrame, surfaced: DataFrame) -> DataFrame:
+    """Memories that a selection names, by path or by file name, once each and without those shown before."""
+    want = names.select(F.col("name").alias("_w")).distinct()
+    last = F.regexp_extract("filename", r"([^/]+)$", 1)
+    hit = memories.join(want, (F.col("filename") == F.col("_w")) | (last == F.col("_w")), "left_semi")
+    return hit.join(surfaced, "filename", "left_anti")
+
+
+def team_of(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """Team of each asked agent id. members: team, member_ids."""
+    return asked.join(members.select("team", F.explode("member_ids").alias("agent_id")), "agent_id", "left")
+
+
+def models_first(files: DataFrame, model_files: DataFrame, path: str = "path") -> DataFrame:
+    """Files in order: those with models, then the others, by path."""
+    m = model_files.select(F.col(path).alias("_m")).distinct()
+    return files.join(m, F.col(path) == F.col("_m"), "left").orderBy(F.col("_m").isNull(), path).drop("_m")
+
+
+def sorted_union(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_union(a, b))

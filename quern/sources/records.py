@@ -208,3 +208,11 @@ def servers(raw: str) -> list[dict]:
         if bool(s.get("command")) == bool(s.get("url")):
             raise ValueError(f"server {i} needs a command or a url, not both")
     return found
+
+
+def glob(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Files below root whose relative path the shell pattern matches (** also over folders), newest first."""
+    from quern.operators.rules import glob_regex
+
+    found = listing(spark, root, "*").where(F.rlike("path", F.lit(glob_regex(pattern.replace("**/", "*")))))
+    return found.select("path", "mtime").orderBy(F.desc("mtime"), "path")

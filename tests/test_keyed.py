@@ -57,3 +57,14 @@ def test_files(spark):
     reads = spark.createDataFrame([("a", 5), ("b", 1)], "path string, mtime long")
     assert {r["path"]: r["state"] for r in K.stale_reads(reads, files, "path", "mtime").collect()} == {"a": "fresh", "b": "modified", "c": "unread"}
     assert {r["path"] for r in K.needs_reload(reads, files, "path", "mtime").collect()} == {"b", "c"}
+
+
+def test_selections(spark):
+    mem = spark.createDataFrame([("a/x.md",), ("y.md",), ("z.md",)], "filename string")
+    names = spark.createDataFrame([("x.md",), ("y.md",), ("gone.md",), ("y.md",)], "name string")
+    assert {r["filename"] for r in K.chosen(mem, names, spark.createDataFrame([("y.md",)], "filename string")).collect()} == {"a/x.md"}
+    teams = spark.createDataFrame([("t", ["1", "2"])], "team string, member_ids array<string>")
+    assert {(r["agent_id"], r["team"]) for r in K.team_of(teams, spark.createDataFrame([("2",), ("9",)], "agent_id string")).collect()} == {("2", "t"), ("9", None)}
+    files = spark.createDataFrame([("c",), ("a",), ("b",)], "path string")
+    assert [r["path"] for r in K.models_first(files, files.where("path = 'b'")).collect()] == ["b", "a", "c"]
+    assert spark.range(1).select(K.sorted_union(F.array(F.lit("b")), F.array(F.lit("a"), F.lit("b"))).alias("x")).collect()[0]["x"] == ["a", "b"]

@@ -94,3 +94,12 @@ def test_mail_and_hooks(spark):
 def test_compound_commands(spark):
     df = spark.createDataFrame([("a && b | c; d || e",), ("ls",), ("  ",)], "c string")
     assert [r["s"] for r in df.select(P.subcommands(F.col("c")).alias("s")).collect()] == [["a", "b", "c", "d", "e"], ["ls"], ["  "]]
+
+
+def test_small_filters(spark):
+    cmds = spark.createDataFrame([("help", ["h"]), ("history", []), ("run", ["here"])], "name string, aliases array<string>")
+    assert [r["name"] for r in P.completions(cmds, "he").collect()] == ["help", "run"]
+    t = spark.createDataFrame([("agent-1", 5), ("agent-2", 50), ("main", 5)], "name string, at int")
+    assert [r["name"] for r in P.stale_names(t, "name", "at", [r"^agent-\d+$"], F.lit(10)).collect()] == ["agent-1"]
+    assert P.coordinator_tools(cmds, True, ["run"]).count() == 1 and P.coordinator_tools(cmds, False, []).count() == 3
+    assert [r["s"] for r in spark.createDataFrame([(True, True, 1), (False, True, 0), (False, False, 2), (False, False, 0)], "a boolean, b boolean, c int").select(P.run_status(F.col("a"), F.col("b"), F.col("c")).alias("s")).collect()] == ["dry-run", "validation-failed", "needs-review", "completed"]

@@ -165,3 +165,23 @@ def test_registry(spark):
     assert records.servers('[{"name":"a","url":"u"}]')
     with pytest.raises(ValueError):
         records.servers('[{"name":"a","url":"u","command":"c"}]')
+
+
+def test_more_files(spark, tmp_path):
+    for i, name in enumerate(("a.py", "d/b.py", "d/_c.py", "e.txt")):
+        (tmp_path / "g" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "g" / name).write_text("x")
+        os.utime(tmp_path / "g" / name, (1000 + i, 1000 + i))
+    assert [r["path"] for r in records.glob(spark, str(tmp_path / "g"), "**/*.py").collect()] == ["d/_c.py", "d/b.py", "a.py"]
+    (tmp_path / "meta").mkdir()
+    for k in (1, 2):
+        (tmp_path / f"meta/{k}.json").write_text(json.dumps({"id": str(k), "title": "t", "last_active": f"2024-01-0{k}T00:00:00Z"}))
+    assert [r["id"] for r in records.session_metas(spark, str(tmp_path / "meta")).collect()] == ["2", "1"]
+    for scope in ("u", "p"):
+        (tmp_path / scope / "sub").mkdir(parents=True)
+        for name in ("b.md", "a.md", "MEMORY.md", "sub/c.md"):
+            (tmp_path / scope / name).write_text("m")
+    assert [(r["scope"], r["path"]) for r in records.memory_folders(spark, str(tmp_path / "u"), str(tmp_path / "p")).collect()] == [("user", "a.md"), ("user", "b.md"), ("project", "a.md"), ("project", "b.md")]
+    turns = spark.createDataFrame([("user", "hi", None, None)], schemas.TURN)
+    sinks.append_records(turns, str(tmp_path / "tr"))
+    assert records.transcript(spark, str(tmp_path / "tr")).collect()[0]["content"] == "hi"
