@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 Names = Sequence[str]
 
 
+def _kept(df: DataFrame, keys: Names, order: Sequence, pick) -> DataFrame:
+    """One row per key: an aggregate that combines before its shuffle, which a window would not, of all columns
+    but the keys, which are not carried twice."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest]) if rest else F.struct(F.lit(1).alias("_one"))
+    out = df.groupBy(*keys).agg(pick(row, F.struct(*order)).alias("_row"))
+    return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+
+
 def keep_first(df: DataFrame, keys: Names, order: Sequence) -> DataFrame:
-    """The first row of each key: min over (order, row) aggregates before the shuffle, a window would not."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, F.struct(*order)).alias("_row"))
-    return first.select("_row.*")
+    """The first row of each key."""
+    return _kept(df, keys, order, F.min_by)
 
 
 def keep_last(df: DataFrame, keys: Names, order: Sequence) -> DataFrame:
-    row = F.struct(*[F.col(c) for c in df.columns])
-    last = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, F.struct(*order)).alias("_row"))
-    return last.select("_row.*")
+    """The last row of each key."""
+    return _kept(df, keys, order, F.max_by)
 
 
 def precedence(layers: Sequence[DataFrame], keys: Names, order: Names) -> DataFrame:
@@ -32,9 +38,9 @@ def precedence(layers: Sequence[DataFrame], keys: Names, order: Names) -> DataFr
 
 def last_wins(df: DataFrame, keys: Names, rank: str, place: str) -> DataFrame:
     """The row of the highest rank per key, at the first place that the key ever had (first_place)."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    out = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, F.struct(rank, place)).alias("_row"), F.min(place).alias("first_place"))
-    return out.select("_row.*", "first_place")
+    rest = [c for c in df.columns if c not in keys]
+    out = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(rank, place)).alias("_row"), F.min(place).alias("first_place"))
+    return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns], "first_place")
 
 
 def duplicate_keys(df: DataFrame, keys: Names) -> DataFrame:
