@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, media, mixing, ngram_join, quality, sentencepieces, sharding, substring_dedup, token_files
+from . import common, embedding_dedup, language_id, media, mixing, ngram_join, quality, sentencepieces, sharding, substring_dedup, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -39,7 +39,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return sharding.shard(docs, 16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
+    folder = common.new_dir(spark, "slot-map")
+    version = sharding.store_map(sharding.build_map(sharding.slot_loads(sharding.records(docs)), 16), folder)
+    placed = sharding.shard(docs, 16, slot_map=sharding.load_map(spark, folder, version))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ result; repeated rows each get their own place; other columns, whatever their na
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOTS = 4096
@@ -86,6 +86,21 @@ def rebalance(slot_map: DataFrame, shards: int) -> DataFrame:
     return _with_first(rows, 0).drop("version").crossJoin(F.broadcast(version)).select("version", "vslot", "shard", "bytes", "n", "first")
 
 
+def store_map(slot_map: DataFrame, folder: str) -> int:
+    """Writes a map as its version's table in the folder; a version is never overwritten. Its number."""
+    version = slot_map.agg(F.max("version")).first()[0] or 0
+    slot_map.drop("version").coalesce(1).write.mode("error").parquet(f"{folder}/version={version}")
+    return version
+
+
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A stored version of the map, the latest where none is named."""
+    maps = spark.read.schema("vslot int, shard int, bytes long, n long, first long, version int").parquet(folder)
+    if version is None:
+        version = maps.agg(F.max("version")).first()[0]
+    return maps.where(F.col("version") == version)
+
+
 def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
     """doc_id, size, text_crc32, vslot, shard and slot (place in the shard, without gaps, from 0) of each row.
 

@@ -42,3 +42,14 @@ def test_empty_table_and_no_python(empty, awkward):
     assert S.shard(empty, 4).collect() == []
     plan = S.shard(awkward, 4)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_stored_versions(spark, tmp_path, empty):
+    docs = spark.createDataFrame([(i, "w" * (1 + i * 37 % 900)) for i in range(500)], "doc_id long, text string")
+    first = S.build_map(S.slot_loads(S.records(docs)), 4)
+    assert S.store_map(first, str(tmp_path)) == 1 and S.store_map(S.rebalance(S.load_map(spark, str(tmp_path)), 5), str(tmp_path)) == 2
+    one, two = (S.load_map(spark, str(tmp_path), v) for v in (1, None))
+    assert {r["shard"] for r in one.collect()} == set(range(4)) and {r["shard"] for r in two.collect()} == set(range(5))
+    assert {tuple(r) for r in S.shard(docs, 4, slot_map=one).collect()} == {tuple(r) for r in S.shard(docs, 4).collect()}
+    S.store_map(S.build_map(S.slot_loads(S.records(empty)), 4), str(tmp_path / "none"))
+    assert S.shard(empty, 4, slot_map=S.load_map(spark, str(tmp_path / "none"), 0)).collect() == []
