@@ -98,7 +98,7 @@ def plan(sources: list[tuple[str | None, int]], block: int, ceiling: int, shards
     sizes = [n for _, n in sources]
     goal = targets(sizes, [weight(i) for i in range(len(sources))], ceiling)
     blocks = [-(-n // block) for n in sizes]
-    seats = apportion(goal, round(sum(goal) / block), [ceiling * b for b in blocks])
+    seats = apportion(goal, (sum(sizes) + block // 2) // block, [ceiling * b for b in blocks])
     rows = []
     for at, ((name, size), t, b, q) in enumerate(zip(sources, goal, blocks, seats)):
         per = max(1, -(-b // shards))
@@ -118,10 +118,10 @@ def words(text: Column) -> Column:
 def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, ceiling: int = 3, shards: int = SHARDS, buckets: int = BUCKETS, carry: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of each row, and `carry` where it is given."""
     spark = docs.sparkSession
-    order = F.xxhash64(F.lit(seed), docs["doc_id"])
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))))
     # a key that is never null: null-safe equality would have the rows, texts and all, dealt once more for each join
     key = F.when(docs["source"].isNull(), F.lit("")).otherwise(F.concat(F.lit("="), docs["source"].cast("string")))
-    recs = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), key.alias("key"), words(docs["text"]).alias("size"), order.alias("ord"), F.pmod(F.shiftright(order, 8), F.lit(buckets)).alias("bucket"), *([carry.alias("carry")] if carry is not None else []))
+    recs = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), key.alias("key"), words(docs["text"]).alias("size"), order.alias("ord"), F.floor(F.conv(F.substring(order, 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).alias("bucket"), *([carry.alias("carry")] if carry is not None else []))
     cells = recs.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
     rows = [(r["key"][1:] if r["key"] else None, r["n"]) for r in cells.groupBy("key").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).toLocalIterator()]
     if len(rows) > MAX_SOURCES:

@@ -77,6 +77,24 @@ ORACLES: dict[str, str] = {
         e AS (SELECT a, b FROM p WHERE 100 * o >= 90 * (total - o)),
         r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a)
         SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, (SELECT min(reached) FROM r WHERE node = doc_id) AS component_id FROM s""",
+    "op3_source_mix": """
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+        w AS (SELECT *, (place % 3 + 1)::DOUBLE AS weight, (SELECT sum(total) FROM s)::DOUBLE AS whole FROM s),
+        c AS (SELECT *, whole - coalesce(sum(3.0::DOUBLE * total) OVER f, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS free FROM w WINDOW f AS (ORDER BY 3.0::DOUBLE * total / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT rest, free FROM c WHERE rest * weight / free <= 3.0::DOUBLE * total ORDER BY 3.0::DOUBLE * total / weight, place LIMIT 1),
+        t AS (SELECT w.*, CASE WHEN l.rest * weight / l.free > 3.0::DOUBLE * total THEN 3.0::DOUBLE * total ELSE l.rest * weight / l.free END AS target, (total + 31) // 32 AS blocks FROM w, l),
+        q AS (SELECT place, k FROM t, unnest(range(0, 3 * blocks)) u(k) ORDER BY target / (2 * k + 1) DESC, place, k LIMIT (SELECT CAST(sum(total) + 16 AS BIGINT) // 32 FROM s)),
+        g AS (SELECT t.*, coalesce((SELECT count(*) FROM q WHERE q.place = t.place), 0) AS seats, greatest(1, (blocks + 63) // 64) AS per FROM t),
+        r AS (SELECT place, seats, shard, least(per, blocks - shard * per) AS n FROM g, unnest(range(0, (blocks + per - 1) // per)) u(shard)),
+        h AS (SELECT place, shard, row_number() OVER (PARTITION BY place ORDER BY n::DOUBLE / (2 * k + 1) DESC, shard, k) AS nth, seats FROM r, unnest(range(0, 3 * n)) u(k)),
+        o AS (SELECT r.place, r.shard, r.n, coalesce(m.quota, 0) AS quota, list_filter(range(greatest(1, CAST(round(n * 0.6180339887) AS BIGINT)), 2 * n + 2), lambda a: gcd(a, n) = 1)[1] AS step, (7919 + r.place * 104729 + r.shard * 1299709) % n AS shift
+            FROM r LEFT JOIN (SELECT place, shard, count(*) AS quota FROM h WHERE nth <= seats GROUP BY 1, 2) m USING (place, shard)),
+        b AS (SELECT place, shard, i, quota // n + CASE WHEN (step * i + shift) % n < quota % n THEN 1 ELSE 0 END AS times FROM o, unnest(range(0, n)) u(i)),
+        p AS (SELECT d.*, g.place, g.per, g.total, g.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+        x AS (SELECT doc_id, size, total, target, place, per, a, unnest(range(CAST(a // 32 AS BIGINT), CAST((a + size - 1) // 32 AS BIGINT) + 1)) AS j FROM p WHERE size > 0),
+        y AS (SELECT x.doc_id, CAST(sum(times * (least(a + size, (j + 1) * 32) - greatest(a, j * 32))) AS BIGINT) AS taken FROM x JOIN b ON b.place = x.place AND b.shard = x.j // x.per AND b.i = x.j - (x.j // x.per) * x.per GROUP BY 1)
+        SELECT p.doc_id, p.size, p.total AS source_size, p.target, coalesce(y.taken, 0) AS taken FROM p LEFT JOIN y USING (doc_id)""",
     "op5_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
