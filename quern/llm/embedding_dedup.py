@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, lists, runs, staged
+from .common import connected_components, drop_staged, lists, runs, staged
 
 ROTATIONS, BLOCKS, CODES, HEIGHT, LEAST, CELL = 3, 4, 12, 3.6, 12, 1024
 
@@ -165,5 +165,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors")
     named = classes.select(*key, "times", "rep").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
     named = staged(named.select(*key, (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
+    drop_staged(classes, coded, sizes, found, roots)
     out = rows.join(named, key, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

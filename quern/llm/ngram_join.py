@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, lists, runs, staged
+from .common import connected_components, drop_staged, lists, runs, staged
 
 CELL, MEET, SLICE = 4096, 16384, 1 << 20
 #: Rows (of 40 bytes) up to which the list of sets in groups is sent to all tasks; a longer one is joined by shuffles.
@@ -440,6 +440,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     active = classes.join(blocks, "h1").select("rep", "h1", "h2", "block")
     sizes = active.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
     active = staged(active.join(sizes, "block"), "active")
+    done = [met, full, active, classes]
     if active.count() <= SENT:  # then the texts needn't be dealt anew
         active = F.broadcast(active)
     texts = docs.selectExpr("cast(doc_id as long) as rep", "text").join(active, "rep").select("rep", "h1", "h2", "block", "n", "text")
@@ -462,5 +463,6 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     found = connected_components(links, "links")
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(*name, F.coalesce("component", "rep").alias("component_id"))
     named = staged(named, "named")
+    drop_staged(*done, found)
     out = rows.drop("sketch").join(named, name, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

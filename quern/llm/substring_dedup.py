@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_staged, staged
 
 WORDS, SPAN = 24, 10
 _SPACE = np.zeros(256, bool)
@@ -135,7 +135,9 @@ def spans(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kept_in", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(out, kind)], ["doc_id", "h", "spans"])
 
-    return each.mapInArrow(run, "doc_id long, h long, spans array<struct<start: int, stop: int, kept_in: array<long>>>")
+    out = staged(each.mapInArrow(run, "doc_id long, h long, spans array<struct<start: int, stop: int, kept_in: array<long>>>"), "spans")
+    drop_staged(found, repeats)
+    return out
 
 
 def duplicates(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
