@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import frugal
+
 NGRAMS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 16
 PER_LANG, EXCERPT, MAX_LANGS = 1500, 1200, 500
 EPOCHS, BATCH, RATE = 8, 32, 0.5
@@ -212,4 +214,4 @@ def predicted(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + made, [*keep, "lang_pred", "score", "rejected"])
 
     schema = rows.select(*[f"`{c}`" for c in keep]).schema
-    return rows.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL("lang_pred string, score double, rejected boolean").fields]))
+    return rows.mapInArrow(frugal(run), StructType([*schema.fields, *StructType.fromDDL("lang_pred string, score double, rejected boolean").fields]))

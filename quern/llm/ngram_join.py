@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_staged, lists, runs, staged
+from .common import connected_components, drop_staged, frugal, lists, runs, staged
 
 CELL, MEET, SLICE = 4096, 16384, 1 << 20
 #: Rows (of 40 bytes) up to which the list of sets in groups is sent to all tasks; a longer one is joined by shuffles.
@@ -362,7 +362,7 @@ def identified(docs: DataFrame, k: int) -> DataFrame:
                 names = [identity(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
 def _parts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -377,7 +377,7 @@ def _parts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array([identity(s)[0] for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["h1", "parts"])
 
-    return docs.select("text").mapInArrow(run, "h1 long, parts array<long>").select("h1", F.explode("parts").alias("part"))
+    return docs.select("text").mapInArrow(frugal(run), "h1 long, parts array<long>").select("h1", F.explode("parts").alias("part"))
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -395,7 +395,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                     take = pa.array([a + i for i in on])
                     yield pa.RecordBatch.from_arrays([batch["rep"].take(take), batch["block"].take(take), batch["n"].take(take), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["rep", "block", "n", "elements"])
 
-    return texts.mapInArrow(run, "rep long, block long, n long, elements array<long>")
+    return texts.mapInArrow(frugal(run), "rep long, block long, n long, elements array<long>")
 
 
 def in_cells(df: DataFrame, held: Column, most: int, by: str) -> DataFrame:
@@ -434,7 +434,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    edges = dealt.mapInArrow(compare, "a long, b long")
+    edges = dealt.mapInArrow(frugal(compare), "a long, b long")
     blocks = connected_components(edges, "blocks").select(F.col("node").alias("h1"), F.col("component").alias("block"))
     blocks = blocks.union(blocks.select(F.col("block").alias("h1"), "block").distinct())
     active = classes.join(blocks, "h1").select("rep", "h1", "h2", "block")
@@ -459,7 +459,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
             if on.any():
                 yield pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[root[on]])], ["a", "b"])
 
-    links = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    links = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(frugal(run), "a long, b long")
     found = connected_components(links, "links")
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(*name, F.coalesce("component", "rep").alias("component_id"))
     named = staged(named, "named")

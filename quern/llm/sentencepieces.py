@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import frugal
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
@@ -188,7 +190,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
                 b.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
@@ -202,7 +204,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(frugal(run), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
@@ -213,4 +215,4 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": pa.array([enc.library.decode(x.as_py()) for x in batch["ids"]], pa.string())})
 
-    return rows.selectExpr("cast(doc_id as long) as doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.selectExpr("cast(doc_id as long) as doc_id", "ids").mapInArrow(frugal(run), "doc_id long, text string")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, frugal, staged
 
 WORDS, SPAN = 24, 10
 _SPACE = np.zeros(256, bool)
@@ -99,7 +99,7 @@ def _runs(docs: DataFrame, words: int, span: int) -> DataFrame:
         take = pa.array(row)
         return pa.RecordBatch.from_arrays([pa.array(flat[:, 2].astype(np.uint64).view(np.int64)), batch["doc_id"].take(take), batch["h"].take(take), pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1].astype(np.int32))], ["digest", "doc_id", "h", "start", "stop"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text").mapInArrow(run, "digest long, doc_id long, h long, start int, stop int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text").mapInArrow(frugal(run), "digest long, doc_id long, h long, start int, stop int")
 
 
 def text_hash():
@@ -135,7 +135,7 @@ def spans(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kept_in", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(out, kind)], ["doc_id", "h", "spans"])
 
-    out = staged(each.mapInArrow(run, "doc_id long, h long, spans array<struct<start: int, stop: int, kept_in: array<long>>>"), "spans")
+    out = staged(each.mapInArrow(frugal(run), "doc_id long, h long, spans array<struct<start: int, stop: int, kept_in: array<long>>>"), "spans")
     drop_staged(found, repeats)
     return out
 
