@@ -77,7 +77,7 @@ class Model:
         sums = np.add.reduceat(self.table[keys], starts, axis=0).astype(np.float64) if len(keys) else np.zeros((0, len(self.langs)))
         return softmax(sums / np.maximum(n, 1)[:, None] + self.bias)
 
-    def predict(self, texts: list[str | None], batch_chars: int = 500_000) -> list[tuple[str, float, bool]]:
+    def predict(self, texts: list[str | None], batch_chars: int = 250_000) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text; at most about batch_chars characters are held as n-grams,
         a longer text is cut into parts whose logits are added up."""
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
@@ -209,7 +209,8 @@ def predicted(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = given.value.predict(batch["text"].to_pylist())
+            texts = batch["text"]
+            got = [g for a in range(0, len(texts), 256) for g in given.value.predict(texts.slice(a, 256).to_pylist())]
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + made, [*keep, "lang_pred", "score", "rejected"])
 
