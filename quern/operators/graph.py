@@ -14,49 +14,53 @@ def ancestors(path: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/")), lambda p: p != path)
 
 
-def conflicts(calls: DataFrame) -> DataFrame:
+def conflicts(calls: DataFrame, turn: str | None = None) -> DataFrame:
     """(earlier, later) pairs of calls that conflict. calls: seq, reads, writes (arrays of path, recursive),
-    exclusive, as access() gives them.
+    exclusive, as access() gives them. Where a column names the turn, only calls of one turn meet, and it leads.
 
     Only equi-joins meet resources: a path with itself, and a recursive one with the ancestors that every
-    path lists. Exclusive calls conflict with all; each is joined by a range."""
-    refs = calls.select("seq", F.explode("reads").alias("r"), F.lit(False).alias("w")).unionByName(calls.select("seq", F.explode("writes").alias("r"), F.lit(True).alias("w")))
-    refs = refs.select("seq", "r.path", "r.recursive", "w").distinct()
-    at = refs.select("seq", "w", F.col("path").alias("key"), F.lit("self").alias("by")).unionByName(refs.select("seq", "w", F.explode(ancestors(F.col("path"))).alias("key"), F.lit("up").alias("by")))
-    tops = refs.where("recursive").select("seq", "w", F.col("path").alias("key"), F.lit("tree").alias("by"))
+    path lists. Exclusive calls conflict with all; each is joined by a range (of its turn)."""
+    on = [turn] if turn else []
+    refs = calls.select(*on, "seq", F.explode("reads").alias("r"), F.lit(False).alias("w")).unionByName(calls.select(*on, "seq", F.explode("writes").alias("r"), F.lit(True).alias("w")))
+    refs = refs.select(*on, "seq", "r.path", "r.recursive", "w").distinct()
+    at = refs.select(*on, "seq", "w", F.col("path").alias("key"), F.lit("self").alias("by")).unionByName(refs.select(*on, "seq", "w", F.explode(ancestors(F.col("path"))).alias("key"), F.lit("up").alias("by")))
+    tops = refs.where("recursive").select(*on, "seq", "w", F.col("path").alias("key"), F.lit("tree").alias("by"))
     both = at.where("by = 'self'")
-    pair = lambda a, b: a.select(F.col("seq").alias("x"), F.col("w").alias("wx"), "key").join(b.select(F.col("seq").alias("y"), F.col("w").alias("wy"), "key"), "key").where("x <> y and (wx or wy)")
+    pair = lambda a, b: a.select(*on, F.col("seq").alias("x"), F.col("w").alias("wx"), "key").join(b.select(*on, F.col("seq").alias("y"), F.col("w").alias("wy"), "key"), [*on, "key"]).where("x <> y and (wx or wy)")
     met = pair(both, both).unionByName(pair(tops, at.where("by = 'up'")))
-    met = met.select(F.least("x", "y").alias("earlier"), F.greatest("x", "y").alias("later"))
-    alone = calls.where("exclusive").select(F.col("seq").alias("x"))
-    every = calls.select(F.col("seq").alias("y"))
-    before = alone.join(every, F.col("y") < F.col("x")).select(F.col("y").alias("earlier"), F.col("x").alias("later"))
-    after = alone.join(every, F.col("y") > F.col("x")).select(F.col("x").alias("earlier"), F.col("y").alias("later"))
+    met = met.select(*on, F.least("x", "y").alias("earlier"), F.greatest("x", "y").alias("later"))
+    alone = calls.where("exclusive").select(*on, F.col("seq").alias("x"))
+    every = calls.select(*on, F.col("seq").alias("y"))
+    ranged = alone.join(every, on or None)
+    before = ranged.where("y < x").select(*on, F.col("y").alias("earlier"), F.col("x").alias("later"))
+    after = ranged.where("y > x").select(*on, F.col("x").alias("earlier"), F.col("y").alias("later"))
     return met.unionByName(before).unionByName(after).distinct()
 
 
-def closure(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """All (from, to) with a path, by doubling: rounds grow with the logarithm of the longest path. Cycles end."""
+def closure(edges: DataFrame, a: str, b: str, within: str | None = None) -> DataFrame:
+    """All (from, to) with a path, by doubling: rounds grow with the logarithm of the longest path. Cycles end.
+    Where a column is given, paths stay within one value of it, and it leads."""
     from quern.operators.staging import staged
 
-    reach = staged(edges.select(F.col(a).alias("f"), F.col(b).alias("t")).where("f <> t").distinct())
+    on = [within] if within else []
+    reach = staged(edges.select(*on, F.col(a).alias("f"), F.col(b).alias("t")).where("f <> t").distinct())
     n = reach.count()
     for _ in range(MAX_ROUNDS):
-        hop = reach.alias("x").join(reach.alias("y"), F.col("x.t") == F.col("y.f")).select("x.f", "y.t").where("f <> t")
+        hop = reach.withColumnRenamed("t", "_m").join(reach.withColumnRenamed("f", "_m"), [*on, "_m"]).select(*on, "f", "t").where("f <> t")
         reach = staged(reach.union(hop).distinct())
         n, was = reach.count(), n
         if n == was:
-            return reach.toDF("from", "to")
+            return reach.toDF(*on, "from", "to")
     raise RuntimeError("no fixpoint")
 
 
-def frontier(edges: DataFrame) -> DataFrame:
-    """Transitive reduction of (earlier, later): a pair stays unless another way leads from one to the other."""
-    all_ways = closure(edges, "earlier", "later")
-    longer = edges.alias("e").join(all_ways.alias("w"), F.col("e.later") == F.col("w.to"), "inner").where(F.col("w.from") != F.col("e.earlier"))
-    step = all_ways.select(F.col("from").alias("f0"), F.col("to").alias("t0"))
-    longer = longer.join(step, (F.col("e.earlier") == F.col("f0")) & (F.col("w.from") == F.col("t0"))).select(F.col("e.earlier").alias("earlier"), F.col("e.later").alias("later")).distinct()
-    return edges.join(longer, ["earlier", "later"], "left_anti")
+def frontier(edges: DataFrame, turn: str | None = None) -> DataFrame:
+    """Transitive reduction of (earlier, later), within each turn where a column names it: a pair stays unless
+    another way, whose last step is a pair, leads from one to the other."""
+    on = [turn] if turn else []
+    ways = closure(edges, "earlier", "later", turn).select(*on, F.col("from").alias("earlier"), F.col("to").alias("_m"))
+    longer = ways.join(edges.withColumnRenamed("earlier", "_m"), [*on, "_m"]).select(*on, "earlier", "later").distinct()
+    return edges.join(longer, [*on, "earlier", "later"], "left_anti")
 
 
 def write_chain(writes: DataFrame, resource: str, order: str) -> DataFrame:

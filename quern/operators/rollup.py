@@ -116,10 +116,13 @@ def idle_teams(df: DataFrame, team: str, active: str) -> DataFrame:
     return df.groupBy(team).agg(F.bool_and(idle).alias("all_idle"), F.count_if(~idle).alias("n_active"))
 
 
-def scheduler_stats(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """submitted, dependency_edges and conflicted_calls of a frontier."""
-    e = edges.agg(F.count("*").alias("dependency_edges"), F.count_distinct("later").alias("conflicted_calls"))
-    return calls.agg(F.count("*").alias("submitted")).crossJoin(e)
+def scheduler_stats(calls: DataFrame, edges: DataFrame, turn: str | None = None) -> DataFrame:
+    """submitted, dependency_edges and conflicted_calls of a frontier, of each turn where a column names it."""
+    e = [F.count("*").alias("dependency_edges"), F.count_distinct("later").alias("conflicted_calls")]
+    if turn:
+        n = calls.groupBy(turn).agg(F.count("*").alias("submitted")).join(edges.groupBy(turn).agg(*e), turn, "left")
+        return n.na.fill(0, ["dependency_edges", "conflicted_calls"])
+    return calls.agg(F.count("*").alias("submitted")).crossJoin(edges.agg(*e))
 
 
 def usage(df: DataFrame, run: str, turn: str, is_call: Column, tokens_in: str, tokens_out: str) -> DataFrame:

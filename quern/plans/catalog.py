@@ -265,11 +265,16 @@ _CALLS = """WITH RECURSIVE c AS (SELECT event_id AS seq, user_id % 5 AS res, eve
 
 
 def calls(spark, d) -> DataFrame:
-    """The calls of one turn: a turn is bounded, so the first 60 events stand for one."""
-    e = table(spark, d, "events").where("event_id < 60")
+    """The calls of the first turn, on which the SQL of the three queries below stands; turn_* take all turns."""
+    return turn_calls(spark, d).where("seq < 60").drop("turn")
+
+
+def turn_calls(spark, d) -> DataFrame:
+    """All events as calls, 60 numbers in a row to a turn, as a turn is bounded."""
+    e = table(spark, d, "events")
     ref = F.array(F.struct((F.col("user_id") % 5).cast("string").alias("path"), F.lit(False).alias("recursive")))
     none, w, x = F.array().cast("array<struct<path:string,recursive:boolean>>"), F.col("event_type").isin("purchase", "signup"), (F.col("event_type") == "error") & (F.col("event_id") % 7 == 0)
-    return e.select(F.col("event_id").alias("seq"), F.when(w, none).otherwise(ref).alias("reads"), F.when(w, ref).otherwise(none).alias("writes"), x.alias("exclusive"))
+    return e.select(F.floor(F.col("event_id") / 60).alias("turn"), F.col("event_id").alias("seq"), F.when(w, none).otherwise(ref).alias("reads"), F.when(w, ref).otherwise(none).alias("writes"), x.alias("exclusive"))
 
 
 @query(_CALLS + " SELECT * FROM k")
@@ -291,6 +296,28 @@ def scheduler_stats(spark, d):
     return R.scheduler_stats(c, G.frontier(G.conflicts(c)))
 
 
+_TURNS = """WITH RECURSIVE c AS (SELECT event_id // 60 AS turn, event_id AS seq, user_id % 5 AS res, event_type IN ('purchase', 'signup') AS w, event_type = 'error' AND event_id % 7 = 0 AS x FROM events),
+    k AS (SELECT a.turn, a.seq AS earlier, b.seq AS later FROM c a JOIN c b ON a.turn = b.turn AND a.seq < b.seq AND (a.x OR b.x OR (a.res = b.res AND (a.w OR b.w))))"""
+_FRONTIERS = _TURNS + """, p AS (SELECT turn, earlier AS a, later AS b FROM k UNION SELECT p.turn, p.a, k.later FROM p JOIN k ON p.turn = k.turn AND p.b = k.earlier),
+    f AS (SELECT turn, earlier, later FROM k ANTI JOIN (SELECT DISTINCT p.a AS earlier, m.later FROM p JOIN k m ON p.turn = m.turn AND p.b = m.earlier) USING (earlier, later))"""
+
+
+@query(_TURNS + " SELECT * FROM k")
+def turn_conflict_edges(spark, d):
+    return G.conflicts(turn_calls(spark, d), "turn")
+
+
+@query(_FRONTIERS + " SELECT * FROM f")
+def turn_conflict_frontier(spark, d):
+    return G.frontier(G.conflicts(turn_calls(spark, d), "turn"), "turn")
+
+
+@query(_FRONTIERS + """ SELECT c.turn, any_value(n) AS submitted, count(f.later) AS dependency_edges, count(DISTINCT f.later) AS conflicted_calls FROM (SELECT turn, count(*) AS n FROM c GROUP BY 1) c LEFT JOIN f ON c.turn = f.turn GROUP BY 1""")
+def turn_scheduler_stats(spark, d):
+    c = turn_calls(spark, d)
+    return R.scheduler_stats(c, G.frontier(G.conflicts(c, "turn"), "turn"), "turn")
+
+
 @query("SELECT lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS earlier, event_id AS later FROM events WHERE event_type IN ('purchase', 'signup') QUALIFY earlier IS NOT NULL")
 def write_chain(spark, d):
     return G.write_chain(table(spark, d, "events").where(F.col("event_type").isin("purchase", "signup")), "user_id", "event_id")

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 from quern.operators import graph as G
+from quern.operators import rollup as R
 from quern.operators import rules as P
 
 
@@ -41,6 +42,33 @@ def test_conflicts_and_frontier(spark):
         assert sorted((r["earlier"], r["later"]) for r in G.frontier(edges).collect()) == reduced(calls)
 
 
+def test_every_turn_has_its_own_conflicts(spark):
+    rng = random.Random(9)
+    paths = ["/r", "/r/a", "/r/a/x", "/r/b"]
+    turns = {t: [([(rng.choice(paths), rng.random() < 0.3)], [(rng.choice(paths), False)] if rng.random() < 0.4 else [], rng.random() < 0.1) for _ in range(12)] for t in range(4)} | {4: [([("/r", False)], [], False)]}
+    df = spark.createDataFrame([(t, 100 * t + i, *c) for t, cs in turns.items() for i, c in enumerate(cs)], "turn int, " + SCHEMA)
+    edges = G.conflicts(df, "turn")
+    numbered = {t: [(i, *c) for i, c in enumerate(cs)] for t, cs in turns.items()}
+    want = sorted((t, 100 * t + i, 100 * t + j) for t, cs in numbered.items() for j in range(len(cs)) for i in range(j) if conflict(cs[i], cs[j]))
+    assert sorted(map(tuple, edges.select("turn", "earlier", "later").collect())) == want
+    least = sorted((t, 100 * t + i, 100 * t + j) for t, cs in numbered.items() for i, j in reduced(cs))
+    kept = G.frontier(edges, "turn")
+    assert sorted(map(tuple, kept.select("turn", "earlier", "later").collect())) == least
+    stats = {r["turn"]: (r["submitted"], r["dependency_edges"], r["conflicted_calls"]) for r in R.scheduler_stats(df, kept, "turn").collect()}
+    assert stats == {t: (len(cs), sum(x[0] == t for x in least), len({x[2] for x in least if x[0] == t})) for t, cs in turns.items()}
+
+
+def test_later_events_are_calls_too(spark):
+    from quern.plans import catalog
+    from tests.conftest import SF
+
+    got = catalog.QUERIES["turn_conflict_edges"](spark, SF)
+    events = catalog.table(spark, SF, "events").count()
+    stats = catalog.QUERIES["turn_scheduler_stats"](spark, SF).collect()
+    assert sum(r["submitted"] for r in stats) == events and got.where("later >= 60").count() > 0
+    assert sorted(map(tuple, got.where("turn = 0").select("earlier", "later").collect())) == sorted(map(tuple, catalog.QUERIES["conflict_edges"](spark, SF).select("earlier", "later").collect()))
+
+
 def test_scheduled_calls(spark):
     def edges(rows):
         df = spark.createDataFrame(rows, "seq int, tool string, category string, path string, concurrent boolean")
