@@ -522,12 +522,23 @@ def open_issue_filter(spark, d):
 def affected_files(spark, d):
     """A labelled document is an issue in its source; the sources of some documents of its language consume it."""
     docs = table(spark, d, "documents")
-    pairs = docs.where("doc_id % 100 = 7").select(F.col("lang").alias("file"), F.col("source").alias("consumer"))
+    return issue_files(spark, d, docs, docs.where("doc_id % 100 = 7"))
+
+
+def issue_files(spark, d, docs: DataFrame, consumers: DataFrame) -> DataFrame:
+    pairs = consumers.select(F.col("lang").alias("file"), F.col("source").alias("consumer"))
     issues = table(spark, d, "labels").join(docs, "doc_id").select("doc_id", "lang", F.col("source").alias("own"))
     out = G.affected(issues, pairs, "lang")
     return out.select("doc_id", F.array_remove("affected_files", F.col("own")).alias("files")).where(F.size("files") > 0)
 
 
+@query("""WITH c AS (SELECT DISTINCT lang, source FROM documents) SELECT l.doc_id, list_sort(list(DISTINCT c.source)) AS files FROM labels l JOIN documents d USING (doc_id) JOIN c ON c.lang = d.lang AND c.source <> d.source GROUP BY 1""")
+def all_affected_files(spark, d):
+    """affected_files, whose SQL takes consumers from ids that end in 07, with those of all documents."""
+    docs = table(spark, d, "documents")
+    return issue_files(spark, d, docs, docs)
+
+
 # --- graphs of the star schema
 
 
