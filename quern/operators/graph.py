@@ -106,18 +106,24 @@ def model_classes(classes: DataFrame, roots: list[str], file: str, name: str, ba
 
 
 def tree(nodes: DataFrame, ident: str, parent: str) -> DataFrame:
-    """depth and path (ids from the root) of each node; a missing parent makes a root. A recursive query: the
-    nodes of one trace form trees of bounded depth."""
-    spark = nodes.sparkSession
-    nodes.select(F.col(ident).alias("id"), F.col(parent).alias("up")).createOrReplaceTempView("_tree_nodes")
-    return spark.sql("""
-        WITH RECURSIVE known AS (SELECT id FROM _tree_nodes),
-        placed AS (SELECT n.id, CASE WHEN k.id IS NULL THEN NULL ELSE n.up END AS up FROM _tree_nodes n LEFT JOIN known k ON n.up = k.id),
-        walk(id, depth, path) AS (
-            SELECT id, 0, cast(id AS string) FROM placed WHERE up IS NULL
-            UNION ALL
-            SELECT p.id, w.depth + 1, concat(w.path, '/', p.id) FROM placed p JOIN walk w ON p.up = w.id)
-        SELECT id AS node, depth, path FROM walk""")
+    """depth and path (ids from the root) of each node, once for each of its ways; a missing parent makes a root.
+    Level by level, each staged, until one is empty, so neither rows nor levels have a limit. A way doesn't meet
+    a node twice, so cycles end."""
+    from quern.operators.staging import staged
+
+    nodes = nodes.select(F.col(ident).alias("id"), F.col(parent).alias("up"))
+    known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("known")).distinct()
+    placed = staged(nodes.join(known, "up", "left").select("id", F.when(F.col("known"), F.col("up")).alias("up")))
+    name = F.col("id").cast("string")
+    level = staged(placed.where("up is null").select("id", F.lit(0).alias("depth"), name.alias("path"), F.array("id").alias("met")))
+    levels = []
+    while not level.isEmpty():
+        levels += level.inputFiles()
+        above = level.select(F.col("id").alias("up"), "depth", "path", "met")
+        below = placed.join(above, "up").where(~F.coalesce(F.array_contains("met", F.col("id")), F.lit(False)))
+        level = staged(below.select("id", F.col("depth") + 1, F.concat("path", F.lit("/"), name), F.array_append("met", F.col("id"))).toDF(*level.columns))
+    found = nodes.sparkSession.read.schema(level.schema).parquet(*levels) if levels else level
+    return found.select(F.col("id").alias("node"), "depth", "path")
 
 
 def includes(edges: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:

@@ -108,3 +108,24 @@ def test_trees_and_boards(spark):
     inc = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "file string, target string")
     got = G.includes(inc, spark.createDataFrame([("a",)], "file string"))
     assert {(r["file"], r["depth"]) for r in got.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_a_tree_has_no_limit_of_rows_or_levels(spark):
+    limits = {"spark.sql.cteRecursionRowLimit": "20", "spark.sql.cteRecursionLevelLimit": "4"}
+    nodes = [("0", None), *((str(i), str(i - 1)) for i in range(1, 8)), *((f"x{i}", "0") for i in range(40))]
+    want = {(str(i), i, "/".join(map(str, range(i + 1)))) for i in range(8)} | {(f"x{i}", 1, f"0/x{i}") for i in range(40)}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = G.tree(spark.createDataFrame(nodes, "id string, up string"), "id", "up").collect()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert len(got) == len(nodes) and {(r["node"], r["depth"], r["path"]) for r in got} == want
+
+
+def test_a_tree_with_a_cycle_ends(spark):
+    nodes = spark.createDataFrame([("a", None), ("b", "a"), ("b", "c"), ("c", "b"), ("d", "d"), (None, "a")], "id string, up string")
+    got = {(r["node"], r["depth"], r["path"]) for r in G.tree(nodes, "id", "up").collect()}
+    assert got == {("a", 0, "a"), ("b", 1, "a/b"), ("c", 2, "a/b/c"), (None, 1, None)}
+    assert G.tree(nodes.limit(0), "id", "up").collect() == []
