@@ -11,6 +11,10 @@ it, and the bytes that it covers in the others are duplicate spans. The keeper m
 a run that overlaps it and that an earlier document keeps; going back so from document to document, every
 byte is kept in one. Repeats within one document alone are left as they are.
 
+A run seldom ends where the repeat does, so adjoining hits are joined and each is then extended word by word as
+far as its bytes equal those about the keeper's first such run. Compared are the WORDS + 2 * SPAN + 20 words on
+either side: were more of them equal, they would hold a run that both have, which is a hit of its own.
+
 Digests are counted by a partial aggregation and joined back by an exchange that adaptive execution can split,
 so a passage that a third of all documents share is no task's burden. What is gathered per document is at
 most its own runs.
@@ -116,15 +120,92 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def extended(left: bytes, other_left: bytes, right: bytes, other_right: bytes) -> tuple[int, int]:
+    """Bytes of whole words by which a span can grow to the left and to the right, given what is about both."""
+    n = _common(np.frombuffer(left, "u1")[::-1], np.frombuffer(other_left, "u1")[::-1])
+    m = _common(np.frombuffer(right, "u1"), np.frombuffer(other_right, "u1"))
+    return n, m
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common beginning that ends with a whole word of both."""
+    m = min(len(a), len(b))
+    differ = np.flatnonzero(a[:m] != b[:m])
+    n = int(differ[0]) if len(differ) else m
+    space = _SPACE[a[:n]]
+    if n and not space[-1] and (n == len(a) or _SPACE[a[n]]) and (n == len(b) or _SPACE[b[n]]):
+        return n
+    ends = np.flatnonzero(~space[:-1] & space[1:])
+    return int(ends[-1]) + 1 if len(ends) else 0
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's hits, those of one keeper joined where they adjoin in both documents."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, h, hits in zip(batch["doc_id"].to_pylist(), batch["h"].to_pylist(), batch["hits"].to_pylist()):
+            lines: dict[tuple, list] = {}
+            for x in hits:
+                lines.setdefault((x["first_id"], x["first_h"], x["first_start"] - x["start"]), []).append((x["start"], x["stop"]))
+            rows += [(doc, h, a, b, f, g, a + by, b + by) for (f, g, by), places in lines.items() for a, b in merged(places)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2
+        columns = zip(*rows) if rows else [()] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "h", "start", "stop", "first_id", "first_h", "first_start", "first_stop"])
+
+
+def _about(n: int):
+    """The bytes of n words (or all) to the left and to the right of each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, h, text, places in zip(batch["doc_id"], batch["h"], batch["text"], batch["places"]):
+                raw = (text.as_py() or "").encode()
+                edge = np.diff(np.concatenate([[True], _SPACE[np.frombuffer(raw, "u1")], [True]]).astype(np.int8))
+                begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+                for x in places.as_py():
+                    a, b = x["start"], x["stop"]
+                    i, j = int(np.searchsorted(begin, a)), int(np.searchsorted(end, b, "right"))
+                    rows.append((doc.as_py(), h.as_py(), a, b, raw[int(begin[i - n]) if i > n else 0 : a], raw[b : int(end[j + n - 1]) if j + n < len(end) else len(raw)]))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            columns = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "h", "start", "stop", "left", "right"])
+
+    return run
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grown = [extended(*x) for x in zip(*(batch[c].to_pylist() for c in ("left", "first_left", "right", "first_right")))]
+        start = pa.array([a - n for a, (n, _) in zip(batch["start"].to_pylist(), grown)], pa.int32())
+        stop = pa.array([b + m for b, (_, m) in zip(batch["stop"].to_pylist(), grown)], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], start, stop, batch["first_id"]], ["doc_id", "h", "start", "stop", "first_id"])
+
+
 def spans(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
     """doc_id, h (hash of the text), spans of each document with duplicate spans: an array of start, stop
     (bytes of the UTF-8 text) and kept_in, the ids of documents that keep what the span repeats."""
     found = staged(_runs(docs, words, span), "runs")
-    who = F.struct("doc_id", "h")
-    repeats = found.groupBy("digest").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first <> last")
-    repeats = staged(repeats.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h")), "repeats")
+    repeats = found.groupBy("digest").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.max(F.struct("doc_id", "h")).alias("last")).where(F.struct("first.doc_id", "first.h") != F.col("last"))
+    repeats = staged(repeats.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.start").alias("first_start")), "repeats")
     hits = found.join(repeats, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))))
-    each = hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "first_id")).alias("hits"))
+    each = hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "first_id", "first_h", "first_start")).alias("hits"))
+    place = "doc_id long, h long, start int, stop int"
+    segments = staged(each.mapInArrow(frugal(_segments), place + ", first_id long, first_h long, first_start int, first_stop int"), "segments")
+    drop_staged(found, repeats)
+
+    firsts = ["first_id", "first_h", "first_start", "first_stop"]
+    places = segments.select("doc_id", "h", "start", "stop").union(segments.select(*firsts)).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("places"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_h"), "text")
+    about = texts.join(places, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h"))).select("doc_id", "h", "text", "places")
+    about = about.mapInArrow(frugal(_about(words + 2 * span + 20)), place + ", left binary, right binary")
+    about = staged(about.dropDuplicates(["doc_id", "h", "start", "stop"]), "about")
+    keeper = about.toDF(*(f"k_{c}" for c in firsts), "first_left", "first_right")
+    own = about.toDF("d_id", "d_h", "d_start", "d_stop", "left", "right")
+    both = segments.join(own, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("h") == F.col("d_h")) & (F.col("start") == F.col("d_start")) & (F.col("stop") == F.col("d_stop")))
+    both = both.join(keeper, F.col("first_id").eqNullSafe(F.col("k_first_id")) & (F.col("first_h") == F.col("k_first_h")) & (F.col("first_start") == F.col("k_first_start")) & (F.col("first_stop") == F.col("k_first_stop")))
+    both = both.select("doc_id", "h", "start", "stop", "first_id", "left", "right", "first_left", "first_right")
+    each = both.mapInArrow(frugal(_extend), place + ", first_id long").groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "first_id")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +217,7 @@ def spans(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(out, kind)], ["doc_id", "h", "spans"])
 
     out = staged(each.mapInArrow(frugal(run), "doc_id long, h long, spans array<struct<start: int, stop: int, kept_in: array<long>>>"), "spans")
-    drop_staged(found, repeats)
+    drop_staged(segments, about)
     return out
 
 

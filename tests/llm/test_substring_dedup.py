@@ -41,6 +41,25 @@ def test_planted_passages_are_caught_and_nothing_else(spark):
     assert all(left[d]["text"] == t for d, t, *_ in rows if d not in want)
 
 
+def test_passages_go_to_their_true_ends(spark):
+    rows, passages, at = planted(6)
+    rows += [(900 + i, t, "en", "s") for i, t in enumerate([rows[0][1], rows[3][1]])]
+    text = {d: t.encode() for d, t, *_ in rows}
+    got = {}
+    for r in S.duplicates(made(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append(text[r["doc_id"]][r["start"] : r["stop"]])
+    first = {k: min(j for j in at if at[j] == k) for k in at.values()}
+    late = [j for j in at if j != first[at[j]]]
+    assert late and all(any(passages[at[j]].encode() in part for part in got[j]) for j in late)
+    assert got[900] == [text[900]] and got[901] == [text[901]]
+
+
+def test_spans_grow_by_whole_words():
+    assert S.extended(b"one two ", b"xone two ", b" three four", b" three fourth") == (4, 6)
+    assert S.extended(b"two ", b"one two ", b" three", b" three four") == (4, 6)
+    assert S.extended(b"", b"a ", b"", b"") == (0, 0) and S.extended(b"a ", b"b ", b"\n a", b" a") == (0, 0)
+
+
 def test_cuts_follow_the_content():
     rng = random.Random(2)
     v = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(500)]
