@@ -146,9 +146,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["label"].alias("label"), F.when(sound, e).alias("embedding"))
     rows = rows.withColumn("h1", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding"))).withColumn("h2", F.when(F.col("embedding").isNotNull(), F.xxhash64(F.lit(17), "embedding")))
     key = ["label", "h1", "h2"]
-    classes = rows.where("h1 is not null").groupBy(*key).agg(F.count("*").alias("times"), F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"))
-    classes = staged(classes, "classes")
-    coded = classes.where("rep is not null").select("rep", "label", F.size("embedding").alias("dim"), "times", "embedding")
+    classes = rows.where("h1 is not null").groupBy(*key).agg(F.count("*").alias("times"), F.min("vec_id").alias("name"), F.first("embedding").alias("embedding"))
+    # a class's own number, as its vec_ids may all be null; it is settled once it is written
+    classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    coded = classes.select("rep", "label", F.size("embedding").alias("dim"), "times", "embedding")
     kinds = dict(coded.dtypes)
     coded = staged(coded.mapInArrow(_decode, ", ".join(f"{c} {kinds[c]}" for c in coded.columns) + ", filters array<int>"), "coded")
     posted = coded.select("rep", "label", "dim", F.explode("filters").alias("f"))
@@ -163,8 +164,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     found = staged(found.mapInArrow(_compare(least), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors")
-    named = classes.select(*key, "times", "rep").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    named = staged(named.select(*key, (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
-    drop_staged(classes, coded, sizes, found, roots)
+    placed = classes.select(*key, "times", "rep", "name").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    placed = staged(placed.select(*key, (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "name", F.coalesce("component", "rep").alias("component")), "placed")
+    names = placed.groupBy("component").agg(F.min("name").alias("component_id"))
+    named = staged(placed.join(names, "component").select(*key, "n_links", "component_id"), "named")
+    drop_staged(classes, coded, sizes, found, roots, placed)
     out = rows.join(named, key, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -56,6 +56,17 @@ def test_against_brute_force(spark, monkeypatch):
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_vectors_without_an_id_link_and_join(spark):
+    a, b = np.linalg.qr(np.random.default_rng(7).standard_normal((64, 2)))[0].T
+    at = lambda degrees: [float(x) for x in (np.cos(np.radians(degrees)) * a + np.sin(np.radians(degrees)) * b).astype(np.float32)]
+    rows = [(i, at(d), 1, 1, "a", 2) for i, d in [(3, 0), (None, 20), (8, 40), (None, 180), (None, 195), (5, 100), (5, 250)]]
+    got = sorted((r["vec_id"] is None, r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.93).collect() if r["component_id"] is not None)
+    assert got == [(False, 3, 1, 3, True), (False, 5, 0, 5, True), (False, 5, 0, 5, True), (False, 8, 1, 3, False), (True, 0, 2, 3, False)]
+    assert sorted((v, n, c) for null, v, n, c, _ in got if not null) == brute(rows, 0.93)
+    lone = [r for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.93).collect() if r["component_id"] is None]
+    assert [(r["vec_id"], r["n_links"]) for r in lone] == [(None, 1), (None, 1)]
+
+
 def test_recall_just_above_the_limit():
     rng = np.random.default_rng(3)
     x = E.unit(list(rng.standard_normal((600, 64))))
