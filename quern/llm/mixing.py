@@ -11,8 +11,8 @@ Sizes, stream positions and block overlaps are DataFrame expressions. Positions
 of the seeded order, then a window within it), so a source with a third of all rows is still spread over
 `buckets` tasks. Only one row per source reaches the driver; more than MAX_SOURCES sources is an error.
 
-Defined cases: a null or empty text has size 0 and takes 0; null is a source of its own, ordered last; rows
-alike in all that is ordered by (id and size) may swap places, which changes no result; an empty table
+Defined cases: a null or empty text has size 0 and takes 0; null is a source of its own, ordered last; a row
+without an id is ordered by its text; rows alike in all that is ordered by (id and size) may swap places, which changes no result; an empty table
 gives an empty mix; other columns are carried only if asked for.
 """
 
@@ -118,7 +118,8 @@ def words(text: Column) -> Column:
 def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, ceiling: int = 3, shards: int = SHARDS, buckets: int = BUCKETS, carry: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of each row, and `carry` where it is given."""
     spark = docs.sparkSession
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))))
+    named = F.coalesce(docs["doc_id"].cast("string"), F.md5(F.coalesce(docs["text"], F.lit(""))))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), named))
     # a key that is never null: null-safe equality would have the rows, texts and all, dealt once more for each join
     key = F.when(docs["source"].isNull(), F.lit("")).otherwise(F.concat(F.lit("="), docs["source"].cast("string")))
     recs = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), key.alias("key"), words(docs["text"]).alias("size"), order.alias("ord"), F.floor(F.conv(F.substring(order, 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).alias("bucket"), *([carry.alias("carry")] if carry is not None else []))
@@ -152,8 +153,10 @@ def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, ceiling: int = 3, sh
 
 def mixed_documents(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
     """The documents of the mix, with the columns of docs: a row comes taken / size times, the fraction settled
-    by a hash of its id. Rows without words, which no share in words can weigh, come once."""
-    carried = mix(docs, seed, carry=F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]), **how)
-    dither = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(1 << 20)) / (1 << 20)
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + dither)).cast("int")
+    by a hash of its id and text, so a source meets its quota in
+    expectation and, with many documents, closely. Rows without words, which no share in words can weigh, come once."""
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), docs["doc_id"], docs["text"]), F.lit(1 << 20)) / (1 << 20)
+    carried = mix(docs, seed, carry=F.struct(chance.alias("chance"), F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row")), **how)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.col("carry.chance"))).cast("int")
+    carried = carried.withColumn("carry", F.col("carry.row"))
     return carried.select(copies.alias("copies"), "carry").where("copies > 0").select(F.explode(F.array_repeat("carry", F.col("copies"))).alias("carry")).select("carry.*")

@@ -12,17 +12,23 @@ smallest id reachable over links.
    so many of them that nothing is certain also shows those.) Sets that meet are compared by their sketches, the
    numbers of elements per bin: sets whose sketches differ by more than linked sets can are kept apart, so a
    passage that many share makes no group of all. Groups are the connected components over what is left.
-3. Within a group, T-occurrence search: sets must share T elements with the query. Of the query's inverted
-   lists the longest ones, up to T - 1, are left aside; the short ones are heap-merged, and every set met there
-   is probed for in the long ones by bisection, until it reaches the needed overlap or can't any more. Sets
-   found join the query's component and leave the index, so a group of thousands of near copies is not
-   compared pair by pair.
-
-A group of over CELL sets is dealt into subgroups; every two of them are searched in a task of their own.
-
-Defined cases: null and empty texts have no set, n_shingles 0 and link with nothing; a null doc_id gets its row
-with a null component; rows alike in id and text link trivially; an empty table gives an empty result; other
-columns are not read.
+3. Within a group, T-occurrence search: sets must share T elements with the query. DivideSkip's rule leaves the
+   L = T / (MU log2 M + 1) longest inverted lists aside, M being the longest one's length; the short ones are
+   heap-merged, and every set met there T - L times is probed for in the long ones by bisection, until it reaches
+   the needed overlap or can't any more. Sets found join the query's component and leave the index, so a group of
+   thousands of near copies is not compared pair by pair.
+
+Groups of parts and of sets are dealt into cells of a bounded cost, in bytes of sketches and in elements, by
+linked(): members meet within their cell first, then a few of each component found, and in the end only those
+outside a group's largest component meet all others. A group of near copies, however large, so costs in
+proportion to its size; no link is lost.
+
+Which documents' texts are dealt anew for step 3 is settled before their shuffle by a bitmap of fixed size
+(BITS bits, 8 MB), whatever the input; beyond some hundred million such documents it only lets more through.
+
+Defined cases: rows are the documents, so rows of one id with unlike texts are told apart; null and empty texts
+have no set, n_shingles 0 and link with nothing; a row without an id links, but no component is named after it
+(a component of such rows alone is null); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,14 +39,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_staged, frugal, lists, runs, staged
+from .common import connected_components, drop_staged, frugal, lists, staged
 
-CELL, MEET, SLICE = 4096, 16384, 1 << 20
-#: Rows (of 40 bytes) up to which the list of sets in groups is sent to all tasks; a longer one is joined by shuffles.
-SENT = 200_000
+#: Elements of sets and bytes of sketches (and 64 a row) that a cell's group holds; bytes read at a time.
+CELL, MEET, SLICE = 1 << 16, 1 << 19, 1 << 20
+#: Bits of the bitmap of documents in groups, and members of a component that stand for it.
+BITS, STAND = 1 << 26, 4
+#: DivideSkip's weight of a probe against a step of the merge.
+MU = 0.0085
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -185,22 +194,23 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount(bins, minlength=1 << bits), 255).astype("u1").tobytes()
 
 
-def meeting(sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> np.ndarray:
-    """For each of the sets that share a part, the first of those it is connected with by like sketches."""
-    bins = min(map(len, sketches))
-    counts = np.stack([np.minimum(np.frombuffer(s, "u1").reshape(bins, -1).sum(axis=1), 255) for s in sketches]).astype(np.int16)
-    most = lambda i, js: sizes[i] + sizes[js] - 2 * -(-num * (sizes[i] + sizes[js]) // (num + den))
-    root, rest = np.full(len(sizes), -1), np.arange(len(sizes))
-    while len(rest):
-        seed, rest = rest[0], rest[1:]
-        root[seed], open_sets = seed, [seed]
-        while open_sets and len(rest):
-            i = open_sets.pop()
-            near = np.abs(counts[rest] - counts[i]).sum(axis=1) <= most(i, rest)
-            found, rest = rest[near], rest[~near]
-            root[found] = seed
-            open_sets += found.tolist()
-    return root
+class Sketches:
+    """Sets that share a part, by size and sketch: search gives those that may link."""
+
+    def __init__(self, sizes: np.ndarray, sketches: list[bytes], num: int, den: int):
+        bins = min(map(len, sketches))
+        self.counts = np.stack([np.minimum(np.frombuffer(s, "u1").reshape(bins, -1).sum(axis=1), 255) for s in sketches]).astype(np.int16)
+        self.sizes, self.num, self.den = sizes, num, den
+        self.live = np.ones(len(sizes), bool)
+
+    def remove(self, some: np.ndarray) -> None:
+        self.live[some] = False
+
+    def search(self, q: int) -> np.ndarray:
+        on = np.flatnonzero(self.live)
+        total = self.sizes[q] + self.sizes[on]
+        most = total - 2 * -(-self.num * total // (self.num + self.den))
+        return on[(np.abs(self.counts[on] - self.counts[q]).sum(axis=1) <= most) & (on != q)]
 
 
 class Index:
@@ -241,20 +251,15 @@ class Index:
         least = -(-self.num * n // self.den)
         length = self.first[query + 1] - self.first[query]
         order = np.argsort(length, kind="stable")
-        cut = n - least + 1
-        short, long = query[order[:cut]], query[order[cut:]]
+        aside = min(least - 1, int(least / (MU * np.log2(max(2, int(length.max()))) + 1)))
+        short, long = query[order[: n - aside]], query[order[n - aside :]]
         found, seen = self._merge([self.postings[self.first[e] : self.first[e + 1]] for e in short])
         sizes = self.sizes[found]
-        fits = self.live[found] & (found != q) & (sizes * self.den >= self.num * n) & (n * self.den >= self.num * sizes)
-        found, seen = found[fits], seen[fits]
-        need = self.needed(n, self.sizes[found])
-        if len(found) * 2 < len(long):  # few sets: bisect each one's elements for the long lists' elements
-            for k, i in enumerate(found):
-                s = self.sets[i]
-                at = np.searchsorted(s, long)
-                seen[k] += (s[np.minimum(at, len(s) - 1)] == long).sum()
-            return found[seen >= need]
-        done = [found[:0]]
+        need = self.needed(n, sizes)
+        fits = self.live[found] & (found != q) & (sizes * self.den >= self.num * n) & (n * self.den >= self.num * sizes) & (seen + aside >= need)
+        found, seen, need = found[fits], seen[fits], need[fits]
+        done = [found[seen >= need]]
+        found, seen, need = (x[seen < need] for x in (found, seen, need))
         for k, e in enumerate(long):
             if not len(found):
                 break
@@ -267,46 +272,57 @@ class Index:
                 done.append(found[reached])
                 keep = ~reached & (seen + (len(long) - 1 - k) >= need)
                 found, seen, need = found[keep], seen[keep], need[keep]
-        if not len(long):
-            done.append(found[seen >= need])
         return np.concatenate(done)
 
     @staticmethod
     def _merge(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Sets met in the lists, rising, and in how many."""
-        total = sum(map(len, rows))
-        if total > 256:  # sorted runs: the sort merges them, as the heap would, without a step of Python for each
-            return np.unique(np.concatenate(rows), return_counts=True)
+        """Sets met in the sorted lists, rising, and in how many, by a heap of the lists' heads."""
         out: list[int] = []
         times: list[int] = []
-        for i in heapq.merge(*[r.tolist() for r in rows]):
-            if out and out[-1] == i:
+        last = -1
+        for i in heapq.merge(*[r.tolist() for r in rows if len(r)]):
+            if i == last:
                 times[-1] += 1
             else:
                 out.append(i)
                 times.append(1)
+                last = i
         return np.array(out, np.int64), np.array(times, np.int64)
 
 
-def components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each set the first of its component."""
-    if len(sets) == 2:
-        a, b = sets
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return np.array([0, 0 if both * den >= num * (len(a) + len(b) - both) else 1])
-    index, root = Index(sets, num, den), np.arange(len(sets))
-    for seed in range(len(sets)):
-        if not index.live[seed]:
+def spread(index: Index | Sketches, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (rows of both ends) from searches by the rows of role QUERY. What a search finds among these joins its
+    component and leaves the index; other rows stay, and of the rows of role SETTLED, which are known to be in
+    one component, the first one found will do."""
+    asks, out = role == QUERY, []
+    waiting = asks.copy()
+    for seed in np.flatnonzero(asks).tolist():
+        if not waiting[seed]:
             continue
+        waiting[seed] = False
         index.remove(np.array([seed]))
-        open_sets = [seed]
-        while open_sets:
-            found = index.search(open_sets.pop())
-            if len(found):
-                root[found] = seed
-                index.remove(found)
-                open_sets += found.tolist()
-    return root
+        open_rows, met, settled = [seed], [], -1
+        while open_rows:
+            found = index.search(open_rows.pop())
+            mine = found[asks[found]]
+            if len(mine):
+                index.remove(mine)
+                waiting[mine] = False
+                open_rows += mine.tolist()
+            rest = found[~asks[found]]
+            if len(known := rest[role[rest] == SETTLED]):
+                settled = int(known[0])
+            met += [mine, rest[role[rest] != SETTLED]]
+        if settled >= 0:
+            met.append(np.array([settled]))
+        if len(every := np.unique(np.concatenate(met))):
+            out.append((np.full(len(every), seed), every))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+QUERY, TARGET, SETTLED = 2, 1, 0
 
 
 def _texts(column: pa.Array, step: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -322,25 +338,26 @@ def _texts(column: pa.Array, step: int = 4 << 20) -> Iterator[tuple[int, list[st
         yield first, texts
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of whole cells of parts, many at a time: starts of the cells, sketches, sizes and names. Rows are
-    sorted, so a batch's last cell may go on in the next; it alone is held."""
-    names = ("part", "ci", "cj")
+CELLS = ("grp", "a", "j")
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], pa.Table]]:
+    """Rows of whole cells, many at a time, and where the cells start and end. Rows are sorted, so a batch's last
+    cell may go on in the next; it alone is held."""
     held: list[pa.RecordBatch] = []
 
     def borders(rows) -> np.ndarray:
-        keys = [rows[c].to_numpy() for c in names]
+        keys = [rows[c].to_numpy() for c in CELLS]
         return np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
 
-    def made(parts: list[pa.RecordBatch]) -> tuple:
+    def made(parts: list[pa.RecordBatch]) -> tuple[list[int], pa.Table]:
         rows = pa.Table.from_batches(parts).combine_chunks()
-        at = np.concatenate([[0], borders(rows), [len(rows)]]).tolist()
-        return at, rows["sketch"].to_pylist(), rows["n"].to_numpy().astype(np.int64), rows["h1"].to_numpy()
+        return [0, *borders(rows).tolist(), len(rows)], rows
 
     for batch in batches:
         if not len(batch):
             continue
-        if held and any(held[-1][c][0].as_py() != batch[c][0].as_py() for c in names):
+        if held and any(held[-1][c][0].as_py() != batch[c][0].as_py() for c in CELLS):
             yield made(held)
             held = []
         if len(found := borders(batch)):
@@ -352,117 +369,184 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield made(held)
 
 
+def _searched(rows: DataFrame, index_of) -> DataFrame:
+    """Edges (a, b) of the members of each cell: rows with CELLS, role, cid and what index_of(rows) needs. A member
+    that comes twice counts once, as a query if it is one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, table in packed(batches):
+            cid, role = table["cid"].to_numpy(), table["role"].to_numpy()
+            out = []
+            for x, y in zip(at, at[1:]):
+                if y - x < 2:
+                    continue
+                on = x + np.flatnonzero(np.concatenate([[True], cid[x + 1 : y] != cid[x : y - 1]]))
+                if len(on) < 2 or not (role[on] == QUERY).any():
+                    continue
+                i, j = spread(index_of(table, on), role[on])
+                if len(i):
+                    out.append((cid[on[i]], cid[on[j]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([j for _, j in out]))], ["a", "b"])
+
+    order = [*CELLS, "cid", F.desc("role")]
+    return rows.repartition(*CELLS).sortWithinPartitions(*order).mapInArrow(frugal(run), "a long, b long")
+
+
+def linked(rows: DataFrame, most: int, index_of, name: str) -> DataFrame:
+    """Edges (a, b), staged, that connect all members (cid) of a group (grp) that searches link, whatever its size.
+
+    rows: grp, cid, cost and what index_of needs. A group whose costs exceed `most` is dealt into cells of about
+    that much: each member to one cell; then, as long as that joins components, STAND members of each component to
+    new cells; then whatever is not in the group's largest component to cells with every other member."""
+    pieces = lambda total, n: F.greatest(F.lit(1), F.least(n, F.ceil(total / most))).cast("int")
+    none, query = F.lit(0).cast("int"), F.lit(QUERY).cast("int")
+    cell = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "cid"), n).cast("int")
+    groups = staged(rows.groupBy("grp").agg(F.sum("cost").alias("total"), F.count("*").alias("n")).where("n > 1").select("grp", pieces(F.col("total"), F.col("n")).alias("cells")), name)
+    dealt = rows.join(groups, "grp")
+    edges = staged(_searched(dealt.withColumns({"a": none, "j": cell(1, F.col("cells")), "role": query}).drop("cells", "cost"), index_of), name)
+    if groups.where("cells > 1").isEmpty():
+        drop_staged(groups)
+        return edges
+    large = staged(dealt.where("cells > 1"), name)
+    before = None
+    for turn in range(2, 64):
+        of, most_of = _components(large, edges, name)
+        count = of.select("grp", "component").distinct().count()
+        if count == before:
+            break
+        before = count
+        some = of.groupBy("grp", "component").agg(*[F.min(F.struct(F.xxhash64(F.lit(100 * turn + i), "cid").alias("h"), "cid", "cost")).alias(f"s{i}") for i in range(STAND)])
+        some = some.select("grp", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"s{i}.cid").alias("cid"), F.col(f"s{i}.cost").alias("cost")) for i in range(STAND)]))).alias("s")).select("grp", "s.*")
+        parts = some.groupBy("grp").agg(F.sum("cost").alias("total"), F.count("*").alias("n")).where("n > 1").select("grp", pieces(F.col("total"), F.col("n")).alias("parts"))
+        chosen = staged(some.join(parts, "grp").select("grp", "cid", cell(turn, F.col("parts")).alias("j"), "parts"), name)
+        found = _searched(large.drop("cells", "cost").join(chosen.drop("parts"), ["grp", "cid"]).withColumns({"a": none, "role": query}), index_of)
+        more = staged(edges.unionByName(found), name)
+        whole = chosen.where("parts > 1").isEmpty()
+        drop_staged(edges, of, most_of, chosen)
+        edges = more
+        if whole:
+            of, most_of = _components(large, edges, name)
+            break
+    asks = of.join(most_of, "grp").where("component <> largest").select("grp", "cid", "cost")
+    parts = staged(asks.groupBy("grp").agg(F.sum("cost").alias("total"), F.count("*").alias("n")).select("grp", pieces(F.col("total"), F.col("n")).alias("parts")), name)
+    marked = large.drop("cost").join(of.select("grp", "cid", "component"), ["grp", "cid"]).join(most_of, "grp").join(parts, "grp")
+    marked = marked.withColumn("apart", F.col("component") != F.col("largest")).drop("component", "largest")
+    queries = marked.where("apart").select("*", F.explode(F.sequence(none, F.col("cells") - 1)).alias("j")).withColumns({"a": cell(99, F.col("parts")), "role": query})
+    targets = marked.select("*", F.explode(F.sequence(none, F.col("parts") - 1)).alias("a")).withColumns({"j": cell(1, F.col("cells")), "role": F.col("apart").cast("int")})
+    cells = queries.unionByName(targets).drop("cells", "parts", "apart")
+    out = staged(edges.unionByName(_searched(cells, index_of)), name)
+    drop_staged(groups, large, edges, of, most_of, parts)
+    return out
+
+
+def _components(large: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """grp, cid, cost and component of the members of large groups; grp and its largest component."""
+    found = connected_components(edges, name)
+    of = staged(large.select("grp", "cid", "cost").join(found, F.col("cid") == F.col("node"), "left").select("grp", "cid", "cost", F.coalesce("component", "cid").alias("component")), name)
+    sizes = of.groupBy("grp", "component").agg(F.sum("cost").alias("n"))
+    largest = staged(sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest")), name)
+    drop_staged(found)
+    return of, largest
+
+
 def identified(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 and sketch of each row."""
+    """doc_id, th (hash of the text), n_shingles, h1, h2 and sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, texts in _texts(batch["text"]):
                 sets = shingle_sets(texts, k)
                 names = [identity(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
+                given = [batch[c].slice(a, len(texts)) for c in ("doc_id", "th")]
+                made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(given + made, ["doc_id", "th", "n_shingles", "h1", "h2", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
+    return _keyed(docs).mapInArrow(frugal(run), "doc_id long, th long, n_shingles long, h1 long, h2 long, sketch binary")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].alias("text"))
 
 
 def _parts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """h1 (a set's name) and the hashes of its parts."""
+    """h1, h2 (a set's name) and the hashes of its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _texts(batch["text"]):
                 sets = [s for s in shingle_sets(texts, k) if len(s)]
-                found = part_hashes(sets, num, den)
+                found, names = part_hashes(sets, num, den), [identity(s) for s in sets]
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([identity(s)[0] for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["h1", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["h1", "h2", "parts"])
 
-    return docs.select("text").mapInArrow(frugal(run), "h1 long, parts array<long>").select("h1", F.explode("parts").alias("part"))
+    return docs.select("text").mapInArrow(frugal(run), "h1 long, h2 long, parts array<long>").select("h1", "h2", F.explode("parts").alias("part"))
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """rep, block, elements of rows whose text has the set that is named."""
+    """cid, grp, cost and elements of rows with a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, h2 = batch["h1"].to_pylist(), batch["h2"].to_pylist()
             for a, some in _texts(batch["text"]):
                 sets = shingle_sets(some, k)
-                on = [i for i, s in enumerate(sets) if identity(s) == (h1[a + i], h2[a + i])]
-                if on:
-                    ends = np.cumsum([0, *(len(sets[i]) for i in on)], dtype=np.int32)
-                    flat = np.concatenate([sets[i] for i in on]).view(np.int64)
-                    take = pa.array([a + i for i in on])
-                    yield pa.RecordBatch.from_arrays([batch["rep"].take(take), batch["block"].take(take), batch["n"].take(take), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["rep", "block", "n", "elements"])
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                flat = np.concatenate(sets).view(np.int64)
+                kept = [batch[c].slice(a, len(some)) for c in ("cid", "grp")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cid", "grp", "cost", "elements"])
 
-    return texts.mapInArrow(frugal(run), "rep long, block long, n long, elements array<long>")
+    return texts.select("cid", "grp", "text").mapInArrow(frugal(run), "cid long, grp long, cost long, elements array<long>")
 
 
-def in_cells(df: DataFrame, held: Column, most: int, by: str) -> DataFrame:
-    """Rows with ci and cj: a group of `held` rows over `most` is dealt into subgroups, and every row goes to the
-    cells of its subgroup with each other one, so any two rows meet in a cell of about 2 x most rows."""
-    groups = F.ceil(held / most).cast("int")
-    own = F.pmod(F.xxhash64(by), groups).cast("int")
-    others = F.when(groups == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), groups - 1), lambda x: x != own))
-    out = df.withColumn("own", own).withColumn("other", F.explode(others))
-    return out.withColumn("ci", F.least("own", "other")).withColumn("cj", F.greatest("own", "other"))
+def among(rows: DataFrame, keys: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows whose `key` may be among the keys: all that are, and few others. What is sent is a bitmap of `bits` bits
+    in pieces of 4 KB, whatever the number of keys."""
+    place = lambda df: df.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(bits)) + 1).withColumn("piece", F.expr("bitmap_bucket_number(at)")).withColumn("bit", F.expr("bitmap_bit_position(at)"))
+    maps = place(keys.select("key")).groupBy("piece").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    byte = "cast(conv(hex(substring(bits, cast(shiftright(bit, 3) + 1 as int), 1)), 16, 10) as int)"
+    return place(rows).join(F.broadcast(maps), "piece").where(f"shiftright({byte}, cast(bit & 7 as int)) & 1 = 1").drop("at", "piece", "bit", "bits")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
+    """doc_id, n_shingles and component_id of each row, and th, the xxhash64 of its text."""
+    return joined(docs, k, num, den).select("doc_id", "n_shingles", "component_id", "th")
+
+
+def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The same and `component`, a number that rows of one component share (null without words)."""
     rows = staged(identified(docs, k), "sets")
     name = ["h1", "h2", "n_shingles"]
-    classes = staged(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    classes = rows.where("n_shingles > 0").groupBy(*name).agg(first, F.first("sketch").alias("sketch")).select(*name, "first.doc_id", "first.th", "sketch")
+    # a class's own number; it is settled once it is written
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     # one sort by part finds where sets meet; a hot part holds few of the rows, as its sets have other parts too
     part = Window.partitionBy("part")
-    met = _parts(docs, k, num, den).select("part", "h1", F.min("h1").over(part).alias("low"), F.max("h1").over(part).alias("high"))
-    met = staged(met.where("low <> high").select("part", "h1").distinct(), "met")
-    named = classes.groupBy("h1").agg(F.min(F.struct(F.col("n_shingles").cast("int").alias("n"), "sketch")).alias("s"))
-    full = staged(met.groupBy("part").agg(F.count("*").alias("held")).where(F.col("held") > MEET), "full")
-    dealt = met.join(named, "h1").select("part", "h1", "s.n", "s.sketch").join(full, "part", "left") if full.count() else met.join(named, "h1").select("part", "h1", "s.n", "s.sketch", F.lit(1).alias("held"))
-    dealt = in_cells(dealt, F.coalesce("held", F.lit(1)), MEET, "h1").select("part", "ci", "cj", "h1", "n", "sketch").repartition("part", "ci", "cj").sortWithinPartitions("part", "ci", "cj", "h1")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, sketches, n, h1 in packed(batches):
-            out_a, out_b = [], []
-            for a, b in zip(at, at[1:]):
-                if b - a > 1:
-                    root = meeting(n[a:b], sketches[a:b], num, den)
-                    on = np.flatnonzero(root != np.arange(b - a))
-                    out_a.append(h1[a:b][on])
-                    out_b.append(h1[a:b][root[on]])
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-    edges = dealt.mapInArrow(frugal(compare), "a long, b long")
-    blocks = connected_components(edges, "blocks").select(F.col("node").alias("h1"), F.col("component").alias("block"))
-    blocks = blocks.union(blocks.select(F.col("block").alias("h1"), "block").distinct())
-    active = classes.join(blocks, "h1").select("rep", "h1", "h2", "block")
-    sizes = active.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    active = staged(active.join(sizes, "block"), "active")
-    done = [met, full, active, classes]
-    if active.count() <= SENT:  # then the texts needn't be dealt anew
-        active = F.broadcast(active)
-    texts = docs.selectExpr("cast(doc_id as long) as rep", "text").join(active, "rep").select("rep", "h1", "h2", "block", "n", "text")
-    dealt = _sets(texts, k)
-    dealt = in_cells(dealt, F.col("n"), CELL, "rep").select("block", "ci", "cj", "rep", "elements")
-    order = ["block", "ci", "cj"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in runs(batches, ("block", "ci", "cj")):
-            rep = table["rep"].to_numpy()
-            if len(rep) < 2:
-                continue
-            sets = lists(table["elements"])
-            root = components([s.view(np.uint64) for s in sets], num, den)
-            on = root != np.arange(len(root))
-            if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[root[on]])], ["a", "b"])
-
-    links = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(frugal(run), "a long, b long")
+    met = _parts(docs, k, num, den).select("part", "h1", "h2", F.min("h1").over(part).alias("low"), F.max("h1").over(part).alias("high"))
+    met = staged(met.where("low <> high").select("part", "h1", "h2").distinct(), "met")
+    sketched = met.join(classes.select("h1", "h2", F.col("n_shingles").cast("int").alias("n"), "sketch", "cid"), ["h1", "h2"])
+    sketched = sketched.select(F.col("part").alias("grp"), "cid", (F.octet_length("sketch") + 64).cast("long").alias("cost"), "n", "sketch")
+
+    def by_sketch(table: pa.Table, on: np.ndarray) -> Sketches:
+        some = table.take(pa.array(on))
+        return Sketches(some["n"].to_numpy().astype(np.int64), some["sketch"].to_pylist(), num, den)
+
+    edges = linked(sketched, MEET, by_sketch, "meeting")
+    whole = connected_components(edges, "blocks")
+    blocks = staged(whole.select(F.col("node").alias("cid"), F.col("component").alias("grp")).union(whole.select("component", "component")).distinct(), "blocks")
+    key = F.struct("doc_id", "th").alias("key")
+    active = staged(classes.join(blocks, "cid").select("cid", "grp", "doc_id", "th", key), "active")
+    texts = among(_keyed(docs).withColumn("key", F.struct("doc_id", "th")), active).groupBy("doc_id", "th").agg(F.first("text").alias("text")).toDF("of_id", "of_th", "text")
+    sets = staged(_sets(texts.join(active, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))), k), "elements")
+
+    def by_element(table: pa.Table, on: np.ndarray) -> Index:
+        some = lists(table["elements"].take(pa.array(on)))
+        return Index([s.view(np.uint64) for s in some], num, den)
+
+    links = linked(sets, CELL, by_element, "links")
     found = connected_components(links, "links")
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(*name, F.coalesce("component", "rep").alias("component_id"))
-    named = staged(named, "named")
-    drop_staged(*done, found)
-    out = rows.drop("sketch").join(named, name, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    placed = classes.join(found, F.col("cid") == F.col("node"), "left").select(*name, "doc_id", F.coalesce("component", "cid").alias("component"))
+    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = staged(placed.drop("doc_id").join(names, "component"), "named")
+    drop_staged(met, edges, whole, blocks, active, sets, links, found, classes)
+    return rows.drop("sketch").join(named, name, "left").select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")

@@ -78,7 +78,7 @@ ORACLES: dict[str, str] = {
         r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a)
         SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, (SELECT min(reached) FROM r WHERE node = doc_id) AS component_id FROM s""",
     "op3_source_mix": """
-        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents),
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS ord FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
         w AS (SELECT *, (place % 3 + 1)::DOUBLE AS weight, (SELECT sum(total) FROM s)::DOUBLE AS whole FROM s),
         c AS (SELECT *, whole - coalesce(sum(3.0::DOUBLE * total) OVER f, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS free FROM w WINDOW f AS (ORDER BY 3.0::DOUBLE * total / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

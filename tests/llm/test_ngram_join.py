@@ -17,27 +17,26 @@ def shingles(text, k):
 
 
 def brute(rows, k, num, den):
-    """doc_id, set size and component of rows; links by counting shared shingles."""
-    sets, parent, met = [shingles(t, k) for _, t, *_ in rows], {}, defaultdict(list)
-    for d, *_ in rows:
-        parent.setdefault(d, d)
+    """doc_id, set size and component of rows (a row is a node); links by counting shared shingles."""
+    sets, parent, met = [shingles(t, k) for _, t, *_ in rows], list(range(len(rows))), defaultdict(list)
 
-    def top(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
 
     for i, s in enumerate(sets):
-        if rows[i][0] is None:
-            continue
         shared = Counter(j for x in s for j in met[x])
         for j, o in shared.items():
             if den * o >= num * (len(s) + len(sets[j]) - o):
-                a, b = top(rows[i][0]), top(rows[j][0])
-                parent[max(a, b)] = min(a, b)
+                parent[top(i)] = top(j)
         for x in s:
             met[x].append(i)
-    return sorted(((str(d), len(s), None if d is None else top(d)) for (d, *_), s in zip(rows, sets)), key=str)
+    low = {}
+    for i, (d, *_) in enumerate(rows):
+        if d is not None:
+            low[top(i)] = min(low.get(top(i), d), d)
+    return sorted(((str(d), len(s), low.get(top(i))) for i, ((d, *_), s) in enumerate(zip(rows, sets))), key=str)
 
 
 def got(docs, k, num, den):
@@ -63,20 +62,39 @@ def test_against_brute_force(spark, k, num, den):
     assert got(made(spark, rows), k, num, den) == brute(rows, k, num, den)
 
 
-def test_groups_dealt_into_subgroups(spark, monkeypatch):
-    monkeypatch.setattr(N, "CELL", 7)
-    monkeypatch.setattr(N, "SENT", 0)
-    monkeypatch.setattr(N, "MEET", 5)
+@pytest.mark.parametrize("cell,meet", [(60, 400), (200, 1 << 19), (1 << 16, 300)])
+def test_groups_dealt_into_cells(spark, monkeypatch, cell, meet):
+    monkeypatch.setattr(N, "CELL", cell)
+    monkeypatch.setattr(N, "MEET", meet)
+    monkeypatch.setattr(N, "STAND", 1)
     rows = near_copies(8, 300)
     assert got(made(spark, rows), 3, 80, 100) == brute(rows, 3, 80, 100)
 
 
+def test_a_chain_longer_than_its_cells(spark, monkeypatch):
+    """Sets that link with their neighbours only, dealt over many cells, are one component."""
+    monkeypatch.setattr(N, "CELL", 250)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 60]), "en", "s") for i in range(60)] + [(100, " ".join(words[:59]) + " x", "en", "s"), (101, "apart from all", "en", "s")]
+    assert got(made(spark, rows), 2, 90, 100) == brute(rows, 2, 90, 100)
+
+
+def test_the_bitmap_lets_every_key_through(spark):
+    rows = spark.range(2000).selectExpr("id as key")
+    found = {r["key"] for r in N.among(rows, spark.range(0, 2000, 7).selectExpr("id as key"), 1 << 16).collect()}
+    assert found >= set(range(0, 2000, 7)) and len(found) < 400
+
+
 def test_awkward_rows(awkward, awkward_rows, empty):
-    want = [w for w in brute([r for r in awkward_rows if r[0] != 5], 3, 90, 100)]
-    assert [g for g in got(awkward, 3, 90, 100) if g[0] != "5"] == want
+    assert got(awkward, 3, 90, 100) == brute(awkward_rows, 3, 90, 100)
     assert N.join(empty).collect() == []
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(1, "a b c d e f", "en", "s"), (5, "a b c d e f", "en", "s"), (5, "wholly different words stand here", "en", "s"), (None, "a b c d e f", "en", "s"), (None, "only rows without an id", "en", "s"), (None, "only rows without an id", "en", "s")]
+    assert got(made(spark, rows), 3, 90, 100) == brute(rows, 3, 90, 100)
+
+
 def test_search_meets_every_set_it_must():
     rng = np.random.default_rng(5)
     base = rng.choice(4000, 120, replace=False)
