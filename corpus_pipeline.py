@@ -22,24 +22,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets alike by 0.8 or more: the one with the smallest
-    id. Documents without words are linked with nothing and stay; a row without an id does too."""
-    found = ngram_join.join(docs, k=5, num=80, den=100)
-    dropped = common.staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    kept = docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
-    return once(kept)
-
-
-def once(docs: DataFrame) -> DataFrame:
-    """Of rows alike in id and text one; those without an id all stay."""
-    same = F.when(docs["doc_id"].isNotNull(), F.struct(docs["doc_id"], F.xxhash64(docs["text"])))
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return docs
-    rest = docs.where("doc_id is null")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    first = docs.where("doc_id is not null").groupBy(same.alias("_same")).agg(F.min(row).alias("row")).select("row.*")
-    return first.unionByName(rest)
+    """One document of each component of five-word shingle sets alike by 0.8 or more: the one with the smallest id
+    (rows without an id last; of unlike texts under one id, that of the smaller text hash). Rows are told apart by
+    id and text, so a text under a reused id is lost only if it has copies itself; of rows alike in both, one stays.
+    Documents without words are linked with nothing and stay."""
+    found = common.staged(ngram_join.joined(docs, k=5, num=80, den=100).where("component is not null").select("doc_id", "th", "component"), "near")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    firsts = found.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stays = (F.col("th") == F.col("first.th")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    decided = found.join(firsts, "component").groupBy("doc_id", "th").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("times"))
+    decided = common.staged(decided.where("not stays or times > 1").select(F.col("doc_id").alias("id"), "th", "stays"), "decided")
+    # a row is carried as one column, so no column of docs meets a name of this function
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("of_id"), F.xxhash64("text").alias("of_text"))
+    marked = rows.join(decided, F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_text") == F.col("th")), "left")
+    kept = marked.where("stays is null").select("row")
+    if not decided.where("stays").isEmpty():
+        once = marked.where("stays").groupBy("of_id", "of_text").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.unionByName(once.select("row"))
+    return kept.select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
