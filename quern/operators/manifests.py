@@ -1,0 +1,284 @@
+"""Dependency manifests: where a package's version constraint stands, and edits there that touch nothing else.
+
+Each format has a reader that yields Slots, the places of constraints; what becomes of a constraint is decided in
+one place. Requirement strings are read by their grammar (name, extras, specifiers, marker), TOML by a scanner of
+its tokens, setup.py by its syntax tree, requirements files and setup.cfg line by line.
+"""
+
+from __future__ import annotations
+
+import ast
+import fnmatch
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+_NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._-")
+_OPERATORS = "<>=!~^("
+
+
+@dataclass(frozen=True)
+class Slot:
+    """A constraint: text[start:stop] is it, with the blanks before it."""
+
+    start: int
+    stop: int
+    spec: str
+
+
+@dataclass(frozen=True)
+class Token:
+    """A string in a TOML file, without its quotes: its table, its key and whether it stands in a list."""
+
+    table: tuple[str, ...]
+    key: tuple[str, ...]
+    start: int
+    stop: int
+    listed: bool
+
+
+@dataclass(frozen=True)
+class Span:
+    """A table's body, or a list without its brackets."""
+
+    table: tuple[str, ...]
+    key: tuple[str, ...]
+    start: int
+    stop: int
+
+
+def canonical(name: str) -> str:
+    """Package names are alike in any case and with any of - _ . between their parts."""
+    return "-".join(p for p in name.lower().replace("_", "-").replace(".", "-").split("-") if p)
+
+
+def requirement(text: str, start: int, stop: int, package: str) -> Slot | None:
+    """The constraint of text[start:stop], if that requires the package."""
+    at = start
+    while at < stop and text[at].isspace():
+        at += 1
+    head = at
+    while at < stop and text[at] in _NAME:
+        at += 1
+    if at == head or canonical(text[head:at]) != canonical(package):
+        return None
+    after = at + len(text[at:stop]) - len(text[at:stop].lstrip())
+    if text[after : after + 1] == "[" and after < stop:
+        at = text.find("]", after, stop) + 1
+        if not at:
+            return None
+    end = text.find(";", at, stop)
+    body = text[at : end if end >= 0 else stop].rstrip()
+    if body.strip() and body.strip()[0] not in _OPERATORS:
+        return None
+    return Slot(at, at + len(body), body.strip())
+
+
+def toml(text: str) -> Iterator[Token | Span]:
+    """The strings, tables and lists of a TOML text, in order of their ends. Multi-line strings are passed over."""
+    table: tuple[str, ...] = ()
+    key: tuple[str, ...] = ()
+    body, word, at, n = 0, [], 0, len(text)
+    depth: list[tuple[str, int]] = []
+    value = False
+
+    def parts(found: list[str]) -> tuple[str, ...]:
+        return tuple(p for p in found if p)
+
+    while at < n:
+        c = text[at]
+        if c == "#":
+            at = text.find("\n", at) if "\n" in text[at:] else n
+            continue
+        if c in "\"'":
+            if text.startswith(c * 3, at):
+                end = text.find(c * 3, at + 3)
+                at = end + 3 if end >= 0 else n
+                continue
+            end = at + 1
+            while end < n and text[end] not in (c, "\n"):
+                end += 2 if c == '"' and text[end] == "\\" else 1
+            if value:
+                yield Token(table, key, at + 1, end, bool(depth) and depth[-1][0] == "[")
+            else:
+                word += [text[at + 1 : end], ""]
+            at = end + 1
+            continue
+        if not value and not depth and c == "[" and not parts(word):
+            yield Span(table, (), body, text.rfind("\n", 0, at) + 1)
+            line = text.find("\n", at)
+            line = n if line < 0 else line
+            named = text[at:line].split("#")[0].strip().strip("[]").split(".")
+            table, at, body = tuple(p.strip().strip("\"'") for p in named), line, min(n, line + 1)
+            continue
+        if value and c in "[{":
+            depth.append((c, at + 1))
+            if c == "{":
+                key, value, word = (*key, ""), False, []
+        elif c in "]}" and depth:
+            kind, opened = depth.pop()
+            if kind == "[":
+                yield Span(table, key, opened, at)
+            else:
+                key, value = key[:-1], True
+        elif c == "=" and not value:
+            found = parts([*word])
+            key = (*key[:-1], ".".join(found)) if depth else found
+            value, word = True, []
+        elif (c == "\n" and not depth) or (c == "," and depth and depth[-1][0] == "{"):
+            value, word = False, []
+            key = (*key[:-1], "") if depth else ()
+        elif not value:
+            word = word if c == "." or c.isspace() else word or [""]
+            if c == ".":
+                word.append("")
+            elif not c.isspace():
+                word[-1] += c
+        at += 1
+    yield Span(table, (), body, n)
+
+
+def _of_toml(text: str, package: str) -> Iterator[Slot]:
+    name = canonical(package)
+    for t in toml(text):
+        if not isinstance(t, Token):
+            continue
+        if t.listed:
+            if slot := requirement(text, t.start, t.stop, package):
+                yield slot
+            continue
+        path = [*t.table, *t.key]
+        own = path[:-1] if path and path[-1] == "version" else path
+        if len(own) > 1 and canonical(own[-1]) == name and own[-2].endswith("dependencies"):
+            yield Slot(t.start, t.stop, text[t.start : t.stop].strip())
+
+
+def _strings(text: str) -> Iterator[tuple[ast.AST, list[tuple[int, int]]]]:
+    """The lists of a Python source with the places of their strings' contents, in characters."""
+    lines = text.splitlines(keepends=True)
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line))
+    place = lambda row, col: starts[row - 1] + len(lines[row - 1].encode()[:col].decode())
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.List, ast.Tuple)):
+            found = []
+            for e in node.elts:
+                if isinstance(e, ast.Constant) and isinstance(e.value, str) and e.lineno == e.end_lineno:
+                    a, b = place(e.lineno, e.col_offset), place(e.end_lineno, e.end_col_offset)
+                    if text[a + 1 : b - 1] == e.value:
+                        found.append((a + 1, b - 1))
+            yield node, found
+
+
+def _of_python(text: str, package: str) -> Iterator[Slot]:
+    for _, found in _strings(text):
+        for a, b in found:
+            if slot := requirement(text, a, b, package):
+                yield slot
+
+
+def _of_lines(text: str, package: str) -> Iterator[Slot]:
+    at = 0
+    for line in text.splitlines(keepends=True):
+        bare = line.split("#")[0]
+        if slot := requirement(text, at, at + len(bare.rstrip()), package):
+            yield slot
+        at += len(line)
+
+
+READERS = {"requirements*.txt": _of_lines, "setup.cfg": _of_lines, "pyproject.toml": _of_toml, "setup.py": _of_python}
+
+
+def slots(name: str, text: str, package: str) -> list[Slot]:
+    """Constraints of the package in a manifest, whose file name tells its format."""
+    return [s for pattern, read in READERS.items() if fnmatch.fnmatchcase(name, pattern) for s in read(text, package)]
+
+
+def first_number(version: str) -> int | None:
+    """The first whole number of a version or constraint."""
+    digits = "".join(c if c.isdigit() else " " for c in version).split()
+    return int(digits[0]) if digits else None
+
+
+def constraint(name: str, text: str, package: str, old: str, new: str) -> tuple[str, int, list[str]]:
+    """A manifest with the package's constraints moved from one major version to another: text, number of edits,
+    and the constraints of yet other majors, which stay, as do those that are at the new one already."""
+    goal, left = first_number(new), first_number(old)
+    wanted = f">={new}" if goal is None else f">={new},<{goal + 1}"
+    out, end, edits, others = [], 0, 0, []
+    for s in sorted(slots(name, text, package), key=lambda s: s.start):
+        now = first_number(s.spec)
+        if now is not None and now != goal and left is not None and now != left:
+            others.append(s.spec)
+        elif now is None or now != goal:
+            out += [text[end : s.start], wanted]
+            end, edits = s.stop, edits + 1
+    return "".join([*out, text[end:]]), edits, others
+
+
+def names(text: str) -> set[str]:
+    """Every word of a text that could be a package's name."""
+    return {canonical(w) for w in "".join(c if c in _NAME else " " for c in text).split()}
+
+
+def with_requirement(name: str, text: str, package: str, spec: str) -> str:
+    """A manifest that names a package, which is added where it is missing: to a requirements file's end, to a
+    Pipfile's packages, to Poetry's dependencies or else to the project's list, to setup.py's install_requires.
+    A manifest without such a place stays as it is."""
+    if canonical(package) in names(text):
+        return text
+    if fnmatch.fnmatchcase(name, "requirements*.txt"):
+        return f"{text}{'' if text.endswith(chr(10)) or not text else chr(10)}{package}{spec}\n"
+    if name in ("Pipfile", "pyproject.toml"):
+        spans = [s for s in toml(text) if isinstance(s, Span)]
+        tables = [s for s in spans if not s.key and s.table in (("packages",) if name == "Pipfile" else ("tool", "poetry", "dependencies"), ("packages",))]
+        if tables:
+            at = tables[0].start + len(text[tables[0].start : tables[0].stop].rstrip())
+            return f'{text[:at]}{"" if text[:at].endswith(chr(10)) or at == tables[0].start else chr(10)}{package} = "{spec}"\n{text[at:].removeprefix(chr(10))}'
+        lists = [s for s in spans if s.table == ("project",) and s.key == ("dependencies",)]
+        return _listed(text, lists[0].start, lists[0].stop, package + spec) if lists and name == "pyproject.toml" else text
+    if name == "setup.py":
+        for node, found in _strings(text):
+            if found and _is_install_list(text, node):
+                return _listed(text, *_inside(text, found), package + spec)
+    return text
+
+
+def _is_install_list(text: str, node: ast.AST) -> bool:
+    line = text.splitlines()[node.lineno - 1].encode()[: node.col_offset].decode()
+    return line.rstrip().rstrip("=").rstrip().endswith("install_requires")
+
+
+def _inside(text: str, found: list[tuple[int, int]]) -> tuple[int, int]:
+    """A list's places between its brackets, given those of its strings."""
+    return text.rfind("[", 0, found[0][0]) + 1, text.find("]", found[-1][1])
+
+
+def _listed(text: str, start: int, stop: int, item: str) -> str:
+    """The text with one more string at the end of the list text[start:stop], laid out like the others."""
+    body = text[start:stop]
+    kept = body.rstrip()
+    comma = "" if not kept.strip() or kept.endswith(",") else ","
+    if "\n" not in body:
+        return f'{text[:start]}{kept}{comma}{" " if kept.strip() else ""}"{item}"{text[stop:]}'
+    row = kept.splitlines()[-1] if kept.strip() else "    "
+    margin = row[: len(row) - len(row.lstrip())] or "    "
+    return f'{text[:start]}{kept}{comma}\n{margin}"{item}",{body[len(kept) :]}{text[stop:]}'
+
+
+def constraints(manifests: DataFrame, package: str, old: str, new: str) -> DataFrame:
+    """path, before, after, n_edits and others of manifests (path, content)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = [(p, c, *constraint(p.rsplit("/", 1)[-1], c, package, old, new)) for p, c in zip(pdf["path"], pdf["content"])]
+            yield pd.DataFrame(made, columns=["path", "before", "after", "n_edits", "others"])
+
+    return manifests.select("path", "content").mapInPandas(run, "path string, before string, after string, n_edits int, others array<string>")

@@ -1,0 +1,109 @@
+import ast
+
+from quern.operators import codemods as C
+
+
+def done(source, models=()):
+    after, changes, issues = C.codemod_of(source, set(models))
+    ast.parse(after)
+    again = C.codemod_of(after, set(models))
+    assert again[0] == after and again[1] == []
+    return after, [c["rule_id"] for c in changes], [(i["issue_type"], i["risk"]) for i in issues]
+
+
+HEAD = "from pydantic import BaseModel, Field, parse_obj_as, validator, root_validator\n\n\n"
+
+
+def test_a_model_in_full():
+    source = """from pydantic import BaseModel, Field, parse_obj_as, validator
+
+
+class User(BaseModel):
+    name: str = Field(regex="^[a-z]+$", min_items=1)
+
+    class Config:
+        '''how'''
+        orm_mode = True
+        allow_mutation = False
+        anystr_lower = True
+
+    @validator("name", pre=True)
+    def clean(cls, value):
+        return value.strip()
+
+    def payload(self):
+        return self.dict(), self.__fields__, {}.copy()
+
+
+users = parse_obj_as(list[User], [User(name="é").dict()])
+made = User.from_orm(None)
+"""
+    after, rules, issues = done(source)
+    assert after.splitlines()[:2] == ["from pydantic import ConfigDict", "from pydantic import BaseModel, Field, TypeAdapter, field_validator"]
+    for part in ('Field(pattern="^[a-z]+$", min_length=1)', "model_config = ConfigDict(from_attributes=True, frozen=True, str_to_lower=True)", '@field_validator("name", mode="before")', "self.model_dump(), self.model_fields, {}.copy()", 'TypeAdapter(list[User]).validate_python([User(name="é").model_dump()])', "User.model_validate(None)"):
+        assert part in after
+    assert issues == [] and set(rules) >= {"pydantic.config-dict", "pydantic.from-orm", "pydantic.type-adapter", "pydantic.validator-mode", "pydantic.validator-import"}
+
+
+def test_receivers_must_be_proven():
+    source = "from m import User as U\n\n\ndef f(u: U, other, d):\n    x = U(a=1)\n    d = {}\n    return u.dict(), x.json(), other.copy(), d.copy(), other.parse_obj({}), u.__fields__, U.parse_obj({}), U().copy()\n\n\ndef g(u):\n    return u.dict()\n"
+    after, _, issues = done(source, {"U"})
+    assert "u.model_dump(), x.model_dump_json(), other.copy(), d.copy(), other.parse_obj({}), u.model_fields, U.model_validate({}), U().model_copy()" in after
+    assert after.endswith("return u.dict()\n") and issues == [("ambiguous_call", "medium")]
+
+
+def test_configs():
+    config = lambda body, base="BaseModel": f"from pydantic import {base}\n\n\nclass M({base}):\n    class Config:\n{body}"
+    for body, kind in (("        fields = {}\n", "removed_config"), ("        def f(): pass\n", "semantic_config"), ("        allow_mutation = x\n", "semantic_config")):
+        source = config(body)
+        after, rules, issues = done(source)
+        assert after == source and issues == [(kind, "high")]
+    assert "model_config = ConfigDict(extra='forbid')" in done(config("        extra = 'forbid'\n"))[0]
+    after, rules, issues = done(config("        '''d'''\n        env_file = '.env'\n", "BaseSettings"))
+    assert after.startswith("from pydantic_settings import SettingsConfigDict\nfrom pydantic_settings import BaseSettings\n") and "model_config = SettingsConfigDict(env_file='.env')" in after and not issues
+    outside = "class Config:\n    orm_mode = True\n"
+    assert done(outside) == (outside, [], [])
+
+
+def test_validators():
+    source = lambda dec, sig="cls, v": HEAD + f"class M(BaseModel):\n    y: int\n\n    @{dec}\n    def f({sig}):\n        return v\n"
+    after, _, issues = done(source("root_validator(pre=True)"))
+    assert '@model_validator(mode="before")' in after and "parse_obj_as, validator, model_validator" in after and not issues
+    for dec, sig in (("root_validator", "cls, v"), ("root_validator()", "cls, v"), ("validator('y', each_item=True)", "cls, v"), ("validator('y')", "cls, v, values"), ("validator('y')", "cls, v, **kw")):
+        after, _, issues = done(source(dec, sig))
+        assert after == source(dec, sig) and issues == [("semantic_validator", "high")]
+    after, rules, issues = done(source("validator('y', always=True, pre=False)"))
+    assert "@field_validator('y', always=True, mode=\"after\")" in after and issues == [("semantic_validator", "high")]
+    both = source("validator('y')") + "\n    @validator('y')\n    def g(cls, v, values):\n        return v\n"
+    after = done(both)[0]
+    assert after.startswith("from pydantic import field_validator\n") and "validator, root_validator" in after and "@field_validator('y')\n    def f" in after and "@validator('y')\n    def g" in after
+
+
+def test_fields_bases_and_defaults():
+    source = "from typing import Generic, Optional, TypeVar\nfrom pydantic import BaseModel\n\nT = TypeVar('T')\n\n\nclass P(BaseModel):\n    pass\n\n\nclass M(Generic[T], P):\n    a: Optional[str]\n    b: str | None\n    c: str\n    d: Optional[int] = 3\n"
+    after = done(source)[0]
+    assert "class M(P, Generic[T]):\n    a: Optional[str] = None\n    b: str | None = None\n    c: str\n    d: Optional[int] = 3\n" in after
+    assert done(HEAD + "class M(BaseModel):\n    a: int = Field(const=True)\n")[2] == [("semantic_field", "high")]
+
+
+def test_names_of_ones_own_stay():
+    source = "def validator(*a, **k):\n    return lambda f: f\n\n\ndef Field(**k):\n    return k\n\n\n@validator('x', pre=True)\ndef f():\n    return Field(regex='x')\n"
+    assert done(source) == (source, [], [])
+
+
+def test_heads_and_residuals():
+    source = "#!/usr/bin/env python3\n# -*- coding: utf-8 -*-\nfrom pydantic import BaseModel\n\n\nclass M(BaseModel):\n    class Config:\n        orm_mode = True\n"
+    assert done(source)[0].splitlines()[:4] == ["#!/usr/bin/env python3", "# -*- coding: utf-8 -*-", "from pydantic import ConfigDict", "from pydantic import BaseModel"]
+    old = "from pydantic.generics import GenericModel\nimport pydantic\n\n\nclass B(GenericModel):\n    pass\n\n\nS = pydantic.BaseSettings\nx = m.parse_file('d')\ny = f(json_encoders={})\n"
+    assert sorted(done(old)[2]) == [("deprecated_api", "high")] * 3 + [("deprecated_api", "medium")] * 2
+    assert done("NOTE = 'parse_file GenericModel'  # json_encoders\n\n\ndef _parse_file():\n    pass\n")[2] == []
+    assert C.codemod_of("def (", set())[2][0]["issue_type"] == "syntax_error"
+    assert C.with_import('"""d"""\nfrom __future__ import annotations\nx = 1\n', ["b", "a"], "m") == '"""d"""\nfrom __future__ import annotations\nfrom m import a, b\nx = 1\n'
+
+
+def test_frame(spark):
+    files = spark.createDataFrame([("a.py", "def f(u: U):\n    return u.dict()\n"), ("b.py", "def f(u: U):\n    return u.dict()\n")], "path string, content string")
+    models = spark.createDataFrame([("a.py", "U")], "path string, name string")
+    got = {r["path"]: r for r in C.codemods(files, models).collect()}
+    assert "u.model_dump()" in got["a.py"]["after"] and got["b.py"]["after"] == got["b.py"]["before"]
+    assert got["a.py"]["changes"][0]["rule_id"] == "pydantic.method-rename"

@@ -1,0 +1,48 @@
+from quern.operators import manifests as M
+
+
+def moved(name, text):
+    return M.constraint(name, text, "pydantic", "1.10", "2.8")
+
+
+def test_requirement_files():
+    assert moved("requirements.txt", "pydantic==1.10.2  # pin\nother==1\n") == ("pydantic>=2.8,<3  # pin\nother==1\n", 1, [])
+    assert moved("requirements-dev.txt", "-r x.txt\nPydantic [email] ~= 1.9 ; python_version > '3'\n")[0] == "-r x.txt\nPydantic [email]>=2.8,<3 ; python_version > '3'\n"
+    assert moved("requirements.txt", "pydantic>=2.1\n")[1:] == (0, []) and moved("requirements.txt", "pydantic==0.9\n")[1:] == (0, ["==0.9"])
+    assert moved("requirements.txt", "pydantic\n")[0] == "pydantic>=2.8,<3\n" and moved("requirements.txt", "pydantic-settings==1\npydantic_extra==1\n")[1] == 0
+    assert moved("notes.txt", "pydantic==1\n")[1] == 0 and moved("requirements.txt", "")[0] == ""
+
+
+def test_setup_files():
+    assert moved("setup.cfg", "[options]\ninstall_requires =\n    pydantic>=1.10,<2\n    x\n")[0] == "[options]\ninstall_requires =\n    pydantic>=2.8,<3\n    x\n"
+    source = "from setuptools import setup\nsetup(name='pydantic', install_requires=['é', 'pydantic[email]>=1.10; x', \"y\"])\n"
+    assert moved("setup.py", source)[0] == source.replace("]>=1.10;", "]>=2.8,<3;") and moved("setup.py", "setup(")[1] == 0
+
+
+def test_toml():
+    text = '[project]\nname = "pydantic"\ndependencies = [\n  "pydantic[email]>=1.10,<2; python_version>\'3\'", # "pydantic==1"\n  "x"]\n[project.optional-dependencies]\nall = ["pydantic"]\n'
+    assert moved("pyproject.toml", text) == (text.replace("]>=1.10,<2;", "]>=2.8,<3;").replace('["pydantic"]', '["pydantic>=2.8,<3"]'), 2, [])
+    assert moved("pyproject.toml", '[tool.poetry.dependencies]\npydantic = "^1.10"  # old\nx = "^1"\n')[0] == '[tool.poetry.dependencies]\npydantic = ">=2.8,<3"  # old\nx = "^1"\n'
+    assert moved("pyproject.toml", '[tool.poetry.dependencies]\npydantic = "^3.0"\n')[1:] == (0, ["^3.0"])
+    assert moved("pyproject.toml", '[tool.poetry.dependencies]\npydantic = {extras = ["e"], version = "^1.10"}\ny = {version = "1"}\n')[0] == '[tool.poetry.dependencies]\npydantic = {extras = ["e"], version = ">=2.8,<3"}\ny = {version = "1"}\n'
+    table = '[tool.poetry.dependencies.pydantic]\nextras = ["dotenv"]\nversion = "^1.10.9"\n\n[tool.poetry.dependencies.requests]\nversion = "^2.0"\n'
+    assert moved("pyproject.toml", table)[0] == table.replace("^1.10.9", ">=2.8,<3")
+    assert moved("pyproject.toml", 'a = """\npydantic = "1"\n"""\nb = "pydantic==1"\n')[1] == 0
+
+
+def test_companions():
+    add = lambda name, text: M.with_requirement(name, text, "b", ">=2")
+    assert add("requirements.txt", "a==1") == "a==1\nb>=2\n" and add("requirements.txt", "b-c==1\nb") == "b-c==1\nb" and add("requirements.txt", "") == "b>=2\n"
+    assert add("Pipfile", '[packages]\na = "*"\n\n[dev-packages]\nc = "*"\n') == '[packages]\na = "*"\nb = ">=2"\n\n[dev-packages]\nc = "*"\n'
+    assert add("pyproject.toml", '[build-system]\ndependencies = ["z"]\n[project]\ndependencies = ["a"]\n') == '[build-system]\ndependencies = ["z"]\n[project]\ndependencies = ["a", "b>=2"]\n'
+    assert add("pyproject.toml", '[project]\ndependencies = [\n  "a"\n]\n') == '[project]\ndependencies = [\n  "a",\n  "b>=2",\n]\n'
+    assert add("pyproject.toml", "[project]\ndependencies = []\n") == '[project]\ndependencies = ["b>=2"]\n'
+    assert add("pyproject.toml", '[project]\nname = "x"\n[tool.poetry.dependencies]\na = "1"\n') == '[project]\nname = "x"\n[tool.poetry.dependencies]\na = "1"\nb = ">=2"\n'
+    assert add("setup.py", "setup(install_requires=['a'], extras=['c'])\n") == "setup(install_requires=['a', \"b>=2\"], extras=['c'])\n"
+    assert add("pyproject.toml", '[tool.x]\ny = 1\n') == '[tool.x]\ny = 1\n' and add("README", "a") == "a"
+
+
+def test_frame(spark):
+    df = spark.createDataFrame([("sub/requirements.txt", "pydantic\n"), ("pyproject.toml", "")], "path string, content string")
+    got = {r["path"]: (r["after"], r["n_edits"], r["others"]) for r in M.constraints(df, "pydantic", "1", "2.8").collect()}
+    assert got == {"sub/requirements.txt": ("pydantic>=2.8,<3\n", 1, []), "pyproject.toml": ("", 0, [])}
