@@ -158,5 +158,5 @@ def mixed_documents(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
     chance = F.pmod(F.xxhash64(F.lit(seed + 1), docs["doc_id"], docs["text"]), F.lit(1 << 20)) / (1 << 20)
     carried = mix(docs, seed, carry=F.struct(chance.alias("chance"), F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row")), **how)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.col("carry.chance"))).cast("int")
-    carried = carried.withColumn("carry", F.col("carry.row"))
-    return carried.select(copies.alias("copies"), "carry").where("copies > 0").select(F.explode(F.array_repeat("carry", F.col("copies"))).alias("carry")).select("carry.*")
+    taken = carried.select(copies.alias("copies"), F.col("carry.row").alias("row")).where("copies > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
