@@ -19,9 +19,9 @@ smallest id reachable over links.
    thousands of near copies is not compared pair by pair.
 
 Groups of parts and of sets are dealt into cells of a bounded cost, in bytes of sketches and in elements, by
-linked(): members meet within their cell first, then a few of each component found, and in the end only those
-outside a group's largest component meet all others. A group of near copies, however large, so costs in
-proportion to its size; no link is lost.
+linked(): members meet those of their cell and some that are in all cells; then only those outside a group's
+largest component meet all others. A group of near copies, however large, so costs in proportion to its size; no
+link is lost.
 
 Which documents' texts are dealt anew for step 3 is settled before their shuffle by a bitmap of fixed size
 (BITS bits, 8 MB), whatever the input; beyond some hundred million such documents it only lets more through.
@@ -42,12 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_staged, frugal, lists, staged
+from .common import connected_components, drop_staged, frugal, lists, staged, stars
 
 #: Elements of sets and bytes of sketches (and 64 a row) that a cell's group holds; bytes read at a time.
 CELL, MEET, SLICE = 1 << 16, 1 << 19, 1 << 20
-#: Bits of the bitmap of documents in groups, and members of a component that stand for it.
-BITS, STAND = 1 << 26, 4
+#: Bits of the bitmap of documents in groups, and about how many members of a large group all its cells hold.
+BITS, STAND = 1 << 26, 16
 #: DivideSkip's weight of a probe against a step of the merge.
 MU = 0.0085
 _U = np.uint64
@@ -198,12 +198,19 @@ class Sketches:
     """Sets that share a part, by size and sketch: search gives those that may link."""
 
     def __init__(self, sizes: np.ndarray, sketches: list[bytes], num: int, den: int):
-        bins = min(map(len, sketches))
-        self.counts = np.stack([np.minimum(np.frombuffer(s, "u1").reshape(bins, -1).sum(axis=1), 255) for s in sketches]).astype(np.int16)
+        lengths = [len(s) for s in sketches]
+        bins = min(lengths)
+        flat = np.frombuffer(b"".join(sketches), "u1")
+        if max(lengths) == bins:
+            self.counts = flat.reshape(len(sketches), bins).astype(np.int16)
+        else:
+            # a larger sketch's neighbouring bins are added up
+            sums = np.add.reduceat(flat, np.concatenate([base + np.arange(0, n, n // bins) for base, n in zip(np.cumsum([0, *lengths[:-1]]), lengths)]), dtype=np.int64)
+            self.counts = np.minimum(sums, 255).astype(np.int16).reshape(len(sketches), bins)
         self.sizes, self.num, self.den = sizes, num, den
         self.live = np.ones(len(sizes), bool)
 
-    def remove(self, some: np.ndarray) -> None:
+    def remove(self, some: np.ndarray | int) -> None:
         self.live[some] = False
 
     def search(self, q: int) -> np.ndarray:
@@ -235,7 +242,7 @@ class Index:
         top = max((int(s[-1]) for s in self.sets), default=-1) + 2
         self.first = np.searchsorted(elements[order], np.arange(top))
 
-    def remove(self, some: np.ndarray) -> None:
+    def remove(self, some: np.ndarray | int) -> None:
         self.live[some] = False
         if self.live.sum() * 2 < self.held:
             self._build()
@@ -290,36 +297,35 @@ class Index:
         return np.array(out, np.int64), np.array(times, np.int64)
 
 
-def spread(index: Index | Sketches, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (rows of both ends) from searches by the rows of role QUERY. What a search finds among these joins its
-    component and leaves the index; other rows stay, and of the rows of role SETTLED, which are known to be in
-    one component, the first one found will do."""
-    asks, out = role == QUERY, []
+def spread(index: Index | Sketches, role: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Rows and what is linked with each, by searches from the rows of role QUERY. What a search finds among these
+    joins its component and leaves the index; other rows stay, and of the rows of role SETTLED, which are known to
+    be in one component, the first one found will do."""
+    asks, seeds, found_of = role == QUERY, [], []
     waiting = asks.copy()
     for seed in np.flatnonzero(asks).tolist():
         if not waiting[seed]:
             continue
-        waiting[seed] = False
-        index.remove(np.array([seed]))
-        open_rows, met, settled = [seed], [], -1
+        index.remove(seed)
+        open_rows, settled = [seed], False
         while open_rows:
-            found = index.search(open_rows.pop())
+            row = open_rows.pop()
+            found = index.search(row)
+            if not len(found):
+                continue
             mine = found[asks[found]]
             if len(mine):
                 index.remove(mine)
                 waiting[mine] = False
                 open_rows += mine.tolist()
-            rest = found[~asks[found]]
-            if len(known := rest[role[rest] == SETTLED]):
-                settled = int(known[0])
-            met += [mine, rest[role[rest] != SETTLED]]
-        if settled >= 0:
-            met.append(np.array([settled]))
-        if len(every := np.unique(np.concatenate(met))):
-            out.append((np.full(len(every), seed), every))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+            if len(mine) < len(found):
+                known = found[role[found] == SETTLED][: 0 if settled else 1]
+                settled |= len(known) > 0
+                found = np.concatenate([mine, found[role[found] == TARGET], known])
+            if len(found):
+                seeds.append(seed)
+                found_of.append(found)
+    return seeds, found_of
 
 
 QUERY, TARGET, SETTLED = 2, 1, 0
@@ -369,84 +375,64 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], pa.Ta
         yield made(held)
 
 
-def _searched(rows: DataFrame, index_of) -> DataFrame:
-    """Edges (a, b) of the members of each cell: rows with CELLS, role, cid and what index_of(rows) needs. A member
-    that comes twice counts once, as a query if it is one."""
+def _searched(rows: DataFrame, read, index_of) -> DataFrame:
+    """Edges (a, b) that join the members of each cell which searches link: rows with CELLS, role, cid and what
+    read(table) takes; index_of(read, rows of a cell) is the index. A member that comes twice counts once, as a
+    query if it is one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, table in packed(batches):
-            cid, role = table["cid"].to_numpy(), table["role"].to_numpy()
-            out = []
+            cid, role, held = table["cid"].to_numpy(), table["role"].to_numpy(), read(table)
+            ends, out = [], []
+            fresh = np.concatenate([[True], cid[1:] != cid[:-1]])
             for x, y in zip(at, at[1:]):
                 if y - x < 2:
                     continue
-                on = x + np.flatnonzero(np.concatenate([[True], cid[x + 1 : y] != cid[x : y - 1]]))
-                if len(on) < 2 or not (role[on] == QUERY).any():
+                on = np.arange(x, y) if fresh[x + 1 : y].all() else x + np.flatnonzero(np.concatenate([[True], fresh[x + 1 : y]]))
+                if len(on) < 2:
                     continue
-                i, j = spread(index_of(table, on), role[on])
-                if len(i):
-                    out.append((cid[on[i]], cid[on[j]]))
+                seeds, found = spread(index_of(held, on), role[on])
+                ends += [(cid[on[s]], len(f)) for s, f in zip(seeds, found)]
+                out += [cid[on[f]] for f in found]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([j for _, j in out]))], ["a", "b"])
+                a, b = stars(np.repeat(np.array([e for e, _ in ends]), [n for _, n in ends]), np.concatenate(out))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     order = [*CELLS, "cid", F.desc("role")]
     return rows.repartition(*CELLS).sortWithinPartitions(*order).mapInArrow(frugal(run), "a long, b long")
 
 
-def linked(rows: DataFrame, most: int, index_of, name: str) -> DataFrame:
+def linked(rows: DataFrame, most: int, read, index_of, name: str) -> DataFrame:
     """Edges (a, b), staged, that connect all members (cid) of a group (grp) that searches link, whatever its size.
 
-    rows: grp, cid, cost and what index_of needs. A group whose costs exceed `most` is dealt into cells of about
-    that much: each member to one cell; then, as long as that joins components, STAND members of each component to
-    new cells; then whatever is not in the group's largest component to cells with every other member."""
+    rows: grp, cid, cost and what `read` takes. A group whose costs exceed `most` is dealt into cells of about that
+    much. Each of its members goes to one cell, and some STAND members, the same ones, to all: like members of
+    different cells meet by them. Whatever is not in its group's largest component then goes to cells with every
+    other member."""
     pieces = lambda total, n: F.greatest(F.lit(1), F.least(n, F.ceil(total / most))).cast("int")
     none, query = F.lit(0).cast("int"), F.lit(QUERY).cast("int")
     cell = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "cid"), n).cast("int")
-    groups = staged(rows.groupBy("grp").agg(F.sum("cost").alias("total"), F.count("*").alias("n")).where("n > 1").select("grp", pieces(F.col("total"), F.col("n")).alias("cells")), name)
+    every = lambda n: F.sequence(none, n - 1)
+    groups = staged(rows.groupBy("grp").agg(F.sum("cost").alias("total"), F.count("*").alias("members")).where("members > 1").select("grp", "members", pieces(F.col("total"), F.col("members")).alias("cells")), name)
     dealt = rows.join(groups, "grp")
-    edges = staged(_searched(dealt.withColumns({"a": none, "j": cell(1, F.col("cells")), "role": query}).drop("cells", "cost"), index_of), name)
+    stands = (F.col("cells") > 1) & (F.pmod(F.xxhash64(F.lit(2), "cid"), F.col("members")) < STAND)
+    placed = dealt.withColumn("j", F.explode(F.when(stands, every(F.col("cells"))).otherwise(F.array(cell(1, F.col("cells"))))))
+    edges = staged(_searched(placed.withColumns({"a": none, "role": query}).drop("cells", "members", "cost"), read, index_of), name)
     if groups.where("cells > 1").isEmpty():
         drop_staged(groups)
         return edges
-    large = staged(dealt.where("cells > 1"), name)
-    before = None
-    for turn in range(2, 64):
-        of, most_of = _components(large, edges, name)
-        count = of.select("grp", "component").distinct().count()
-        if count == before:
-            break
-        before = count
-        some = of.groupBy("grp", "component").agg(*[F.min(F.struct(F.xxhash64(F.lit(100 * turn + i), "cid").alias("h"), "cid", "cost")).alias(f"s{i}") for i in range(STAND)])
-        some = some.select("grp", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"s{i}.cid").alias("cid"), F.col(f"s{i}.cost").alias("cost")) for i in range(STAND)]))).alias("s")).select("grp", "s.*")
-        parts = some.groupBy("grp").agg(F.sum("cost").alias("total"), F.count("*").alias("n")).where("n > 1").select("grp", pieces(F.col("total"), F.col("n")).alias("parts"))
-        chosen = staged(some.join(parts, "grp").select("grp", "cid", cell(turn, F.col("parts")).alias("j"), "parts"), name)
-        found = _searched(large.drop("cells", "cost").join(chosen.drop("parts"), ["grp", "cid"]).withColumns({"a": none, "role": query}), index_of)
-        more = staged(edges.unionByName(found), name)
-        whole = chosen.where("parts > 1").isEmpty()
-        drop_staged(edges, of, most_of, chosen)
-        edges = more
-        if whole:
-            of, most_of = _components(large, edges, name)
-            break
-    asks = of.join(most_of, "grp").where("component <> largest").select("grp", "cid", "cost")
-    parts = staged(asks.groupBy("grp").agg(F.sum("cost").alias("total"), F.count("*").alias("n")).select("grp", pieces(F.col("total"), F.col("n")).alias("parts")), name)
-    marked = large.drop("cost").join(of.select("grp", "cid", "component"), ["grp", "cid"]).join(most_of, "grp").join(parts, "grp")
-    marked = marked.withColumn("apart", F.col("component") != F.col("largest")).drop("component", "largest")
-    queries = marked.where("apart").select("*", F.explode(F.sequence(none, F.col("cells") - 1)).alias("j")).withColumns({"a": cell(99, F.col("parts")), "role": query})
-    targets = marked.select("*", F.explode(F.sequence(none, F.col("parts") - 1)).alias("a")).withColumns({"j": cell(1, F.col("cells")), "role": F.col("apart").cast("int")})
-    cells = queries.unionByName(targets).drop("cells", "parts", "apart")
-    out = staged(edges.unionByName(_searched(cells, index_of)), name)
-    drop_staged(groups, large, edges, of, most_of, parts)
-    return out
-
-
-def _components(large: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """grp, cid, cost and component of the members of large groups; grp and its largest component."""
-    found = connected_components(edges, name)
+    large = staged(dealt.where("cells > 1").drop("members"), name)
+    found = connected_components(edges.join(large.select(F.col("cid").alias("a")).distinct(), "a", "left_semi"), name)
     of = staged(large.select("grp", "cid", "cost").join(found, F.col("cid") == F.col("node"), "left").select("grp", "cid", "cost", F.coalesce("component", "cid").alias("component")), name)
-    sizes = of.groupBy("grp", "component").agg(F.sum("cost").alias("n"))
-    largest = staged(sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest")), name)
-    drop_staged(found)
-    return of, largest
+    largest = of.groupBy("grp", "component").agg(F.sum("cost").alias("n")).groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    marked = staged(of.join(largest, "grp").select("grp", "cid", "cost", (F.col("component") != F.col("largest")).alias("apart")), name)
+    parts = marked.where("apart").groupBy("grp").agg(F.sum("cost").alias("total"), F.count("*").alias("n")).select("grp", pieces(F.col("total"), F.col("n")).alias("parts"))
+    given = large.drop("cost").join(marked.drop("cost"), ["grp", "cid"]).join(parts, "grp")
+    queries = given.where("apart").select("*", F.explode(every(F.col("cells"))).alias("j")).withColumns({"a": cell(3, F.col("parts")), "role": query})
+    targets = given.select("*", F.explode(every(F.col("parts"))).alias("a")).withColumns({"j": cell(1, F.col("cells")), "role": F.col("apart").cast("int")})
+    out = staged(edges.unionByName(_searched(queries.unionByName(targets).drop("cells", "parts", "apart"), read, index_of)), name)
+    drop_staged(groups, large, edges, found, of, marked)
+    return out
 
 
 def identified(docs: DataFrame, k: int) -> DataFrame:
@@ -527,11 +513,13 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     sketched = met.join(classes.select("h1", "h2", F.col("n_shingles").cast("int").alias("n"), "sketch", "cid"), ["h1", "h2"])
     sketched = sketched.select(F.col("part").alias("grp"), "cid", (F.octet_length("sketch") + 64).cast("long").alias("cost"), "n", "sketch")
 
-    def by_sketch(table: pa.Table, on: np.ndarray) -> Sketches:
-        some = table.take(pa.array(on))
-        return Sketches(some["n"].to_numpy().astype(np.int64), some["sketch"].to_pylist(), num, den)
+    def sketches(table: pa.Table) -> tuple:
+        return table["n"].to_numpy().astype(np.int64), table["sketch"].to_pylist()
 
-    edges = linked(sketched, MEET, by_sketch, "meeting")
+    def by_sketch(held: tuple, on: np.ndarray) -> Sketches:
+        return Sketches(held[0][on], [held[1][i] for i in on.tolist()], num, den)
+
+    edges = linked(sketched, MEET, sketches, by_sketch, "meeting")
     whole = connected_components(edges, "blocks")
     blocks = staged(whole.select(F.col("node").alias("cid"), F.col("component").alias("grp")).union(whole.select("component", "component")).distinct(), "blocks")
     key = F.struct("doc_id", "th").alias("key")
@@ -539,11 +527,13 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     texts = among(_keyed(docs).withColumn("key", F.struct("doc_id", "th")), active).groupBy("doc_id", "th").agg(F.first("text").alias("text")).toDF("of_id", "of_th", "text")
     sets = staged(_sets(texts.join(active, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))), k), "elements")
 
-    def by_element(table: pa.Table, on: np.ndarray) -> Index:
-        some = lists(table["elements"].take(pa.array(on)))
-        return Index([s.view(np.uint64) for s in some], num, den)
+    def elements(table: pa.Table) -> list[np.ndarray]:
+        return lists(table["elements"])
+
+    def by_element(held: list[np.ndarray], on: np.ndarray) -> Index:
+        return Index([held[i].view(np.uint64) for i in on.tolist()], num, den)
 
-    links = linked(sets, CELL, by_element, "links")
+    links = linked(sets, CELL, elements, by_element, "links")
     found = connected_components(links, "links")
     placed = classes.join(found, F.col("cid") == F.col("node"), "left").select(*name, "doc_id", F.coalesce("component", "cid").alias("component"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -62,7 +62,7 @@ def test_against_brute_force(spark, k, num, den):
     assert got(made(spark, rows), k, num, den) == brute(rows, k, num, den)
 
 
-@pytest.mark.parametrize("cell,meet", [(60, 400), (200, 1 << 19), (1 << 16, 300)])
+@pytest.mark.parametrize("cell,meet", [(60, 400), (200, 1 << 19)])
 def test_groups_dealt_into_cells(spark, monkeypatch, cell, meet):
     monkeypatch.setattr(N, "CELL", cell)
     monkeypatch.setattr(N, "MEET", meet)
