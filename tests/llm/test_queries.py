@@ -124,14 +124,3 @@ def test_op10(spark, documents):
     assert len(got) == len(documents) and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.7)).all()
     known = got.merge(labels)
     assert ((known.score >= 0.5) == (known.quality == 1)).mean() > 0.8
-
-
-def test_op4_spans_are_in_their_keepers(spark, documents):
-    text = dict(zip(documents.doc_id, documents.text))
-    got = run(spark, "op4_substring_dedup")
-    for r in got.itertuples():
-        assert all(k < r.doc_id for k in r.kept_in)
-        if len(r.kept_in) == 1:
-            part = text[r.doc_id].encode()[r.start : r.stop]
-            words = part.split()
-            assert b" ".join(words[:10]) in b" ".join(text[r.kept_in[0]].encode().split())

@@ -1,8 +1,10 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 from quern.llm import substring_dedup as S
+from tests.conftest import SF
 from tests.llm.conftest import made
 
 
@@ -34,7 +36,7 @@ def test_planted_passages_are_caught_and_nothing_else(spark):
     text = {d: t.encode() for d, t, *_ in rows}
     for r in got:
         part = text[r["doc_id"]][r["start"] : r["stop"]]
-        assert part in passages[at[r["doc_id"]]].encode() and r["n_bytes"] == len(part) and want[r["doc_id"]] in r["kept_in"]
+        assert part.rstrip() in passages[at[r["doc_id"]]].encode() and r["n_bytes"] == len(part) and want[r["doc_id"]] in r["kept_in"]
     left = {r["doc_id"]: r for r in S.deduplicated(made(spark, rows)).collect()}
     for j in want:
         assert passages[at[j]] not in left[j]["text"] and left[j]["n_chars"] == len(left[j]["text"])
@@ -64,11 +66,69 @@ def test_cuts_follow_the_content():
     rng = random.Random(2)
     v = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(500)]
     body = " ".join(words(rng, 400, v))
-    a, b = S.runs_of([body.encode(), ("inserted words here " + body).encode()])
+    a, b = S.chunks_of([body.encode(), ("inserted words here " + body).encode()])
     shift = len("inserted words here ")
-    same = {(x, y, d) for x, y, d in a} & {(x - shift, y - shift, d) for x, y, d in b}
-    assert len(same) >= len(a) - 3
-    assert S.runs_of([b"few words"]) == [[]] and S.runs_of([b""]) == [[]]
+    same = {(x, y, n, d) for x, y, n, d in a} & {(x - shift, y - shift, n, d) for x, y, n, d in b}
+    assert len(same) >= len(a) - 3 and sum(n for *_, n, _ in a) == 400 and [y for _, y, *_ in a[:-1]] == [x for x, *_ in a[1:]]
+    assert max(n for *_, n, _ in a) <= S.SPAN and S.chunks_of([b"few words"]) == [[]] and S.chunks_of([b""]) == [[]]
+
+
+def windows(text, n):
+    """(start, stop, bytes) of each n words in a row."""
+    at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    return [(a[0], b[1], text[a[0] : b[1]]) for a, b in zip(at, at[n - 1 :])]
+
+
+def against_brute_force(rows, found):
+    """All that an earlier row holds too, in passages of 51 words, is in a span; whatever is in a span stands in a
+    passage of WORDS words that an earlier row holds."""
+    texts = sorted((d, t.encode()) for d, t in rows)
+    first = {n: {} for n in (S.WORDS, 51)}
+    for n, seen in first.items():
+        for d, t in texts:
+            for *_, w in windows(t, n):
+                seen.setdefault(w, d)
+    spans = defaultdict(list)
+    for r in found:
+        spans[r["doc_id"]].append((r["start"], r["stop"]))
+    wanted = 0
+    for d, t in texts:
+        for a, b, w in windows(t, 51):
+            if first[51][w] < d:
+                wanted += 1
+                assert any(x <= a and b <= y for x, y in spans[d]), (d, a, b)
+        sound = [(a, b) for a, b, w in windows(t, S.WORDS) if first[S.WORDS][w] < d]
+        for x, y in spans[d]:
+            inside = [(a, b) for a, b in sound if x <= a and b <= y]
+            for a, b, _ in windows(t, 1):
+                if x <= a and b <= y:
+                    assert any(p <= a and b <= q for p, q in inside), (d, x, y)
+    return wanted
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(31)
+    rows, passages, _ = planted(7, 60)
+    rows = [(d, t) for d, t, *_ in rows]
+    rows += [(300 + i, " ".join([passages[i][:90], rng.choice(rows)[1], passages[i + 1], passages[i]])) for i in range(20)]
+    rows += [(400 + i, rows[i][1]) for i in range(0, 30, 3)]
+    assert against_brute_force(rows, S.duplicates(made(spark, [(d, t, "en", "s") for d, t in rows])).collect()) > 1000
+
+
+def test_a_table_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert against_brute_force([(r["doc_id"], r["text"] or "") for r in docs.collect()], S.duplicates(docs).collect()) > 100
+
+
+def test_names_of_its_own_do_not_clash(spark):
+    names = ["row", "of_id", "of_text", "id", "h", "spans", "cut", "hits", "start", "_spans", "_span_id", "_span_h", "size"]
+    passage = " ".join(f"w{k}" for k in range(80))
+    rows = [(i, f"{'x ' * i}{passage} y{i}", i, *["v"] * len(names), {"k": i}) for i in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names) + ", m map<string,int>")
+    out = S.deduplicated(docs)
+    assert out.dtypes == docs.dtypes
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1]["text"] == rows[0][1] and passage not in got[2]["text"] and got[2]["n_chars"] == len(got[2]["text"]) and got[2]["m"] == {"k": 2} and got[2]["h"] == "v"
 
 
 def test_hash_depends_on_sixteen_bytes():
