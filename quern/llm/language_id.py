@@ -4,8 +4,9 @@ The subwords of a text are its byte n-grams (orders NGRAMS) after lower-casing,
 characters than letters seen as one space; each is hashed to one of BUCKETS rows of an embedding table. A text is the mean of its
 rows; a linear layer and a softmax give the languages' probabilities. Both layers are trained together by
 stochastic gradient descent in numpy, over excerpts of a bounded sample of labelled rows: at most about
-PER_LANG rows of a language, chosen by a hash of doc_id, one excerpt of at most EXCERPT characters from a
-hashed place of each. A tenth of the sample is kept out of training and sets the temperature of the softmax and the score below
+PER_LANG rows of a language and SAMPLE in all, chosen by a hash of doc_id, one excerpt of at most EXCERPT
+characters from a hashed place of each. The MAX_LANGS most frequent values of lang are learned; rows of others
+teach nothing and get the learned language that they are most like, or are rejected. A tenth of the sample is kept out of training and sets the temperature of the softmax and the score below
 which a prediction is rejected: the score that LOST of the right predictions fall short of, at most MOST.
 
 Prediction reads whole texts. As both layers are linear, a text's logits are the mean of its n-grams' own
@@ -31,7 +32,7 @@ from pyspark.sql.types import StructType
 from .common import frugal
 
 NGRAMS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 16
-PER_LANG, EXCERPT, MAX_LANGS = 1500, 1200, 500
+PER_LANG, SAMPLE, EXCERPT, MAX_LANGS = 1500, 60_000, 1200, 500
 EPOCHS, BATCH, RATE = 8, 32, 0.5
 LOST, MOST = 0.0005, 0.4
 UNKNOWN = "und"
@@ -180,17 +181,17 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Excerpts and languages of the bounded sample."""
     rows = docs.where(learnable(docs["doc_id"]) & docs["lang"].isNotNull()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return [], []
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, PER_LANG / n))]), F.col("lang"))
+    each = min(PER_LANG, SAMPLE // len(counts))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))]), F.col("lang"))
+    rows = rows.where(F.col("lang").isin(*counts))
     pick = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / (1 << 30)
     length = F.lit(EXCERPT) * (F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(4)) + 1) / 4
     start = 1 + F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.greatest(F.length("text") - length.cast("int") + 1, F.lit(1)))
     chosen = rows.where((pick < share) & F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", start.cast("int"), length.cast("int")).alias("text"))
-    found = [r for r in chosen.orderBy("doc_id", "lang", "text").limit(2 * PER_LANG * len(counts)).collect() if _LETTER.search(r["text"])]
+    found = [r for r in chosen.orderBy("doc_id", "lang", "text").limit(2 * each * len(counts)).collect() if _LETTER.search(r["text"])]
     return [r["text"] for r in found], [r["lang"] for r in found]
 
 

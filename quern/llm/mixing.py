@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 MAX_SOURCES = 1_000_000
-BUCKETS, SHARDS, BLOCK = 4096, 64, 32
+BUCKETS, SHARDS, BLOCK, ROWS = 4096, 64, 32, 4096
 
 
 def cycle_weight(rank: int) -> float:
@@ -115,26 +115,32 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, ceiling: int = 3, shards: int = SHARDS, buckets: int = BUCKETS, carry: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of each row, and `carry` where it is given."""
+def _mixed(docs: DataFrame, seed: int = 1, block: int = BLOCK, ceiling: int = 3, shards: int = SHARDS, buckets: int = BUCKETS, carry: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of each row; where `carry` is given, it and what deals
+    rows into windows."""
     spark = docs.sparkSession
     named = F.coalesce(docs["doc_id"].cast("string"), F.md5(F.coalesce(docs["text"], F.lit(""))))
     order = F.md5(F.concat(F.lit(f"{seed}:"), named))
     # a key that is never null: null-safe equality would have the rows, texts and all, dealt once more for each join
     key = F.when(docs["source"].isNull(), F.lit("")).otherwise(F.concat(F.lit("="), docs["source"].cast("string")))
-    recs = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), key.alias("key"), words(docs["text"]).alias("size"), order.alias("ord"), F.floor(F.conv(F.substring(order, 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).alias("bucket"), *([carry.alias("carry")] if carry is not None else []))
-    cells = recs.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
-    rows = [(r["key"][1:] if r["key"] else None, r["n"]) for r in cells.groupBy("key").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).toLocalIterator()]
-    if len(rows) > MAX_SOURCES:
+    fine = F.floor(F.conv(F.substring(order, 1, 6), 16, 10).cast("long") * buckets / (1 << 24))
+    recs = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), key.alias("key"), words(docs["text"]).alias("size"), order.alias("ord"), fine.alias("bucket"), *([carry.alias("carry")] if carry is not None else []))
+    cells = recs.groupBy("key", "bucket").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+    found = [(r["key"], r["n"], r["rows"]) for r in cells.groupBy("key").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).limit(MAX_SOURCES + 1).toLocalIterator()]
+    if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    per_source = spark.createDataFrame([("" if r[0] is None else "=" + r[0], *r[1:]) for r in plan(rows, block, ceiling, shards, seed)], PLAN)
-    if len(rows) <= 10_000:  # then at most some 20 MB
-        per_source = F.broadcast(per_source)
-    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("key", "bucket").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = recs.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = placed.join(starts, ["key", "bucket"]).withColumn("at", F.col("base") + F.col("local")).join(per_source, "key")
+    named = lambda k: k[1:] if k else None
+    per_source = spark.createDataFrame([("" if r[0] is None else "=" + r[0], *r[1:]) for r in plan([(named(k), n) for k, n, _ in found], block, ceiling, shards, seed)], PLAN)
+    # a source's buckets are put together until they hold some ROWS rows, so a small source is one window
+    merged = spark.createDataFrame([(k, min(buckets, 1 << max(0, -(-rows // ROWS) - 1).bit_length())) for k, _, rows in found], "key string, dealt long")
+    if len(found) <= 10_000:  # then at most some 20 MB
+        per_source, merged = F.broadcast(per_source), F.broadcast(merged)
+    cell = F.floor(F.col("bucket") * F.col("dealt") / buckets).alias("cell")
+    before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.join(merged, "key").groupBy("key", cell).agg(F.sum("n").alias("n")).select("key", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("key", "cell").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = recs.join(merged, "key").withColumn("cell", cell).drop("bucket", "dealt").withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = placed.join(starts, ["key", "cell"]).withColumn("at", F.col("base") + F.col("local")).join(per_source, "key")
     begin, end = F.col("at"), F.col("at") + F.col("size")
 
     def taken_of(j: Column) -> Column:
@@ -148,15 +154,24 @@ def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, ceiling: int = 3, sh
 
     span = F.sequence(F.floor(begin / block), F.floor((end - 1) / block))
     taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.aggregate(span, F.lit(0).cast("long"), lambda acc, j: acc + taken_of(j)))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["carry"] if carry is not None else []))
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["carry", "key", "cell", "ord"] if carry is not None else []))
+
+
+def mix(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of each row."""
+    return _mixed(docs, seed, **how)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
-    """The documents of the mix, with the columns of docs: a row comes taken / size times, the fraction settled
-    by a hash of its id and text, so a source meets its quota in
-    expectation and, with many documents, closely. Rows without words, which no share in words can weigh, come once."""
-    chance = F.pmod(F.xxhash64(F.lit(seed + 1), docs["doc_id"], docs["text"]), F.lit(1 << 20)) / (1 << 20)
-    carried = mix(docs, seed, carry=F.struct(chance.alias("chance"), F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row")), **how)
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.col("carry.chance"))).cast("int")
-    taken = carried.select(copies.alias("copies"), F.col("carry.row").alias("row")).where("copies > 0")
+    """The documents of the mix, with the columns of docs: a row comes taken / size times. Fractions are rounded
+    along each window's rows from the largest on, as differences of whole parts of running sums, so a window's words
+    are off by less than its largest document's, and a source of ROWS rows or less is one window. Rows without words, which
+    no share in words can weigh, come once."""
+    carried = _mixed(docs, seed, carry=F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]), **how)
+    one = 1 << 20
+    part = F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col("taken") * one / F.greatest(F.col("size"), F.lit(1)))).cast("long")
+    along = Window.partitionBy("key", "cell").orderBy(F.desc("size"), "ord").rowsBetween(Window.unboundedPreceding, 0)
+    summed = carried.withColumn("part", part).withColumn("upto", F.sum("part").over(along) + one // 2)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("upto") / one) - F.floor((F.col("upto") - F.col("part")) / one)).cast("int")
+    taken = summed.select(copies.alias("copies"), F.col("carry").alias("row")).where("copies > 0")
     return taken.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")

@@ -494,12 +494,13 @@ def among(rows: DataFrame, keys: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row, and th, the xxhash64 of its text."""
-    return joined(docs, k, num, den).select("doc_id", "n_shingles", "component_id", "th")
+    """doc_id, n_shingles and component_id of each row."""
+    return joined(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The same and `component`, a number that rows of one component share (null without words)."""
+    """The same, th (the xxhash64 of the text) and `component`, a number that rows of one component share (null
+    without words)."""
     rows = staged(identified(docs, k), "sets")
     name = ["h1", "h2", "n_shingles"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")

@@ -6,8 +6,10 @@ before each block of BLOCK_BITS bits. Any token is read by one chunk, one bit an
 is decoded in blocks. A document index gives the first token of each document.
 
 Corpus order is ascending doc_id (null first; equal ids by a hash of the text). Rows are range-partitioned
-once, each partition is encoded and written as one file under a name of its attempt and then renamed, so a
-task that runs twice leaves the same file. The driver gathers one row per file, for the files' offsets.
+once; a task encodes its partition into files of about FILE_TOKENS tokens (more only where one document has
+more), so what it holds doesn't grow with the partition. A file is written under a name of its attempt and then
+renamed, so a task that runs twice leaves the same files. The driver gathers one row per file, for the files'
+offsets.
 
 Defined cases: null is encoded as the empty text; every document ends with `end_id`, so even an empty one has
 a token; special-token strings in a text get what the tokenizer gives them; repeated rows are written as
@@ -32,6 +34,7 @@ from .common import new_dir, remote, write_once
 
 MAGIC = b"QDAC0001"
 WIDTH, BLOCK_BITS = 8, 512
+FILE_TOKENS = 8_000_000
 _HEAD = struct.Struct("<8sQQQ")
 
 
@@ -195,46 +198,53 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 0, out: str | None = None) -> tuple[str, list[tuple[int, int, int]]]:
-    """Writes the files; their folder, and (number, documents, tokens) of each in corpus order."""
+def write(docs: DataFrame, tokenizer: str, end_id: int = 0, out: str | None = None, file_tokens: int = FILE_TOKENS) -> tuple[str, list[tuple[str, int, int]]]:
+    """Writes the files; their folder, and (name, documents, tokens) of each in corpus order."""
     out = out or new_dir(docs.sparkSession, "tokens")
     end = struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part, n = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        fs, folder = remote(out)
+
+        def put(ids: bytearray, doc_ids: list[int | None], lengths: list[int]) -> pa.RecordBatch:
+            fs.create_dir(folder, recursive=True)
+            name = f"{part:07d}-{n:05d}.dac"
+            write_once(fs, f"{folder}/{name}", lambda f: [f.write(x) for x in DacWriter.pack(np.frombuffer(ids, "<u4"), doc_ids, np.cumsum(lengths))])
+            return pa.RecordBatch.from_pydict({"name": [name], "docs": [len(doc_ids)], "tokens": [len(ids) // 4]})
+
         ids, doc_ids, lengths = bytearray(), [], []
         for batch in batches:
             for d, text in zip(batch["doc_id"], batch["text"]):
                 got = enc(text.as_py() or "")
+                if doc_ids and (len(ids) + len(got)) // 4 >= file_tokens:
+                    yield put(ids, doc_ids, lengths)
+                    ids, doc_ids, lengths, n = bytearray(), [], [], n + 1
                 ids += got
                 ids += end
                 doc_ids.append(d.as_py())
                 lengths.append(len(got) // 4 + 1)
         if doc_ids:
-            flat = np.frombuffer(ids, "<u4")
-            fs, folder = remote(out)
-            fs.create_dir(folder, recursive=True)
-            write_once(fs, f"{folder}/{part:07d}.dac", lambda f: [f.write(x) for x in DacWriter.pack(flat, doc_ids, np.cumsum(lengths))])
-            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(doc_ids)], "tokens": [len(flat)]})
-            pa.default_memory_pool().release_unused()
+            yield put(ids, doc_ids, lengths)
+        pa.default_memory_pool().release_unused()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    files = ordered.mapInArrow(encode, "part long, docs long, tokens long").collect()
-    return out, sorted((f["part"], f["docs"], f["tokens"]) for f in files)
+    files = ordered.mapInArrow(encode, "name string, docs long, tokens long").collect()
+    return out, sorted((f["name"], f["docs"], f["tokens"]) for f in files)
 
 
-def read(spark: SparkSession, out: str, files: list[tuple[int, int, int]], digest: bool = True) -> DataFrame:
+def read(spark: SparkSession, out: str, files: list[tuple[str, int, int]], digest: bool = True) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (or, without digest, ids) of each document in the files."""
     base, rows = 0, []
-    for part, _, tokens in files:
-        rows.append((part, base))
+    for name, _, tokens in files:
+        rows.append((name, base))
         base += tokens
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = remote(out)
         for batch in batches:
-            for part, first in zip(batch["part"].to_pylist(), batch["base"].to_pylist()):
-                with fs.open_input_file(f"{folder}/{part:07d}.dac") as f:
+            for name, first in zip(batch["name"].to_pylist(), batch["base"].to_pylist()):
+                with fs.open_input_file(f"{folder}/{name}") as f:
                     dac = DacFile(f.read())
                 for a in range(0, dac.docs, 2000):
                     ks = range(a, min(a + 2000, dac.docs))
@@ -244,5 +254,5 @@ def read(spark: SparkSession, out: str, files: list[tuple[int, int, int]], diges
                     last = pa.array([zlib.crc32(x) for x in found], pa.int64()) if digest else pa.array([x.tolist() for x in found], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(dac.doc_ids[a : a + 2000], mask=dac.null[a : a + 2000].astype(bool)), pa.array([first + s for s in starts]), pa.array([len(x) for x in found], pa.int64()), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    plan = spark.createDataFrame(rows, "part long, base long").repartition(max(1, len(rows)))
+    plan = spark.createDataFrame(rows, "name string, base long").repartition(max(1, len(rows)))
     return plan.mapInArrow(decode, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 from quern.llm import language_id as L
@@ -49,3 +51,41 @@ def test_long_texts_are_read_whole():
     text = (EN + " ") * 30 + (FR + " ") * 300
     whole, parts = model.predict([text])[0], model.predict([text], batch_chars=5000)[0]
     assert whole[0] == parts[0] == "fr" and abs(whole[1] - parts[1]) < 0.05
+
+
+def plain_scores(model, text):
+    """The probabilities of a text, n-gram by n-gram."""
+    raw = (" " + re.sub(r"[\W\d_]+", " ", text.lower()) + " ").encode()
+    sums, count = [0.0] * len(model.langs), 0
+    for a in range(len(raw)):
+        h = 0
+        for n in range(1, 5):
+            if a + n > len(raw):
+                break
+            h = (h + raw[a + n - 1] * (int(L._MIX[n - 1]) * (2 * n + 1) % 2**32)) % 2**32
+            h ^= h >> 13
+            if n >= 2:
+                bucket = (h * 0x9E3779B1 % 2**32) >> 16
+                sums = [x + float(t) for x, t in zip(sums, model.table[bucket])]
+                count += 1
+    z = [x / count + float(b) for x, b in zip(sums, model.bias)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_scores_against_a_plain_loop(spark):
+    docs = corpus(spark)
+    model = L.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in L.identify(docs, model).collect():
+        p = plain_scores(model, texts[r["doc_id"]])
+        assert abs(max(p) - r["score"]) < 1e-4 and model.langs[p.index(max(p))] == r["lang_pred"]
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGS", 2)
+    monkeypatch.setattr(L, "SAMPLE", 60)
+    docs = corpus(spark).union(made(spark, [(1000 + i, EN, f"x{i}", None) for i in range(20)]))
+    texts, langs = L.sample(docs)
+    assert set(langs) == {"en", "fr"} and len(texts) <= 120
+    assert {r["lang_pred"] for r in L.identify(docs, L.fit(docs)).collect()} <= {"en", "fr"}

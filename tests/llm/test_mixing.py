@@ -2,6 +2,7 @@ import random
 import re
 
 from quern.llm import mixing as M
+from tests.llm.conftest import made
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,3 +59,15 @@ def test_mixed_documents_keep_the_columns(awkward):
     taken = sum(r["taken"] for r in M.mix(awkward).collect())
     words = sum(len(WORD.findall(r["text"] or "")) for r in out.collect())
     assert abs(words - taken) < 0.5 * taken
+
+
+def test_each_source_ends_within_a_document_of_its_quota(spark):
+    rows = [(i, " ".join(["w"] * n), "en", s) for i, (s, n) in enumerate([("one", 50)] + [("few", 3 + 40 * k) for k in range(5)] + [("many", 1 + k % 70) for k in range(900)] + [(None, 10 + k) for k in range(30)])]
+    docs = made(spark, rows)
+    taken, size, largest = {}, {}, {}
+    for r in M.mix(docs).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        largest[r["source"]] = max(largest.get(r["source"], 0), r["size"])
+    for r in M.mixed_documents(docs).collect():
+        size[r["source"]] = size.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    assert all(abs(size.get(s, 0) - n) <= largest[s] for s, n in taken.items())

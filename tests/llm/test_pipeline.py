@@ -1,6 +1,9 @@
 import corpus_pipeline as C
+from quern.llm import substring_dedup as S
 from tests.conftest import SF
 from tests.llm.conftest import made, sentences
+from tests.llm.test_ngram_join import brute
+from tests.llm.test_substring_dedup import against_brute_force
 
 
 def test_stages_keep_the_columns_and_take_effect(spark):
@@ -39,5 +42,38 @@ def test_awkward_rows(spark, awkward):
     assert docs.count() > 0
 
 
+def test_near_duplicates_row_by_row(spark):
+    """Which rows stay, of reused ids, repeated rows, rows without an id and a column that has no order."""
+    t, near, other = sentences(5, 1, 200)[0], sentences(5, 1, 200)[0] + " more", "a wholly different text " + " ".join(f"v{i}" for i in range(30))
+    rows = [(1, t, "x", {"k": 2}), (1, t, "x", {"k": 1}), (5, t, "x", None), (5, other, "x", None), (6, near, "x", None), (None, t, "x", None), (7, "", "x", None), (7, "", "y", None), (8, None, "x", None), (None, "no id here " + other[::-1], "x", None), (None, "no id here " + other[::-1], "y", None)]
+    kinds = "doc_id long, text string, source string, m map<string,int>"
+    clash = ["row", "of_id", "of_text", "id", "th", "stays", "_dropped", "component", "times"]
+    docs = spark.createDataFrame([(*r, *["v"] * len(clash)) for r in rows], kinds + "".join(f", `{c}` string" for c in clash))
+    out = C.drop_near_duplicates(spark, docs, SF)
+    assert out.dtypes == docs.dtypes
+    got = sorted((str(r["doc_id"]), (r["text"] or "")[:12], r["source"], str(r["m"])) for r in out.collect())
+    want = [("1", t[:12], "x", "{'k': 1}"), ("5", other[:12], "x", "None"), ("7", "", "x", "None"), ("7", "", "y", "None"), ("8", "", "x", "None"), ("None", "no id here " + other[::-1][:1], "x", "None")]
+    assert got == sorted(want)
+
+
+def test_stages_against_brute_force(spark):
+    """Each stage's decisions on a table, against plain versions of it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    component = {int(d): c for d, _, c in brute(rows, 5, 80, 100) if c is not None}
+    kept = C.common.staged(C.drop_near_duplicates(spark, docs, SF), "test")
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows if component.get(d, d) == d}
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert against_brute_force([(d, t or "") for d, t in rows], S.duplicates(kept).collect()) >= 0
+    spans, left = {}, {r["doc_id"]: r["text"] for r in C.drop_repeated_passages(spark, kept, SF).collect()}
+    for r in S.duplicates(kept).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["stop"]))
+    for d, t in rows:
+        raw = (t or "").encode()
+        for a, b in sorted(spans.get(d, []), reverse=True):
+            raw = raw[:a] + raw[b:]
+        assert (left[d] or "").encode() == raw
+
+
 def test_run_over_a_table(spark):
     assert C.run(spark, SF).count() > 100 and [n for n, _ in C.STAGES][0] == "language_id"

@@ -42,3 +42,23 @@ def test_held_out_labels_teach_nothing(spark):
     docs, labels = labelled(spark)
     wrong = labels.withColumn("quality", F.when(Q.held_out(labels["doc_id"]), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert Q.sample(docs, wrong) == Q.sample(docs, labels)
+
+
+def test_scores_against_a_plain_loop(spark, awkward):
+    import math
+
+    import zstandard
+
+    docs, labels = labelled(spark)
+    model = Q.fit(docs, labels)
+    size = lambda part, raw: len(zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False).compress(part))
+    for frame in (docs.limit(40), awkward.where("length(text) < 5000 or text is null")):
+        texts = [(r["doc_id"], r["text"]) for r in frame.collect()]
+        want = []
+        for d, t in texts:
+            raw = (t or "").encode()
+            parts = [raw[a : a + 512] for a in range(0, len(raw), 512)]
+            difference = (sum(size(p, model.bad) for p in parts) - sum(size(p, model.good) for p in parts)) / (len(raw) + 16)
+            z = model.slope * difference + model.brief * 64 / (64 + len(raw)) + model.offset
+            want.append((str(d), round(1 / (1 + math.exp(-max(-50, min(50, z)))), 9)))
+        assert sorted((str(r["doc_id"]), round(r["score"], 9)) for r in Q.scored(frame, model).collect()) == sorted(want)
