@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     decided = common.staged(decided.where("not stays or times > 1").select(F.col("doc_id").alias("id"), "th", "stays"), "decided")
     # a row is carried as one column, so no column of docs meets a name of this function
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("of_id"), F.xxhash64("text").alias("of_text"))
-    marked = rows.join(decided, F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_text") == F.col("th")), "left")
+    marked = rows.join(decided.hint("merge"), F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_text") == F.col("th")), "left")
     kept = marked.where("stays is null").select("row")
     if not decided.where("stays").isEmpty():
         once = marked.where("stays").groupBy("of_id", "of_text").agg(F.min_by("row", F.to_json("row")).alias("row"))

@@ -166,8 +166,13 @@ def placeholder(body: Column, args: Column, mark: str = "$ARGUMENTS") -> Column:
 
 
 def with_env(value: Column, env: dict[str, str]) -> Column:
-    """${NAME} replaced where env has the name, left where not."""
-    return reduce(lambda v, k: F.replace(v, F.lit("${" + k + "}"), F.lit(env[k])), sorted(env), value)
+    """${NAME} replaced where env has the name, left where not; what comes in isn't looked at again."""
+    if not env:
+        return value
+    known = F.create_map(*[F.lit(x) for kv in env.items() for x in kv])
+    parts = F.split(value, r"(?=\$\{)|(?<=\})", -1)
+    one = lambda p: F.coalesce(F.try_element_at(known, F.regexp_extract(p, r"^\$\{(.*)\}$", 1)), p)
+    return F.array_join(F.transform(parts, one), "")
 
 
 def replaced_once(text: Column, old: Column, new: Column) -> Column:

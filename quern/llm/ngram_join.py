@@ -18,13 +18,13 @@ smallest id reachable over links.
    the needed overlap or can't any more. Sets found join the query's component and leave the index, so a group of
    thousands of near copies is not compared pair by pair.
 
-Groups of parts and of sets are dealt into cells of a bounded cost, in bytes of sketches and in elements, by
+Groups of parts and of sets are dealt into cells of a bounded cost, in sketches and in elements, by
 linked(): members meet those of their cell and some that are in all cells; then only those outside a group's
 largest component meet all others. A group of near copies, however large, so costs in proportion to its size; no
 link is lost.
 
 Which documents' texts are dealt anew for step 3 is settled before their shuffle by a bitmap of fixed size
-(BITS bits, 8 MB), whatever the input; beyond some hundred million such documents it only lets more through.
+(8 MB), whatever the input; beyond some hundred million such documents it only lets more through.
 
 Defined cases: rows are the documents, so rows of one id with unlike texts are told apart; null and empty texts
 have no set, n_shingles 0 and link with nothing; a row without an id links, but no component is named after it
@@ -42,14 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_staged, frugal, lists, staged, stars
+from .common import among, connected_components, drop_staged, frugal, lists, staged, stars
 
-#: Elements of sets and bytes of sketches (and 64 a row) that a cell's group holds; bytes read at a time.
-CELL, MEET, SLICE = 1 << 16, 1 << 19, 1 << 20
-#: Bits of the bitmap of documents in groups, and about how many members of a large group all its cells hold.
-BITS, STAND = 1 << 26, 16
+#: Elements of sets, and sketches, that a cell's share of a group holds; bytes read at a time.
+CELL, MEET, SLICE = 1 << 16, 1 << 12, 1 << 20
+#: About how many members of a large group all its cells hold.
+STAND = 16
 #: DivideSkip's weight of a probe against a step of the merge.
 MU = 0.0085
+_HALF = (1 << 31) - 1
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -402,25 +403,26 @@ def _searched(rows: DataFrame, read, index_of) -> DataFrame:
     return rows.repartition(*CELLS).sortWithinPartitions(*order).mapInArrow(frugal(run), "a long, b long")
 
 
-def linked(rows: DataFrame, most: int, read, index_of, name: str) -> DataFrame:
+def linked(rows: DataFrame, costs: DataFrame, most: int, read, index_of, name: str) -> DataFrame:
     """Edges (a, b), staged, that connect all members (cid) of a group (grp) that searches link, whatever its size.
 
-    rows: grp, cid, cost and what `read` takes. A group whose costs exceed `most` is dealt into cells of about that
-    much. Each of its members goes to one cell, and some STAND members, the same ones, to all: like members of
-    different cells meet by them. Whatever is not in its group's largest component then goes to cells with every
-    other member."""
+    rows: grp, cid, cost and what `read` takes; costs: grp and cost of each member. A group whose costs exceed `most`
+    is dealt into cells of about that much. Each of its members goes to one cell, and some STAND members, the same
+    ones, to all: like members of different cells meet by them. Whatever is not in its group's largest component
+    then goes to cells with every other member."""
     pieces = lambda total, n: F.greatest(F.lit(1), F.least(n, F.ceil(total / most))).cast("int")
     none, query = F.lit(0).cast("int"), F.lit(QUERY).cast("int")
     cell = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "cid"), n).cast("int")
     every = lambda n: F.sequence(none, n - 1)
-    groups = staged(rows.groupBy("grp").agg(F.sum("cost").alias("total"), F.count("*").alias("members")).where("members > 1").select("grp", "members", pieces(F.col("total"), F.col("members")).alias("cells")), name)
-    dealt = rows.join(groups, "grp")
+    groups = costs.groupBy("grp").agg(F.sum("cost").alias("total"), F.count("*").alias("members")).where((F.col("total") > most) & (F.col("members") > 1))
+    groups = staged(groups.select("grp", "members", pieces(F.col("total"), F.col("members")).alias("cells")), name)
+    if groups.isEmpty():
+        drop_staged(groups)
+        return staged(_searched(rows.withColumns({"a": none, "j": none, "role": query}).drop("cost"), read, index_of), name)
+    dealt = rows.join(groups, "grp", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
     stands = (F.col("cells") > 1) & (F.pmod(F.xxhash64(F.lit(2), "cid"), F.col("members")) < STAND)
     placed = dealt.withColumn("j", F.explode(F.when(stands, every(F.col("cells"))).otherwise(F.array(cell(1, F.col("cells"))))))
     edges = staged(_searched(placed.withColumns({"a": none, "role": query}).drop("cells", "members", "cost"), read, index_of), name)
-    if groups.where("cells > 1").isEmpty():
-        drop_staged(groups)
-        return edges
     large = staged(dealt.where("cells > 1").drop("members"), name)
     found = connected_components(edges.join(large.select(F.col("cid").alias("a")).distinct(), "a", "left_semi"), name)
     of = staged(large.select("grp", "cid", "cost").join(found, F.col("cid") == F.col("node"), "left").select("grp", "cid", "cost", F.coalesce("component", "cid").alias("component")), name)
@@ -455,7 +457,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _parts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """h1, h2 (a set's name) and the hashes of its parts."""
+    """h1, half (95 bits of a set's name) and the hashes of its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -464,9 +466,9 @@ def _parts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 found, names = part_hashes(sets, num, den), [identity(s) for s in sets]
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["h1", "h2", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], pa.int64()), pa.array([y & _HALF for _, y in names], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["h1", "half", "parts"])
 
-    return docs.select("text").mapInArrow(frugal(run), "h1 long, h2 long, parts array<long>").select("h1", "h2", F.explode("parts").alias("part"))
+    return docs.select("text").mapInArrow(frugal(run), "h1 long, half int, parts array<long>").select("h1", "half", F.explode("parts").alias("part"))
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -484,15 +486,6 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("cid", "grp", "text").mapInArrow(frugal(run), "cid long, grp long, cost long, elements array<long>")
 
 
-def among(rows: DataFrame, keys: DataFrame, bits: int = BITS) -> DataFrame:
-    """Rows whose `key` may be among the keys: all that are, and few others. What is sent is a bitmap of `bits` bits
-    in pieces of 4 KB, whatever the number of keys."""
-    place = lambda df: df.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(bits)) + 1).withColumn("piece", F.expr("bitmap_bucket_number(at)")).withColumn("bit", F.expr("bitmap_bit_position(at)"))
-    maps = place(keys.select("key")).groupBy("piece").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
-    byte = "cast(conv(hex(substring(bits, cast(shiftright(bit, 3) + 1 as int), 1)), 16, 10) as int)"
-    return place(rows).join(F.broadcast(maps), "piece").where(f"shiftright({byte}, cast(bit & 7 as int)) & 1 = 1").drop("at", "piece", "bit", "bits")
-
-
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     return joined(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
@@ -509,10 +502,12 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     # one sort by part finds where sets meet; a hot part holds few of the rows, as its sets have other parts too
     part = Window.partitionBy("part")
-    met = _parts(docs, k, num, den).select("part", "h1", "h2", F.min("h1").over(part).alias("low"), F.max("h1").over(part).alias("high"))
-    met = staged(met.where("low <> high").select("part", "h1", "h2").distinct(), "met")
-    sketched = met.join(classes.select("h1", "h2", F.col("n_shingles").cast("int").alias("n"), "sketch", "cid"), ["h1", "h2"])
-    sketched = sketched.select(F.col("part").alias("grp"), "cid", (F.octet_length("sketch") + 64).cast("long").alias("cost"), "n", "sketch")
+    half = F.expr(f"cast(h2 & {_HALF} as int)").alias("half")
+    met = _parts(docs, k, num, den).select("part", "h1", "half", F.min("h1").over(part).alias("low"), F.max("h1").over(part).alias("high"))
+    met = staged(met.where("low <> high").select("part", "h1", "half").distinct(), "met")
+    one = F.lit(1).cast("long").alias("cost")
+    sketched = met.join(classes.select("h1", half, F.col("n_shingles").cast("int").alias("n"), "sketch", "cid"), ["h1", "half"])
+    sketched = sketched.select(F.col("part").alias("grp"), "cid", one, "n", "sketch")
 
     def sketches(table: pa.Table) -> tuple:
         return table["n"].to_numpy().astype(np.int64), table["sketch"].to_pylist()
@@ -520,13 +515,13 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     def by_sketch(held: tuple, on: np.ndarray) -> Sketches:
         return Sketches(held[0][on], [held[1][i] for i in on.tolist()], num, den)
 
-    edges = linked(sketched, MEET, sketches, by_sketch, "meeting")
+    edges = linked(sketched, met.select(F.col("part").alias("grp"), one), MEET, sketches, by_sketch, "meeting")
     whole = connected_components(edges, "blocks")
     blocks = staged(whole.select(F.col("node").alias("cid"), F.col("component").alias("grp")).union(whole.select("component", "component")).distinct(), "blocks")
     key = F.struct("doc_id", "th").alias("key")
     active = staged(classes.join(blocks, "cid").select("cid", "grp", "doc_id", "th", key), "active")
     texts = among(_keyed(docs).withColumn("key", F.struct("doc_id", "th")), active).groupBy("doc_id", "th").agg(F.first("text").alias("text")).toDF("of_id", "of_th", "text")
-    sets = staged(_sets(texts.join(active, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))), k), "elements")
+    sets = staged(_sets(texts.join(active.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))), k), "elements")
 
     def elements(table: pa.Table) -> list[np.ndarray]:
         return lists(table["elements"])
@@ -534,7 +529,7 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     def by_element(held: list[np.ndarray], on: np.ndarray) -> Index:
         return Index([held[i].view(np.uint64) for i in on.tolist()], num, den)
 
-    links = linked(sets, CELL, elements, by_element, "links")
+    links = linked(sets, sets.select("grp", "cost"), CELL, elements, by_element, "links")
     found = connected_components(links, "links")
     placed = classes.join(found, F.col("cid") == F.col("node"), "left").select(*name, "doc_id", F.coalesce("component", "cid").alias("component"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))

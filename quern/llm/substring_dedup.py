@@ -2,21 +2,27 @@
 
 A gear hash runs over a text's bytes: h = (h << 2) + G[byte] modulo 2 ** 32, so it depends on the last 16 bytes
 alone. A text is cut after every word whose hash is the lowest of some SPAN words in a row; the chunks between
-cuts so follow the content, and an insertion shifts none of them but its neighbours. Every chunk has a digest of
-128 bits, by which chunks are deduplicated: the document with the smallest (doc_id, text hash) that holds a chunk
-keeps it.
-
-A chunk alone says little, so what counts is a run of at least RUN words of chunks in a row that all occur in
-earlier documents. Its chunks are lined up with their keepers; each line is extended word by word as far as its
-bytes equal those about the keeper's chunks, REACH words at most on either side (were more of them equal, they
-would hold a run of their own), and is a duplicate span if it then has WORDS words or more. Any equal passage of
-RUN + 2 * SPAN words, and the few that 16 bytes span, has such a run, wherever it stands. The keeper may itself lose
-a part of it to a passage that an earlier document keeps; going back so from document to document, every byte is
-kept in one. Repeats within one document alone are left as they are.
-
-Digests are counted by a partial aggregation and joined back by an exchange that adaptive execution can split,
-so a passage that a third of all documents share is no task's burden. What is gathered per document is at
-most its own chunks.
+cuts so follow the content, and an insertion shifts none of them but its neighbours. What is digested is each
+run of whole chunks of at least WORDS words, from each cut to the first cut far enough. Two equal passages of
+WORDS + 2 * SPAN words, and the few words that 16 bytes span, have such a run in common, wherever they stand.
+
+(With single chunks as the unit, most of them short and common, the documents' lines with the first holders of
+their chunks were 15 times as many, and check_l needed over 4 times its size on disk; so runs are the unit.) Digests
+have 128 bits, so equal ones are taken for equal bytes.
+
+A run found in more than one document is a repeat: the document with the smallest (doc_id, text hash) keeps
+it, and the bytes that it covers in the others are duplicate spans. The keeper may itself lose a part of it to
+a run that overlaps it and that an earlier document keeps; going back so from document to document, every
+byte is kept in one. Repeats within one document alone are left as they are.
+
+A run seldom ends where the repeat does, so adjoining hits are joined and each is then extended word by word as
+far as its bytes equal those about the keeper's first such run. Compared are the WORDS + 2 * SPAN + 20 words on
+either side: were more of them equal, they would hold a run that both have, which is a hit of its own.
+
+Digests are counted by a partial aggregation; a bitmap of fixed size keeps back the runs that none shares, and the
+others are joined back by an exchange that adaptive execution can split, so a passage that a third of all documents
+share is no task's burden. What is gathered per document is at
+most its own runs.
 
 Defined cases: null, empty and short texts (under WORDS words) have no spans; a null doc_id is a document
 before all others; rows alike in doc_id and text are one document; an empty table gives an empty result; other
@@ -33,10 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, frugal, staged
+from .common import among, drop_staged, frugal, staged
 
-WORDS, SPAN, RUN = 24, 12, 16
-REACH = WORDS + 2 * SPAN + 20
+WORDS, SPAN = 24, 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
@@ -51,8 +56,8 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks_of(texts: list[bytes], span: int = SPAN) -> list[list[tuple[int, int, int, int]]]:
-    """Of each text its chunks: start, stop (in bytes, up to where the next one starts), words and digest."""
+def runs_of(texts: list[bytes], words: int = WORDS, span: int = SPAN) -> list[list[tuple[int, int, int]]]:
+    """Of each text its runs of chunks: start, stop (in bytes) and a digest of 128 bits."""
     joined = _GAP + _GAP.join(texts) + _GAP
     data = np.frombuffer(joined, "u1")
     space = _SPACE[data]
@@ -70,23 +75,23 @@ def chunks_of(texts: list[bytes], span: int = SPAN) -> list[list[tuple[int, int,
     out, view, digest = [], memoryview(joined), xxhash.xxh3_128_intdigest
     for k in range(len(texts)):
         a, b = int(first[k]), int(first[k + 1])
-        if b - a < WORDS:
+        if b - a < words:
             out.append([])
             continue
-        cuts = np.unique(np.concatenate([[a], np.flatnonzero(cut[a : b - 1]) + a + 1]))
-        starts = begin[cuts].tolist()
-        stops = [*starts[1:], int(end[b - 1])]
-        counts = np.diff(cuts, append=b).tolist()
+        cuts = np.unique(np.concatenate([[a], np.flatnonzero(cut[a:b]) + a + 1, [b]]))
+        last = np.searchsorted(cuts, cuts + words)
+        on = np.flatnonzero(last < len(cuts))
+        s, e = begin[cuts[on]], end[cuts[last[on]] - 1]
         at = int(base[k])
-        out.append([(x - at, y - at, n, digest(view[x:y])) for x, y, n in zip(starts, stops, counts)])
+        out.append([(x - at, y - at, digest(view[x:y])) for x, y in zip(s.tolist(), e.tolist())])
     return out
 
 
 _HALF = (1 << 64) - 1
 
 
-def _chunks(docs: DataFrame, span: int) -> DataFrame:
-    """d1, d2 (a digest's halves), doc_id, h, start and size (bytes * 64 + words, in one number) of each chunk."""
+def _runs(docs: DataFrame, words: int, span: int) -> DataFrame:
+    """d1, d2 (a digest's halves), doc_id, h and place (start and stop in one number) of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,15 +107,15 @@ def _chunks(docs: DataFrame, span: int) -> DataFrame:
                     size += len(held[-1])
 
     def made(batch: pa.RecordBatch, first: int, texts: list[bytes]) -> pa.RecordBatch:
-        found = chunks_of(texts, span)
+        found = runs_of(texts, words, span)
         take = pa.array(np.repeat(np.arange(first, first + len(texts)), [len(f) for f in found]))
-        flat = [c for f in found for c in f]
-        halves = [np.array([d >> by & _HALF for *_, d in flat], np.uint64).view(np.int64) for by in (64, 0)]
-        places = [np.array([a for a, *_ in flat], np.int64), np.array([(b - a) * 64 + n for a, b, n, _ in flat], np.int64)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, halves), batch["doc_id"].take(take), batch["h"].take(take), *map(pa.array, places)], ["d1", "d2", "doc_id", "h", "start", "size"])
+        flat = [r for f in found for r in f]
+        halves = [np.array([d >> by & _HALF for _, _, d in flat], np.uint64).view(np.int64) for by in (64, 0)]
+        place = np.array([a << 32 | b for a, b, _ in flat], np.int64)
+        return pa.RecordBatch.from_arrays([*map(pa.array, halves), batch["doc_id"].take(take), batch["h"].take(take), pa.array(place)], ["d1", "d2", "doc_id", "h", "place"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
-    return rows.mapInArrow(frugal(run), "d1 long, d2 long, doc_id long, h long, start long, size long")
+    return rows.mapInArrow(frugal(run), "d1 long, d2 long, doc_id long, h long, place long")
 
 
 def text_hash():
@@ -147,35 +152,18 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document the runs of RUN words or more of its repeated chunks, one row for each line: chunks that
-    adjoin in the document and in one keeper."""
+    """Each document's hits, those of one keeper joined where they adjoin in both documents."""
     for batch in batches:
         rows: list[tuple] = []
         for doc, h, hits in zip(batch["doc_id"].to_pylist(), batch["h"].to_pylist(), batch["hits"].to_pylist()):
-            run: list[dict] = []
-            for x in sorted(hits, key=lambda x: x["start"]):
-                if run and run[-1]["start"] + run[-1]["size"] // 64 != x["start"]:
-                    rows += _lines(doc, h, run)
-                    run = []
-                run.append(x)
-            rows += _lines(doc, h, run)
-        kinds = [pa.int64()] * 8 + [pa.int32()]
-        columns = zip(*rows) if rows else [()] * 9
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "h", "start", "stop", "first_id", "first_h", "first_start", "first_stop", "words"])
-
-
-def _lines(doc: int | None, h: int, run: list[dict]) -> list[tuple]:
-    if sum(x["size"] % 64 for x in run) < RUN:
-        return []
-    lines: dict[tuple, list] = {}
-    for x in run:
-        held = lines.setdefault((x["first_id"], x["first_h"], x["first_start"] - x["start"]), [])
-        stop, n = x["start"] + x["size"] // 64, x["size"] % 64
-        if held and held[-1][1] == x["start"]:
-            held[-1] = (held[-1][0], stop, held[-1][2] + n)
-        else:
-            held.append((x["start"], stop, n))
-    return [(doc, h, a, b, f, g, a + by, b + by, n) for (f, g, by), places in lines.items() for a, b, n in places]
+            lines: dict[tuple, list] = {}
+            for x in hits:
+                start, stop = x["place"] >> 32, x["place"] & 0xFFFFFFFF
+                lines.setdefault((x["first_id"], x["first_h"], (x["first_place"] >> 32) - start), []).append((start, stop))
+            rows += [(doc, h, a, b, f, g, a + by, b + by) for (f, g, by), places in lines.items() for a, b in merged(places)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2
+        columns = zip(*rows) if rows else [()] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "h", "start", "stop", "first_id", "first_h", "first_start", "first_stop"])
 
 
 def _about(n: int):
@@ -192,7 +180,7 @@ def _about(n: int):
                     a, b = x["start"], x["stop"]
                     i, j = int(np.searchsorted(begin, a)), int(np.searchsorted(end, b, "right"))
                     rows.append((doc.as_py(), h.as_py(), a, b, raw[int(begin[i - n]) if i > n else 0 : a], raw[b : int(end[j + n - 1]) if j + n < len(end) else len(raw)]))
-            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             columns = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "h", "start", "stop", "left", "right"])
 
@@ -200,39 +188,42 @@ def _about(n: int):
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines in full length, those of WORDS words or more."""
     for batch in batches:
-        lefts, rights = batch["left"].to_pylist(), batch["right"].to_pylist()
-        grown = [extended(a, b, c, d) for a, b, c, d in zip(lefts, batch["first_left"].to_pylist(), rights, batch["first_right"].to_pylist())]
-        more = [len(a[len(a) - n :].split()) + len(b[:m].split()) for a, b, (n, m) in zip(lefts, rights, grown)]
-        on = np.flatnonzero(batch["words"].to_numpy() + np.array(more, np.int64) >= WORDS)
-        start, stop = batch["start"].to_numpy() - np.array([n for n, _ in grown], np.int64), batch["stop"].to_numpy() + np.array([m for _, m in grown], np.int64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(start), pa.array(stop), batch["first_id"]], ["doc_id", "h", "start", "stop", "first_id"]).take(pa.array(on))
+        grown = [extended(*x) for x in zip(*(batch[c].to_pylist() for c in ("left", "first_left", "right", "first_right")))]
+        start = pa.array([a - n for a, (n, _) in zip(batch["start"].to_pylist(), grown)], pa.int32())
+        stop = pa.array([b + m for b, (_, m) in zip(batch["stop"].to_pylist(), grown)], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], start, stop, batch["first_id"]], ["doc_id", "h", "start", "stop", "first_id"])
 
 
-def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def spans(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
     """doc_id, h (hash of the text), spans of each document with duplicate spans: an array of start, stop
     (bytes of the UTF-8 text) and kept_in, the ids of documents that keep what the span repeats."""
-    found = staged(_chunks(docs, span), "chunks")
-    repeats = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.max(F.struct("doc_id", "h")).alias("last")).where(F.struct("first.doc_id", "first.h") != F.col("last"))
-    repeats = staged(repeats.select("d1", "d2", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.start").alias("first_start")), "repeats")
-    hits = found.join(repeats, ["d1", "d2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))))
-    each = hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "size", "first_id", "first_h", "first_start")).alias("hits"))
-    place = "doc_id long, h long, start long, stop long"
-    segments = staged(each.mapInArrow(frugal(_segments), place + ", first_id long, first_h long, first_start long, first_stop long, words int"), "segments")
-    drop_staged(found, repeats)
+    found = staged(_runs(docs, words, span), "runs")
+    whose = F.xxhash64("doc_id", "h")
+    shared = found.groupBy("d1", "d2").agg(F.min(whose).alias("low"), F.max(whose).alias("high")).where("low <> high")
+    shared = staged(shared.select("d1", "d2", F.struct("d1", "d2").alias("key")), "shared")
+    # few runs are shared, so most leave before their shuffle
+    held = staged(among(found.withColumn("key", F.struct("d1", "d2")), shared).drop("key").join(shared.drop("key").hint("merge"), ["d1", "d2"]), "held")
+    drop_staged(found, shared)
+    repeats = held.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h", "place")).alias("first"))
+    repeats = staged(repeats.select("d1", "d2", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.place").alias("first_place")), "repeats")
+    hits = held.join(repeats, ["d1", "d2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))))
+    each = hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct("place", "first_id", "first_h", "first_place")).alias("hits"))
+    place = "doc_id long, h long, start int, stop int"
+    segments = staged(each.mapInArrow(frugal(_segments), place + ", first_id long, first_h long, first_start int, first_stop int"), "segments")
+    drop_staged(held, repeats)
 
     firsts = ["first_id", "first_h", "first_start", "first_stop"]
     places = segments.select("doc_id", "h", "start", "stop").union(segments.select(*firsts)).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("places"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_h"), "text")
-    about = texts.join(places, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h"))).select("doc_id", "h", "text", "places")
-    about = about.mapInArrow(frugal(_about(REACH)), place + ", left binary, right binary")
+    about = texts.join(places.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h"))).select("doc_id", "h", "text", "places")
+    about = about.mapInArrow(frugal(_about(words + 2 * span + 20)), place + ", left binary, right binary")
     about = staged(about.dropDuplicates(["doc_id", "h", "start", "stop"]), "about")
     keeper = about.toDF(*(f"k_{c}" for c in firsts), "first_left", "first_right")
     own = about.toDF("d_id", "d_h", "d_start", "d_stop", "left", "right")
     both = segments.join(own, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("h") == F.col("d_h")) & (F.col("start") == F.col("d_start")) & (F.col("stop") == F.col("d_stop")))
     both = both.join(keeper, F.col("first_id").eqNullSafe(F.col("k_first_id")) & (F.col("first_h") == F.col("k_first_h")) & (F.col("first_start") == F.col("k_first_start")) & (F.col("first_stop") == F.col("k_first_stop")))
-    both = both.select("doc_id", "h", "start", "stop", "words", "first_id", "left", "right", "first_left", "first_right")
+    both = both.select("doc_id", "h", "start", "stop", "first_id", "left", "right", "first_left", "first_right")
     each = both.mapInArrow(frugal(_extend), place + ", first_id long").groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "first_id")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,26 +232,26 @@ def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
             for hits in batch["hits"].to_pylist():
                 got = merged([(x["start"], x["stop"]) for x in hits])
                 out.append([{"start": a, "stop": b, "kept_in": sorted({x["first_id"] for x in hits if a <= x["start"] < b}, key=lambda f: (f is not None, f))} for a, b in got])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kept_in", pa.list_(pa.int64()))]))
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kept_in", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(out, kind)], ["doc_id", "h", "spans"])
 
-    out = staged(each.mapInArrow(frugal(run), "doc_id long, h long, spans array<struct<start: long, stop: long, kept_in: array<long>>>"), "spans")
+    out = staged(each.mapInArrow(frugal(run), "doc_id long, h long, spans array<struct<start: int, stop: int, kept_in: array<long>>>"), "spans")
     drop_staged(segments, about)
     return out
 
 
-def duplicates(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def duplicates(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
     """A row per duplicate span: doc_id, start, stop (bytes), n_bytes, kept_in (ids)."""
-    rows = spans(docs, span).select("doc_id", F.inline("spans"))
-    return rows.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_bytes"), "kept_in")
+    rows = spans(docs, words, span).select("doc_id", F.inline("spans"))
+    return rows.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), (F.col("stop") - F.col("start")).cast("long").alias("n_bytes"), "kept_in")
 
 
-def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
     """The documents, all columns, without their duplicate spans; n_chars, where there is one, is counted anew.
     A row is carried as one column, so no column of docs meets a name of this function."""
-    found = spans(docs, span).select(F.col("doc_id").alias("id"), "h", "spans")
+    found = spans(docs, words, span).select(F.col("doc_id").alias("id"), "h", "spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("of_id"), text_hash().alias("of_text"))
-    joined = rows.join(found, F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_text") == F.col("h")), "left")
+    joined = rows.join(found.hint("merge"), F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_text") == F.col("h")), "left")
     whole = F.col("row")["text"]
     raw = whole.cast("binary")
     stops = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["stop"].cast("int")))

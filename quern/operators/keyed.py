@@ -147,7 +147,9 @@ def chosen(memories: DataFrame, names: DataFrame, surfaced: DataFrame) -> DataFr
     """Memories that a selection names, by path or by file name, once each and without those shown before."""
     want = names.select(F.col("name").alias("_w")).distinct()
     last = F.regexp_extract("filename", r"([^/]+)$", 1)
-    hit = memories.join(want, (F.col("filename") == F.col("_w")) | (last == F.col("_w")), "left_semi")
+    by_path = memories.join(want, F.col("filename") == F.col("_w"), "left_semi").select("filename")
+    by_name = memories.join(want, last == F.col("_w"), "left_semi").select("filename")
+    hit = memories.join(by_path.union(by_name).distinct(), "filename", "left_semi")
     return hit.join(surfaced, "filename", "left_anti")
 
 

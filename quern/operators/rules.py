@@ -6,8 +6,10 @@ import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quern.functions.text import strip
 
@@ -62,10 +64,10 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + r"\z"
 
 
-def glob_column(pattern: Column) -> Column:
-    """The same for patterns in a column (*, ? and literal characters; a bracket is literal)."""
-    quoted = F.regexp_replace(pattern, r"([\\.^$|()\[\]{}+])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit(r"\z"))
+@F.pandas_udf(StringType())
+def glob_column(pattern: pd.Series) -> pd.Series:
+    """The same for patterns in a column of a rule table."""
+    return pattern.map(lambda p: None if p is None else glob_regex(p))
 
 
 def valid_regex(pattern: str) -> bool:
@@ -121,13 +123,18 @@ def event_field(name: str) -> Column:
 
 
 def matching_hooks(events: DataFrame, hooks: Sequence[dict], order: str) -> DataFrame:
-    """Events with the hooks that they set off. hooks: ident, event, condition, once; a hook with once fires on
-    its first event only."""
-    parts = []
-    for h in hooks:
-        hit = events.where((F.col("event") == h["event"]) & condition(h.get("condition"), event_field)).withColumn("hook", F.lit(h["ident"]))
-        parts.append(hit.orderBy(order).limit(1) if h.get("once") else hit)
-    return reduce(DataFrame.unionByName, parts) if parts else events.limit(0).withColumn("hook", F.lit(None).cast("string"))
+    """Events with the hooks that they set off, in one scan. hooks: ident, event, condition, once; a hook with once
+    fires on its first event only."""
+    if not hooks:
+        return events.limit(0).withColumn("hook", F.lit(None).cast("string"))
+    hit = lambda h: F.when((F.col("event") == h["event"]) & condition(h.get("condition"), event_field), F.lit(h["ident"]))
+    found = events.withColumn("hook", F.explode(F.array_compact(F.array(*map(hit, hooks)))))
+    once = [h["ident"] for h in hooks if h.get("once")]
+    if not once:
+        return found
+    first = found.where(F.col("hook").isin(*once)).groupBy(F.col("hook").alias("_hook")).agg(F.min(order).alias("_first"))
+    out = found.join(F.broadcast(first), F.col("hook") == F.col("_hook"), "left")  # a row per hook
+    return out.where(F.col("_first").isNull() | (F.col(order) == F.col("_first"))).drop("_hook", "_first")
 
 
 def first_match(text: Column, patterns: Sequence[tuple[str, str]] = DANGEROUS) -> Column:

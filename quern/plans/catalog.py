@@ -260,16 +260,7 @@ def accesses(e: DataFrame) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), a.alias("a")).select("seq", "a.*")
 
 
-_CALLS = """WITH RECURSIVE c AS (SELECT event_id AS seq, user_id % 5 AS res, event_type IN ('purchase', 'signup') AS w, event_type = 'error' AND event_id % 7 = 0 AS x FROM events WHERE event_id < 60),
-    k AS (SELECT a.seq AS earlier, b.seq AS later FROM c a JOIN c b ON a.seq < b.seq AND (a.x OR b.x OR (a.res = b.res AND (a.w OR b.w))))"""
-
-
 def calls(spark, d) -> DataFrame:
-    """The calls of the first turn, on which the SQL of the three queries below stands; turn_* take all turns."""
-    return turn_calls(spark, d).where("seq < 60").drop("turn")
-
-
-def turn_calls(spark, d) -> DataFrame:
     """All events as calls, 60 numbers in a row to a turn, as a turn is bounded."""
     e = table(spark, d, "events")
     ref = F.array(F.struct((F.col("user_id") % 5).cast("string").alias("path"), F.lit(False).alias("recursive")))
@@ -277,25 +268,6 @@ def turn_calls(spark, d) -> DataFrame:
     return e.select(F.floor(F.col("event_id") / 60).alias("turn"), F.col("event_id").alias("seq"), F.when(w, none).otherwise(ref).alias("reads"), F.when(w, ref).otherwise(none).alias("writes"), x.alias("exclusive"))
 
 
-@query(_CALLS + " SELECT * FROM k")
-def conflict_edges(spark, d):
-    return G.conflicts(calls(spark, d))
-
-
-@query(_CALLS + """, p AS (SELECT earlier AS a, later AS b FROM k UNION SELECT p.a, k.later FROM p JOIN k ON p.b = k.earlier)
-    SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k m JOIN p ON p.a = m.later AND p.b = k.later WHERE m.earlier = k.earlier)""")
-def conflict_frontier(spark, d):
-    return G.frontier(G.conflicts(calls(spark, d)))
-
-
-@query(_CALLS + """, p AS (SELECT earlier AS a, later AS b FROM k UNION SELECT p.a, k.later FROM p JOIN k ON p.b = k.earlier),
-    f AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k m JOIN p ON p.a = m.later AND p.b = k.later WHERE m.earlier = k.earlier))
-    SELECT (SELECT count(*) FROM c) AS submitted, count(*) AS dependency_edges, count(DISTINCT later) AS conflicted_calls FROM f""")
-def scheduler_stats(spark, d):
-    c = calls(spark, d)
-    return R.scheduler_stats(c, G.frontier(G.conflicts(c)))
-
-
 _TURNS = """WITH RECURSIVE c AS (SELECT event_id // 60 AS turn, event_id AS seq, user_id % 5 AS res, event_type IN ('purchase', 'signup') AS w, event_type = 'error' AND event_id % 7 = 0 AS x FROM events),
     k AS (SELECT a.turn, a.seq AS earlier, b.seq AS later FROM c a JOIN c b ON a.turn = b.turn AND a.seq < b.seq AND (a.x OR b.x OR (a.res = b.res AND (a.w OR b.w))))"""
 _FRONTIERS = _TURNS + """, p AS (SELECT turn, earlier AS a, later AS b FROM k UNION SELECT p.turn, p.a, k.later FROM p JOIN k ON p.turn = k.turn AND p.b = k.earlier),
@@ -303,18 +275,19 @@ _FRONTIERS = _TURNS + """, p AS (SELECT turn, earlier AS a, later AS b FROM k UN
 
 
 @query(_TURNS + " SELECT * FROM k")
-def turn_conflict_edges(spark, d):
-    return G.conflicts(turn_calls(spark, d), "turn")
+def conflict_edges(spark, d):
+    return G.conflicts(calls(spark, d), "turn")
 
 
 @query(_FRONTIERS + " SELECT * FROM f")
-def turn_conflict_frontier(spark, d):
-    return G.frontier(G.conflicts(turn_calls(spark, d), "turn"), "turn")
+def conflict_frontier(spark, d):
+    return G.frontier(G.conflicts(calls(spark, d), "turn"), "turn")
 
 
-@query(_FRONTIERS + """ SELECT c.turn, any_value(n) AS submitted, count(f.later) AS dependency_edges, count(DISTINCT f.later) AS conflicted_calls FROM (SELECT turn, count(*) AS n FROM c GROUP BY 1) c LEFT JOIN f ON c.turn = f.turn GROUP BY 1""")
-def turn_scheduler_stats(spark, d):
-    c = turn_calls(spark, d)
+@query(_FRONTIERS + """, waves AS (SELECT turn, seq, 1 AS wave FROM c UNION SELECT waves.turn, f.later, waves.wave + 1 FROM waves JOIN f ON f.turn = waves.turn AND f.earlier = waves.seq) SELECT c.turn, any_value(n) AS submitted, count(f.later) AS dependency_edges, count(DISTINCT f.later) AS conflicted_calls, any_value(m.most) AS max_parallelism
+    FROM (SELECT turn, count(*) AS n FROM c GROUP BY 1) c LEFT JOIN f ON c.turn = f.turn JOIN (SELECT turn, max(n) AS most FROM (SELECT turn, wave, count(*) AS n FROM (SELECT turn, seq, max(wave) AS wave FROM waves GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1) m ON m.turn = c.turn GROUP BY 1""")
+def scheduler_stats(spark, d):
+    c = calls(spark, d)
     return R.scheduler_stats(c, G.frontier(G.conflicts(c, "turn"), "turn"), "turn")
 
 
@@ -437,7 +410,7 @@ def rule_decision(spark, d):
 
 @query(f"SELECT p_partkey, {_EFFECT} AS effect FROM part")
 def rule_table_decision(spark, d):
-    rules = spark.createDataFrame([(t, i, k, p.replace("[1]", "1"), e) for i, (t, k, p, e) in enumerate(_RULES)], "tier int, pos int, tool string, pattern string, effect string")
+    rules = spark.createDataFrame([(t, i, k, p, e) for i, (t, k, p, e) in enumerate(_RULES)], "tier int, pos int, tool string, pattern string, effect string")
     return P.rule_effect_joined(table(spark, d, "part"), rules, ["p_partkey"], "p_type", "p_brand").select("p_partkey", "effect")
 
 
@@ -463,14 +436,16 @@ def command_safety(spark, d):
     return table(spark, d, "documents").select("doc_id", P.is_safe(c).alias("safe"), P.first_match(c).alias("danger"))
 
 
-@query("SELECT sha256(text) AS sha256, length(text) AS chars, strlen(text) AS bytes, count(*) AS uses FROM documents GROUP BY text")
+@query("SELECT DISTINCT sha256(text) AS sha256, length(text) AS chars, strlen(text) AS bytes FROM documents WHERE length(text) > 500")
 def blob_dedup(spark, d):
-    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.first(F.length("text").cast("long")).alias("chars"), F.first(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("uses"))
+    """A document is a result's output; those of over 500 characters become blobs, each text once."""
+    e = table(spark, d, "documents").select(F.lit("tool_succeeded").alias("event_type"), F.to_json(F.struct(F.col("text").alias("output"))).alias("payload"))
+    return E.externalized(e, 500)[1].select("sha256", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+@query("""SELECT event_id, sha256('{"k":' || json_extract_string(props, '$.k') || '}') AS digest FROM events""")
 def canonical_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return table(spark, d, "events").select("event_id", F.sha2(E.canonical_json("props"), 256).alias("digest"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 5000 THEN 'persisted' WHEN length(text) > 1000 THEN 'truncated' ELSE 'whole' END AS tier FROM documents")
@@ -518,13 +493,6 @@ def open_issue_filter(spark, d):
     return P.open_issues(issues, passed, docs.where("n_chars > 15000").select(F.col("source").alias("file"))).select("issue", "file")
 
 
-@query("SELECT l.doc_id, list_sort(list_distinct(list(c.source))) AS files FROM labels l JOIN documents d USING (doc_id) JOIN documents c ON c.lang = d.lang AND c.doc_id % 100 = 7 AND c.source <> d.source GROUP BY 1")
-def affected_files(spark, d):
-    """A labelled document is an issue in its source; the sources of some documents of its language consume it."""
-    docs = table(spark, d, "documents")
-    return issue_files(spark, d, docs, docs.where("doc_id % 100 = 7"))
-
-
 def issue_files(spark, d, docs: DataFrame, consumers: DataFrame) -> DataFrame:
     pairs = consumers.select(F.col("lang").alias("file"), F.col("source").alias("consumer"))
     issues = table(spark, d, "labels").join(docs, "doc_id").select("doc_id", "lang", F.col("source").alias("own"))
@@ -533,8 +501,8 @@ def issue_files(spark, d, docs: DataFrame, consumers: DataFrame) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT DISTINCT lang, source FROM documents) SELECT l.doc_id, list_sort(list(DISTINCT c.source)) AS files FROM labels l JOIN documents d USING (doc_id) JOIN c ON c.lang = d.lang AND c.source <> d.source GROUP BY 1""")
-def all_affected_files(spark, d):
-    """affected_files, whose SQL takes consumers from ids that end in 07, with those of all documents."""
+def affected_files(spark, d):
+    """A labelled document is an issue in its source; all sources of its language consume it."""
     docs = table(spark, d, "documents")
     return issue_files(spark, d, docs, docs)
 
@@ -653,3 +621,6 @@ def diff_stats(spark, d):
 
     after = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))
     return table(spark, d, "documents").withColumn("after", after).select("doc_id", T.line_diff("text", "after").alias("x")).select("doc_id", "x.additions", "x.removals")
+
+
+from quern.plans import lookups  # noqa: E402, F401  (registers its queries here)

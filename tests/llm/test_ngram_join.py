@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from quern.llm import ngram_join as N
+from quern.llm.common import among
 from tests.llm.conftest import made
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,7 +63,7 @@ def test_against_brute_force(spark, k, num, den):
     assert got(made(spark, rows), k, num, den) == brute(rows, k, num, den)
 
 
-@pytest.mark.parametrize("cell,meet", [(60, 400), (200, 1 << 19)])
+@pytest.mark.parametrize("cell,meet", [(60, 5), (200, 1 << 12)])
 def test_groups_dealt_into_cells(spark, monkeypatch, cell, meet):
     monkeypatch.setattr(N, "CELL", cell)
     monkeypatch.setattr(N, "MEET", meet)
@@ -81,7 +82,7 @@ def test_a_chain_longer_than_its_cells(spark, monkeypatch):
 
 def test_the_bitmap_lets_every_key_through(spark):
     rows = spark.range(2000).selectExpr("id as key")
-    found = {r["key"] for r in N.among(rows, spark.range(0, 2000, 7).selectExpr("id as key"), 1 << 16).collect()}
+    found = {r["key"] for r in among(rows, spark.range(0, 2000, 7).selectExpr("id as key"), 1 << 16).collect()}
     assert found >= set(range(0, 2000, 7)) and len(found) < 400
 
 

@@ -54,5 +54,5 @@ def test_a_source_without_an_id_ending_in_07_is_affected(spark, tmp_path):
     docs = [(1, "en", "a"), (2, "en", "b"), (7, "en", "c"), (3, "de", "a"), (4, "de", "d")]
     spark.createDataFrame(docs, "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1,), (3,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
-    got = {r["doc_id"]: r["files"] for r in catalog.QUERIES["all_affected_files"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["files"] for r in catalog.QUERIES["affected_files"](spark, str(tmp_path)).collect()}
     assert got == {1: ["b", "c"], 3: ["d"]}
