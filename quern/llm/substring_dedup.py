@@ -46,6 +46,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 _GAP = b" " * 16
+#: Bytes of texts, and items of lists, that a Python worker holds unpacked at a time.
+SLICE, ITEMS = 1 << 20, 1 << 14
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -98,7 +100,7 @@ def _runs(docs: DataFrame, words: int, span: int) -> DataFrame:
             texts = batch["text"]
             first, held, size = 0, [], 0
             for i in range(len(texts) + 1):
-                if i == len(texts) or size > 4 << 20:
+                if i == len(texts) or size > SLICE:
                     if held:
                         yield made(batch, first, held)
                     first, held, size = i, [], 0
@@ -122,6 +124,18 @@ def text_hash():
     return F.xxhash64("text")
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices whose lists in a column hold ITEMS items together, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(batch[column].value_lengths().to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(batch):
+            stop = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + ITEMS, "right"))
+            stop = max(stop, first + 1)
+            yield batch.slice(first, stop - first)
+            first = stop
+
+
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -153,7 +167,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's hits, those of one keeper joined where they adjoin in both documents."""
-    for batch in batches:
+    for batch in slices(batches, "hits"):
         rows: list[tuple] = []
         for doc, h, hits in zip(batch["doc_id"].to_pylist(), batch["h"].to_pylist(), batch["hits"].to_pylist()):
             lines: dict[tuple, list] = {}
@@ -170,7 +184,7 @@ def _about(n: int):
     """The bytes of n words (or all) to the left and to the right of each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "places"):
             rows: list[tuple] = []
             for doc, h, text, places in zip(batch["doc_id"], batch["h"], batch["text"], batch["places"]):
                 raw = (text.as_py() or "").encode()
@@ -227,7 +241,7 @@ def spans(docs: DataFrame, words: int = WORDS, span: int = SPAN) -> DataFrame:
     each = both.mapInArrow(frugal(_extend), place + ", first_id long").groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop", "first_id")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "hits"):
             out = []
             for hits in batch["hits"].to_pylist():
                 got = merged([(x["start"], x["stop"]) for x in hits])

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from quern.llm import substring_dedup as S
 from tests.conftest import SF
 from tests.llm.conftest import made
@@ -152,3 +153,12 @@ def test_multibyte_text_is_cut_between_characters(spark):
     rows = [(1, "první " + passage + " konec", "cs", None), (2, "druhý začátek " + passage, "cs", None)]
     left = {r["doc_id"]: r["text"] for r in S.deduplicated(made(spark, rows)).collect()}
     assert left[1] == rows[0][1] and passage not in left[2] and "�" not in left[2]
+
+
+def test_slices_hold_all_rows_in_order_and_a_bounded_number_of_items(monkeypatch):
+    monkeypatch.setattr(S, "ITEMS", 4)
+    lists = [[1, 2], [], [3], [4, 5, 6, 7, 8, 9], [10], [], []]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()))], ["hits"]) for x in (lists, lists[3:4], [])]
+    got = [s["hits"].to_pylist() for s in S.slices(batches, "hits")]
+    assert [x for s in got for x in s] == lists + lists[3:4]
+    assert all(len(s) == 1 or sum(map(len, s)) <= 4 for s in got)
