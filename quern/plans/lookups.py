@@ -161,7 +161,7 @@ def chosen_memories(spark, d):
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0")
 def unread_messages(spark, d):
     box = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, True).when(F.col("o_orderkey") % 3 == 1, False).alias("read"))
-    return P.unread(box, box.where("id % 5 = 0").select("id"))
+    return P.unread(box, box.where("id % 5 = 0").select("id")).select("id")
 
 
 @query("SELECT p_partkey FROM part WHERE p_type NOT IN ('PROMO', 'SMALL') AND p_type <> 'LARGE' AND p_type IN ('ECONOMY', 'STANDARD', 'MEDIUM')")
