@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embedding_dedup, language_id, media, mixing, ngram_join, quality, sentencepieces, sharding, substring_dedup, token_files
+from . import common, conversation_repair, embedding_dedup, language_id, media, mixing, ngram_join, quality, sentencepieces, sharding, substring_dedup, token_counts, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -65,7 +65,17 @@ def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(docs, vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_source_mix, op4_substring_dedup, op5_embedding_dedup, op6_sharding, op7_media, op8_language_id, op9_sentencepieces, op10_quality)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.summaries(conversation_repair.damaged(conversations))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_counts.counted(docs, vocabulary("piece_bpe_32k.model"), 4096)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_source_mix, op4_substring_dedup, op5_embedding_dedup, op6_sharding, op7_media, op8_language_id, op9_sentencepieces, op10_quality, op11_conversation_repair, op12_token_counts)}
 #: SQL for the operators that it can express at a bearable cost on whole tables; the others decide by trained models,
 #: tokenizer files, file formats or 64-bit hashes, and are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -101,4 +111,29 @@ ORACLES: dict[str, str] = {
         r AS (SELECT vec_id AS node, vec_id AS reached FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a),
         c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY 1)
         SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON node = vec_id""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        h AS (SELECT *, xor(4294967295::BIGINT, list_reduce(list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+            lambda r, b: list_reduce(list_prepend(xor(r, b), CAST(range(8) AS BIGINT[])), lambda q, i: xor(q >> 1, 3988292384::BIGINT * (q & 1))), 4294967295::BIGINT)) % 20 AS d FROM c),
+        f AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS nth FROM h),
+        o AS (SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), nth) AS rn, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM f),
+        p AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS dup, lag(i) OVER (PARTITION BY conv_id ORDER BY rn) || i AS pair FROM o),
+        g AS (SELECT *, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS trunc FROM p),
+        n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(dup::INT) AS dup, sum(trunc::INT) AS trunc, sum(CASE WHEN pair NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS illegal, max(rn) AS len FROM g GROUP BY 1),
+        v AS (SELECT DISTINCT conv_id, 0::BIGINT AS rn, {'c': 0::BIGINT, 'a': ''} AS n, {'c': 1000000000::BIGINT, 'a': ''} AS s, {'c': 2::BIGINT, 'a': 'I'} AS u, {'c': 4::BIGINT, 'a': 'II'} AS a FROM conversations
+            UNION ALL SELECT conv_id, rn, n, s, u, least(a, {'c': u.c + 2, 'a': u.a || 'I'}) FROM (
+                SELECT conv_id, rn, n, s, least(u, {'c': n.c + 2, 'a': n.a || 'I'}, {'c': s.c + 2, 'a': s.a || 'I'}, {'c': a.c + 2, 'a': a.a || 'I'}) AS u, a FROM (
+                    SELECT conv_id, rn, {'c': n.c + 3, 'a': n.a || 'D'} AS n, least({'c': s.c + 3, 'a': s.a || 'D'}, {'c': n.c + e + CASE WHEN i = 's' THEN 0 ELSE 1000000000 END, 'a': n.a || 'K'}) AS s,
+                        least({'c': u.c + 3, 'a': u.a || 'D'}, {'c': n.c + e + x, 'a': n.a || y}, {'c': s.c + e + x, 'a': s.a || y}, {'c': a.c + e + x, 'a': a.a || y}) AS u,
+                        least({'c': a.c + 3, 'a': a.a || 'D'}, {'c': u.c + e + CASE WHEN i = 'a' THEN 0 ELSE 2 END, 'a': u.a || CASE WHEN i = 'a' THEN 'K' ELSE 'R' END}) AS a FROM (
+                        SELECT v.*, g.rn AS at, g.i, CASE WHEN g.blank OR g.dup THEN 1000000000 WHEN g.trunc THEN 1 ELSE 0 END AS e, CASE WHEN g.i = 'u' THEN 0 ELSE 2 END AS x, CASE WHEN g.i = 'u' THEN 'K' ELSE 'R' END AS y
+                        FROM v JOIN g ON v.conv_id IS NOT DISTINCT FROM g.conv_id AND g.rn = v.rn + 1) t(conv_id, old, n, s, u, a, rn, i, e, x, y)) t1) t2),
+        b AS (SELECT v.conv_id, CASE WHEN least(v.n, v.a) = v.n THEN v.n ELSE v.a END AS w FROM v LEFT JOIN n ON v.conv_id IS NOT DISTINCT FROM n.conv_id WHERE v.rn = coalesce(n.len, 0)),
+        q AS (SELECT conv_id, w.a[z] AS op, z, len(replace(left(w.a, z), 'I', '')) AS rn, len(replace(left(w.a, z), 'D', '')) AS place FROM (SELECT conv_id, w, unnest(range(1, len(w.a) + 1)) AS z FROM b)),
+        j AS (SELECT q.*, g.role, CASE WHEN op = 'I' THEN '' ELSE g.text END AS text, max(CASE WHEN op = 'K' AND g.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY q.conv_id) AS sys FROM q LEFT JOIN g ON q.conv_id IS NOT DISTINCT FROM g.conv_id AND q.rn = g.rn),
+        r AS (SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role WHEN (place - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY z) AS whole FROM j WHERE op <> 'D' GROUP BY 1)
+        SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(dup, 0) AS BIGINT) AS duplicate, CAST(coalesce(trunc, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+            b.w.c AS cost, b.w.a AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM b LEFT JOIN n ON b.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN r ON b.conv_id IS NOT DISTINCT FROM r.conv_id""",
 }
