@@ -28,7 +28,7 @@ def run(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert plain_rows(run(spark, name)) == plain_rows(con.sql(queries.ORACLES[name]).df())
 
