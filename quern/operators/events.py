@@ -71,15 +71,17 @@ def parsed(lines: DataFrame, journal: str = "journal") -> DataFrame:
 
 def verified(lines: DataFrame, journal: str = "journal") -> DataFrame:
     """Events with `fault`: null, or what is wrong first: invalid event, invalid sequence, broken hash chain or
-    event hash mismatch. A line is tested against the line before it, so journals are tested in parallel and
-    one journal by one sort."""
-    w = Window.partitionBy(journal).orderBy("line_no")
-    rows = parsed(lines, journal).withColumn("_n", F.row_number().over(w)).withColumn("_before", F.lag("event_hash", 1, "").over(w)).withColumn("_own", own_hash("line"))
+    event hash mismatch. A line is tested against the line before it, which may be in another block, so a journal
+    of any length is tested in parallel."""
+    from quern.operators.scan import Scan
+
+    rows = Scan(parsed(lines, journal).withColumn("_own", own_hash("line")).drop("line"), [journal], ["line_no"])
+    rows = rows.sum(F.lit(1), "_n").lag(F.col("event_hash"), "_before", "").rows()
     fault = (
         F.when(F.col("_own").isNull(), "invalid event").when(F.coalesce(F.col("sequence") != F.col("_n"), F.lit(True)), "invalid sequence")
         .when(F.col("prev_hash") != F.col("_before"), "broken hash chain").when((F.col("event_hash") == "") | (F.col("event_hash") != F.col("_own")), "event hash mismatch")
     )
-    return rows.withColumn("fault", fault).drop("_n", "_before", "_own", "line")
+    return rows.withColumn("fault", fault).drop("_n", "_before", "_own")
 
 
 class IntegrityError(ValueError):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -88,26 +89,33 @@ def valid_prefix(df: DataFrame, by: Names, order: Names, use_ids: str, result_id
     return joined.withColumn("_p", pending).groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_p") == 0, F.col("_at"))), F.lit(0)).cast("long").alias("n_valid"))
 
 
-def spill_budget(df: DataFrame, by: Names, ident: str, text: str, one: int = 50_000, total: int = 200_000, preview: Column | None = None, exempt: Column | None = None, fixed: Column | None = None) -> DataFrame:
+def spill_budget(
+    df: DataFrame, by: Names, ident: str, text: str, one: int = 50_000, total: int = 200_000,
+    preview: Column | None = None, exempt: Column | None = None, fixed: Column | None = None,
+) -> DataFrame:
     """spilled: whether a row's text makes way for its preview, whose length `preview` gives.
 
     Texts of over `one` characters do. If what is left in the group still is over `total`, the longest of the
-    others follow, one after the other (ties by `ident`), until it isn't. `exempt` rows never do; `fixed`
-    rows were decided before: they count, with their text, but aren't looked at."""
-    length = F.length(text).cast("long")
-    out = df.withColumn("_len", length).withColumn("_pre", (preview if preview is not None else F.least(length, F.lit(2000))).cast("long"))
-    out = out.withColumn("_exempt", F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)).withColumn("_fixed", F.coalesce(fixed, F.lit(False)) if fixed is not None else F.lit(False))
-    out = out.withColumn("_big", (F.col("_len") > one) & ~F.col("_fixed")).withColumn("_first", F.col("_big") & ~F.col("_exempt"))
-    out = out.withColumn("_now", F.when(F.col("_first"), F.col("_pre")).otherwise(F.col("_len")))
-    out = out.withColumn("_sum", F.sum("_now").over(Window.partitionBy(*by)))
-    can = ~F.col("_big") & ~F.col("_exempt") & ~F.col("_fixed")
-    out = out.withColumn("_can", can).withColumn("_save", F.when(can, F.col("_len") - F.col("_pre")).otherwise(0))
-    ranked = Window.partitionBy(*by).orderBy(F.col("_can").desc(), F.col("_len").desc(), F.col(ident))
+    others follow, one after the other (ties by `ident`, which is unique in its group), until it isn't. `exempt`
+    rows never do; `fixed` rows were decided before: they count, with their text, but aren't looked at. Only
+    lengths are dealt and sorted, in blocks; texts stay where they are."""
+    from quern.operators.scan import Scan
+
+    length, no = F.length(text).cast("long"), F.lit(False)
+    out = df.select(
+        *by, ident, length.alias("_len"), (preview if preview is not None else F.least(length, F.lit(2000))).cast("long").alias("_pre"),
+        (F.coalesce(exempt, no) if exempt is not None else no).alias("_exempt"), (F.coalesce(fixed, no) if fixed is not None else no).alias("_fixed"),
+    )
+    big = (F.col("_len") > one) & ~F.col("_fixed")
+    first, can = big & ~F.col("_exempt"), ~big & ~F.col("_exempt") & ~F.col("_fixed")
+    out = out.select(*by, ident, "_len", F.coalesce(first, no).alias("_first"), F.coalesce(can, no).alias("_can"), F.when(first, F.col("_pre")).otherwise(F.col("_len")).alias("_now"), F.when(can, F.col("_len") - F.col("_pre")).otherwise(0).alias("_save"))
+    scan = Scan(out, by, [F.col("_can").desc(), F.col("_len").desc(), F.col(ident)])
     # a preview can be longer than its text, so what has been saved may fall; once under, it stays so
-    out = out.withColumn("_saved", F.coalesce(F.sum("_save").over(before_here(ranked)), F.lit(0)))
-    out = out.withColumn("_best", F.greatest(F.max("_saved").over(upto_here(ranked)), F.lit(0)))
-    later = F.col("_can") & (F.col("_sum") - F.col("_best") > total)
-    return out.withColumn("spilled", F.col("_first") | later).drop("_len", "_pre", "_exempt", "_fixed", "_big", "_first", "_now", "_sum", "_can", "_save", "_saved", "_best")
+    scan = scan.sum(F.col("_now"), "_upto", total="_sum").sum(F.col("_save"), "_saved", before=True).max(F.col("_saved"), "_best")
+    later = F.col("_can") & (F.col("_sum") - F.greatest("_best", F.lit(0)) > total)
+    decided = scan.rows().select(*[F.col(c).alias(f"_of_{c}") for c in (*by, ident)], (F.col("_first") | later).alias("spilled"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, ident)]
+    return df.join(decided, reduce(lambda x, y: x & y, same)).drop(*[f"_of_{c}" for c in (*by, ident)])
 
 
 def sticky(df: DataFrame, decided: DataFrame, ident: str, text: str) -> DataFrame:
@@ -118,8 +126,11 @@ def sticky(df: DataFrame, decided: DataFrame, ident: str, text: str) -> DataFram
 
 
 def prefix_budget(df: DataFrame, by: Names, order: Sequence, cost: Column, budget: int) -> DataFrame:
-    """The first rows as long as their summed (positive) costs stay within the budget."""
-    return df.withColumn("used", F.sum(cost).over(upto_here(_w(by, order)))).where(F.col("used") <= budget)
+    """The first rows as long as their summed (positive) costs stay within the budget. All columns are dealt into
+    blocks once; pass those that are needed."""
+    from quern.operators.scan import Scan
+
+    return Scan(df, by, order).sum(cost, "used").rows().where(F.col("used") <= budget)
 
 
 def latest(df: DataFrame, by: Names, order: Names, n: int) -> DataFrame:
@@ -139,13 +150,14 @@ def versions(df: DataFrame, by: Names, order: Names) -> DataFrame:
 
 
 def breaker(df: DataFrame, by: Names, order: Names, success: Column, opens_at: int = 3) -> DataFrame:
-    """failures: how many in a row end here; is_open: whether they are opens_at or more."""
-    w = _w(by, order)
+    """failures: how many in a row end here; is_open: whether they are opens_at or more. The failures so far, less
+    those that there were at the last success. All columns are dealt into blocks once; pass those that are needed."""
+    from quern.operators.scan import Scan
+
     out = df.withColumn("_ok", F.coalesce(success, F.lit(False)))
-    out = out.withColumn("_run", F.sum(F.col("_ok").cast("int")).over(upto_here(w)))
-    inner = Window.partitionBy(*by, "_run").orderBy(*order)
-    out = out.withColumn("failures", F.sum((~F.col("_ok")).cast("int")).over(upto_here(inner)).cast("long"))
-    return out.withColumn("is_open", F.col("failures") >= opens_at).drop("_ok", "_run")
+    scan = Scan(out, by, order).sum((~F.col("_ok")).cast("long"), "_all").max(F.when(F.col("_ok"), F.col("_all")), "_before")
+    out = scan.rows().withColumn("failures", F.col("_all") - F.coalesce("_before", F.lit(0)))
+    return out.withColumn("is_open", F.col("failures") >= opens_at).drop("_ok", "_all", "_before")
 
 
 def compaction_gate(tokens: Column, window: Column, failures: Column, opens_at: int = 3, reserve: int = 20_000, soft: int = 13_000, hard: int = 3_000) -> Column:

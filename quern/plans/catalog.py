@@ -362,12 +362,12 @@ _SPILL = """WITH a AS (SELECT doc_id, source, length(text) AS len, least(length(
 
 @query(_SPILL)
 def spill_budget(spark, d):
-    return O.spill_budget(table(spark, d, "documents"), ["source"], "doc_id", "text", 5000, 50_000, F.least(F.length("text"), F.lit(500)) + 40).select("doc_id", "spilled")
+    return O.spill_budget(table(spark, d, "documents").select("doc_id", "source", "text"), ["source"], "doc_id", "text", 5000, 50_000, F.least(F.length("text"), F.lit(500)) + 40).select("doc_id", "spilled")
 
 
 @query("SELECT doc_id, lang, CAST(sum(n_chars + 8) OVER (PARTITION BY lang ORDER BY doc_id DESC) AS BIGINT) AS used FROM documents QUALIFY used <= 25000")
 def prefix_budget(spark, d):
-    return O.prefix_budget(table(spark, d, "documents"), ["lang"], [F.col("doc_id").desc()], F.col("n_chars") + 8, 25_000).select("doc_id", "lang", "used")
+    return O.prefix_budget(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["lang"], [F.col("doc_id").desc()], F.col("n_chars") + 8, 25_000).select("doc_id", "lang", "used")
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), x AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS line_no FROM l) SELECT doc_id, line_no, line FROM x WHERE regexp_matches(line, '[Ll]icen[sc]e')""")
