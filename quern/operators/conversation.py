@@ -12,15 +12,34 @@ from quern.operators.ordered import islands
 INTERRUPTED = "interrupted"
 
 
+#: What a summary of an earlier part of a conversation begins with.
+RESUMED = "This conversation goes on from an earlier one, which was compacted. Its summary:\n\n"
+KEPT = "array<struct<role:string,content:string>>"
+
+
 def merged_results(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """Messages of session records (type, content, tool_use_id): system records drop out, results in a row become
-    one user message."""
-    kept = rows.where(F.col("type") != "system")
-    runs = islands(kept, by, [order], F.col("type"), F.col("type") == "tool_result")
+    """Messages (first_at, part, role, content, tool_results) of session records (type, content, tool_use_id).
+
+    Results in a row become one user message; any other record ends the row of results, also a system record, of
+    which nothing else is left. A compression record becomes a user message of its summary. So does a compaction
+    boundary (as boundary() gives it), and the messages that it keeps, JSON with role and content, follow as its
+    parts 1 on. A row of results is collected into one message; the longest is bounded by a turn's calls."""
+    kind, result = F.col("type"), F.col("type") == "tool_result"
+    runs = islands(rows, by, [order], kind, result).where(~kind.eqNullSafe("system"))
     parts = F.array_sort(F.collect_list(F.struct(order, "tool_use_id", "content")))
-    role = F.when(F.col("type") == "tool_result", "user").otherwise(F.col("type"))
     out = runs.groupBy(*by, "island", "type").agg(F.min(order).alias("first_at"), F.transform(parts, lambda p: F.struct(p["tool_use_id"].alias("tool_use_id"), p["content"].alias("content"))).alias("parts"))
-    return out.select(*by, "first_at", role.alias("role"), F.when(F.col("type") == "tool_result", "").otherwise(F.col("parts")[0]["content"]).alias("content"), F.when(F.col("type") == "tool_result", F.col("parts")).alias("tool_results"))
+    text = F.col("parts")[0]["content"]
+    bounds = parsed_boundary(text)
+    kept = F.transform(bounds["keep"], lambda k: F.from_json(k, "role string, content string"))
+    said = lambda role, content: F.array(F.struct(role.alias("role"), content.alias("content"))).cast(KEPT)
+    summary = lambda c: said(F.lit("user"), F.concat(F.lit(RESUMED), F.coalesce(c, F.lit(""))))
+    messages = (
+        F.when(result, said(F.lit("user"), F.lit(""))).when(kind == "compression", summary(text))
+        .when(kind == "compact_boundary", F.concat(summary(bounds["summary"]), F.coalesce(kept, F.array().cast(KEPT))))
+        .otherwise(said(kind, F.coalesce(text, F.lit(""))))
+    )
+    out = out.select(*by, "first_at", F.when(result, F.col("parts")).alias("tool_results"), F.posexplode(messages).alias("part", "message"))
+    return out.select(*by, "first_at", "part", "message.role", "message.content", "tool_results")
 
 
 def wire(rows: DataFrame, protocol: str) -> DataFrame:

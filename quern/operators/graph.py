@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ MAX_ROUNDS = 200
 def ancestors(path: Column) -> Column:
     """A path's proper ancestor folders."""
     parts = F.split(path, "/")
-    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/")), lambda p: p != path)
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.filter(F.transform(every, lambda p: F.when(p == "", "/").otherwise(p)), lambda p: p != path)
 
 
 def conflicts(calls: DataFrame, turn: str | None = None) -> DataFrame:
@@ -63,6 +67,87 @@ def frontier(edges: DataFrame, turn: str | None = None) -> DataFrame:
     return edges.join(longer, [*on, "earlier", "later"], "left_anti")
 
 
+SCHEDULED = "seq long, wave int, waits_for array<long>"
+
+
+def _above(path: str):
+    while (at := path.rfind("/")) >= 0 and path != "/":
+        path = path[:at] or "/"
+        yield path
+
+
+class Turn:
+    """The calls of one turn so far. Sets of calls are bits of one number: those that read and write at a path, below
+    it, and at all of it (recursively), those that exclude all others, and the calls above each call."""
+
+    def __init__(self):
+        self.seqs, self.waves, self.above, self.exclusive = [], [], [], 0
+        self.at, self.below, self.tree = ({}, {}), ({}, {}), ({}, {})
+
+    def add(self, seq: int, reads, writes, exclusive: bool) -> tuple[int, list[int]]:
+        """(wave, calls to wait for): the conflicting calls that no other conflicting call waits for. The latest
+        of those left is always one of them, and takes all above it away."""
+        n = len(self.seqs)
+        met = (1 << n) - 1 if exclusive else self.exclusive
+        refs = [(r, 0) for r in reads or ()] + [(r, 1) for r in writes or ()]
+        for ref, write in refs:
+            path = ref["path"]
+            for side in (0, 1) if write else (1,):
+                met |= self.at[side].get(path, 0) | self.tree[side].get(path, 0)
+                if ref["recursive"]:
+                    met |= self.below[side].get(path, 0)
+                for up in _above(path):
+                    met |= self.tree[side].get(up, 0)
+        waits, above = [], 0
+        while met:
+            last = met.bit_length() - 1
+            waits.append(last)
+            above |= self.above[last] | 1 << last
+            met &= ~above
+        wave = 1 + max((self.waves[k] for k in waits), default=0)
+        self.seqs.append(seq)
+        self.waves.append(wave)
+        self.above.append(above)
+        mine = 1 << n
+        self.exclusive |= mine if exclusive else 0
+        for ref, write in refs:
+            path = ref["path"]
+            self.at[write][path] = self.at[write].get(path, 0) | mine
+            if ref["recursive"]:
+                self.tree[write][path] = self.tree[write].get(path, 0) | mine
+            for up in _above(path):
+                self.below[write][up] = self.below[write].get(up, 0) | mine
+        return wave, [self.seqs[k] for k in reversed(waits)]
+
+
+def scheduled(calls: DataFrame, turn: str | None = None) -> DataFrame:
+    """seq, wave (1 on) and waits_for of each call, led by the turn where a column names it: the frontier of conflicts()
+    without its pairs. calls as there. A turn's calls stream through one task in order of seq; what it holds are some
+    bits for each two calls of the turn."""
+    by = F.col(turn) if turn else F.lit(0)
+    rows = calls.select(by.cast("string").alias("_turn"), *([F.col(turn)] if turn else []), F.col("seq").cast("long").alias("seq"), "reads", "writes", F.coalesce("exclusive", F.lit(False)).alias("exclusive"))
+    kind = f"`{turn}` {dict(calls.dtypes)[turn]}, " if turn else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, key = None, None
+        for batch in batches:
+            names, found = batch["_turn"].to_pylist(), []
+            for name, r in zip(names, batch.select(["seq", "reads", "writes", "exclusive"]).to_pylist()):
+                if now is None or name != key:
+                    now, key = Turn(), name
+                found.append(now.add(r["seq"], r["reads"], r["writes"], r["exclusive"]))
+            cols = [batch["seq"], pa.array([w for w, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int64()))]
+            lead = [batch[turn]] if turn else []
+            yield pa.RecordBatch.from_arrays(lead + cols, ([turn] if turn else []) + ["seq", "wave", "waits_for"])
+
+    return rows.repartition("_turn").sortWithinPartitions("_turn", "seq").mapInArrow(run, kind + SCHEDULED)
+
+
+def waiting(schedule: DataFrame, turn: str | None = None) -> DataFrame:
+    """(earlier, later) pairs of scheduled()."""
+    return schedule.select(*([turn] if turn else []), F.explode("waits_for").alias("earlier"), F.col("seq").alias("later"))
+
+
 def write_chain(writes: DataFrame, resource: str, order: str) -> DataFrame:
     """Each write with the one before it on the resource: the frontier where writes are all that conflicts."""
     w = Window.partitionBy(resource).orderBy(order)
@@ -128,10 +213,14 @@ def tree(nodes: DataFrame, ident: str, parent: str) -> DataFrame:
 
 def includes(edges: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:
     """(root, file, depth) of files reached over include edges (file, target), at most so deep, each once."""
-    level = start.select(F.col("file").alias("root"), "file", F.lit(0).alias("depth"))
+    from quern.operators.staging import staged
+
+    level = staged(start.select(F.col("file").alias("root"), "file", F.lit(0).alias("depth")))
     seen = level
     for d in range(1, depth + 1):
-        level = level.join(edges, "file").select("root", F.col("target").alias("file"), F.lit(d).alias("depth")).distinct().join(seen, ["root", "file"], "left_anti")
+        level = staged(level.join(edges, "file").select("root", F.col("target").alias("file"), F.lit(d).alias("depth")).distinct().join(seen, ["root", "file"], "left_anti"))
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
     return seen
 

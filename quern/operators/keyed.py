@@ -125,10 +125,11 @@ def stale_reads(reads: DataFrame, files: DataFrame, key: str, mtime: str) -> Dat
 
 
 def needs_reload(recorded: DataFrame, current: DataFrame, key: str, mtime: str) -> DataFrame:
-    """Keys whose recorded and current times differ; absent counts as 0."""
+    """Keys whose times differ, an absent one being 0, and keys that are there but were not recorded, whatever their time."""
     a, b = recorded.select(F.col(key).alias("_a"), F.col(mtime).alias("_x")), current.select(F.col(key).alias("_b"), F.col(mtime).alias("_y"))
     out = a.join(b, F.col("_a") == F.col("_b"), "full_outer")
-    return out.where(F.coalesce("_x", F.lit(0)) != F.coalesce("_y", F.lit(0))).select(F.coalesce("_a", "_b").alias(key))
+    new = F.col("_a").isNull() & F.col("_b").isNotNull()
+    return out.where(new | (F.coalesce("_x", F.lit(0)) != F.coalesce("_y", F.lit(0)))).select(F.coalesce("_a", "_b").alias(key))
 
 
 def unique_names(df: DataFrame, ident: str, name: str, aliases: str) -> DataFrame:

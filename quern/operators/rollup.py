@@ -116,29 +116,12 @@ def idle_teams(df: DataFrame, team: str, active: str) -> DataFrame:
     return df.groupBy(team).agg(F.bool_and(idle).alias("all_idle"), F.count_if(~idle).alias("n_active"))
 
 
-def waves(calls: DataFrame, edges: DataFrame, turn: str) -> DataFrame:
-    """turn, seq and wave of each call: one after the latest of the calls that it waits for. A turn is one fold over
-    its calls in order, as its size is bounded."""
-    waits = edges.groupBy(turn, F.col("later").alias("seq")).agg(F.collect_list("earlier").alias("for"))
-    rows = calls.select(turn, "seq").join(waits, [turn, "seq"], "left")
-    sorted_rows = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("for", F.array().cast("array<bigint>")).alias("for"))))
-
-    def step(acc: Column, r: Column) -> Column:
-        before = F.filter(acc, lambda x: F.array_contains(r["for"], x["seq"]))
-        latest = F.coalesce(F.array_max(F.transform(before, lambda x: x["wave"])), F.lit(0))
-        return F.concat(acc, F.array(F.struct(r["seq"].alias("seq"), (latest + 1).cast("int").alias("wave"))))
-
-    folded = rows.groupBy(turn).agg(F.aggregate(sorted_rows, F.array().cast("array<struct<seq:bigint,wave:int>>"), step).alias("w"))
-    return folded.select(turn, F.inline("w"))
-
-
-def scheduler_stats(calls: DataFrame, edges: DataFrame, turn: str) -> DataFrame:
-    """submitted, dependency_edges, conflicted_calls and max_parallelism (the most calls of one wave) of each turn's
-    frontier."""
-    n = calls.groupBy(turn).agg(F.count("*").alias("submitted"))
-    found = edges.groupBy(turn).agg(F.count("*").alias("dependency_edges"), F.count_distinct("later").alias("conflicted_calls"))
-    most = waves(calls, edges, turn).groupBy(turn, "wave").agg(F.count("*").alias("n")).groupBy(turn).agg(F.max("n").alias("max_parallelism"))
-    return n.join(found, turn, "left").join(most, turn).na.fill(0, ["dependency_edges", "conflicted_calls"])
+def scheduler_stats(schedule: DataFrame, turn: str) -> DataFrame:
+    """submitted, dependency_edges, conflicted_calls and max_parallelism (the most calls of one wave) of each turn of
+    graph.scheduled(). Waves are added up first, so a turn is combined before its shuffle."""
+    n = F.size("waits_for")
+    per = schedule.groupBy(turn, "wave").agg(F.count("*").alias("calls"), F.sum(n).alias("edges"), F.count_if(n > 0).alias("held"))
+    return per.groupBy(turn).agg(F.sum("calls").alias("submitted"), F.sum("edges").alias("dependency_edges"), F.sum("held").alias("conflicted_calls"), F.max("calls").alias("max_parallelism"))
 
 
 def usage(df: DataFrame, run: str, turn: str, is_call: Column, tokens_in: str, tokens_out: str) -> DataFrame:

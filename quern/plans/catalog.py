@@ -281,14 +281,13 @@ def conflict_edges(spark, d):
 
 @query(_FRONTIERS + " SELECT * FROM f")
 def conflict_frontier(spark, d):
-    return G.frontier(G.conflicts(calls(spark, d), "turn"), "turn")
+    return G.waiting(G.scheduled(calls(spark, d), "turn"), "turn")
 
 
 @query(_FRONTIERS + """, waves AS (SELECT turn, seq, 1 AS wave FROM c UNION SELECT waves.turn, f.later, waves.wave + 1 FROM waves JOIN f ON f.turn = waves.turn AND f.earlier = waves.seq) SELECT c.turn, any_value(n) AS submitted, count(f.later) AS dependency_edges, count(DISTINCT f.later) AS conflicted_calls, any_value(m.most) AS max_parallelism
     FROM (SELECT turn, count(*) AS n FROM c GROUP BY 1) c LEFT JOIN f ON c.turn = f.turn JOIN (SELECT turn, max(n) AS most FROM (SELECT turn, wave, count(*) AS n FROM (SELECT turn, seq, max(wave) AS wave FROM waves GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1) m ON m.turn = c.turn GROUP BY 1""")
 def scheduler_stats(spark, d):
-    c = calls(spark, d)
-    return R.scheduler_stats(c, G.frontier(G.conflicts(c, "turn"), "turn"), "turn")
+    return R.scheduler_stats(G.scheduled(calls(spark, d), "turn"), "turn")
 
 
 @query("SELECT lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS earlier, event_id AS later FROM events WHERE event_type IN ('purchase', 'signup') QUALIFY earlier IS NOT NULL")

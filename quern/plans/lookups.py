@@ -200,10 +200,11 @@ def command_completions(spark, d):
     return P.completions(p, "s").select("name")
 
 
-@query("SELECT a.s_suppkey AS sender, b.s_suppkey AS member FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey % 5 = 0")
+@query("SELECT a.o_orderkey AS sender, b.o_orderkey AS member FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderpriority = '1-URGENT'")
 def broadcast_mail(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("team"), F.col("s_suppkey").alias("member"))
-    return P.broadcast_messages(s.where("member % 5 = 0").select("team", F.col("member").alias("sender")), s).select("sender", "member")
+    """A customer's orders are a team, an urgent one writes to the others: as many messages as members, each."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("team"), F.col("o_orderkey").alias("member"), "o_orderpriority")
+    return P.broadcast_messages(o.where("o_orderpriority = '1-URGENT'").select("team", F.col("member").alias("sender")), o).select("sender", "member")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_nationkey = 3 AND c_custkey % 2 = 0 THEN 'completed' WHEN c_custkey % 2 = 0 THEN 'running' ELSE 'idle' END AS status FROM customer")
@@ -220,7 +221,7 @@ def task_edges(spark, d):
     return G.task_edges(blocks.unionByName(o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), none.alias("blocks"), F.array(F.col("o_custkey") + 1).alias("blocked_by"))))
 
 
-@query("WITH RECURSIVE w AS (SELECT s_suppkey AS root, s_suppkey AS file, 0 AS depth FROM supplier UNION ALL SELECT w.root, s.s_suppkey, w.depth + 1 FROM w JOIN supplier s ON s.s_suppkey = w.file * 2 WHERE w.depth < 3) SELECT * FROM w")
+@query("WITH RECURSIVE w AS (SELECT s_suppkey AS root, s_suppkey AS file, 0 AS depth FROM supplier UNION ALL SELECT w.root, s.s_suppkey, w.depth + 1 FROM w JOIN supplier s ON s.s_suppkey = w.file * 2 AND s.s_suppkey <> w.file WHERE w.depth < 3) SELECT * FROM w")
 def include_closure(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"))
     return G.includes(s.where("file % 2 = 0 and file > 0").select((F.col("file") / 2).cast("long").alias("file"), F.col("file").alias("target")), s, 3)
@@ -335,7 +336,7 @@ def ordered_texts(spark, d):
 
 
 @query("""WITH r AS (SELECT conv_id, turn, text, role, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS u FROM conversations), g AS (SELECT *, CASE WHEN u = 1 AND lag(u) OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 0 ELSE 1 END AS fresh FROM r),
-    i AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM g) SELECT conv_id, min(turn) AS first_at, any_value(CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END) AS role, count(*) FILTER (role = 'user') AS n_results FROM i GROUP BY conv_id, island""")
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM g) SELECT conv_id, min(turn) AS first_at, any_value(role) AS role, count(*) FILTER (role = 'user') AS n_results FROM i WHERE role <> 'system' GROUP BY conv_id, island""")
 def merged_results(spark, d):
     """A user's turn stands for a tool's result."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "tool_result").otherwise(F.col("role")).alias("type"), F.col("text").alias("content"), col("turn").alias("tool_use_id"))

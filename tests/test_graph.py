@@ -40,6 +40,7 @@ def test_conflicts_and_frontier(spark):
         want = sorted((i, j) for j in range(25) for i in range(j) if conflict(calls[i], calls[j]))
         assert sorted((r["earlier"], r["later"]) for r in edges.collect()) == want
         assert sorted((r["earlier"], r["later"]) for r in G.frontier(edges).collect()) == reduced(calls)
+        assert sorted((r["earlier"], r["later"]) for r in G.waiting(G.scheduled(df)).collect()) == reduced(calls)
 
 
 def test_every_turn_has_its_own_conflicts(spark):
@@ -54,7 +55,9 @@ def test_every_turn_has_its_own_conflicts(spark):
     least = sorted((t, 100 * t + i, 100 * t + j) for t, cs in numbered.items() for i, j in reduced(cs))
     kept = G.frontier(edges, "turn")
     assert sorted(map(tuple, kept.select("turn", "earlier", "later").collect())) == least
-    stats = {r["turn"]: (r["submitted"], r["dependency_edges"], r["conflicted_calls"]) for r in R.scheduler_stats(df, kept, "turn").collect()}
+    schedule = G.scheduled(df, "turn")
+    assert sorted(map(tuple, G.waiting(schedule, "turn").select("turn", "earlier", "later").collect())) == least
+    stats = {r["turn"]: (r["submitted"], r["dependency_edges"], r["conflicted_calls"]) for r in R.scheduler_stats(schedule, "turn").collect()}
     assert stats == {t: (len(cs), sum(x[0] == t for x in least), len({x[2] for x in least if x[0] == t})) for t, cs in turns.items()}
 
 
@@ -62,11 +65,23 @@ def test_later_events_are_calls_too(spark):
     from quern.plans import catalog
     from tests.conftest import SF
 
-    got = catalog.QUERIES["turn_conflict_edges"](spark, SF)
+    got = catalog.QUERIES["conflict_edges"](spark, SF)
     events = catalog.table(spark, SF, "events").count()
-    stats = catalog.QUERIES["turn_scheduler_stats"](spark, SF).collect()
+    stats = catalog.QUERIES["scheduler_stats"](spark, SF).collect()
     assert sum(r["submitted"] for r in stats) == events and got.where("later >= 60").count() > 0
-    assert sorted(map(tuple, got.where("turn = 0").select("earlier", "later").collect())) == sorted(map(tuple, catalog.QUERIES["conflict_edges"](spark, SF).select("earlier", "later").collect()))
+
+
+def test_scheduled_odd_calls(spark):
+    """Roots, paths that only begin alike, nulls, no rows, and a turn in which every call meets every other."""
+    read, write = lambda *p: ([(x, False) for x in p], []), lambda p, r=False: ([], [(p, r)])
+    calls = [read("/a/b"), write("/", True), read("/ab"), write("/a"), read("/a/b"), ([("/", True)], []), write("rel/x"), ([("rel", True)], []), ([], []), (None, None)]
+    df = spark.createDataFrame([(None, i, *c, None) for i, c in enumerate(calls)], "turn string, " + SCHEMA)
+    got = {r["seq"]: (r["wave"], r["waits_for"]) for r in G.scheduled(df, "turn").collect()}
+    assert got == {0: (1, []), 1: (2, [0]), 2: (3, [1]), 3: (3, [1]), 4: (3, [1]), 5: (4, [3]), 6: (1, []), 7: (2, [6]), 8: (1, []), 9: (1, [])}
+    assert G.scheduled(df.limit(0), "turn").collect() == []
+    one = spark.createDataFrame([(i, *write("/f"), False) for i in range(3000)], SCHEMA)
+    chain = G.scheduled(one)
+    assert chain.where("wave <> seq + 1 or size(waits_for) <> least(seq, 1)").count() == 0
 
 
 def test_scheduled_calls(spark):

@@ -88,6 +88,12 @@ def test_conversations(spark):
     df = spark.createDataFrame([("s", *r) for r in rows], "s string, n int, type string, content string, tool_use_id string")
     got = C.merged_results(df, ["s"], "n").orderBy("first_at").collect()
     assert [(r["role"], r["content"], [t["tool_use_id"] for t in r["tool_results"] or []]) for r in got] == [("user", "q", []), ("user", "", ["a", "b"]), ("assistant", "x", []), ("user", "", ["c"])]
+    keep = '{"kind":"compact_boundary","summary":"so far","keep":["{\\"role\\":\\"assistant\\",\\"content\\":\\"kept\\"}"],"tokens":1}'
+    rows = [(1, "tool_result", "r1", "a"), (2, "system", "s", None), (3, "tool_result", "r2", "b"), (4, "compression", "old", None), (5, "compact_boundary", keep, None), (6, "user", None, None)]
+    got = C.merged_results(spark.createDataFrame([("s", *r) for r in rows], "s string, n int, type string, content string, tool_use_id string"), ["s"], "n").orderBy("first_at", "part").collect()
+    assert [(r["first_at"], r["part"], r["role"], r["content"].removeprefix(C.RESUMED), len(r["tool_results"] or [])) for r in got] == [
+        (1, 0, "user", "", 1), (3, 0, "user", "", 1), (4, 0, "user", "old", 0), (5, 0, "user", "so far", 0), (5, 1, "assistant", "kept", 0), (6, 0, "user", "", 0)
+    ]
     turns = spark.createDataFrame([("k", 1, "user", "hi", None, None), ("k", 2, "assistant", "ok", [("u1", "Bash", '{"a":1}'), ("u2", "Read", "{}")], [("u2", "done", False)])], "k string, n int, " + schemas.TURN)
     forked = C.forked(turns, ["k"], "n", "<fork>").orderBy("n").collect()
     assert [(t["tool_use_id"], t["content"]) for t in forked[-1]["tool_results"]] == [("u1", "interrupted")] and len(forked) == 3
