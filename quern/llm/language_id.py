@@ -3,11 +3,14 @@
 The subwords of a text are its byte n-grams (orders NGRAMS) after lower-casing, with every run of other
 characters than letters seen as one space; each is hashed to one of BUCKETS rows of an embedding table. A text is the mean of its
 rows; a linear layer and a softmax give the languages' probabilities. Both layers are trained together by
-stochastic gradient descent in numpy, over excerpts of a bounded sample of labelled rows: at most about
-PER_LANG rows of a language and SAMPLE in all, chosen by a hash of doc_id, one excerpt of at most EXCERPT
-characters from a hashed place of each. The MAX_LANGS most frequent values of lang are learned; rows of others
-teach nothing and get the learned language that they are most like, or are rejected. A tenth of the sample is kept out of training and sets the temperature of the softmax and the score below
-which a prediction is rejected: the score that LOST of the right predictions fall short of, at most MOST.
+stochastic gradient descent in numpy, over excerpts of a bounded sample of labelled rows: some PER_LANG rows of
+a language (twice as many at most) and some SAMPLE in all, drawn within each language by a hash of doc_id and text,
+so neither repeated nor missing ids keep a language out; rows alike in both teach once. Of each, one excerpt of at
+most EXCERPT characters from a hashed place. The MAX_LANGS most frequent values of lang are learned, which bounds
+what a worker holds (2^16 x languages x 4 bytes: 131 MB at 500); rows of others teach nothing and get the learned
+language that they are most like, or are rejected. A tenth of the sample is kept out of training and sets the
+temperature of the softmax and the score below which a prediction is rejected: the score that LOST of the right
+predictions fall short of, at most MOST.
 
 Prediction reads whole texts. As both layers are linear, a text's logits are the mean of its n-grams' own
 logits, so a table of BUCKETS x languages is all that workers need (a fixed size).
@@ -25,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -186,12 +189,17 @@ def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
         return [], []
     each = min(PER_LANG, SAMPLE // len(counts))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))]), F.col("lang"))
-    rows = rows.where(F.col("lang").isin(*counts))
-    pick = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    length = F.lit(EXCERPT) * (F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(4)) + 1) / 4
-    start = 1 + F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.greatest(F.length("text") - length.cast("int") + 1, F.lit(1)))
-    chosen = rows.where((pick < share) & F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", start.cast("int"), length.cast("int")).alias("text"))
-    found = [r for r in chosen.orderBy("doc_id", "lang", "text").limit(2 * each * len(counts)).collect() if _LETTER.search(r["text"])]
+    rows = rows.where(F.col("lang").isin(*counts) & F.col("text").isNotNull()).withColumn("th", F.xxhash64("text"))
+    draw = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "doc_id", "th"), n)
+    pick = draw(11, F.lit(1 << 30))
+    length = F.lit(EXCERPT) * (draw(13, F.lit(4)) + 1) / 4
+    start = 1 + draw(12, F.greatest(F.length("text") - length.cast("int") + 1, F.lit(1)))
+    chosen = rows.where(pick / (1 << 30) < share).select("lang", pick.alias("pick"), "th", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.substring("text", start.cast("int"), length.cast("int")).alias("text"))
+    # some `each` rows of a language are left here, so its rank is a small window
+    first = Window.partitionBy("lang").orderBy("pick", "th", "id")
+    chosen = chosen.groupBy("lang", "pick", "th", "id").agg(F.min("text").alias("text")).withColumn("rank", F.row_number().over(first))
+    found = chosen.where(F.col("rank") <= 2 * each).orderBy("lang", "rank").select("lang", "text").collect()
+    found = [r for r in found if _LETTER.search(r["text"])]
     return [r["text"] for r in found], [r["lang"] for r in found]
 
 

@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import among, connected_components, drop_staged, frugal, lists, staged, stars
@@ -500,11 +500,15 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     classes = rows.where("n_shingles > 0").groupBy(*name).agg(first, F.first("sketch").alias("sketch")).select(*name, "first.doc_id", "first.th", "sketch")
     # a class's own number; it is settled once it is written
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    # one sort by part finds where sets meet; a hot part holds few of the rows, as its sets have other parts too
-    part = Window.partitionBy("part")
+    # a class has each of its parts once; parts that one class alone has go before their shuffle, and the join with the
+    # others is one that adaptive execution can split, as a group of near copies shares most of its parts
     half = F.expr(f"cast(h2 & {_HALF} as int)").alias("half")
-    met = _parts(docs, k, num, den).select("part", "h1", "half", F.min("h1").over(part).alias("low"), F.max("h1").over(part).alias("high"))
-    met = staged(met.where("low <> high").select("part", "h1", "half").distinct(), "met")
+    parts = staged(_parts(docs, k, num, den).select("part", "h1", "half").distinct(), "parts")
+    several = parts.groupBy("part").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
+    several = staged(several.select("part", F.col("part").alias("key")), "several")
+    met = among(parts.withColumn("key", F.col("part")), several).drop("key").join(several.drop("key").hint("merge"), "part")
+    met = staged(met.select("part", "h1", "half"), "met")
+    drop_staged(parts, several)
     one = F.lit(1).cast("long").alias("cost")
     sketched = met.join(classes.select("h1", half, F.col("n_shingles").cast("int").alias("n"), "sketch", "cid"), ["h1", "half"])
     sketched = sketched.select(F.col("part").alias("grp"), "cid", one, "n", "sketch")

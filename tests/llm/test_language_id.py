@@ -89,3 +89,17 @@ def test_more_languages_than_are_learned(spark, monkeypatch):
     texts, langs = L.sample(docs)
     assert set(langs) == {"en", "fr"} and len(texts) <= 120
     assert {r["lang_pred"] for r in L.identify(docs, L.fit(docs)).collect()} <= {"en", "fr"}
+
+
+def test_rows_without_ids_keep_no_language_out(spark):
+    """Rows without an id, and rows that share one, each have a draw of their own."""
+    rows = [(None, f"{EN} {i}", "en", None) for i in range(3000)] + [(i, f"{EN} {i} so", "en", None) for i in range(130)]
+    rows += [(5000 + i, f"{FR} {i}", "fr", None) for i in range(1000)] + [(8, f"und der {i} die das mit nicht", "de", None) for i in range(900)] + [(8, "la casa", "it", None)] * 500
+    L.PER_LANG, kept = 500, L.PER_LANG
+    try:
+        texts, langs = L.sample(made(spark, rows))
+    finally:
+        L.PER_LANG = kept
+    of = {x: langs.count(x) for x in set(langs)}
+    assert set(of) == {"en", "fr", "de", "it"} and of["it"] == 1
+    assert all(350 <= of[x] <= 1000 for x in ("en", "fr", "de")), of
