@@ -15,7 +15,9 @@ from quern.llm.queries import vocabulary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that language ID rejects: no letters, or a score below the calibrated limit."""
+    """Without the documents that language ID rejects: no letters (null and empty texts among them), or a score below
+    the calibrated limit. Rows with a null lang teach nothing; repeated rows each stay or go alike; without any
+    labelled row all go; an empty table stays empty."""
     model = language_id.fit(docs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     return language_id.predicted(rows, model, ["row"]).where("not rejected").select("row.*")
@@ -43,17 +45,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the passages that an earlier document keeps."""
+    """The documents without the passages that an earlier document keeps. No row goes: one whose whole text is a
+    repeat stays with an empty text. Null and short texts stay as they are; a null id is before all others; rows
+    alike in id and text are one document and keep all of it; ties of ids go by the text's hash."""
     return substring_dedup.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them: texts without words (null ones too) are never taken, a null source
+    is one of its own, rows without an id are in order of their text, repeated rows each have their own share."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and its token ids, begin and end included."""
+    """doc_id and its token ids, begin and end included; a null or empty text has these two alone, a null id stays
+    null, repeated rows each have their own row."""
     return sentencepieces.encoded(docs, vocabulary("piece_bpe_32k.model"))
 
 
