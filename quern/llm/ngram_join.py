@@ -39,13 +39,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import among, connected_components, drop_staged, frugal, lists, staged, stars
 
 #: Elements of sets, and sketches, that a cell's share of a group holds; bytes read at a time.
 CELL, MEET, SLICE = 1 << 16, 1 << 12, 1 << 20
+#: Parts that HOT of some SAMPLED classes have are hot: by the parts that a set has at most, there are few such (their
+#: number has a bound that doesn't grow with the documents), so they are broadcast; each is dealt over SALTS tasks.
+SAMPLED, HOT, SALTS = 20_000, 100, 256
 #: About how many members of a large group all its cells hold.
 STAND = 16
 #: DivideSkip's weight of a probe against a step of the merge.
@@ -500,15 +503,20 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     classes = rows.where("n_shingles > 0").groupBy(*name).agg(first, F.first("sketch").alias("sketch")).select(*name, "first.doc_id", "first.th", "sketch")
     # a class's own number; it is settled once it is written
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    # a class has each of its parts once; parts that one class alone has go before their shuffle, and the join with the
-    # others is one that adaptive execution can split, as a group of near copies shares most of its parts
+    # one sort by part finds where sets meet; parts are made of (nearly) one document of each class, and rows of a part
+    # that many classes share, as near copies do, are known to meet and dealt over SALTS tasks
     half = F.expr(f"cast(h2 & {_HALF} as int)").alias("half")
-    parts = staged(_parts(docs, k, num, den).select("part", "h1", "half").distinct(), "parts")
-    several = parts.groupBy("part").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
-    several = staged(several.select("part", F.col("part").alias("key")), "several")
-    met = among(parts.withColumn("key", F.col("part")), several).drop("key").join(several.drop("key").hint("merge"), "part")
-    met = staged(met.select("part", "h1", "half"), "met")
-    drop_staged(parts, several)
+    of_class = F.struct("doc_id", "th").alias("key")
+    shown = among(_keyed(docs).withColumn("key", of_class), classes.select(of_class))
+    share = min(1.0, SAMPLED / max(1, classes.count()))
+    some = shown.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "th"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    hot = _parts(some, k, num, den).groupBy("part").agg(F.count("*").alias("n"), F.min("h1").alias("low"), F.max("h1").alias("high")).where(f"n >= {HOT} and low <> high")
+    hot = staged(hot.select("part", F.lit(True).alias("hot")), "hot")
+    parts = _parts(shown, k, num, den).join(F.broadcast(hot), "part", "left")
+    met = parts.select("part", "h1", "half", "hot", F.when(F.col("hot"), F.pmod("h1", F.lit(SALTS))).otherwise(0).alias("salt"))
+    part = Window.partitionBy("part", "salt")
+    met = met.select("part", "h1", "half", "hot", F.min("h1").over(part).alias("low"), F.max("h1").over(part).alias("high"))
+    met = staged(met.where("hot or low <> high").select("part", "h1", "half").distinct(), "met")
     one = F.lit(1).cast("long").alias("cost")
     sketched = met.join(classes.select("h1", half, F.col("n_shingles").cast("int").alias("n"), "sketch", "cid"), ["h1", "half"])
     sketched = sketched.select(F.col("part").alias("grp"), "cid", one, "n", "sketch")
@@ -538,5 +546,5 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     placed = classes.join(found, F.col("cid") == F.col("node"), "left").select(*name, "doc_id", F.coalesce("component", "cid").alias("component"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = staged(placed.drop("doc_id").join(names, "component"), "named")
-    drop_staged(met, edges, whole, blocks, active, sets, links, found, classes)
+    drop_staged(met, hot, edges, whole, blocks, active, sets, links, found, classes)
     return rows.drop("sketch").join(named, name, "left").select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")

@@ -135,3 +135,18 @@ def test_words_in_slices(monkeypatch):
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
     assert len(whole[0]) == len(WORD.findall(text.decode()))
     N._powers.cache_clear()
+
+
+def test_hot_parts_are_dealt_over_salts(spark, monkeypatch):
+    """Near copies that share parts, all of them hot: the result is that of no hot part at all."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(i, " ".join([*base[:-1], f"x{i}"]), "en", "s") for i in range(60)] + [(100 + i, " ".join(base), "en", "s") for i in range(30)]
+    rows += [(200 + i, " ".join(rng.choice(words) for _ in range(50)), "en", "s") for i in range(40)] + [(None, " ".join(base), "en", "s")]
+    docs = made(spark, rows)
+    plain = sorted(map(tuple, N.join(docs, 3, 90, 100).collect()), key=str)
+    monkeypatch.setattr(N, "HOT", 2)
+    monkeypatch.setattr(N, "SALTS", 7)
+    assert sorted(map(tuple, N.join(docs, 3, 90, 100).collect()), key=str) == plain
+    assert sum(r[2] == 0 for r in plain) == 91 or sum(r[2] == 0 for r in plain) == 90
