@@ -374,3 +374,20 @@ def snapshots(spark, d):
 def accepted_edits(spark, d):
     spans = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("start"), (F.col("l_quantity").cast("long") + F.col("l_linenumber")).alias("stop"))
     return O.accepted_intervals(spans, ["l_orderkey"], "start", "stop")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def drained_once(spark, d):
+    """A user's first event of each type, drained twice from the events' files under one checkpoint."""
+    import uuid
+
+    from quern.operators.staging import shared
+    from quern.streaming import streams as S
+
+    path, out = f"{d}/events.parquet", f"{shared(spark)}/drained-{uuid.uuid4().hex}"
+    kinds = "event_id long, user_id long, event_type string"
+    for _ in range(2):
+        # a file stream takes one file by a pattern only
+        stream = spark.readStream.schema(kinds).parquet(f"{path[:-1]}[{path[-1]}]")
+        got = S.drained_once(stream, ["user_id", "event_type"], ["event_id"], f"{out}/output", f"{out}/checkpoint")
+    return got.select("user_id", "event_type", "event_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -86,6 +87,31 @@ def drained(stream: DataFrame, table: str, checkpoint: str, mode: str = "append"
     q.awaitTermination()
 
 
+def drained_once(stream: DataFrame, keys: list[str], order: list[str], output: str, checkpoint: str) -> DataFrame:
+    """Everything that is there now, each key once and for ever, into files by batch; gives all that they hold.
+
+    Of a batch's rows of one key the first by `order` counts, and none if an earlier batch has the key. A batch
+    overwrites its own partition and looks at those before it only. So one that is run again, as its commit was
+    lost, neither repeats nor loses a key, whatever its first run had written. What is joined are the keys of all
+    earlier batches, by a shuffle; null keys are keys. `stream` has no column `batch`."""
+    from quern.operators.keyed import keep_first
+
+    schema = stream.schema.add("batch", "long")
+    every = lambda spark: spark.read.schema(schema).parquet(output)
+
+    def take(rows: DataFrame, number: int) -> None:
+        new = keep_first(rows, keys, order)
+        if number:
+            done = every(rows.sparkSession).where(F.col("batch") < number).select(*[F.col(k).alias(f"_done_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_done_{k}")) for k in keys]
+            new = new.join(done, reduce(lambda a, b: a & b, same), "left_anti")
+        new.write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return every(stream.sparkSession)
+
+
 def in_order(done: DataFrame, by: str, submitted: str) -> DataFrame:
     """Results in order of submission, whatever order they ended in."""
     return done.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(submitted, "result"))), lambda r: r["result"]).alias("results"))

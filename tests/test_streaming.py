@@ -38,3 +38,28 @@ def test_dedup_and_order(spark):
     assert S.deduplicated(e, ["k"], "ts", "1 hour").count() == 2
     done = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x")], "r string, n int, result string")
     assert S.in_order(done, "r", "n").collect()[0]["results"] == ["x", "y"]
+
+
+def test_each_key_is_drained_once(spark, tmp_path):
+    """Over growing input, nothing new, and a batch whose commit was lost after it had written."""
+    folder, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    kinds = "k string, n int"
+
+    def more(rows):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(folder)
+
+    def drain():
+        got = S.drained_once(spark.readStream.schema(kinds).parquet(folder), ["k"], ["n"], out, ck)
+        return sorted(((r["k"], r["n"], r["batch"]) for r in got.collect()), key=str)
+
+    more([("a", 2), ("a", 1), (None, 7), ("b", 5)])
+    first = [("a", 1, 0), ("b", 5, 0), (None, 7, 0)]
+    assert drain() == first and drain() == first
+    more([("a", 0), ("c", 3), (None, 1), ("c", 2)])
+    second = [("a", 1, 0), ("b", 5, 0), ("c", 2, 1), (None, 7, 0)]
+    assert drain() == second
+    for name in ("1", ".1.crc"):
+        (tmp_path / "ck" / "commits" / name).unlink(missing_ok=True)
+    assert drain() == second
+    more([("b", 1), ("d", 1)])
+    assert drain() == sorted([*second, ("d", 1, 2)], key=str)
