@@ -115,17 +115,43 @@ def stars(a, b):
     return nodes[on], nodes[root[on]]
 
 
-def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def _contracted(edges: DataFrame, chunk: int) -> DataFrame:
+    """Edges that join the same nodes as staged edges (a, b): the stars of every `chunk` edges or so. A task holds no
+    more than a chunk; there are as few tasks as chunks, so few edges are joined at once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def made(held):
+            a, b = stars(*(pa.chunked_array([x[c] for x in held]).to_numpy() for c in ("a", "b")))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= chunk:
+                yield made(held)
+                held, n = [], 0
+        if n:
+            yield made(held)
+
+    return edges.coalesce(max(1, -(-edges.count() // chunk))).mapInArrow(frugal(run), "a long, b long")
+
+
+def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60, chunk: int = 1 << 18) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b): component is the smallest node
     reachable. Nodes without an edge to another node are left out; null ends are ignored.
 
-    Alternating large-star and small-star steps: each is an aggregation, which combines before its shuffle, and
-    an equi-join with its written result, whose exchanges adaptive execution can split where a node is a hub.
-    The rounds grow with the logarithm of the graph's diameter; they end when every node has one edge, to a node
+    Edges are joined within chunks first, which leaves each chunk a star per component. Then alternating large-star
+    and small-star steps: each is an aggregation, which combines before its shuffle, and an equi-join with its written
+    result, whose exchanges adaptive execution can split where a node is a hub. The rounds grow with the logarithm of the graph's diameter; they end when every node has one edge, to a node
     that has none. Every round is written to the shared folder, so lineage stays short and lost executors cost no
     more than the round at hand.
     """
-    e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    given = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
+    e = staged(_contracted(given, chunk).distinct(), name)
+    drop_staged(given)
     for _ in range(max_rounds):
         ends = e.select(F.col("a").alias("n"), F.lit(1).alias("out")).union(e.select("b", F.lit(0)))
         if ends.groupBy("n").agg(F.sum("out").alias("out"), F.min("out").alias("low")).where("out > 1 or out = 1 and low = 0").isEmpty():

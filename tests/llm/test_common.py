@@ -1,9 +1,12 @@
 import random
 
+import pytest
+
 from quern.llm.common import connected_components
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 18])
+def test_components_against_union_find(spark, chunk):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 420)] + [(500, 500 + i) for i in range(60)] + [(7, 7), (None, 3)]
     parent = {}
@@ -19,7 +22,7 @@ def test_components_against_union_find(spark):
             x, y = top(a), top(b)
             parent[max(x, y)] = min(x, y)
     want = {n: top(n) for n in list(parent) if top(n) != n}
-    got = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3), chunk=chunk)
     assert {r["node"]: r["component"] for r in got.collect()} == want
 
 
