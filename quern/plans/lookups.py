@@ -391,3 +391,34 @@ def drained_once(spark, d):
         stream = spark.readStream.schema(kinds).parquet(f"{path[:-1]}[{path[-1]}]")
         got = S.drained_once(stream, ["user_id", "event_type"], ["event_id"], f"{out}/output", f"{out}/checkpoint")
     return got.select("user_id", "event_type", "event_id")
+
+
+@query("""WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS stream, event_id AS seq, epoch_ms(ts) AS ms, event_type, props FROM events),
+    s AS (SELECT stream, min(seq) FILTER (event_type = 'purchase') AS stop, max(ms) AS last FROM e GROUP BY 1),
+    k AS (SELECT e.*, stop FROM e JOIN s USING (stream) WHERE (stop IS NOT NULL OR last + 3600000 < (SELECT max(ms) FROM e) - 600000) AND (stop IS NULL OR seq <= stop)),
+    c AS (SELECT stream, seq % 2 AS i, coalesce(max_by('c' || seq, seq) FILTER (event_type = 'click'), '') AS id, max_by(event_type, seq) AS name,
+        CASE WHEN count(*) = 1 THEN min(props) ELSE '{}' END AS args FROM k WHERE event_type IN ('click', 'signup') GROUP BY 1, 2),
+    j AS (SELECT stream, '[' || string_agg('{"arguments": ' || args || ', "id": "' || id || '", "name": "' || name || '"}', ', ' ORDER BY i) || ']' AS calls FROM c GROUP BY 1),
+    t AS (SELECT stream, any_value(stop) AS stop, coalesce(string_agg(props, '' ORDER BY seq) FILTER (event_type = 'view'), '') AS text, coalesce(max(seq) FILTER (seq = stop) % 7, 0) AS output_tokens,
+        coalesce(CAST(json_extract_string(max(props) FILTER (seq = stop), '$.k') AS BIGINT), 0) AS input_tokens FROM k GROUP BY 1)
+    SELECT stream, text, coalesce(calls, '[]') AS calls, CASE WHEN stop IS NULL THEN 'abandoned' ELSE 'stop' END AS stop_reason, input_tokens, output_tokens FROM t LEFT JOIN j USING (stream)""")
+def delta_streams(spark, d):
+    """A user's events of a day are a model's answer in deltas: views are text, clicks and sign-ups parts of calls, a
+    purchase the end. Drained twice from the events' files under one checkpoint; days without an end are let go."""
+    import uuid
+
+    from quern.operators.staging import shared
+    from quern.streaming import streams as S
+
+    path, out = f"{d}/events.parquet", f"{shared(spark)}/deltas-{uuid.uuid4().hex}"
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    for _ in range(2):
+        e = spark.readStream.schema("event_id long, user_id long, event_type string, ts timestamp_ntz, props string").parquet(f"{path[:-1]}[{path[-1]}]")
+        deltas = e.select(
+            F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("stream"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+            F.when(kind == "view", "text").when(kind.isin("click", "signup"), "call").when(kind == "purchase", "end").alias("kind"), F.col("props").alias("text"),
+            (F.col("event_id") % 2).cast("int").alias("call_index"), F.when(kind == "click", F.concat(F.lit("c"), col("event_id"))).alias("call_id"), kind.alias("call_name"),
+            F.col("props").alias("arguments"), F.lit("stop").alias("stop_reason"), k.alias("input_tokens"), (F.col("event_id") % 7).alias("output_tokens"),
+        )
+        got = S.drained_fold(deltas, "ts", f"{out}/output", f"{out}/checkpoint")
+    return got

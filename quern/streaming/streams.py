@@ -9,29 +9,42 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FOLD = "stream string, text string, calls string, stop_reason string, input_tokens long, output_tokens long"
-_STATE = "text string, calls string, parts string"
-
-
-def fold(stream: str, rows: list[dict], state: dict) -> tuple[dict, dict | None]:
-    """New state after rows (seq, kind, text, call_index, call_id, call_name, arguments, stop_reason, input_tokens,
-    output_tokens) in order of seq, and the stream's result once it has ended: text joined, calls put together by
-    index (arguments that aren't a JSON object become {}), the last usage."""
-    result = None
-    for r in sorted(rows, key=lambda r: r["seq"]):
-        if r["kind"] == "text":
-            state["text"] += r["text"] or ""
-        elif r["kind"] == "call":
-            part = state["parts"].setdefault(str(int(r["call_index"])), {"id": "", "name": "", "arguments": ""})
-            part["id"], part["name"] = part["id"] or r["call_id"] or "", part["name"] or r["call_name"] or ""
-            part["arguments"] += r["arguments"] or ""
-        elif r["kind"] == "end":
-            calls = [{**p, "arguments": _object(p["arguments"])} for _, p in sorted(state["parts"].items(), key=lambda kv: int(kv[0]))]
-            number = lambda v: 0 if v is None or pd.isna(v) else int(v)
-            result = {"stream": stream, "text": state["text"], "calls": json.dumps(calls, sort_keys=True), "stop_reason": r["stop_reason"], "input_tokens": number(r["input_tokens"]), "output_tokens": number(r["output_tokens"])}
-    return state, result
+#: What is held of a row until its stream ends.
+PIECE = (
+    "seq long, kind string, text string, call_index int, call_id string, call_name string, arguments string, "
+    "stop_reason string, input_tokens long, output_tokens long"
+)
+_NAMES = [c.split()[0] for c in PIECE.split(", ")]
+ABANDONED = "abandoned"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def fold(stream: str | None, rows: list[tuple]) -> tuple | None:
+    """The row of FOLD for a stream's PIECE rows in order of seq, or None without any. Of rows with one seq the first
+    counts, and none after the first end. Text is joined; calls are put together by index: the last id and name that
+    aren't empty, arguments joined, {} where they aren't a JSON object. Without an end it is an abandoned one."""
+    text, calls, seen = [], {}, set()
+    for seq, kind, said, index, ident, name, arguments, stop, tokens_in, tokens_out in sorted(rows, key=lambda r: r[0]):
+        if seq in seen:
+            continue
+        seen.add(seq)
+        if kind == "text":
+            text.append(said or "")
+        elif kind == "call":
+            call = calls.setdefault(int(index or 0), {"id": "", "name": "", "arguments": []})
+            call["id"], call["name"] = ident or call["id"], name or call["name"]
+            call["arguments"].append(arguments or "")
+        elif kind == "end":
+            return _result(stream, text, calls, stop, tokens_in, tokens_out)
+    return _result(stream, text, calls, ABANDONED, 0, 0) if seen else None
+
+
+def _result(stream: str | None, text: list, calls: dict, stop: str | None, tokens_in, tokens_out) -> tuple:
+    whole = [{**calls[k], "arguments": _object("".join(calls[k]["arguments"]))} for k in sorted(calls)]
+    return stream, "".join(text), json.dumps(whole, sort_keys=True), stop, int(tokens_in or 0), int(tokens_out or 0)
 
 
 def _object(text: str) -> dict:
@@ -42,30 +55,95 @@ def _object(text: str) -> dict:
     return got if isinstance(got, dict) else {}
 
 
-def folded(deltas: DataFrame) -> DataFrame:
-    """One row per ended stream; `deltas` may be a stream or a table. State is held until a stream's end row; rows
-    that come in one batch are put in order by seq."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        text, _, parts = held.get if held.exists else ("", "", "{}")
-        rows = [r for pdf in frames for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records")]
-        state, result = fold(key[0], rows, {"text": text, "parts": json.loads(parts)})
-        if result is None:
-            held.update((state["text"], "", json.dumps(state["parts"])))
-        else:
-            if held.exists:
-                held.remove()
-            yield pd.DataFrame([result])
+def _pieces(pdf: pd.DataFrame) -> list[tuple]:
+    whole = lambda v: int(v) if isinstance(v, float) else v
+    rows = pdf[_NAMES].astype(object)
+    return [tuple(map(whole, r)) for r in rows.where(rows.notna(), None).itertuples(index=False, name=None)]
+
+
+def _frame(result: tuple | None) -> pd.DataFrame:
+    return pd.DataFrame([result] if result else [], columns=[c.split()[0] for c in FOLD.split(", ")])
+
+
+class Deltas(StatefulProcessor):
+    """Holds a stream's pieces, added to and not rewritten, until it ends or has had no row for `idle_ms` of event time.
+
+    An ended stream leaves a mark until then, so rows that come twice don't begin it anew. Event time and not the
+    clock decides (as a state's TTL would), so a rerun gives the same result."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getListState("pieces", PIECE)
+        self.status = handle.getValueState("status", "due long, ended boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due, ended = self.status.get() if self.status.exists() else (None, False)
+        new, last, was = [], 0, due
+        for pdf in rows:
+            new += _pieces(pdf)
+            last = max(last, int(pdf["at_ms"].max()))
+        due = max(last + self.idle_ms, due or 0)
+        if due != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(due)
+        if not ended and any(r[1] == "end" for r in new):
+            held = [tuple(r) for r in self.pieces.get()] if self.pieces.exists() else []
+            self.pieces.clear()
+            ended = True
+            yield _frame(fold(key[0], held + new))
+        elif not ended:
+            self.pieces.appendList(new)
+        self.status.update((due, ended))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, ended = self.status.get()
+        if not ended:
+            yield _frame(fold(key[0], [tuple(r) for r in self.pieces.get()]))
+        self.pieces.clear()
+        self.status.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def folded(deltas: DataFrame, at: str, idle_ms: int = 3_600_000, delay_ms: int = 600_000) -> DataFrame:
+    """One row per stream that ended, or was abandoned: without an end, and `idle_ms` behind the watermark, which is
+    `delay_ms` behind the last row of all. `deltas`: stream, PIECE and `at`, a timestamp; a table or a stream (which
+    needs the RocksDB state store, see drained_fold). Both give the same rows if no stream pauses for longer than
+    idle_ms + delay_ms and no row is later than delay_ms. Rows without seq or `at` are left out."""
+    rows = deltas.where(F.col("seq").isNotNull() & F.col(at).isNotNull())
+    rows = rows.select("stream", *_NAMES, F.col(at).cast("timestamp").alias("at"))
+    if deltas.isStreaming:
+        timed = rows.withWatermark("at", f"{delay_ms} milliseconds").withColumn("at_ms", F.unix_millis("at"))
+        return timed.groupBy("stream").transformWithStateInPandas(Deltas(idle_ms), FOLD, "append", "eventTime")
 
     def batch(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        _, result = fold(key[0], rows, {"text": "", "parts": {}})
-        cols = [c.split()[0] for c in FOLD.split(", ")]
-        return pd.DataFrame([result] if result else [], columns=cols)
+        return _frame(fold(key[0], _pieces(pdf)))
 
-    if deltas.isStreaming:
-        return deltas.groupBy("stream").applyInPandasWithState(run, FOLD, _STATE, "append", GroupStateTimeout.NoTimeout)
-    return deltas.groupBy("stream").applyInPandas(batch, FOLD)
+    rows = rows.withColumn("at_ms", F.unix_millis("at"))
+    passed = rows.agg((F.max("at_ms") - delay_ms).alias("_mark"))
+    ends = rows.groupBy(F.col("stream").alias("_of")).agg(F.max("at_ms").alias("_last"), F.bool_or(F.col("kind") == "end").alias("_ended"))
+    done = ends.crossJoin(F.broadcast(passed)).where(F.coalesce("_ended", F.lit(False)) | (F.col("_last") + idle_ms < F.col("_mark")))
+    return rows.join(done, F.col("stream").eqNullSafe(F.col("_of")), "left_semi").groupBy("stream").applyInPandas(batch, FOLD)
+
+
+def drained_fold(stream: DataFrame, at: str, output: str, checkpoint: str, idle_ms: int = 3_600_000, delay_ms: int = 600_000) -> DataFrame:
+    """folded() of everything that is there now, added to files, and all rows of these. State goes on with the next
+    call. The session's state store is set for this query alone."""
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        writer = folded(stream, at, idle_ms, delay_ms).writeStream.format("parquet").option("path", output)
+        q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, was)
+    return spark.read.schema(FOLD).parquet(output)
 
 
 def batch_fold(deltas: DataFrame) -> DataFrame:
