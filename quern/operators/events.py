@@ -5,10 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -56,10 +55,9 @@ def own_hash(line: pd.Series) -> pd.Series:
 
 
 def repaired(lines: DataFrame, journal: str = "journal") -> DataFrame:
-    """Without a last line that has no line end and isn't JSON. lines: journal, line_no, line, terminated."""
-    last = F.max("line_no").over(Window.partitionBy(journal))
-    broken = (F.col("line_no") == last) & ~F.col("terminated") & F.try_parse_json("line").isNull()
-    return lines.withColumn("_broken", broken).where("not _broken").drop("_broken")
+    """Without a last line that has no line end and isn't JSON. lines: journal, line_no, line, terminated; only a
+    journal's last line can be one that isn't terminated, so no journal is gathered to find it."""
+    return lines.where(F.col("terminated") | F.try_parse_json("line").isNotNull())
 
 
 def parsed(lines: DataFrame, journal: str = "journal") -> DataFrame:
@@ -203,17 +201,24 @@ def checked(checkpoints: DataFrame, events: DataFrame, journal: str = "journal")
     return out.withColumn("fault", fault).drop("_j", "_s", "_h")
 
 
-def read_lines(spark, path: str) -> DataFrame:
-    """journal (file name), line_no, line and terminated of log files. A file is read whole: its lines' order and
-    its last line end matter."""
+def read_lines(spark, path: str, journal: Column | None = None) -> DataFrame:
+    """journal (by default the file's name), line_no, line and terminated of log files; a line ends at a line feed, a
+    carriage return before it goes; bytes that are no UTF-8 become the replacement character.
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                parts = content.split(b"\n")
-                ended = not parts[-1]
-                lines = parts[:-1] if ended else parts
-                text = [x.removesuffix(b"\r").decode("utf-8", "replace") for x in lines]
-                yield pa.RecordBatch.from_pydict({"journal": [path.rsplit("/", 1)[-1]] * len(lines), "line_no": pa.array(range(1, len(lines) + 1), pa.int64()), "line": pa.array(text, pa.string()), "terminated": pa.array([k < len(lines) - 1 or ended for k in range(len(lines))], pa.bool_())})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, "journal string, line_no long, line string, terminated boolean")
+    Spark reads a file in as many ranges as it plans, and a line belongs to the range in which it starts. Here a line's
+    place is counted within its range, and one row a range, of a path and some numbers, says how many lines come before.
+    Only a file's last line can lack its end; it does if its lines with all their ends would be one byte too long."""
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        (F.col("_metadata.file_name") if journal is None else journal).alias("journal"), meta["file_path"].alias("_path"), meta["file_block_start"].alias("_from"),
+        meta["file_size"].alias("_size"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_id"),
+    )
+    length = F.octet_length("line").cast("long") + 1
+    ranges = lines.groupBy("_path", "_from").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.sum(length).alias("_bytes"), F.max("_size").alias("_size"))
+    file = Window.partitionBy("_path")
+    before = F.coalesce(F.sum("_n").over(file.orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    half = F.sum("_bytes").over(file) > F.col("_size")
+    ranges = ranges.select("_path", "_from", "_first", before.alias("_before"), F.when(half, F.sum("_n").over(file)).alias("_half"))
+    line_no = F.col("_id") - F.col("_first") + F.col("_before") + 1
+    out = lines.drop("_size").join(ranges, ["_path", "_from"])
+    return out.select("journal", line_no.alias("line_no"), F.regexp_replace(F.make_valid_utf8("line"), r"\r\z", "").alias("line"), (~line_no.eqNullSafe(F.col("_half"))).alias("terminated"))

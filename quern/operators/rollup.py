@@ -128,6 +128,47 @@ def usage(df: DataFrame, run: str, turn: str, is_call: Column, tokens_in: str, t
     return df.groupBy(run).agg(F.count_if(is_call).alias("tool_calls"), F.max(turn).alias("turns"), F.sum(tokens_in).alias("input_tokens"), F.sum(tokens_out).alias("output_tokens"))
 
 
+def ranked(df: DataFrame, value: str, rank: int, few: int = 65_536, accuracy: int = 10_000) -> float | None:
+    """The value of a rank (from 0) among those that aren't null, as a double, NaN last; None past the end.
+
+    Each round takes two borders from a mergeable sketch, counts exactly what is below, at and between them, and goes on
+    with what lies strictly between, some 4 / accuracy of the round before; borders come from the data, so many
+    equal values end it. No task holds more than the sketch or `few` values. A round reads the column twice."""
+    v = F.col(value).cast("double")
+    rows = df.select(v.alias("v")).where("v is not null")
+    n = rows.count()
+    if not 0 <= rank < n:
+        return None
+    while n > few:
+        share = [min(max((rank + k * 2 * n / accuracy) / n, 0.0), 1.0) for k in (-1, 1)]
+        low, high = rows.agg(F.percentile_approx("v", share, accuracy).alias("p")).first()["p"]
+        at, here = F.col("v"), F.lit
+        below, equal, between, top = rows.agg(
+            F.count_if(at < here(low)), F.count_if(at == here(low)), F.count_if((at > here(low)) & (at < here(high))), F.count_if((at == here(high)) & (at > here(low)))
+        ).first()
+        if rank < below:
+            rows, n = rows.where(at < here(low)), below
+        elif rank < below + equal:
+            return low
+        elif rank < below + equal + between:
+            rows, rank, n = rows.where((at > here(low)) & (at < here(high))), rank - below - equal, between
+        elif rank < below + equal + between + top:
+            return high
+        else:
+            past = below + equal + between + top
+            rows, rank, n = rows.where(at > here(high)), rank - past, n - past
+    return rows.orderBy("v").offset(rank).limit(1).first()["v"]
+
+
+def median(df: DataFrame, value: str, few: int = 65_536) -> float | None:
+    """The exact median: the middle value, or the mean of both; None without values."""
+    n = df.agg(F.count(value)).first()[0]
+    low = ranked(df, value, (n - 1) // 2, few) if n else None
+    return low if low is None or n % 2 else (low + ranked(df, value, n // 2, few)) / 2
+
+
 def median_speedup(df: DataFrame, slow: str, fast: str) -> DataFrame:
-    out = df.agg(F.median(slow).alias("sequential_ms"), F.median(fast).alias("scheduled_ms"))
+    """One row of two exact medians and their ratio (null where the second is 0 or missing)."""
+    found = [F.lit(median(df, c)).cast("double") for c in (slow, fast)]
+    out = df.sparkSession.range(1).select(found[0].alias("sequential_ms"), found[1].alias("scheduled_ms"))
     return out.withColumn("speedup", F.round(F.try_divide("sequential_ms", "scheduled_ms"), 2))

@@ -95,3 +95,34 @@ def test_canonical_form_ignores_key_order(spark):
     texts = [json.dumps(dict(sorted(d.items(), key=lambda kv: rng.random()))) for _ in range(4)] + ["{", None]
     got = [r["c"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(E.canonical_json("t").alias("c")).collect()]
     assert len(set(got[:4])) == 1 and got[4:] == [None, None]
+
+
+@pytest.mark.parametrize("size", [211, 1 << 27])
+def test_lines_over_ranges(spark, tmp_path, size):
+    """Files read in many ranges give the lines, places and faults of files read in one."""
+    rows = journal(spark, [{"n": i, "text": "é" * (i * 7 % 90)} for i in range(24)]).orderBy("line_no").collect()
+    text = [r["line"] for r in rows]
+    text[15] = text[15].replace('"n":15', '"n":71')
+    files = {
+        "half.jsonl": "\n".join(text) + "\n" + text[0][:20], "open.jsonl": "\n".join(text), "whole.jsonl": "\n".join(text) + "\n", "returns.jsonl": "\r\n".join(text[:12]) + "\r\n",
+        "blank.jsonl": "\n\n\nx\n\n", "one.jsonl": "y", "empty.jsonl": "", "odd.jsonl": "a\udcff\nb",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content.encode("utf-8", "surrogateescape"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        lines = E.read_lines(spark, str(tmp_path))
+        got = {}
+        for r in lines.collect():
+            got.setdefault(r["journal"], []).append((r["line_no"], r["line"], r["terminated"]))
+        faults = {(r["journal"], r["line_no"], r["fault"]) for r in E.verified(E.repaired(lines)).where("fault is not null and journal not in ('blank.jsonl', 'one.jsonl', 'odd.jsonl')").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    want = {}
+    for name, content in files.items():
+        parts = content.replace("\r", "").replace("\udcff", "\ufffd").split("\n")
+        whole = [(i + 1, x, True) for i, x in enumerate(parts[:-1])]
+        want[name] = whole + ([(len(parts), parts[-1], False)] if parts[-1] else [])
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    assert faults == {(name, 16, "event hash mismatch") for name in ("half.jsonl", "open.jsonl", "whole.jsonl")}

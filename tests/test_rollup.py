@@ -1,3 +1,5 @@
+import random
+
 import json
 
 from pyspark.sql import functions as F
@@ -62,3 +64,21 @@ def test_manifest(spark, tmp_path):
     got = [(r["variant"], r["path"].removeprefix("file:")) for r in records.manifest(spark, str(tmp_path / "m.json")).collect()]
     assert got[1] == ("w", "/abs/result.json") and got[0][1].endswith(f"{tmp_path}/r/result.json")
     assert records.manifest(spark, str(tmp_path / "l.json")).collect()[0]["variant"] == "x"
+
+
+def test_median_by_rounds(spark):
+    """Against sorting, with so few values at an end that rounds are needed: ties, NaN, nulls, huge and tiny values."""
+    rng = random.Random(3)
+    cases = {
+        "spread": [rng.random() * 10 ** rng.randint(-200, 200) for _ in range(3001)], "two": [1.0] * 1000 + [2.0] * 1000, "one": [5.0] * 1500,
+        "mixed": [float(rng.randint(0, 9)) for _ in range(2000)] + [float("nan")] * 900 + [None] * 50, "nans": [float("nan")] * 600 + [1.0] * 100, "short": [3.0, 1.0], "none": [None, None],
+    }
+    for name, values in cases.items():
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+        known = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+        n = len(known)
+        want = None if not n else known[n // 2] if n % 2 else (known[n // 2 - 1] + known[n // 2]) / 2
+        got = R.median(df, "x", 20)
+        assert got == want or got != got and want != want, name
+    df = spark.createDataFrame([(v,) for v in cases["spread"]], "x double")
+    assert [R.ranked(df, "x", r, 20) for r in (0, 17, 3000, 3001, -1)] == [*(sorted(cases["spread"])[r] for r in (0, 17, 3000)), None, None]
