@@ -42,25 +42,72 @@ def merged_results(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return out.select(*by, "first_at", "part", "message.role", "message.content", "tool_results")
 
 
+def joined_users(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """User rows that stand next to each other and are nothing but text as one, lines joined, at the first one's place:
+    the first protocol of wire() wants them so."""
+    some = [F.size(F.coalesce(F.col(c), F.array())) > 0 for c in ("tool_uses", "tool_results", "thinking") if c in rows.columns]
+    plain = (F.col("role") == "user") & ~F.greatest(*some, F.lit(False))
+    runs = islands(rows, by, [order], F.lit(1), F.coalesce(plain, F.lit(False)))
+    rest = [c for c in rows.columns if c not in (*by, "content")]
+    texts = F.array_sort(F.collect_list(F.struct(order, F.coalesce("content", F.lit("")).alias("content"))))
+    first = F.min_by(F.struct(*rest), order).alias("first")
+    out = runs.groupBy(*by, "island").agg(first, F.array_join(F.transform(texts, lambda t: t["content"]), "\n").alias("content"))
+    return out.select(*by, "first.*", "content").select(*rows.columns)
+
+
+def _object(*fields: Column) -> Column:
+    """JSON text of an object, nulls kept."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def wire(rows: DataFrame, protocol: str) -> DataFrame:
-    """message: a row (role, content, tool_uses, tool_results) as JSON in one of three forms."""
-    uses = F.coalesce("tool_uses", F.array())
-    results = F.coalesce("tool_results", F.array())
+    """part (from 0) and message, JSON text: the messages of each row (role, content, tool_uses, tool_results, and
+    thinking, an array of thinking and signature, where there is such a column) in one of three protocols. Rows that
+    give none are left out.
+
+    "anthropic" has one message a row, of blocks where there are any. "openai" has an item for each thought, text, call
+    and result; "openai-compat" a message for each result, calls and joined thoughts within the assistant's. A row with
+    results and calls gives the results first. Arguments that aren't JSON count as {}; a null text as empty."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    text, q = F.coalesce("content", F.lit("")), F.lit
+    uses, results = F.coalesce("tool_uses", F.array()), F.coalesce("tool_results", F.array())
+    thoughts = F.coalesce("thinking", F.array()) if "thinking" in rows.columns else none("struct<thinking:string,signature:string>")
+    given = lambda u: F.when(F.try_parse_json(u["arguments"]).isNotNull(), u["arguments"]).otherwise("{}")
+    named = lambda name, value: (q(value) if isinstance(value, str) else value).alias(name)
+    calls, said = F.size(uses) > 0, _object(named("role", F.col("role")), named("content", text))
+    only_results = (F.size(results) > 0) & ~calls
+    when = lambda test, *items: F.when(test, F.array(*items)).otherwise(none("string"))
     if protocol == "anthropic":
-        text = F.when(F.col("content") != "", F.array(F.to_json(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))))).otherwise(F.array().cast("array<string>"))
-        use = F.transform(uses, lambda u: F.to_json(F.struct(F.lit("tool_use").alias("type"), u["tool_use_id"].alias("id"), u["tool_name"].alias("name"), u["arguments"].alias("input"))))
-        result = F.transform(results, lambda r: F.to_json(F.struct(F.lit("tool_result").alias("type"), r["tool_use_id"].alias("tool_use_id"), r["content"].alias("content"), r["is_error"].alias("is_error"))))
-        body = F.concat(F.lit("["), F.array_join(F.concat(result, text, use), ","), F.lit("]"))
-        return rows.withColumn("message", F.concat(F.lit('{"role":"'), "role", F.lit('","content":'), body, F.lit("}")))
-    if protocol == "openai":
-        call = F.transform(uses, lambda u: F.struct(F.lit("function_call").alias("type"), u["tool_use_id"].alias("call_id"), u["tool_name"].alias("name"), u["arguments"].alias("arguments")))
-        back = F.transform(results, lambda r: F.struct(F.lit("function_call_output").alias("type"), r["tool_use_id"].alias("call_id"), r["content"].alias("output")))
+        thought = F.transform(thoughts, lambda t: _object(named("type", "thinking"), t["thinking"].alias("thinking"), t["signature"].alias("signature")))
+        written = when(text != "", _object(named("type", "text"), named("text", text)))
+        use = F.transform(uses, lambda u: F.concat(q('{"type":"tool_use",'), F.substring(_object(u["tool_use_id"].alias("id"), u["tool_name"].alias("name")), 2, 1 << 30)))
+        use = F.zip_with(use, uses, lambda head, u: F.concat(F.regexp_replace(head, r"\}\z", ""), q(',"input":'), given(u), q("}")))
+        back = F.transform(results, lambda r: _object(named("type", "tool_result"), r["tool_use_id"].alias("tool_use_id"), r["content"].alias("content"), r["is_error"].alias("is_error")))
+        blocks = lambda role, parts: F.concat(q(f'{{"role":"{role}","content":['), F.array_join(parts, ","), q("]}"))
+        own = calls | (F.size(thoughts) > 0)
+        messages = F.concat(
+            when(F.size(results) > 0, blocks("user", back)), when(own, blocks("assistant", F.concat(thought, written, use))), when(~own & ~only_results, said)
+        )
+    elif protocol == "openai":
+        summary = lambda t: F.array(F.struct(named("type", "summary_text"), t["thinking"].alias("text")))
+        thought = F.transform(thoughts, lambda t: _object(named("type", "reasoning"), t["signature"].alias("id"), summary(t).alias("summary")))
+        use = F.transform(uses, lambda u: _object(named("type", "function_call"), u["tool_name"].alias("name"), u["tool_use_id"].alias("call_id"), given(u).alias("arguments")))
+        back = F.transform(results, lambda r: _object(named("type", "function_call_output"), r["tool_use_id"].alias("call_id"), r["content"].alias("output")))
+        spoken = _object(named("role", "assistant"), named("content", text))
+        kept = F.when(only_results, none("string")).otherwise(thought)
+        messages = F.concat(back, kept, when(calls & (text != ""), spoken), use, when(~calls & ~only_results, said))
     elif protocol == "openai-compat":
-        call = F.transform(uses, lambda u: F.struct(u["tool_use_id"].alias("id"), F.lit("function").alias("type"), F.struct(u["tool_name"].alias("name"), u["arguments"].alias("arguments")).alias("function")))
-        back = F.transform(results, lambda r: F.struct(F.lit("tool").alias("role"), r["tool_use_id"].alias("tool_call_id"), r["content"].alias("content")))
+        whole = F.array_join(F.transform(thoughts, lambda t: t["thinking"]), "")
+        named_call = lambda u: F.struct(u["tool_name"].alias("name"), given(u).alias("arguments"))
+        call = F.transform(uses, lambda u: F.struct(u["tool_use_id"].alias("id"), named("type", "function"), named_call(u).alias("function")))
+        back = F.transform(results, lambda r: _object(named("role", "tool"), r["tool_use_id"].alias("tool_call_id"), r["content"].alias("content")))
+        asks = [named("role", "assistant"), F.nullif(text, q("")).alias("content"), call.alias("tool_calls")]
+        plain = [named("role", F.col("role")), named("content", text)]
+        either = lambda fields: F.when(whole != "", _object(*fields, whole.alias("reasoning_content"))).otherwise(_object(*fields))
+        messages = F.concat(back, when(calls, either(asks)), when(~calls & ~only_results, either(plain)))
     else:
         raise ValueError(f"unknown protocol {protocol}")
-    return rows.withColumn("message", F.to_json(F.struct("role", "content", F.when(F.size(uses) > 0, call).alias("tool_calls"), F.when(F.size(results) > 0, back).alias("outputs"))))
+    return rows.select("*", F.posexplode(messages).alias("part", "message"))
 
 
 def forked(rows: DataFrame, by: Sequence[str], order: str, mark: str) -> DataFrame:

@@ -267,7 +267,7 @@ def name_forms(spark, d):
 @query("""SELECT conv_id, turn, CASE WHEN length(text) > 350 THEN text[1:350] || chr(10) || '… (truncated)' ELSE text END AS cut, coalesce(array_to_string(string_split(text, chr(10))[1:2], chr(10)), '') AS first_two,
     CASE WHEN length(text) % 2 = 0 THEN 'q: ' || text ELSE 'plain' || chr(10) || chr(10) || text END AS filled FROM conversations""")
 def cut_texts(spark, d):
-    c = table(spark, d, "conversations")
+    c = table(spark, d, "conversations").withColumnRenamed("text", "content")
     body = F.when(F.length("text") % 2 == 0, "q: $ARGUMENTS").otherwise("plain")
     return c.select("conv_id", "turn", T.cut_tokens(F.col("text"), 100).alias("cut"), T.cut_lines(F.col("text"), 2, 10**9).alias("first_two"), T.placeholder(body, F.col("text")).alias("filled"))
 
@@ -422,3 +422,40 @@ def delta_streams(spark, d):
         )
         got = S.drained_fold(deltas, "ts", f"{out}/output", f"{out}/checkpoint")
     return got
+
+
+@query("""WITH n AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line_no FROM events)
+    SELECT user_id, line_no, event_id, event_type, CASE WHEN event_id % 7 = 0 THEN 'event hash mismatch' END AS fault FROM n""")
+def journal_scan(spark, d):
+    """A user's events chained into a log of their own, some altered after that, written as text files and read back in
+    ranges. A user's log is one file, as its lines' order has to hold."""
+    import uuid
+
+    from quern.operators.staging import shared
+
+    e = table(spark, d, "events").select(
+        "user_id", F.col("event_id").alias("n"), "event_type", F.lit(0).cast("long").alias("timestamp_ns"), F.lit("").alias("trace_id"), col("event_id").alias("tool_call_id"),
+        F.lit("").alias("idempotency_key"), F.col("props").alias("payload"),
+    )
+    heads = spark.range(0).select(F.col("id").alias("user_id"), F.col("id").alias("sequence"), F.lit("").alias("event_hash"))
+    lines = E.appended(e, heads, "user_id")
+    spoilt = F.get_json_object("line", "$.tool_call_id").cast("long") % 7 == 0
+    text = F.when(spoilt, F.replace("line", F.lit('"version":1'), F.lit('"version":2'))).otherwise(F.col("line"))
+    folder = f"{shared(spark)}/journals-{uuid.uuid4().hex}"
+    logs = lines.withColumn("line", text).repartition("user_id").sortWithinPartitions("user_id", "line_no").select("user_id", F.col("line").alias("value"))
+    logs.write.partitionBy("user_id").text(folder)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"user_id=(\d+)/", 1).cast("long")
+    read = E.verified(E.repaired(E.read_lines(spark, folder, name)))
+    return read.select(F.col("journal").alias("user_id"), "line_no", F.col("tool_call_id").cast("long").alias("event_id"), "event_type", "fault")
+
+
+@query("""SELECT conv_id, turn, part, message FROM (SELECT conv_id, turn, 0 AS part, CASE WHEN role = 'assistant' AND turn % 3 = 0 AND text = '' THEN '{"type":"function_call","name":"Read","call_id":"c' || turn || '","arguments":"{}"}'
+        ELSE '{"role":"' || role || '","content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || '}' END AS message FROM conversations
+    UNION ALL SELECT conv_id, turn, 1, '{"type":"function_call","name":"Read","call_id":"c' || turn || '","arguments":"{}"}' FROM conversations WHERE role = 'assistant' AND turn % 3 = 0 AND text <> '')""")
+def wire_items(spark, d):
+    """Every third turn of an assistant calls a tool."""
+    c = table(spark, d, "conversations").withColumnRenamed("text", "content")
+    call = F.array(F.struct(F.concat(F.lit("c"), col("turn")).alias("tool_use_id"), F.lit("Read").alias("tool_name"), F.lit("{}").alias("arguments")))
+    c = c.withColumn("tool_uses", F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 0), call))
+    c = c.withColumn("tool_results", F.lit(None).cast("array<struct<tool_use_id:string,content:string,is_error:boolean>>"))
+    return C.wire(c, "openai").select("conv_id", "turn", "part", "message")

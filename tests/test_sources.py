@@ -99,10 +99,8 @@ def test_conversations(spark):
     assert [(t["tool_use_id"], t["content"]) for t in forked[-1]["tool_results"]] == [("u1", "interrupted")] and len(forked) == 3
     with pytest.raises(ValueError):
         C.forked(turns, ["k"], "n", "hi")
-    wire = json.loads(C.wire(turns, "anthropic").where("n = 2").collect()[0]["message"])
-    assert [b["type"] for b in wire["content"]] == ["tool_result", "text", "tool_use", "tool_use"]
-    assert json.loads(C.wire(turns, "openai-compat").where("n = 2").collect()[0]["message"])["tool_calls"][0]["function"]["name"] == "Bash"
-    assert json.loads(C.wire(turns, "openai").where("n = 2").collect()[0]["message"])["outputs"][0]["call_id"] == "u2"
+    wire = [json.loads(r["message"]) for r in C.wire(turns, "anthropic").where("n = 2").orderBy("part").collect()]
+    assert [(m["role"], [b["type"] for b in m["content"]]) for m in wire] == [("user", ["tool_result"]), ("assistant", ["text", "tool_use", "tool_use"])]
     mail = spark.createDataFrame([("a", 2, "x", "two"), ("a", 1, "y", "one"), ("b", 1, "x", "shutdown now")], "m string, n int, from_agent string, content string")
     got = {r["m"]: (r["shutdown"], r["prompt"]) for r in C.next_prompt(mail, ["m"], "n", F.startswith("content", F.lit("shutdown"))).collect()}
     assert got == {"a": (False, "From y: one\nFrom x: two"), "b": (True, "")}
@@ -165,3 +163,46 @@ def test_more_files(spark, tmp_path):
     turns = spark.createDataFrame([("user", "hi", None, None)], schemas.TURN)
     sinks.append_records(turns, str(tmp_path / "tr"))
     assert records.transcript(spark, str(tmp_path / "tr")).collect()[0]["content"] == "hi"
+
+
+THOUGHT = "array<struct<thinking:string,signature:string>>"
+
+
+def test_wire_forms(spark):
+    """Roles with quotes, thoughts, several results, bad arguments and null texts in each protocol."""
+    calls, results = [("u1", "Bash", '{"a": 1}'), ("u2", "Re\"ad", "{bad")], [("u1", "one", False), ("u2", "two", True)]
+    rows = [
+        ("k", 1, "us\"er", "hi", None, None, None), ("k", 2, "assistant", "ok", calls, None, [("hm", "s1"), ("so", "s2")]), ("k", 3, "user", "", None, results, None),
+        ("k", 4, "assistant", None, calls[:1], [], []), ("k", 5, "assistant", "done", [], [], [("end", "s3")]),
+    ]
+    df = spark.createDataFrame(rows, f"k string, n int, {schemas.TURN}, thinking {THOUGHT}")
+
+    def sent(protocol):
+        return [(r["n"], r["part"], json.loads(r["message"])) for r in C.wire(df, protocol).orderBy("n", "part").collect()]
+
+    use = [{"type": "tool_use", "id": "u1", "name": "Bash", "input": {"a": 1}}, {"type": "tool_use", "id": "u2", "name": 'Re"ad', "input": {}}]
+    thought = lambda t, s: {"type": "thinking", "thinking": t, "signature": s}
+    back = [{"type": "tool_result", "tool_use_id": i, "content": c, "is_error": e} for i, c, e in results]
+    first = {"role": 'us"er', "content": "hi"}
+    assert sent("anthropic") == [
+        (1, 0, first), (2, 0, {"role": "assistant", "content": [thought("hm", "s1"), thought("so", "s2"), {"type": "text", "text": "ok"}, *use]}), (3, 0, {"role": "user", "content": back}),
+        (4, 0, {"role": "assistant", "content": use[:1]}), (5, 0, {"role": "assistant", "content": [thought("end", "s3"), {"type": "text", "text": "done"}]}),
+    ]
+    reason = lambda t, s: {"type": "reasoning", "id": s, "summary": [{"type": "summary_text", "text": t}]}
+    call = [{"type": "function_call", "name": n, "call_id": i, "arguments": a} for i, n, a in (calls[0], ("u2", 'Re"ad', "{}"))]
+    items = [
+        (1, [first]), (2, [reason("hm", "s1"), reason("so", "s2"), {"role": "assistant", "content": "ok"}, *call]),
+        (3, [{"type": "function_call_output", "call_id": i, "output": c} for i, c, _ in results]), (4, call[:1]), (5, [reason("end", "s3"), {"role": "assistant", "content": "done"}]),
+    ]
+    assert sent("openai") == [(n, i, m) for n, ms in items for i, m in enumerate(ms)]
+    fn = [{"id": c["call_id"], "type": "function", "function": {"name": c["name"], "arguments": c["arguments"]}} for c in call]
+    messages = [
+        (1, [first]), (2, [{"role": "assistant", "content": "ok", "tool_calls": fn, "reasoning_content": "hmso"}]), (3, [{"role": "tool", "tool_call_id": i, "content": c} for i, c, _ in results]),
+        (4, [{"role": "assistant", "content": None, "tool_calls": fn[:1]}]), (5, [{"role": "assistant", "content": "done", "reasoning_content": "end"}]),
+    ]
+    assert sent("openai-compat") == [(n, i, m) for n, ms in messages for i, m in enumerate(ms)]
+    with pytest.raises(ValueError):
+        C.wire(df, "other")
+    more = [("k", 1, "user", "a", None, None, None), ("k", 2, "user", None, None, None, []), ("k", 3, "user", "b", None, results, None), ("k", 4, "user", "c", None, None, None), ("l", 1, "user", "d", None, None, None)]
+    got = C.joined_users(spark.createDataFrame(more, df.schema), ["k"], "n").orderBy("k", "n").collect()
+    assert [(r["k"], r["n"], r["content"], len(r["tool_results"] or [])) for r in got] == [("k", 1, "a\n", 0), ("k", 3, "b", 2), ("k", 4, "c", 0), ("l", 1, "d", 0)]
