@@ -77,6 +77,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = common.staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.drop_staged(before)
+        before = docs
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import os
@@ -33,11 +34,34 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Set while a table is staged: shuffle files go when its write ends (else they wait until the driver's JVM collects
+#: garbage, which a large heap puts off), and what a Python worker is sent at once is bounded, as a row may be a long text.
+STAGING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with these settings; afterwards with its own again."""
+    was = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends in files that survive lost executors."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    with settings(spark, STAGING):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -517,6 +517,7 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     part = Window.partitionBy("part", "salt")
     met = met.select("part", "h1", "half", "hot", F.min("h1").over(part).alias("low"), F.max("h1").over(part).alias("high"))
     met = staged(met.where("hot or low <> high").select("part", "h1", "half").distinct(), "met")
+    drop_staged(hot)
     one = F.lit(1).cast("long").alias("cost")
     sketched = met.join(classes.select("h1", half, F.col("n_shingles").cast("int").alias("n"), "sketch", "cid"), ["h1", "half"])
     sketched = sketched.select(F.col("part").alias("grp"), "cid", one, "n", "sketch")
@@ -528,8 +529,11 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
         return Sketches(held[0][on], [held[1][i] for i in on.tolist()], num, den)
 
     edges = linked(sketched, met.select(F.col("part").alias("grp"), one), MEET, sketches, by_sketch, "meeting")
+    drop_staged(met)
     whole = connected_components(edges, "blocks")
+    drop_staged(edges)
     blocks = staged(whole.select(F.col("node").alias("cid"), F.col("component").alias("grp")).union(whole.select("component", "component")).distinct(), "blocks")
+    drop_staged(whole)
     key = F.struct("doc_id", "th").alias("key")
     active = staged(classes.join(blocks, "cid").select("cid", "grp", "doc_id", "th", key), "active")
     texts = among(_keyed(docs).withColumn("key", F.struct("doc_id", "th")), active).groupBy("doc_id", "th").agg(F.first("text").alias("text")).toDF("of_id", "of_th", "text")
@@ -542,9 +546,11 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
         return Index([held[i].view(np.uint64) for i in on.tolist()], num, den)
 
     links = linked(sets, sets.select("grp", "cost"), CELL, elements, by_element, "links")
+    drop_staged(blocks, active, sets)
     found = connected_components(links, "links")
+    drop_staged(links)
     placed = classes.join(found, F.col("cid") == F.col("node"), "left").select(*name, "doc_id", F.coalesce("component", "cid").alias("component"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = staged(placed.drop("doc_id").join(names, "component"), "named")
-    drop_staged(met, hot, edges, whole, blocks, active, sets, links, found, classes)
+    drop_staged(found, classes)
     return rows.drop("sketch").join(named, name, "left").select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")

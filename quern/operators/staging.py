@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared(spark: SparkSession) -> str:
     """URI of spark.checkpoint.dir; where it is unset, in local runs, a temporary folder becomes it."""
@@ -20,9 +22,15 @@ def shared(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df written there and read back, so an iteration's lineage ends in files."""
-    path = f"{shared(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """df written there and read back, so an iteration's lineage ends in files. The write's own shuffle files go when it
+    ends, and don't wait until the driver's JVM collects garbage."""
+    path, conf = f"{shared(df.sparkSession)}/staged-{uuid.uuid4().hex}", df.sparkSession.conf
+    was = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if was is None else conf.set(CLEANUP, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,3 +28,25 @@ def test_components_against_union_find(spark, chunk):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    """They are gone when the write ends, whenever the JVM collects garbage; the session's settings are as before."""
+    import glob
+    import time
+
+    from pyspark.sql import functions as F
+    from quern.llm import common
+    from quern.operators import staging
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+    was, rows = {k: spark.conf.get(k, None) for k in common.STAGING}, spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    for write in (lambda: common.staged(rows, "few"), lambda: staging.staged(rows)):
+        before = files()
+        assert len(write().collect()) == 7
+        until = time.time() + 10
+        while files() - before and time.time() < until:
+            time.sleep(0.2)
+        assert not files() - before
+        assert {k: spark.conf.get(k, None) for k in common.STAGING} == was
