@@ -55,90 +55,144 @@ def _object(text: str) -> dict:
     return got if isinstance(got, dict) else {}
 
 
-def _pieces(pdf: pd.DataFrame) -> list[tuple]:
-    whole = lambda v: int(v) if isinstance(v, float) else v
-    rows = pdf[_NAMES].astype(object)
-    return [tuple(map(whole, r)) for r in rows.where(rows.notna(), None).itertuples(index=False, name=None)]
+def _pieces(pdf: pd.DataFrame) -> dict[str | None, list[tuple]]:
+    """PIECE rows by stream."""
+    columns = []
+    for c in ("stream", *_NAMES):
+        values = pdf[c].astype(object)
+        columns.append([int(v) if isinstance(v, float) else v for v in values.where(values.notna(), None).tolist()])
+    out: dict[str | None, list[tuple]] = {}
+    for stream, *row in zip(*columns):
+        out.setdefault(stream, []).append(tuple(row))
+    return out
 
 
-def _frame(result: tuple | None) -> pd.DataFrame:
-    return pd.DataFrame([result] if result else [], columns=[c.split()[0] for c in FOLD.split(", ")])
+def _frame(results: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(results, columns=[c.split()[0] for c in FOLD.split(", ")])
 
 
 class Deltas(StatefulProcessor):
-    """Holds a stream's pieces, added to and not rewritten, until it ends or has had no row for `idle_ms` of event time.
+    """Holds the pieces of a bucket's streams, each until it ends or has had no row for `idle_ms` of event time.
 
-    An ended stream leaves a mark until then, so rows that come twice don't begin it anew. Event time and not the
-    clock decides (as a state's TTL would), so a rerun gives the same result."""
+    A bucket is a key of the state, as a call for each stream and some for its state take longer than the fold. Pieces
+    are added to and not rewritten, but when more than half of them are of streams that ended. An ended stream leaves a
+    mark until it would have been abandoned, so rows that come twice don't begin it anew. Event time and not the clock
+    decides (as a state's TTL would), so a rerun gives the same result."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pieces = handle.getListState("pieces", PIECE)
-        self.status = handle.getValueState("status", "due long, ended boolean")
+        self.pieces = handle.getListState("pieces", "stream string, " + PIECE)
+        # of each stream: when it is due, whether it ended, and how many pieces the list has of it
+        self.marks = handle.getValueState("marks", "timer long, streams array<string>, due array<long>, ended array<boolean>, held array<long>")
+
+    def _marks(self) -> tuple[int | None, dict[str | None, tuple[int, bool, int]]]:
+        got = self.marks.get() if self.marks.exists() else None
+        return (got[0], dict(zip(got[1], zip(*got[2:])))) if got else (None, {})
+
+    def _held(self) -> dict[str | None, list[tuple]]:
+        out: dict[str | None, list[tuple]] = {}
+        for stream, *row in self.pieces.get():
+            out.setdefault(stream, []).append(tuple(row))
+        return out
+
+    def _keep(self, was: int | None, marks: dict, held: dict | None, new: list[tuple], fired: bool = False) -> None:
+        """The marks, the held pieces anew where given, then new ones; a timer for the stream that is due first."""
+        if held is not None:
+            live = [(s, *r) for s, rows in held.items() for r in rows] + new
+            self.pieces.put(live) if live else self.pieces.clear()
+        elif new:
+            self.pieces.appendList(new)
+        timer = min((due for due, *_ in marks.values()), default=None)
+        if timer != was:
+            if was is not None and not fired:
+                self.handle.deleteTimer(was)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if marks:
+            self.marks.update((timer, list(marks), *map(list, zip(*marks.values()))))
+        else:
+            self.marks.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due, ended = self.status.get() if self.status.exists() else (None, False)
-        new, last, was = [], 0, due
+        fresh, last = {}, {}
         for pdf in rows:
-            new += _pieces(pdf)
-            last = max(last, int(pdf["at_ms"].max()))
-        due = max(last + self.idle_ms, due or 0)
-        if due != was:
-            if was is not None:
-                self.handle.deleteTimer(was)
-            self.handle.registerTimer(due)
-        if not ended and any(r[1] == "end" for r in new):
-            held = [tuple(r) for r in self.pieces.get()] if self.pieces.exists() else []
-            self.pieces.clear()
-            ended = True
-            yield _frame(fold(key[0], held + new))
-        elif not ended:
-            self.pieces.appendList(new)
-        self.status.update((due, ended))
+            for stream, some in _pieces(pdf).items():
+                fresh.setdefault(stream, []).extend(some)
+            for stream, at in zip(pdf["stream"].tolist(), pdf["at_ms"].tolist()):
+                last[stream] = max(at, last.get(stream, at))
+        was, marks = self._marks()
+        held, new, results = None, [], []
+        for stream, some in fresh.items():
+            due, ended, n = marks.get(stream, (0, False, 0))
+            if not ended and any(r[1] == "end" for r in some):
+                if n and held is None:
+                    held = self._held()
+                results.append(fold(stream, (held[stream] if n else []) + some))
+                ended = True
+            elif not ended:
+                new += [(stream, *r) for r in some]
+                n += len(some)
+            marks[stream] = max(int(last[stream]) + self.idle_ms, due), ended, n
+        dead = sum(n for _, ended, n in marks.values() if ended)
+        if dead and dead * 2 > sum(n for *_, n in marks.values()):
+            held = {s: r for s, r in (held if held is not None else self._held()).items() if not marks[s][1]}
+            marks = {s: (due, ended, 0 if ended else n) for s, (due, ended, n) in marks.items()}
+        else:
+            held = None
+        self._keep(was, marks, held, new)
+        if results:
+            yield _frame(results)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, ended = self.status.get()
-        if not ended:
-            yield _frame(fold(key[0], [tuple(r) for r in self.pieces.get()]))
-        self.pieces.clear()
-        self.status.clear()
+        at, mark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        was, marks = self._marks()
+        gone = {s: m for s, m in marks.items() if m[0] <= at or m[0] < mark}
+        # pieces go with their stream's mark, so one that begins anew doesn't meet them
+        held = self._held() if any(n for *_, n in gone.values()) else None
+        results = [fold(s, held[s]) for s, (_, ended, n) in gone.items() if n and not ended]
+        marks = {s: m for s, m in marks.items() if s not in gone}
+        self._keep(was, marks, None if held is None else {s: r for s, r in held.items() if s in marks}, [], was == at)
+        if results:
+            yield _frame(results)
 
     def close(self) -> None:
         pass
 
 
-def folded(deltas: DataFrame, at: str, idle_ms: int = 3_600_000, delay_ms: int = 600_000) -> DataFrame:
+def folded(deltas: DataFrame, at: str, idle_ms: int = 3_600_000, delay_ms: int = 600_000, buckets: int = 1 << 10) -> DataFrame:
     """One row per stream that ended, or was abandoned: without an end, and `idle_ms` behind the watermark, which is
     `delay_ms` behind the last row of all. `deltas`: stream, PIECE and `at`, a timestamp; a table or a stream (which
     needs the RocksDB state store, see drained_fold). Both give the same rows if no stream pauses for longer than
-    idle_ms + delay_ms and no row is later than delay_ms. Rows without seq or `at` are left out."""
+    idle_ms + delay_ms and no row is later than delay_ms. Rows without seq or `at` are left out. Python takes the
+    streams of a bucket at once; a checkpoint holds for the number of buckets that it began with."""
     rows = deltas.where(F.col("seq").isNotNull() & F.col(at).isNotNull())
     rows = rows.select("stream", *_NAMES, F.col(at).cast("timestamp").alias("at"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("stream"), F.lit(buckets)).cast("int"))
     if deltas.isStreaming:
         timed = rows.withWatermark("at", f"{delay_ms} milliseconds").withColumn("at_ms", F.unix_millis("at"))
-        return timed.groupBy("stream").transformWithStateInPandas(Deltas(idle_ms), FOLD, "append", "eventTime")
+        return timed.groupBy("bucket").transformWithStateInPandas(Deltas(idle_ms), FOLD, "append", "eventTime")
 
-    def batch(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(fold(key[0], _pieces(pdf)))
+    def batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _frame([fold(s, some) for s, some in _pieces(pdf).items()])
 
     rows = rows.withColumn("at_ms", F.unix_millis("at"))
     passed = rows.agg((F.max("at_ms") - delay_ms).alias("_mark"))
     ends = rows.groupBy(F.col("stream").alias("_of")).agg(F.max("at_ms").alias("_last"), F.bool_or(F.col("kind") == "end").alias("_ended"))
     done = ends.crossJoin(F.broadcast(passed)).where(F.coalesce("_ended", F.lit(False)) | (F.col("_last") + idle_ms < F.col("_mark")))
-    return rows.join(done, F.col("stream").eqNullSafe(F.col("_of")), "left_semi").groupBy("stream").applyInPandas(batch, FOLD)
+    return rows.join(done, F.col("stream").eqNullSafe(F.col("_of")), "left_semi").groupBy("bucket").applyInPandas(batch, FOLD)
 
 
-def drained_fold(stream: DataFrame, at: str, output: str, checkpoint: str, idle_ms: int = 3_600_000, delay_ms: int = 600_000) -> DataFrame:
+def drained_fold(stream: DataFrame, at: str, output: str, checkpoint: str, idle_ms: int = 3_600_000, delay_ms: int = 600_000, buckets: int = 1 << 10) -> DataFrame:
     """folded() of everything that is there now, added to files, and all rows of these. State goes on with the next
     call. The session's state store is set for this query alone."""
     spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(name)
     spark.conf.set(name, ROCKSDB)
     try:
-        writer = folded(stream, at, idle_ms, delay_ms).writeStream.format("parquet").option("path", output)
+        writer = folded(stream, at, idle_ms, delay_ms, buckets).writeStream.format("parquet").option("path", output)
         q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:

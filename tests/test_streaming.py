@@ -76,6 +76,28 @@ def test_an_abandoned_stream_is_let_go(spark, tmp_path):
     assert sorted(S.folded(spark.read.schema(TIMED).parquet(folder), "at").collect()) == drain(spark, tmp_path)
 
 
+def test_streams_share_a_bucket(spark, tmp_path):
+    """One call and one timer for many streams: each ends, is let go and begins anew by itself."""
+    folder = str(tmp_path / "in")
+
+    def drain():
+        src = spark.readStream.schema(TIMED).option("maxFilesPerTrigger", 1).parquet(folder)
+        got = S.drained_fold(src, "at", str(tmp_path / "out"), str(tmp_path / "ck"), buckets=1).collect()
+        return sorted((r["stream"], r["text"], r["stop_reason"]) for r in got)
+
+    more(spark, folder, [r for r in ROWS if r[2] != "end"] + [late("c"), late("d")])
+    assert drain() == []
+    more(spark, folder, [ROWS[5], late("c", 2), late("e")], 20)
+    ended = [("a", "hello", "stop")]
+    assert drain() == ended
+    more(spark, folder, [late("f")], 180)
+    gone = sorted([*ended, ("b", "open", "abandoned"), ("c", "laterlater", "abandoned"), ("d", "later", "abandoned"), ("e", "later", "abandoned")])
+    assert drain() == gone
+    more(spark, folder, [late("a"), late("b"), late("f", 2)], 185)
+    more(spark, folder, [late("g")], 400)
+    assert drain() == sorted([*gone, ("a", "later", "abandoned"), ("b", "later", "abandoned"), ("f", "laterlater", "abandoned")])
+
+
 def test_dedup_and_order(spark):
     e = spark.createDataFrame([("k", "2024-01-01 00:00:00"), ("k", "2024-01-01 00:00:01"), ("l", "2024-01-01 00:00:00")], "k string, ts string")
     assert S.deduplicated(e, ["k"], "ts", "1 hour").count() == 2
