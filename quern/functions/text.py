@@ -5,13 +5,13 @@ from __future__ import annotations
 import difflib
 import html
 import shlex
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import StringType
 
 #: A diagnostic line (file, line, column, level, message) and a traceback line.
 DIAGNOSTIC = r"^([^:\n]+\.py):(\d+)(?::(\d+))?:\s*(?:(error|warning):\s*)?(.+)$"
@@ -238,18 +238,50 @@ def exit_meaning(command: Column, code: Column) -> Column:
     return F.when(code == 0, "ok").when(code == 1, F.try_element_at(table, name))
 
 
-@F.pandas_udf(StructType().add("additions", IntegerType()).add("removals", IntegerType()).add("diff", StringType()))
-def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Lines added and removed between the common start and end, and them with three lines around, 200 at most."""
-    rows = []
-    for x, y in zip(old, new):
-        a, b = (x or "").splitlines(), (y or "").splitlines()
-        head = next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
-        tail = next((i for i, (p, q) in enumerate(zip(reversed(a[head:]), reversed(b[head:]))) if p != q), min(len(a), len(b)) - head)
-        gone, come = a[head : len(a) - tail], b[head : len(b) - tail]
-        shown = [f"  {t}" for t in a[max(0, head - 3) : head]] + [f"- {t}" for t in gone] + [f"+ {t}" for t in come] + [f"  {t}" for t in (a[len(a) - tail :][:3] if tail else [])]
-        rows.append((len(come), len(gone), "\n".join(shown[:200]) if gone or come else ""))
-    return pd.DataFrame(rows, columns=["additions", "removals", "diff"])
+#: Where str.splitlines ends a line.
+_LINE_END = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which the value is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def split_lines(text: Column) -> Column:
+    """As str.splitlines: an end after the last line begins no other; null and empty texts have no lines."""
+    parts = F.split(F.coalesce(text, F.lit("")), _LINE_END)
+    return _once(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common at their start."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.size(a))
+
+
+def line_diff(old: Column | str, new: Column | str) -> Column:
+    """Lines added and removed between the common start and end, and them with three lines around, 200 at most.
+
+    In Spark's expressions, so no Python worker holds a batch of texts and their lines."""
+    old, new = (F.col(c) if isinstance(c, str) else c for c in (old, new))
+
+    def ends(x: Column) -> Column:
+        rest = lambda c: F.reverse(F.slice(x[c], x["head"] + 1, F.size(x[c]) - x["head"]))
+        return F.struct(*[x[c].alias(c) for c in ("a", "b", "head")], _alike(rest("a"), rest("b")).alias("tail"))
+
+    def changed(x: Column) -> Column:
+        a, head, tail = x["a"], x["head"], x["tail"]
+        gone, come = (F.slice(x[c], head + 1, F.size(x[c]) - head - tail) for c in ("a", "b"))
+        near = F.slice(a, F.greatest(head - 3, F.lit(0)) + 1, F.least(head, F.lit(3))), F.slice(a, F.size(a) - tail + 1, F.least(tail, F.lit(3)))
+        led = lambda mark, lines: F.transform(lines, lambda t: F.concat(F.lit(mark), t))
+        shown = F.slice(F.concat(led("  ", near[0]), led("- ", gone), led("+ ", come), led("  ", near[1])), 1, 200)
+        n = lambda c: F.size(x[c]) - head - tail
+        diff = F.when(n("a") + n("b") > 0, F.array_join(shown, "\n")).otherwise("")
+        return F.struct(n("b").alias("additions"), n("a").alias("removals"), diff.alias("diff"))
+
+    lines = F.struct(split_lines(old).alias("a"), split_lines(new).alias("b"))
+    lines = _once(lines, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), _alike(x["a"], x["b"]).alias("head")))
+    return _once(_once(lines, ends), changed)
 
 
 @F.pandas_udf(StringType())

@@ -92,6 +92,22 @@ def test_line_diff(spark):
     assert patch.endswith("".join(difflib.unified_diff(["x\n"], ["y\n"], "a/b.py", "b/b.py")))
 
 
+def test_line_diff_runs_without_python(spark):
+    """Lines as str.splitlines has them, at every kind of end; no worker holds a batch of texts."""
+    rng = random.Random(5)
+    made = lambda: "".join(rng.choice(["a", "b", "\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1e", "\x85", "\u2028", "\u2029"]) for _ in range(rng.randint(0, 9)))
+    pairs = [(made(), made()) for _ in range(150)] + [(None, "x\n"), ("x", None), (None, None), ("x\n" * 300, "y\n" * 300), ("1\n2\n3\n4\n5\n6\n7\n8\n9", "1\n2\n3\n4\nV\n6\n7\n8\n9")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("*", T.line_diff("a", "b").alias("d"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        a, b = (r["a"] or "").splitlines(), (r["b"] or "").splitlines()
+        head = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        tail = next((k for k, (x, y) in enumerate(zip(a[head:][::-1], b[head:][::-1])) if x != y), min(len(a), len(b)) - head)
+        gone, come = a[head : len(a) - tail], b[head : len(b) - tail]
+        shown = [f"  {t}" for t in a[max(0, head - 3) : head]] + [f"- {t}" for t in gone] + [f"+ {t}" for t in come] + [f"  {t}" for t in (a[len(a) - tail :][:3] if tail else [])]
+        assert tuple(r["d"]) == (len(come), len(gone), "\n".join(shown[:200]) if gone or come else ""), r
+
+
 def test_joined_texts(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "  ")], "g int, p int, t string")
     assert T.ordered_text(df, ["g"], ["p"], "t").collect()[0]["joined"] == "a\n\nb"
