@@ -222,3 +222,19 @@ def read_lines(spark, path: str, journal: Column | None = None) -> DataFrame:
     line_no = F.col("_id") - F.col("_first") + F.col("_before") + 1
     out = lines.drop("_size").join(ranges, ["_path", "_from"])
     return out.select("journal", line_no.alias("line_no"), F.regexp_replace(F.make_valid_utf8("line"), r"\r\z", "").alias("line"), (~line_no.eqNullSafe(F.col("_half"))).alias("terminated"))
+
+
+def packed(lines: DataFrame, journal: str = "journal") -> DataFrame:
+    """Lines (journal, line_no, line) as `value`, for text files that hold many journals each: as many files as tasks,
+    not as journals. A journal's name, without tabs or line ends, and a tab lead each of its lines; a journal is in one
+    file and in order."""
+    rows = lines.repartition(journal).sortWithinPartitions(journal, "line_no")
+    return rows.select(F.concat(F.col(journal).cast("string"), F.lit("\t"), "line").alias("value"))
+
+
+def unpacked(lines: DataFrame) -> DataFrame:
+    """read_lines() of such files: each line with the journal that leads it and its place there."""
+    parts = F.split("line", "\t", 2)
+    rows = lines.select(parts[0].alias("journal"), "line_no", F.try_element_at(parts, F.lit(2)).alias("line"), "terminated")
+    starts = rows.groupBy("journal").agg(F.min("line_no").alias("_first"))
+    return rows.join(starts, "journal").select("journal", (F.col("line_no") - F.col("_first") + 1).alias("line_no"), "line", "terminated")

@@ -428,7 +428,7 @@ def delta_streams(spark, d):
     SELECT user_id, line_no, event_id, event_type, CASE WHEN event_id % 7 = 0 THEN 'event hash mismatch' END AS fault FROM n""")
 def journal_scan(spark, d):
     """A user's events chained into a log of their own, some altered after that, written as text files and read back in
-    ranges. A user's log is one file, as its lines' order has to hold."""
+    ranges. A user's log is in one file, as its lines' order has to hold; a file has the logs of many users."""
     import uuid
 
     from quern.operators.staging import shared
@@ -442,11 +442,9 @@ def journal_scan(spark, d):
     spoilt = F.get_json_object("line", "$.tool_call_id").cast("long") % 7 == 0
     text = F.when(spoilt, F.replace("line", F.lit('"version":1'), F.lit('"version":2'))).otherwise(F.col("line"))
     folder = f"{shared(spark)}/journals-{uuid.uuid4().hex}"
-    logs = lines.withColumn("line", text).repartition("user_id").sortWithinPartitions("user_id", "line_no").select("user_id", F.col("line").alias("value"))
-    logs.write.partitionBy("user_id").text(folder)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"user_id=(\d+)/", 1).cast("long")
-    read = E.verified(E.repaired(E.read_lines(spark, folder, name)))
-    return read.select(F.col("journal").alias("user_id"), "line_no", F.col("tool_call_id").cast("long").alias("event_id"), "event_type", "fault")
+    E.packed(lines.withColumn("line", text), "user_id").write.text(folder)
+    read = E.verified(E.repaired(E.unpacked(E.read_lines(spark, folder))))
+    return read.select(col("journal", "long").alias("user_id"), "line_no", F.col("tool_call_id").cast("long").alias("event_id"), "event_type", "fault")
 
 
 @query("""SELECT conv_id, turn, part, message FROM (SELECT conv_id, turn, 0 AS part, CASE WHEN role = 'assistant' AND turn % 3 = 0 AND text = '' THEN '{"type":"function_call","name":"Read","call_id":"c' || turn || '","arguments":"{}"}'

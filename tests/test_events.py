@@ -126,3 +126,16 @@ def test_lines_over_ranges(spark, tmp_path, size):
         want[name] = whole + ([(len(parts), parts[-1], False)] if parts[-1] else [])
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
     assert faults == {(name, 16, "event hash mismatch") for name in ("half.jsonl", "open.jsonl", "whole.jsonl")}
+
+
+def test_journals_share_files(spark, tmp_path):
+    """As many files as tasks, however many journals; lines keep their journal and place; a torn last line goes."""
+    rows = [(j, n, f'{{"n":{n}}}') for j in range(200) for n in range(1, 1 + j % 5)]
+    E.packed(spark.createDataFrame(rows, "journal long, line_no long, line string"), "journal").write.text(str(tmp_path / "logs"))
+    files = list((tmp_path / "logs").glob("part-*"))
+    assert 1 <= len(files) <= 8
+    (tmp_path / "logs" / f".{files[0].name}.crc").unlink()
+    with files[0].open("a") as f:
+        f.write('7\t{"n":')
+    read = E.repaired(E.unpacked(E.read_lines(spark, str(tmp_path / "logs"))))
+    assert sorted((int(r["journal"]), r["line_no"], r["line"]) for r in read.collect()) == rows
