@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, near-duplicate removal, substring dedup, source mixing, SentencePiece ids.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet into the
-shared folder and reads it again as the next one's docs. All stages but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is written as Parquet into the shared
+folder, by run() or, where Python workers are sent texts last (WRITTEN), by the stage, so that whoever calls it they
+get batches of a bounded size, and is read again as the next one's docs. All stages but the last return the columns of docs.
 Stages define nulls, empty texts, ties, repeated rows and empty tables as their operators do.
 """
 
@@ -19,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     the calibrated limit. Rows with a null lang teach nothing; repeated rows each stay or go alike; without any
     labelled row all go; an empty table stays empty."""
     model = language_id.fit(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return language_id.predicted(rows, model, ["row"]).where("not rejected").select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return common.staged(language_id.predicted(rows, model, ["row"], "row").where("not rejected").select("row.*"), "language_id")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and its token ids, begin and end included; a null or empty text has these two alone, a null id stays
     null, repeated rows each have their own row."""
-    return sentencepieces.encoded(docs, vocabulary("piece_bpe_32k.model"))
+    return common.staged(sentencepieces.encoded(docs, vocabulary("piece_bpe_32k.model")), "sentencepiece")
 
 
 STAGES = [
@@ -71,6 +72,9 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
+#: Stages that return a table in the shared folder.
+WRITTEN = {"language_id", "sentencepiece"}
+
 #: No SQL: trained models, tokenizer files and hashes decide.
 ORACLE_SQL = None
 
@@ -79,7 +83,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
+        made = stage(spark, docs, sf_dir)
+        docs = made if name in WRITTEN else common.staged(made, name)
         if before is not None:
             common.drop_staged(before)
         before = docs

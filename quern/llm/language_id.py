@@ -38,6 +38,9 @@ NGRAMS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 16
 PER_LANG, SAMPLE, EXCERPT, MAX_LANGS = 1500, 60_000, 1200, 500
 EPOCHS, BATCH, RATE = 8, 32, 0.5
 LOST, MOST = 0.0005, 0.4
+#: Characters of short texts that are scored at once, and logits of n-grams held at once (of 8 languages at least):
+#: neither changes a score.
+PACKED, HELD = 1 << 16, 1 << 21
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -78,12 +81,17 @@ class Model:
         """Probabilities, one row per text."""
         keys, n = grams(texts)
         starts = np.cumsum(n) - n
-        sums = np.add.reduceat(self.table[keys], starts, axis=0).astype(np.float64) if len(keys) else np.zeros((0, len(self.langs)))
+        sums = self._summed(keys, lambda rows: np.add.reduceat(rows, starts, axis=0)) if len(keys) else np.zeros((0, len(self.langs)))
         return softmax(sums / np.maximum(n, 1)[:, None] + self.bias)
 
+    def _summed(self, keys: np.ndarray, of) -> np.ndarray:
+        """Sums of the n-grams' logits, for some languages at a time."""
+        some = max(8, HELD // max(1, len(keys)))
+        return np.concatenate([of(self.table[:, a : a + some][keys]).astype(np.float64) for a in range(0, len(self.langs), some)], axis=-1)
+
     def predict(self, texts: list[str | None], batch_chars: int = 250_000) -> list[tuple[str, float, bool]]:
-        """(language, score, rejected) of each text; at most about batch_chars characters are held as n-grams,
-        a longer text is cut into parts whose logits are added up."""
+        """(language, score, rejected) of each text; at most about batch_chars characters are held as n-grams, of
+        several texts about PACKED, a longer text is cut into parts whose logits are added up."""
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
         if not self.langs:
             return out
@@ -97,7 +105,7 @@ class Model:
                 continue
             batch.append(i)
             size += len(t)
-            if size > batch_chars:
+            if size > min(PACKED, batch_chars):
                 self._settle(out, batch, self.scores([texts[k] for k in batch]))
                 batch, size = [], 0
         if batch:
@@ -108,7 +116,7 @@ class Model:
         sums, n = np.zeros(len(self.langs)), 0
         for a in range(0, len(text), part):
             keys, counts = grams([text[a : a + part]])
-            sums += self.table[keys].sum(axis=0, dtype=np.float64)
+            sums += self._summed(keys, lambda rows: rows.sum(axis=0, dtype=np.float64))
             n += int(counts[0])
         return softmax((sums / max(n, 1) + self.bias)[None, :])
 
@@ -212,13 +220,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return predicted(docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
-def predicted(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep`, then lang_pred, score and rejected, of rows with a text."""
+def predicted(rows: DataFrame, model: Model, keep: list[str], within: str | None = None) -> DataFrame:
+    """The columns `keep`, then lang_pred, score and rejected, of rows with a text, which may be a field of the struct
+    `within`: then no text is sent to a worker twice."""
     given = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"]
+            texts = batch[within].field("text") if within else batch["text"]
             got = [g for a in range(0, len(texts), 256) for g in given.value.predict(texts.slice(a, 256).to_pylist())]
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + made, [*keep, "lang_pred", "score", "rejected"])

@@ -77,3 +77,31 @@ def test_stages_against_brute_force(spark):
 
 def test_run_over_a_table(spark):
     assert C.run(spark, SF).count() > 100 and [n for n, _ in C.STAGES][0] == "language_id"
+
+
+def test_workers_are_sent_bounded_batches(spark, tmp_path, monkeypatch):
+    """The stages that end in Python hold few texts at once, and each once, whatever writes their result."""
+
+    def watching(run):
+        def wrapped(batches):
+            import uuid
+
+            def seen():
+                for batch in batches:
+                    (tmp_path / uuid.uuid4().hex).write_text(f"{batch.num_rows} {batch.nbytes}")
+                    yield batch
+
+            yield from run(seen())
+
+        return wrapped
+
+    text = sentences(21, 1, 400)[0]
+    docs = made(spark, [(i, f"{text} w{i}", "en" if i % 2 else "fr", "s0") for i in range(6000)]).coalesce(1)
+    for module, stage in ((C.language_id, C.identify_language), (C.sentencepieces, C.encode)):
+        monkeypatch.setattr(module, "frugal", watching)
+        stage(spark, docs, SF).write.format("noop").mode("overwrite").save()
+        sizes = [tuple(map(int, p.read_text().split())) for p in tmp_path.iterdir()]
+        assert sum(n for n, _ in sizes) == 6000
+        assert max(n for n, _ in sizes) <= 4000 and sum(b for _, b in sizes) < 1.5 * 6000 * (len(text) + 40)
+        for p in tmp_path.iterdir():
+            p.unlink()
