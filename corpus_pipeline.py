@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is written as Parquet into the shared
 folder, by run() or, where Python workers are sent texts last (WRITTEN), by the stage, so that whoever calls it they
-get batches of a bounded size, and is read again as the next one's docs. All stages but the last return the columns of docs.
+get batches of a bounded size, and is read again as the next one's docs. language_id writes which texts go, for the
+same reason. All stages but the last return the columns of docs.
 Stages define nulls, empty texts, ties, repeated rows and empty tables as their operators do.
 """
 
@@ -19,9 +20,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Without the documents that language ID rejects: no letters (null and empty texts among them), or a score below
     the calibrated limit. Rows with a null lang teach nothing; repeated rows each stay or go alike; without any
     labelled row all go; an empty table stays empty."""
-    model = language_id.fit(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return common.staged(language_id.predicted(rows, model, ["row"], "row").where("not rejected").select("row.*"), "language_id")
+    # what is kept in files are the 128 bits of each text that goes, not the documents that stay
+    key = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).alias("key")
+    found = language_id.predicted(docs.select(key, "text"), language_id.fit(docs), ["key"])
+    rejected = common.staged(found.where("rejected").select("key").distinct(), "language_id")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key)
+    return common.without(rows, rejected).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +77,7 @@ STAGES = [
 ]
 
 #: Stages that return a table in the shared folder.
-WRITTEN = {"language_id", "sentencepiece"}
+WRITTEN = {"sentencepiece"}
 
 #: No SQL: trained models, tokenizer files and hashes decide.
 ORACLE_SQL = None

@@ -114,10 +114,23 @@ def frugal(run):
 def among(rows: DataFrame, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
     """Rows whose `key` may be among the keys: all that are, and few others. What is sent is a bitmap of `bits` bits
     in pieces of 4 KB, whatever the number of keys."""
+    return _mapped(rows, keys, bits, "inner").where("may").drop("may")
+
+
+def without(rows: DataFrame, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """Rows whose `key` is not among the keys. Only those that may be, by the bitmap of among(), are shuffled."""
+    marked = _mapped(rows, keys, bits, "left")
+    doubtful = marked.where("may").join(keys.select("key").hint("merge"), "key", "left_anti")
+    return marked.where("not may").drop("may").unionByName(doubtful.drop("may"))
+
+
+def _mapped(rows: DataFrame, keys: DataFrame, bits: int, how: str) -> DataFrame:
+    """Rows and whether their `key` may be among the keys."""
     place = lambda df: df.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(bits)) + 1).withColumn("piece", F.expr("bitmap_bucket_number(at)")).withColumn("bit", F.expr("bitmap_bit_position(at)"))
     maps = place(keys.select("key")).groupBy("piece").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
     byte = "cast(conv(hex(substring(bits, cast(shiftright(bit, 3) + 1 as int), 1)), 16, 10) as int)"
-    return place(rows).join(F.broadcast(maps), "piece").where(f"shiftright({byte}, cast(bit & 7 as int)) & 1 = 1").drop("at", "piece", "bit", "bits")
+    may = F.expr(f"coalesce(shiftright({byte}, cast(bit & 7 as int)) & 1 = 1, false)")
+    return place(rows).join(F.broadcast(maps), "piece", how).withColumn("may", may).drop("at", "piece", "bit", "bits")
 
 
 def stars(a, b):

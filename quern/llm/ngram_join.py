@@ -8,7 +8,7 @@ smallest id reachable over links.
 1. Equal sets form classes; one document stands for each.
 2. The inverted index is too large for one task, so it is dealt into groups that no link crosses. For sets of a
    band of sizes, linked ones differ in at most d elements. Elements are hashed into more than d parts; so some
-   part of two linked sets is equal, and they meet by its hash. (Parts without elements don't count; a set with
+   part of two linked sets is equal, and they meet by its hash, in a bucket of parts that a task holds. (Parts without elements don't count; a set with
    so many of them that nothing is certain also shows those.) Sets that meet are compared by their sketches, the
    numbers of elements per bin: sets whose sketches differ by more than linked sets can are kept apart, so a
    passage that many share makes no group of all. Groups are the connected components over what is left.
@@ -42,13 +42,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, connected_components, drop_staged, frugal, lists, staged, stars
+from .common import among, connected_components, drop_staged, frugal, lists, runs, staged, stars
 
 #: Elements of sets, and sketches, that a cell's share of a group holds; bytes read at a time.
 CELL, MEET, SLICE = 1 << 16, 1 << 12, 1 << 20
 #: Parts that HOT of some SAMPLED classes have are hot: by the parts that a set has at most, there are few such (their
-#: number has a bound that doesn't grow with the documents), so they are broadcast; each is dealt over SALTS tasks.
+#: number has a bound that doesn't grow with the documents), so they are broadcast; what has them is dealt over SALTS buckets.
 SAMPLED, HOT, SALTS = 20_000, 100, 256
+#: Sets of at most so many elements have a bin or two an element in their sketch: with fewer, texts of some ten to two
+#: hundred words that are merely made of the same words come together in one group, the larger the more texts there are.
+FINE = 256
+#: Parts to a bucket, about, and the least number of buckets.
+BUCKET, BUCKETS = 1 << 20, 256
 #: About how many members of a large group all its cells hold.
 STAND = 16
 #: DivideSkip's weight of a probe against a step of the merge.
@@ -190,10 +195,16 @@ def part_hashes(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
+def n_parts(n: int, num: int, den: int) -> int:
+    """Parts of a set of n elements, empty ones included."""
+    k = band(n, num, den)
+    return sum(parts for _, _, d, parts in (level(j, num, den) for j in (k, k - 1) if j >= 0) if d)
+
+
 def sketch(s: np.ndarray) -> bytes:
-    """Numbers of elements (255 at most) per bin, in some 4 to 8 elements a bin; bins follow the hash's first
-    bits, so neighbours added up give the sketch with half as many bins."""
-    bits = max(0, (len(s) // 4).bit_length() - 1)
+    """Numbers of elements (255 at most) per bin, in some 4 to 8 elements a bin, or one or two bins an element up to
+    FINE; bins follow the hash's first bits, so neighbours added up give the sketch with half as many bins."""
+    bits = max(0, (2 * len(s) if len(s) <= FINE else len(s) // 4).bit_length() - 1)
     bins = (_mix(s ^ _ODD[53]) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
     return np.minimum(np.bincount(bins, minlength=1 << bits), 255).astype("u1").tobytes()
 
@@ -348,6 +359,97 @@ def _texts(column: pa.Array, step: int = 4 << 20) -> Iterator[tuple[int, list[st
         yield first, texts
 
 
+PLAIN, WARM, NAMES = 0, 1, 2
+
+
+def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of `values` between the ends."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def bundles(parts: list[np.ndarray], names: list[tuple[int, int]], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The parts of some sets as a row for each bucket, which the first 32 bits of a part's hash choose: the other 32
+    bits (`a`) and the sets' places as steps from one to the next (`b`). A set's number is `base`, a hash of all names,
+    plus its place. Hot parts are apart, with all their bits; so are the names."""
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    h1, h2 = (np.array([n[i] for n in names], np.int64) for i in (0, 1))
+    base = _mix(h1.view(np.uint64) + np.arange(len(h1), dtype=np.uint64) * _ODD[52]).sum(dtype=np.uint64).astype(np.int64)
+
+    def made(bucket: np.ndarray, kind: int, a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+        n = len(bucket)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.full(n, kind), pa.int32()), pa.array(np.full(n, base)), a, b], ["bucket", "kind", "base", "a", "b"])
+
+    def steps(places: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Places rise from end to end."""
+        by = np.diff(places, prepend=0)
+        by[ends[:-1]] = places[ends[:-1]]
+        return _bytes(by.astype(np.min_scalar_type(int(by.max()))), ends)
+
+    if len(h1):
+        own = np.array([int(base) % SALTS])
+        yield made(buckets + own, NAMES, _bytes(h1, np.array([0, len(h1)])), _bytes((h2 & _HALF).astype(np.int32), np.array([0, len(h2)])))
+    warm = np.isin(flat, hot) if len(hot) else np.zeros(len(flat), bool)
+    if warm.any():
+        yield made(buckets + own, WARM, _bytes(flat[warm], np.array([0, warm.sum()])), steps(owner[warm], np.array([0, warm.sum()])))
+    flat, owner = flat[~warm], owner[~warm]
+    if len(flat):
+        bucket = ((flat >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        ends = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        yield made(bucket[ends[:-1]], PLAIN, _bytes(flat[order].astype(np.uint32), ends), steps(owner[order], ends))
+
+
+def meetings(rows: pa.Table) -> pa.RecordBatch:
+    """part and `at` (a set's number) where sets of a bucket have a part in common, or it is hot; at, h1 and half of
+    names. Of a part here are the 32 bits besides its bucket's: parts seldom alike in these alone cost a comparison."""
+    none = lambda n, kind: pa.nulls(n, kind)
+    if rows["kind"][0].as_py() == NAMES:
+        h1 = np.concatenate([np.frombuffer(x, np.int64) for x in rows["a"].to_pylist()])
+        half = np.concatenate([np.frombuffer(x, np.int32) for x in rows["b"].to_pylist()])
+        at = np.concatenate([np.arange(len(x) // 8) + b for x, b in zip(rows["a"].to_pylist(), rows["base"].to_numpy())])
+        return pa.RecordBatch.from_arrays([none(len(at), pa.int64()), pa.array(at), pa.array(h1), pa.array(half)], MEETINGS)
+    warm = rows["kind"][0].as_py() == WARM
+    parts, at = [], []
+    for base, a, b in zip(rows["base"].to_numpy(), rows["a"].to_pylist(), rows["b"].to_pylist()):
+        parts.append(np.frombuffer(a, np.uint64 if warm else np.uint32))
+        at.append(np.cumsum(np.frombuffer(b, f"u{len(b) // len(parts[-1])}"), dtype=np.int64) + base)
+    part, at = np.concatenate(parts), np.concatenate(at)
+    if not warm:
+        sort = np.sort((part.astype(np.uint64) << _U(32)) | np.arange(len(part), dtype=np.uint64))
+        alike = (sort[1:] >> _U(32)) == (sort[:-1] >> _U(32))
+        sort = sort[np.concatenate([alike, [False]]) | np.concatenate([[False], alike])]
+        at = at[(sort & _U((1 << 32) - 1)).astype(np.int64)]
+        part = (sort >> _U(32)) | _U(rows["bucket"][0].as_py() << 32)
+    return pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(at), none(len(at), pa.int64()), none(len(at), pa.int32())], MEETINGS)
+
+
+MEETINGS = ["part", "at", "h1", "half"]
+
+
+def _met(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, buckets: int) -> DataFrame:
+    """part and `at` of sets that share it with others; at, h1 and half (95 bits of its name) of every set. What is
+    shuffled is some 5 bytes a part, whatever the number of tasks; a bucket is what a task holds."""
+    given = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _texts(batch["text"]):
+                sets = [s for s in shingle_sets(texts, k) if len(s)]
+                yield from bundles(part_hashes(sets, num, den), [identity(s) for s in sets], given.value, buckets)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, ("bucket", "kind", "own")):
+            yield meetings(rows)
+
+    packed = docs.select("text").mapInArrow(frugal(pack), "bucket int, kind int, base long, a binary, b binary")
+    # hot parts and names need no others of their bucket, so each row is a run of its own
+    packed = packed.withColumn("own", F.when(F.col("kind") != PLAIN, F.col("base")).otherwise(0))
+    return packed.repartition("bucket").sortWithinPartitions("bucket", "kind", "own").mapInArrow(frugal(meet), "part long, at long, h1 long, half int")
+
+
 CELLS = ("grp", "a", "j")
 
 
@@ -503,24 +605,25 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     classes = rows.where("n_shingles > 0").groupBy(*name).agg(first, F.first("sketch").alias("sketch")).select(*name, "first.doc_id", "first.th", "sketch")
     # a class's own number; it is settled once it is written
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    # one sort by part finds where sets meet; parts are made of (nearly) one document of each class, and rows of a part
-    # that many classes share, as near copies do, are known to meet and dealt over SALTS tasks
+    # parts are made of (nearly) one document of each class and dealt into buckets, where the sets that share one are
+    # found; parts that many classes share, as near copies do, are known to meet
     half = F.expr(f"cast(h2 & {_HALF} as int)").alias("half")
     of_class = F.struct("doc_id", "th").alias("key")
     shown = among(_keyed(docs).withColumn("key", of_class), classes.select(of_class))
-    share = min(1.0, SAMPLED / max(1, classes.count()))
+    size = F.when(F.col("n_shingles") < 256, F.col("n_shingles")).otherwise(256 + F.ceil(4 * F.log("n_shingles")))
+    sizes = classes.groupBy(size).agg(F.max("n_shingles").alias("most"), F.count("*").alias("n")).collect()
+    share = min(1.0, SAMPLED / max(1, sum(r["n"] for r in sizes)))
+    buckets = max(BUCKETS, sum(r["n"] * n_parts(r["most"], num, den) for r in sizes) // BUCKET)
     some = shown.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "th"), F.lit(1 << 30)) < int(share * (1 << 30)))
     hot = _parts(some, k, num, den).groupBy("part").agg(F.count("*").alias("n"), F.min("h1").alias("low"), F.max("h1").alias("high")).where(f"n >= {HOT} and low <> high")
-    hot = staged(hot.select("part", F.lit(True).alias("hot")), "hot")
-    parts = _parts(shown, k, num, den).join(F.broadcast(hot), "part", "left")
-    met = parts.select("part", "h1", "half", "hot", F.when(F.col("hot"), F.pmod("h1", F.lit(SALTS))).otherwise(0).alias("salt"))
-    part = Window.partitionBy("part", "salt")
-    met = met.select("part", "h1", "half", "hot", F.min("h1").over(part).alias("low"), F.max("h1").over(part).alias("high"))
-    met = staged(met.where("hot or low <> high").select("part", "h1", "half").distinct(), "met")
+    hot = staged(hot.select("part"), "hot")
+    parts = np.sort(hot.toArrow()["part"].to_numpy().view(np.uint64))
+    found = staged(_met(shown, k, num, den, parts, buckets), "met")
     drop_staged(hot)
+    met, names = found.where("part is not null").select("part", "at"), found.where("part is null").select("at", "h1", "half")
     one = F.lit(1).cast("long").alias("cost")
-    sketched = met.join(classes.select("h1", half, F.col("n_shingles").cast("int").alias("n"), "sketch", "cid"), ["h1", "half"])
-    sketched = sketched.select(F.col("part").alias("grp"), "cid", one, "n", "sketch")
+    known = names.distinct().join(classes.select("h1", half, F.col("n_shingles").cast("int").alias("n"), "sketch", "cid"), ["h1", "half"])
+    sketched = met.join(known, "at").select(F.col("part").alias("grp"), "cid", one, "n", "sketch")
 
     def sketches(table: pa.Table) -> tuple:
         return table["n"].to_numpy().astype(np.int64), table["sketch"].to_pylist()
@@ -529,7 +632,7 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
         return Sketches(held[0][on], [held[1][i] for i in on.tolist()], num, den)
 
     edges = linked(sketched, met.select(F.col("part").alias("grp"), one), MEET, sketches, by_sketch, "meeting")
-    drop_staged(met)
+    drop_staged(found)
     whole = connected_components(edges, "blocks")
     drop_staged(edges)
     blocks = staged(whole.select(F.col("node").alias("cid"), F.col("component").alias("grp")).union(whole.select("component", "component")).distinct(), "blocks")
@@ -539,13 +642,13 @@ def joined(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     texts = among(_keyed(docs).withColumn("key", F.struct("doc_id", "th")), active).groupBy("doc_id", "th").agg(F.first("text").alias("text")).toDF("of_id", "of_th", "text")
     sets = staged(_sets(texts.join(active.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))), k), "elements")
 
-    def elements(table: pa.Table) -> list[np.ndarray]:
+    def of_sets(table: pa.Table) -> list[np.ndarray]:
         return lists(table["elements"])
 
     def by_element(held: list[np.ndarray], on: np.ndarray) -> Index:
         return Index([held[i].view(np.uint64) for i in on.tolist()], num, den)
 
-    links = linked(sets, sets.select("grp", "cost"), CELL, elements, by_element, "links")
+    links = linked(sets, sets.select("grp", "cost"), CELL, of_sets, by_element, "links")
     drop_staged(blocks, active, sets)
     found = connected_components(links, "links")
     drop_staged(links)

@@ -150,3 +150,47 @@ def test_hot_parts_are_dealt_over_salts(spark, monkeypatch):
     monkeypatch.setattr(N, "SALTS", 7)
     assert sorted(map(tuple, N.join(docs, 3, 90, 100).collect()), key=str) == plain
     assert sum(r[2] == 0 for r in plain) == 91 or sum(r[2] == 0 for r in plain) == 90
+
+
+def test_a_shared_part_costs_few_bytes(spark):
+    """Parts go to their buckets in some 5 bytes each, however many buckets there are, and meet as they did one by one."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(20, 300)], rng.integers(0, 2**62, 20).astype(np.uint64)])) for _ in range(400)]
+    parts, names = N.part_hashes(sets, 80, 100), [N.identity(s) for s in sets]
+    hot = np.sort(parts[0][:3])
+    for buckets in (1, 40, 2000):
+        rows = [b for b in N.bundles(parts, names, hot, buckets)]
+        n = sum(map(len, parts))
+        assert sum(b["a"].nbytes + b["b"].nbytes for b in rows if b["kind"][0].as_py() == N.PLAIN) < 6 * n + 12 * 2 * buckets
+        table = N.pa.Table.from_batches(rows)
+        met, named = {}, {}
+        for bucket in sorted(set(table["bucket"].to_pylist())):
+            for kind in (N.PLAIN, N.WARM, N.NAMES):
+                some = table.filter((N.pa.compute.field("bucket") == bucket) & (N.pa.compute.field("kind") == kind))
+                for r in N.meetings(some).to_pylist() if len(some) else []:
+                    if kind == N.NAMES:
+                        named[r["at"]] = (r["h1"], r["half"])
+                    else:
+                        met.setdefault(r["part"], []).append(r["at"])
+        assert sorted(named.values()) == sorted((a, b & N._HALF) for a, b in names)
+        want = {}
+        for p, (a, b) in zip(parts, names):
+            for x in p.tolist():
+                want.setdefault(x, []).append((a, b & N._HALF))
+        want = sorted(sorted(v) for x, v in want.items() if len(v) > 1 or x in hot)
+        assert sorted(sorted(named[at] for at in v) for v in met.values()) == want
+
+
+def test_short_texts_of_common_words_are_kept_apart():
+    """Texts of few words with passages in common don't pass for alike, so they make no group; links are all kept."""
+    rng = random.Random(12)
+    common = [" ".join(f"w{rng.randrange(60)}" for _ in range(9)) for _ in range(12)]
+    texts = [" ".join([*(f"v{rng.randrange(3000)}" for _ in range(rng.randint(1, 12))), *rng.sample(common, 3)]) for _ in range(400)]
+    texts += [t + " more" for t in texts[:40]]
+    sets = N.shingle_sets(texts, 5)
+    index = N.Sketches(np.array(list(map(len, sets))), [N.sketch(s) for s in sets], 80, 100)
+    linked = [{j for j in range(len(sets)) if j != i and 100 * (o := len(np.intersect1d(s, sets[j]))) >= 80 * (len(s) + len(sets[j]) - o)} for i, s in enumerate(sets)]
+    passed = [set(index.search(i).tolist()) for i in range(len(sets))]
+    assert all(a <= b for a, b in zip(linked, passed))
+    assert sum(map(len, linked)) >= 60 and sum(map(len, passed)) < 2 * sum(map(len, linked))

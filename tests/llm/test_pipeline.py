@@ -105,3 +105,17 @@ def test_workers_are_sent_bounded_batches(spark, tmp_path, monkeypatch):
         assert max(n for n, _ in sizes) <= 4000 and sum(b for _, b in sizes) < 1.5 * 6000 * (len(text) + 40)
         for p in tmp_path.iterdir():
             p.unlink()
+
+
+def test_language_id_leaves_no_copy_of_the_documents(spark, tmp_path, monkeypatch):
+    """The stage's own files hold which texts go; rows with equal texts, nulls and clashing names go or stay alike."""
+    text = sentences(31, 400, 60, 900)
+    docs = made(spark, [(i, t, "en" if i % 2 else "fr", "s0") for i, t in enumerate(text)] + [(1000 + i, x, "en", "s1") for i, x in enumerate(["12 34", "12 34", None, "", text[0], text[0]])])
+    docs = docs.selectExpr("*", "1 as key", "2 as may", "3 as piece")
+    monkeypatch.setattr(C.common, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = C.identify_language(spark, docs, SF)
+    held = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert out.dtypes == docs.dtypes and held < sum(map(len, text)) / 10
+    wanted = {r["doc_id"] for r in C.language_id.identify(docs, C.language_id.fit(docs)).where("not rejected").collect()}
+    ids = [r["doc_id"] for r in out.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) == wanted and not wanted & set(range(1000, 1004)) and {1004, 1005} & wanted in (set(), {1004, 1005})
