@@ -131,8 +131,14 @@ def cut_tokens(text: Column, tokens: int, marker: str = "\n… (truncated)") ->
     return F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit(marker))).otherwise(text)
 
 
-def first_line(text: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x != ""), F.lit(1)), F.lit(""))
+def filled_lines(text: Column, trimmed: Callable[[Column], Column] = strip) -> Column:
+    """Lines that `trimmed` leaves something of, so trimmed."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: trimmed(x)), lambda x: x != "")
+
+
+def first_line(text: Column, trimmed: Callable[[Column], Column] = strip, missing: str | None = "") -> Column:
+    """The first line that isn't blank; `missing` where there is none."""
+    return F.coalesce(F.try_element_at(filled_lines(text, trimmed), F.lit(1)), F.lit(missing))
 
 
 def tag_text(text: Column, tag: str = "summary") -> Column:
@@ -333,6 +339,6 @@ def board(tasks: DataFrame) -> DataFrame:
     return tasks.select("id", line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("board"))
 
 
-def change_count(status: Column) -> Column:
-    """Non-blank lines."""
-    return F.size(F.filter(F.split(status, "\n"), lambda x: strip(x) != ""))
+def change_count(status: Column, trimmed: Callable[[Column], Column] = strip) -> Column:
+    """Non-blank lines; null for null."""
+    return F.array_size(filled_lines(status, trimmed))

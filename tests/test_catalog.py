@@ -56,3 +56,18 @@ def test_a_source_without_an_id_ending_in_07_is_affected(spark, tmp_path):
     spark.createDataFrame([(1,), (3,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
     got = {r["doc_id"]: r["files"] for r in catalog.QUERIES["affected_files"](spark, str(tmp_path)).collect()}
     assert got == {1: ["b", "c"], 3: ["d"]}
+
+
+def test_first_lines_of_odd_texts(spark, duck, tmp_path):
+    """Texts that are null, empty, blank or begin with other white space than spaces; characters beyond 16 bits."""
+    import random
+
+    rng = random.Random(3)
+    texts = [None, "", " ", "\n", " \n  \n", "\t\na", " \ta\r\nb ", "\r\n", "\n\n x \n", "\x0b\n\x0c", "\u00a0 x", "\u2028a\nb", "\x00a", "e\u0301" * 150, "😀" * 250, "🇩🇪" * 150, " " * 300 + "x" * 300]
+    texts += ["".join(rng.choice(" \n\t\r\x0b\x1c\u00a0\u3000aé") for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["first_lines"](spark, str(tmp_path)).collect()
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW odd AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES["first_lines"].replace("FROM documents", "FROM odd")).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
